@@ -72,20 +72,16 @@ def names_of(doc: Column, path: str) -> Column:
 
 def iso_date(text: Column) -> Column:
     """ISO calendar dates (2005-06-15, 20050615) and week dates (2005-W24-3); else NULL."""
-    calendar = (
-        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
-        .when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd"))
-    )
-    week_form = r"^(\d{4})-?W(\d{2})(-?([1-7]))?$"
-    # The two separators of a week date are used together or not at all.
-    consistent = text.rlike(r"^\d{4}(-W\d{2}(-[1-7])?|W\d{2}[1-7]?)$")
-    year = F.regexp_extract(text, week_form, 1).try_cast("int")
-    week = F.regexp_extract(text, week_form, 2).try_cast("int")
-    day = F.coalesce(F.regexp_extract(text, week_form, 4).try_cast("int"), F.lit(1))
-    first_monday = F.trunc(F.make_date(year, F.lit(1), F.lit(4)), "week")
+    calendar = F.when(text.rlike(r"^(\d{8}|\d{4}-\d{2}-\d{2})$"),
+                      F.try_to_date(F.replace(text, F.lit("-"), F.lit("")), "yyyyMMdd"))
+    # Year, week and an optional day; separators are used everywhere or nowhere.
+    digits = F.when(text.rlike(r"^\d{4}(-W\d{2}(-[1-7])?|W\d{2}[1-7]?)$"),
+                    F.rpad(F.translate(text, "-W", ""), 7, "1"))
+    year, week = F.substring(digits, 1, 4).cast("int"), F.substring(digits, 5, 2).cast("int")
+    day = F.substring(digits, 7, 1).cast("int")
     last_week = F.weekofyear(F.make_date(year, F.lit(12), F.lit(28)))
-    from_week = F.when(consistent & (year > 0) & week.between(1, last_week),
-                       F.date_add(first_monday, (week - 1) * 7 + day - 1))
+    first_monday = F.trunc(F.make_date(year, F.lit(1), F.lit(4)), "week")
+    from_week = F.when(week.between(1, last_week), F.date_add(first_monday, week * 7 + day - 8))
     return F.coalesce(calendar, from_week)
 
 

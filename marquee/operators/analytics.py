@@ -5,20 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
 
 from marquee import config
 from marquee.functions import (
     hash_fraction, month_label, overlaps_any, roi_bucket,
 )
 from marquee.operators.quantiles import exact_quantiles
+from marquee.session import materialize
 
 # Metric name -> Gold column whose median is shown; None counts rows.
 MATRIX_METRICS = {"median_roi": "roi", "median_revenue_musd": "revenue_musd", "count": None}
 
 
 def _typed_empty(df: DataFrame, ddl: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([], StructType.fromDDL(ddl))
+    return df.sparkSession.createDataFrame([], ddl)
 
 
 def analytics_filter(gold: DataFrame, *, years: tuple[int, int] | None = None,
@@ -91,8 +91,9 @@ def top_production_companies(gold: DataFrame, *, n: int = config.LEADERBOARD_SIZ
     if key not in gold.columns:
         return _typed_empty(gold, f"{key} string, n_movies bigint, "
                                   "avg_revenue_musd double, median_roi double")
-    leaders = top_groups(gold, key, {"avg_revenue_musd": F.avg("revenue_musd")},
-                         order_by="avg_revenue_musd", n=n, min_rows=min_movies)
+    leaders = materialize(
+        top_groups(gold, key, {"avg_revenue_musd": F.avg("revenue_musd")},
+                   order_by="avg_revenue_musd", n=n, min_rows=min_movies), "leaders")
     members = gold.select(key, "roi").join(F.broadcast(leaders.select(key)), key, "left_semi")
     medians = exact_quantiles(members, [key], "roi", {"median_roi": 0.5}, rows="_rows")
     return (

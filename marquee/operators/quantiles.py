@@ -6,13 +6,15 @@ fit in one task. Here a group is spread out instead:
 
 1. every value falls into a cell of a fixed, order-preserving grid (4,096 cells per
    doubling), and cells are counted per group - a small, map-side combined aggregate;
-2. running totals over the cells of a group tell which one or two cells hold the
-   wanted ranks;
+2. running totals over the cells of a group tell which cells hold the wanted ranks, at
+   most two per quantile and group; this table is written out;
 3. only values of those cells are looked at again, counted per distinct value, and
    the ranks are read off.
 
-Shuffled data is bounded by the number of non-empty cells plus the content of the
-target cells; no step needs a hot group in one place, and the result is exact.
+The data is read twice but never shuffled as a whole: step 1 moves cell counts, and
+because the table of step 2 is stored, the planner knows its true size and broadcasts
+it only if it is below the broadcast threshold. Beyond that it shuffles on (group,
+cell), which spreads a hot group over its cells. The result is exact either way.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marquee.session import materialize
+
 # Fixed values of the grid.
 CELLS_PER_DOUBLING = 4096
 SMALLEST_POSITIVE = 5_000_000   # keeps cells of positive numbers above the zero cell
@@ -53,46 +57,57 @@ def _ranks(quantile: float, interpolation: str, total: Column) -> tuple[Column,
     raise ValueError(f"unknown interpolation {interpolation!r}")
 
 
+def _target_cells(data: DataFrame, keys: list[str], quantiles: dict[str, float],
+                  interpolation: str, rows: str) -> DataFrame:
+    """The cells holding a wanted rank: keys, cell, values before it, values and rows in all.
+
+    A group without any value keeps one row, its cell being NULL.
+    """
+    cells = data.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_count"))
+    group = Window.partitionBy(*keys)
+    upwards = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = F.when(F.col("_cell").isNotNull(), F.col("_count")).otherwise(0)
+    ranked = cells.select(
+        *keys, "_cell", "_count",
+        (F.sum(values).over(upwards) - F.col("_count")).alias("_start"),
+        F.sum(values).over(group).alias("_total"),
+        F.sum("_count").over(group).alias(rows),
+    )
+    holds_a_rank = reduce(lambda a, b: a | b, [
+        (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_count"))
+        for probability in quantiles.values()
+        for rank in _ranks(probability, interpolation, F.col("_total"))[:2]
+    ])
+    return (
+        ranked.where((F.col("_cell").isNotNull() & holds_a_rank) | (F.col("_total") == 0))
+        .drop("_count")
+    )
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     quantiles: dict[str, float], *, interpolation: str = "linear",
                     rows: str = "n") -> DataFrame:
     """One row per group: the keys, its row count (NULL values included) and the quantiles.
 
     ``quantiles`` maps result column names to probabilities. NULL values do not take
-    part; a group without any value gets NULL quantiles.
+    part; a group without any value gets NULL quantiles. The first of the two passes
+    runs when this function is called.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("_value"))
     data = data.withColumn("_cell", grid_cell(F.col("_value")))
+    targets = materialize(_target_cells(data, keys, quantiles, interpolation, rows), "cells")
 
-    cells = data.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_count"))
-    sizes = cells.groupBy(*keys).agg(F.sum("_count").alias(rows))
-
-    group = Window.partitionBy(*keys)
-    filled = cells.where(F.col("_cell").isNotNull())
-    ranked = filled.select(
-        *keys, "_cell",
-        (F.sum("_count").over(group.orderBy("_cell").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)) - F.col("_count")).alias("_start"),
-        "_count",
-        F.sum("_count").over(group).alias("_total"),
-    )
-    holds_a_rank = reduce(lambda a, b: a | b, [
-        (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_count"))
-        for probability in quantiles.values()
-        for rank in _ranks(probability, interpolation, F.col("_total"))[:2]
-    ])
-    targets = ranked.where(holds_a_rank).select(
+    looked_for = targets.where(F.col("_cell").isNotNull()).select(
         *[F.col(key).alias(f"_t_{key}") for key in keys],
-        F.col("_cell").alias("_t_cell"), "_start", "_total",
+        F.col("_cell").alias("_t_cell"), "_start", "_total", rows,
     )
-
     same = reduce(lambda a, b: a & b,
                   [F.col(key).eqNullSafe(F.col(f"_t_{key}")) for key in keys],
                   F.col("_cell") == F.col("_t_cell"))
     counted = (
-        data.join(targets, same)
-        .groupBy(*keys, "_cell", "_start", "_total", "_value")
+        data.join(looked_for, same)
+        .groupBy(*keys, "_cell", "_start", "_total", rows, "_value")
         .agg(F.count(F.lit(1)).alias("_count"))
     )
     within = Window.partitionBy(*keys, "_cell").orderBy("_value").rowsBetween(
@@ -105,18 +120,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
 
     picks, results = [], []
     for index, (name, probability) in enumerate(quantiles.items()):
-        low, high, _ = _ranks(probability, interpolation, F.col("_total"))
+        low, high, weight = _ranks(probability, interpolation, F.col("_total"))
         picks += [at(low).alias(f"_low{index}"), at(high).alias(f"_high{index}")]
-        weight = _ranks(probability, interpolation, F.col("_all"))[2]
         low_value, high_value = F.col(f"_low{index}"), F.col(f"_high{index}")
         results.append(
             F.when(low_value == high_value, low_value)
             .otherwise(low_value + weight * (high_value - low_value)).alias(name)
         )
-    picked = (
-        placed.groupBy(*keys).agg(F.max("_total").alias("_all"), *picks)
-        .select(*[F.col(key).alias(f"_p_{key}") for key in keys], *results)
-    )
-    matched = reduce(lambda a, b: a & b,
-                     [F.col(key).eqNullSafe(F.col(f"_p_{key}")) for key in keys])
-    return sizes.join(picked, matched, "left").select(*keys, rows, *quantiles)
+    picked = placed.groupBy(*keys, rows, "_total").agg(*picks).select(*keys, rows, *results)
+    valueless = targets.where(F.col("_cell").isNull()).select(
+        *keys, rows, *[F.lit(None).cast("double").alias(name) for name in quantiles])
+    return picked.unionByName(valueless)

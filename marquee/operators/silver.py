@@ -25,26 +25,32 @@ def parse_documents(raw: DataFrame, body: str = "body") -> DataFrame:
     "first in the document" is a value and not a matter of row order.
     """
     doc = F.col("_doc")
-    docs = raw.select(F.try_parse_json(body).alias("_doc"))
-    docs = docs.where(
-        json_kind(F.try_variant_get(doc, "$.id", "variant")) == "BIGINT"
+    # A one-element generator computes its input once per row. A plain projection would
+    # be computed again in every filter that the optimizer moves below it.
+    docs = raw.select(F.explode_outer(F.array(F.try_parse_json(body))).alias("_doc"))
+    docs = docs.where(json_kind(F.try_variant_get(doc, "$.id", "variant")) == "BIGINT")
+    scope = F.struct(
+        F.try_variant_get(doc, "$.id", "bigint").alias("id"),
+        iso_date(json_text(doc, "$.release_date")).alias("release_date"),
+        json_text(doc, "$.original_language").alias("original_language"),
+        json_truth(doc, "$.adult").alias("adult"),
     )
-    released = iso_date(json_text(doc, "$.release_date"))
+    docs = docs.select("_doc", F.inline_outer(F.array(scope)))
     return docs.select(
-        F.try_variant_get(doc, "$.id", "bigint").alias("id"),
+        "id",
         json_text(doc, "$.title").alias("title"),
         json_text(doc, "$.original_title").alias("original_title"),
-        released.alias("release_date"),
-        F.year(released).alias("release_year"),
-        F.month(released).alias("release_month"),
+        "release_date",
+        F.year("release_date").alias("release_year"),
+        F.month("release_date").alias("release_month"),
         F.coalesce(json_long(doc, "$.budget"), F.lit(0)).alias("budget"),
         F.coalesce(json_long(doc, "$.revenue"), F.lit(0)).alias("revenue"),
         json_long(doc, "$.runtime").try_cast("int").alias("runtime"),
         F.coalesce(json_double(doc, "$.vote_average"), F.lit(0.0)).alias("vote_average"),
         F.coalesce(json_long(doc, "$.vote_count"), F.lit(0)).alias("vote_count"),
         F.coalesce(json_double(doc, "$.popularity"), F.lit(0.0)).alias("popularity"),
-        json_text(doc, "$.original_language").alias("original_language"),
-        json_truth(doc, "$.adult").alias("adult"),
+        "original_language",
+        "adult",
         names_of(doc, "$.genres").alias("genres"),
         names_of(doc, "$.production_companies").alias("production_companies"),
         F.transform(json_items(doc, "$.credits.cast"), _cast_entry).alias("cast"),

@@ -1,6 +1,8 @@
 """Importing this module fills the registry."""
 
-from marquee.plans import analytics_queries  # noqa: F401
+from marquee.plans import (  # noqa: F401
+    analytics_queries, intake_queries, layer_queries, profile_queries,
+)
 from marquee.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -6,23 +6,22 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from marquee import config
 
-MOVIES_SCHEMA = StructType.fromDDL(
+MOVIES_SCHEMA = (
     "id bigint, title string, original_title string, release_date date, release_year int, "
     "release_month int, budget bigint, revenue bigint, runtime int, vote_average double, "
     "vote_count bigint, popularity double, original_language string, adult boolean, "
     "genres array<string>, production_companies array<string>"
 )
-CAST_SCHEMA = StructType.fromDDL(
+CAST_SCHEMA = (
     "movie_id bigint, pos int, order int, person_id bigint, name string, character string"
 )
-CREW_SCHEMA = StructType.fromDDL(
+CREW_SCHEMA = (
     "movie_id bigint, pos int, job string, person_id bigint, name string"
 )
-GOLD_SCHEMA = StructType.fromDDL(
+GOLD_SCHEMA = (
     "movie_id bigint, title string, original_title string, release_year int, release_month int, "
     "budget bigint, budget_musd double, revenue bigint, revenue_musd double, roi double, "
     "runtime int, vote_average double, vote_count bigint, popularity double, "
@@ -36,7 +35,7 @@ class MissingTable(FileNotFoundError):
     """A table that must exist does not."""
 
 
-def _scan(spark: SparkSession, uri: str, schema: StructType | None) -> DataFrame | None:
+def _scan(spark: SparkSession, uri: str, schema: str | None) -> DataFrame | None:
     reader = spark.read if schema is None else spark.read.schema(schema)
     try:
         return reader.parquet(uri)
@@ -46,7 +45,7 @@ def _scan(spark: SparkSession, uri: str, schema: StructType | None) -> DataFrame
         raise
 
 
-def read_table(spark: SparkSession, uri: str, schema: StructType | None = None, *,
+def read_table(spark: SparkSession, uri: str, schema: str | None = None, *,
                columns: Sequence[str] | None = None, required: bool = False) -> DataFrame:
     """Scan a Parquet table, optionally only some columns.
 
