@@ -7,8 +7,7 @@ from pyspark.sql import Column, functions as F
 from marquee import config
 
 __all__ = [
-    "iso_date", "json_kind", "json_text", "json_long", "json_double", "json_truth",
-    "json_items", "names_of", "money_musd", "return_on_investment", "roi_bucket",
+    "iso_date", "variant_text", "variant_truth", "money_musd", "return_on_investment", "roi_bucket",
     "id_prefix", "month_label", "known_or_unknown", "month_angle", "multi_hot",
     "contains_text", "overlaps_any", "size_mb", "clipped_log_weight", "hash_fraction",
     "hash_bucket", "implied_roi", "post_processed",
@@ -17,57 +16,24 @@ __all__ = [
 
 # --- loosely typed JSON ------------------------------------------------------
 
-def _at(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, path, "variant")
+def variant_text(value: Column) -> Column:
+    """A VARIANT that is a string; any other kind counts as missing."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def json_kind(value: Column) -> Column:
-    """Runtime kind of a VARIANT: BIGINT, DOUBLE, STRING, BOOLEAN, OBJECT<...>, ..."""
-    return F.schema_of_variant(value)
-
-
-def json_text(doc: Column, path: str) -> Column:
-    """A string field; any other JSON kind counts as missing."""
-    return F.when(json_kind(_at(doc, path)) == "STRING",
-                  F.try_variant_get(doc, path, "string"))
-
-
-def json_long(doc: Column, path: str) -> Column:
-    """Whole number; decimals are cut towards zero, junk is NULL."""
-    as_double = F.try_variant_get(doc, path, "double")
-    return F.coalesce(F.try_variant_get(doc, path, "bigint"), as_double.try_cast("bigint"))
-
-
-def json_double(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, path, "double")
-
-
-def json_truth(doc: Column, path: str) -> Column:
+def variant_truth(value: Column) -> Column:
     """Truthiness: absent, null, 0, "" and false are False; everything else is True."""
-    kind = json_kind(_at(doc, path))
+    kind = F.schema_of_variant(value)
     return F.coalesce(
-        F.when(kind == "BOOLEAN", F.try_variant_get(doc, path, "boolean"))
-        .when(kind == "STRING", F.try_variant_get(doc, path, "string") != "")
-        .when(kind.isNull() | (kind == "VOID"), F.lit(False))
-        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(True))
-        .otherwise(F.try_variant_get(doc, path, "double") != 0),
+        F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        .when(kind == "STRING", F.try_variant_get(value, "$", "string") != "")
+        .when(kind == "VOID", F.lit(False))
+        .when(kind.isNotNull(), F.coalesce(F.try_variant_get(value, "$", "double") != 0,
+                                           F.lit(True))),
         F.lit(False),
     )
 
 
-def json_items(doc: Column, path: str) -> Column:
-    """Elements of an array field that are objects; never NULL."""
-    items = F.try_variant_get(doc, path, "array<variant>")
-    objects = F.filter(items, lambda item: json_kind(item).startswith("OBJECT"))
-    return F.coalesce(objects, F.array().cast("array<variant>"))
-
-
-def names_of(doc: Column, path: str) -> Column:
-    """Non-empty ``name`` fields of an array of objects, in document order."""
-    names = F.transform(json_items(doc, path), lambda item: json_text(item, "$.name"))
-    return F.filter(names, lambda name: name.isNotNull() & (name != ""))
-
-
 # --- dates -------------------------------------------------------------------
 
 def iso_date(text: Column) -> Column:

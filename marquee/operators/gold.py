@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,21 +41,25 @@ def gold_scope(movies: DataFrame, *, min_budget: float = config.MIN_BUDGET) -> D
     return movies.where((F.col("budget") >= min_budget) & (F.col("revenue") > 0))
 
 
-def build_gold(movies: DataFrame, cast: DataFrame, crew: DataFrame, *,
+def build_gold(movies: DataFrame, cast: DataFrame | Callable[[], DataFrame],
+               crew: DataFrame | Callable[[], DataFrame], *,
                min_budget: float = config.MIN_BUDGET, director_job: str = config.DIRECTOR_JOB,
                columns: Sequence[str] = config.GOLD_COLUMNS) -> DataFrame:
     """One row per movie in scope, with money columns, director and lead.
 
     The scope filter runs before the joins, people are reduced to one row per movie
     before they are joined, and all three inputs meet on ``movie_id``, so each is
-    shuffled once. Asking for fewer ``columns`` leaves out the joins they do not need.
+    shuffled once. Asking for fewer ``columns`` leaves out the joins they do not need;
+    ``cast`` and ``crew`` may be functions, which are then not even called.
     """
     wanted = set(columns)
     gold = gold_scope(movies, min_budget=min_budget).withColumnRenamed("id", "movie_id")
     if wanted & _DIRECTOR_COLUMNS:
-        gold = gold.join(first_director(crew, job=director_job), "movie_id", "left")
+        people = crew() if callable(crew) else crew
+        gold = gold.join(first_director(people, job=director_job), "movie_id", "left")
     if wanted & _LEAD_COLUMNS:
-        gold = gold.join(lead_cast(cast), "movie_id", "left")
+        people = cast() if callable(cast) else cast
+        gold = gold.join(lead_cast(people), "movie_id", "left")
     return gold.withColumns({
         "budget_musd": money_musd(F.col("budget")),
         "revenue_musd": money_musd(F.col("revenue")),

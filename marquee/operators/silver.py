@@ -1,8 +1,9 @@
 """Documents to typed Silver tables.
 
-Documents are parsed once into a VARIANT and read field by field, so one odd field
-never costs the whole document: a wrong kind is a missing value, a missing ``id``
-rejects the document, an array may mix kinds.
+Documents are parsed into a VARIANT and cast to one declared shape. That cast is
+tolerant leaf by leaf: a value of the wrong kind is a missing value, an entry of the
+wrong kind is a missing entry, and one odd field never costs the whole document. Only a
+document without a whole-number ``id`` is rejected.
 """
 
 from __future__ import annotations
@@ -13,8 +14,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee import config
-from marquee.functions import (
-    iso_date, json_double, json_items, json_kind, json_long, json_text, json_truth, names_of,
+from marquee.functions import iso_date, variant_text, variant_truth
+
+# Fields whose kind matters stay VARIANT and are judged one by one.
+DOCUMENT_SHAPE = (
+    "struct<id: variant, title: string, original_title: string, release_date: variant, "
+    "budget: bigint, revenue: bigint, runtime: int, vote_average: double, vote_count: bigint, "
+    "popularity: double, original_language: string, adult: variant, "
+    "genres: array<struct<name: string>>, production_companies: array<struct<name: string>>, "
+    "credits: struct<"
+    "`cast`: array<struct<`order`: int, id: bigint, name: string, `character`: string>>, "
+    "crew: array<struct<job: string, id: bigint, name: string>>>>"
 )
 
 
@@ -24,57 +34,51 @@ def parse_documents(raw: DataFrame, body: str = "body") -> DataFrame:
     ``cast`` and ``crew`` stay nested, each entry carrying its position ``pos``, so
     "first in the document" is a value and not a matter of row order.
     """
-    doc = F.col("_doc")
     # A one-element generator computes its input once per row. A plain projection would
     # be computed again in every filter that the optimizer moves below it.
-    docs = raw.select(F.explode_outer(F.array(F.try_parse_json(body))).alias("_doc"))
-    docs = docs.where(json_kind(F.try_variant_get(doc, "$.id", "variant")) == "BIGINT")
-    scope = F.struct(
-        F.try_variant_get(doc, "$.id", "bigint").alias("id"),
-        iso_date(json_text(doc, "$.release_date")).alias("release_date"),
-        json_text(doc, "$.original_language").alias("original_language"),
-        json_truth(doc, "$.adult").alias("adult"),
-    )
-    docs = docs.select("_doc", F.inline_outer(F.array(scope)))
+    shaped = F.try_variant_get(F.try_parse_json(body), "$", DOCUMENT_SHAPE)
+    docs = raw.select(F.explode_outer(F.array(shaped)).alias("_doc"))
+    docs = docs.where(F.schema_of_variant("_doc.id") == "BIGINT")
+
+    def number(name: str) -> Column:
+        return F.coalesce(F.col(f"_doc.{name}"), F.lit(0)).alias(name)
+
+    released = iso_date(variant_text(F.col("_doc.release_date")))
     return docs.select(
-        "id",
-        json_text(doc, "$.title").alias("title"),
-        json_text(doc, "$.original_title").alias("original_title"),
-        "release_date",
-        F.year("release_date").alias("release_year"),
-        F.month("release_date").alias("release_month"),
-        F.coalesce(json_long(doc, "$.budget"), F.lit(0)).alias("budget"),
-        F.coalesce(json_long(doc, "$.revenue"), F.lit(0)).alias("revenue"),
-        json_long(doc, "$.runtime").try_cast("int").alias("runtime"),
-        F.coalesce(json_double(doc, "$.vote_average"), F.lit(0.0)).alias("vote_average"),
-        F.coalesce(json_long(doc, "$.vote_count"), F.lit(0)).alias("vote_count"),
-        F.coalesce(json_double(doc, "$.popularity"), F.lit(0.0)).alias("popularity"),
-        "original_language",
-        "adult",
-        names_of(doc, "$.genres").alias("genres"),
-        names_of(doc, "$.production_companies").alias("production_companies"),
-        F.transform(json_items(doc, "$.credits.cast"), _cast_entry).alias("cast"),
-        F.transform(json_items(doc, "$.credits.crew"), _crew_entry).alias("crew"),
+        F.try_variant_get("_doc.id", "$", "bigint").alias("id"),
+        "_doc.title",
+        "_doc.original_title",
+        released.alias("release_date"),
+        F.year(released).alias("release_year"),
+        F.month(released).alias("release_month"),
+        number("budget"),
+        number("revenue"),
+        "_doc.runtime",
+        number("vote_average"),
+        number("vote_count"),
+        number("popularity"),
+        "_doc.original_language",
+        variant_truth(F.col("_doc.adult")).alias("adult"),
+        _names("genres"),
+        _names("production_companies"),
+        _entries("cast", ("order", "id", "name", "character")),
+        _entries("crew", ("job", "id", "name")),
     )
 
 
-def _cast_entry(entry: Column, position: Column) -> Column:
-    return F.struct(
-        position.alias("pos"),
-        json_long(entry, "$.order").try_cast("int").alias("order"),
-        json_long(entry, "$.id").alias("person_id"),
-        json_text(entry, "$.name").alias("name"),
-        json_text(entry, "$.character").alias("character"),
-    )
+def _names(field: str) -> Column:
+    """The non-empty names of a list of objects; an absent list is an empty one."""
+    named = F.filter(F.col(f"_doc.{field}.name"), lambda name: name != "")
+    return F.coalesce(named, F.array()).alias(field)
 
 
-def _crew_entry(entry: Column, position: Column) -> Column:
-    return F.struct(
-        position.alias("pos"),
-        json_text(entry, "$.job").alias("job"),
-        json_long(entry, "$.id").alias("person_id"),
-        json_text(entry, "$.name").alias("name"),
-    )
+def _entries(field: str, parts: Sequence[str]) -> Column:
+    """Credits entries with their position; entries that are not objects are left out."""
+    placed = F.transform(F.col(f"_doc.credits.{field}"), lambda entry, pos: F.when(
+        entry.isNotNull(),
+        F.struct(pos.alias("pos"), *[
+            entry[part].alias("person_id" if part == "id" else part) for part in parts])))
+    return F.coalesce(F.array_compact(placed), F.array()).alias(field)
 
 
 def silver_scope(docs: DataFrame, *, start_year: int = config.START_YEAR,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marquee.operators import analytics
 from marquee.plans.oracle_views import with_gold
-from marquee.plans.order_tables import order_gold
+from marquee.plans.order_tables import order_gold, stored_gold
 from marquee.plans.registry import REGISTRY
 
 
@@ -49,12 +49,15 @@ def top_directors(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY lead_production_company HAVING count(*) >= 3
     ORDER BY avg(revenue_musd) DESC, lead_production_company LIMIT 15"""))
 def top_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = order_gold(spark, sf_dir, ("lead_production_company", "revenue_musd", "roi"))
+    gold = stored_gold(spark, sf_dir, ("lead_production_company", "revenue_musd", "roi"))
     return _rounded(analytics.top_production_companies(gold), "avg_revenue_musd", "median_roi")
 
 
 def _matrix(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    gold = order_gold(spark, sf_dir, ("release_month", "genres", "roi", "revenue_musd"))
+    columns = ("release_month", "genres", "roi", "revenue_musd")
+    # A count needs one pass over Gold, a median two.
+    build = order_gold if options.get("metric") == "count" else stored_gold
+    gold = build(spark, sf_dir, columns)
     labelled = analytics.with_month_labels(analytics.month_genre_matrix(gold, **options))
     return _rounded(labelled, "value")
 

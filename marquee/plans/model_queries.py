@@ -12,7 +12,7 @@ from marquee.modeling.features import (
 )
 from marquee.operators.profile import element_counts
 from marquee.plans.oracle_views import with_gold, with_views
-from marquee.plans.order_tables import order_gold, table
+from marquee.plans.order_tables import order_gold, stored_gold, table
 from marquee.plans.registry import REGISTRY
 from marquee.session import materialize
 
@@ -64,7 +64,7 @@ def _rounded_angles(df: DataFrame) -> DataFrame:
 
 @REGISTRY.add(with_gold(_feature_sql("gold", "movie_id", _TYPES)))
 def feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = order_gold(spark, sf_dir, _FEATURES)
+    gold = stored_gold(spark, sf_dir, _FEATURES)
     return _rounded_angles(features_of(gold, fit_vocabulary(gold), keep=["movie_id"]))
 
 
@@ -271,8 +271,8 @@ _SHORT = training.TrainOptions(iterations=8, folds=3, repeats=2, cross_validate=
 
 
 def _gold_for_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(order_gold(spark, sf_dir, (
-        *_FEATURES, "revenue_musd", "vote_average", "vote_count")), "gold")
+    return stored_gold(spark, sf_dir, (
+        *_FEATURES, "revenue_musd", "vote_average", "vote_count"))
 
 
 def _labelled(gold: DataFrame, plan: training.TargetPlan):

@@ -7,18 +7,29 @@ decimals they exactly have, so that the order of summation leaves no trace.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pyspark.sql.types import StructType
+
 from marquee import config
 from marquee.operators import gold
+from marquee.session import materialize
 
 MIN_BUDGET = 10_000
 DIRECTOR_FLAG = "R"
 
 
+@cache
+def _schema(path: str) -> StructType:
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan one table. Its schema is read from the file footers once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 def line_place() -> Column:
@@ -89,11 +100,17 @@ def order_crew(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_gold(spark: SparkSession, sf_dir: str,
                columns: Sequence[str] = config.GOLD_COLUMNS) -> DataFrame:
     return gold.build_gold(
-        order_movies(spark, sf_dir), order_cast(spark, sf_dir), order_crew(spark, sf_dir),
+        order_movies(spark, sf_dir), lambda: order_cast(spark, sf_dir),
+        lambda: order_crew(spark, sf_dir),
         min_budget=MIN_BUDGET, director_job=DIRECTOR_FLAG, columns=columns,
     )
 
 
+def stored_gold(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> DataFrame:
+    """Gold written out, as the layer is meant to be, for queries that read it repeatedly."""
+    return materialize(order_gold(spark, sf_dir, columns), "gold")
+
+
 def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON document per order, odd fields included: (body).
 

@@ -8,7 +8,7 @@ from marquee import config
 from marquee.functions import size_mb
 from marquee.operators import audit, profile
 from marquee.plans.oracle_views import with_gold, with_views
-from marquee.plans.order_tables import order_gold, order_movies, table
+from marquee.plans.order_tables import order_gold, order_movies, stored_gold, table
 from marquee.plans.registry import REGISTRY
 from marquee.sources.sinks import csv_frame as flattened
 from marquee.sources.tables import row_counts as counted_rows
@@ -24,7 +24,7 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
            round(median(budget_musd), 6) AS median_budget_musd, round(median(roi), 6) AS median_roi
     FROM gold"""))
 def gold_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = order_gold(spark, sf_dir, ("release_year", "director_name", "budget_musd", "roi"))
+    gold = stored_gold(spark, sf_dir, ("release_year", "director_name", "budget_musd", "roi"))
     return _rounded(profile.headline(gold), "median_budget_musd", "median_roi")
 
 
@@ -59,7 +59,7 @@ def _describe_sql(quartile: str) -> str:
 
 
 def _described(spark: SparkSession, sf_dir: str, interpolation: str) -> DataFrame:
-    gold = order_gold(spark, sf_dir, config.DESCRIBED_COLUMNS)
+    gold = stored_gold(spark, sf_dir, config.DESCRIBED_COLUMNS)
     return _rounded(profile.describe(gold, interpolation=interpolation), *config.DESCRIBED_COLUMNS)
 
 
@@ -179,9 +179,8 @@ def text_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT props_k, count(*) AS n FROM parsed GROUP BY props_k",
     parsed="SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS props_k FROM events"))
 def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marquee.functions import json_long
-    props = F.try_parse_json("props")
+    value = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
     return (
-        table(spark, sf_dir, "events").select(json_long(props, "$.k").alias("props_k"))
+        table(spark, sf_dir, "events").select(value.alias("props_k"))
         .groupBy("props_k").agg(F.count(F.lit(1)).alias("n"))
     )

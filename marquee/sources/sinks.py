@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType
 
-from marquee.sources import documents, layout as layouts, listing
+from marquee.session import materialize
+from marquee.sources import listing
+from marquee.sources.layout import Layout
 
 
 def overwrite_table(df: DataFrame, uri: str, *, partition_by: Sequence[str] = ()) -> None:
@@ -62,32 +67,38 @@ def retain_pages(pages: DataFrame, uri: str, run_date: str, *, enabled: bool = T
     )
 
 
-def publish(spark: SparkSession, source: layouts.Layout, target: layouts.Layout) -> DataFrame:
-    """Copy every layer to another root and report (files, bytes) of what was published.
+def publish(spark: SparkSession, source: Layout, target: Layout) -> DataFrame:
+    """Copy every file of the three layers to another root, byte for byte.
 
-    Documents are rewritten as gzip text and tables as Parquet, so the copy is spread
-    over all executors. Nothing to publish yields (0, 0).
+    Returns one row (files, bytes). Nothing to publish yields (0, 0). The listing is
+    split among tasks by file size and each task streams its own files, so nothing
+    passes through the driver; repeating a lost task rewrites the same files.
     """
-    report = listing.empty_listing(spark)
-    for uri in (source.documents, source.discover, source.manifests, source.quarantine,
-                *[source.silver(name) for name in layouts.SILVER_TABLES], source.gold):
-        report = report.unionByName(listing.list_files(spark, uri))
-    summary = report.agg(
-        F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
-    )
-
-    if layouts.path_exists(spark, source.documents):
-        raw = documents.read_documents(spark, source.documents)
-        body = F.try_parse_json("body")
-        landed = raw.select(F.try_variant_get(body, "$.id", "bigint").alias("id"), "body")
-        documents.write_documents(landed.where("id is not null"), target.documents)
-    for name in layouts.SILVER_TABLES:
-        _copy_table(spark, source.silver(name), target.silver(name))
-    _copy_table(spark, source.gold, target.gold)
-    return summary
-
-
-def _copy_table(spark: SparkSession, source_uri: str, target_uri: str) -> None:
-    if layouts.path_exists(spark, source_uri):
-        overwrite_table(spark.read.parquet(source_uri), target_uri)
+    files = listing.empty_listing(spark)
+    for layer in ("bronze", "silver", "gold"):
+        files = files.unionByName(listing.list_files(spark, source.uri(layer)))
+    place = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
+    root = re.sub("^[a-z0-9]+:/+", "/", source.uri(""))
+    orders = files.select(
+        "path", "length",
+        F.concat(F.lit(target.uri("")), F.substr(place, F.instr(place, F.lit(root)) + len(root)))
+        .alias("destination"))
+    done = materialize(orders.mapInPandas(_copy_files, "destination string, length bigint"),
+                       "published")
+    return done.agg(F.count(F.lit(1)).alias("files"),
+                    F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def _copy_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def located(uri: str) -> tuple[fs.FileSystem, str]:
+        uri = re.sub("^file:/+", "/", uri)
+        return fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", uri))
+
+    for batch in batches:
+        for path, destination in zip(batch["path"], batch["destination"]):
+            source_system, source_path = located(path)
+            target_system, target_path = located(destination)
+            target_system.create_dir(target_path.rsplit("/", 1)[0], recursive=True)
+            fs.copy_files(source_path, target_path, source_filesystem=source_system,
+                          destination_filesystem=target_system)
+        yield batch[["destination", "length"]]
