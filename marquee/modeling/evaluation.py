@@ -57,6 +57,11 @@ def long_metrics(one_row: DataFrame, target: str, split: str) -> DataFrame:
     ])))
 
 
+def top_importances(importance: DataFrame, n: int = 15) -> DataFrame:
+    """The ``n`` most important features, for a report."""
+    return importance.orderBy(F.desc("importance_mean"), "feature").limit(n)
+
+
 def stacked(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from marquee import config
 
+MOST_IDS_TO_BROADCAST = 500_000   # eight bytes each, before hashing
+
 
 def discover_scope(candidates: DataFrame, *, start_year: int = config.START_YEAR,
                    as_of: dt.date | None = None, min_votes: int = config.MIN_VOTES,
@@ -54,27 +56,39 @@ def candidate_cap(entries: DataFrame, *, cap: int = config.SAMPLE_CAP) -> DataFr
     return first_appearances(entries).orderBy("page", "pos", "id").limit(cap)
 
 
-def new_ids(candidates: DataFrame, landed: DataFrame) -> DataFrame:
-    """Candidates that have not landed yet.
+def _known(candidates: DataFrame, landed: DataFrame, at_most: int | None) -> DataFrame:
+    """Distinct landed ids, narrowed to the candidates where these are known to be few.
 
-    Landed ids are made distinct first: it uses the same partitioning as the join, so
-    it adds no shuffle, and copies of an id collapse before they travel.
+    A short candidate list is broadcast, so the landed table is scanned but not
+    shuffled. Otherwise landed ids are made distinct before they meet the candidates:
+    it uses the same partitioning as the join, so it adds no shuffle, and copies of an
+    id collapse before they travel.
     """
-    return candidates.join(landed.select("id").distinct(), "id", "left_anti")
+    ids = landed.select("id")
+    if at_most is not None and at_most <= MOST_IDS_TO_BROADCAST:
+        ids = ids.join(F.broadcast(candidates.select("id")), "id", "left_semi")
+    return ids.distinct()
+
 
+def new_ids(candidates: DataFrame, landed: DataFrame, *, at_most: int | None = None) -> DataFrame:
+    """Candidates that have not landed yet. ``at_most`` bounds the number of candidates,
+    for instance the cap they were taken with."""
+    return candidates.join(_known(candidates, landed, at_most), "id", "left_anti")
 
-def known_ids(candidates: DataFrame, landed: DataFrame) -> DataFrame:
+
+def known_ids(candidates: DataFrame, landed: DataFrame, *, at_most: int | None = None) -> DataFrame:
     """Candidates that have landed already."""
-    return candidates.join(landed.select("id").distinct(), "id", "left_semi")
+    return candidates.join(_known(candidates, landed, at_most), "id", "left_semi")
 
 
-def outcomes(candidates: DataFrame, landed_before: DataFrame, results: DataFrame) -> DataFrame:
+def outcomes(candidates: DataFrame, landed_before: DataFrame, results: DataFrame, *,
+             at_most: int | None = None) -> DataFrame:
     """What happened to each candidate: skipped, fetched or failed.
 
     ``results`` holds (id, error) for the attempted ones; a NULL error is a success. A
     candidate that was neither there before nor attempted counts as failed.
     """
-    before = landed_before.select("id").distinct().withColumn("was_there", F.lit(True))
+    before = _known(candidates, landed_before, at_most).withColumn("was_there", F.lit(True))
     attempted = results.groupBy("id").agg(
         F.min("error").alias("error"),
         F.max(F.col("error").isNull()).alias("succeeded"),
@@ -138,12 +152,17 @@ def run_manifest(done: DataFrame, *, run_timestamp: str, filters: dict[str, str]
     )
 
 
-def split_readable(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """Documents with a whole-number id, and the rest with the reason they are set aside."""
+def with_reason(raw: DataFrame, body: str = "body") -> DataFrame:
+    """Add why a document cannot be used; NULL if it has a whole-number id."""
     doc = F.try_parse_json(body)
     kind = F.schema_of_variant(F.try_variant_get(doc, "$.id", "variant"))
-    judged = raw.withColumn("reason", F.when(doc.isNull(), "not valid JSON")
-                            .when(kind.isNull() | (kind == "VOID"), "no id")
-                            .when(kind != "BIGINT", "id is not a whole number"))
+    return raw.withColumn("reason", F.when(doc.isNull(), "not valid JSON")
+                          .when(kind.isNull() | (kind == "VOID"), "no id")
+                          .when(kind != "BIGINT", "id is not a whole number"))
+
+
+def split_readable(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """Usable documents, and the rest with the reason they are set aside."""
+    judged = with_reason(raw, body)
     return (judged.where(F.col("reason").isNull()).drop("reason"),
             judged.where(F.col("reason").isNotNull()))

@@ -74,7 +74,8 @@ def _done(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("id"), F.when(F.col("value") > 2, F.lit("timeout")).alias("error"))
     landed = events.where((F.col("event_type") == "purchase") & (F.col("value") > 200)).select(
         F.col("user_id").alias("id"))
-    return intake.outcomes(intake.candidate_cap(_entries(spark, sf_dir), cap=120), landed, attempts)
+    return intake.outcomes(intake.candidate_cap(_entries(spark, sf_dir), cap=120), landed, attempts,
+                           at_most=120)
 
 
 _DONE = """

@@ -6,7 +6,6 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marquee import config
 from marquee.operators import audit, gold as gold_layer, silver
 from marquee.plans.oracle_views import with_gold, with_views
 from marquee.plans.order_tables import (
@@ -19,7 +18,7 @@ AS_OF = dt.date(2000, 6, 30)
 LANGUAGE = "F"
 SCOPE = {"start_year": START_YEAR, "as_of": AS_OF, "language": LANGUAGE}
 
-_IN_SCOPE = ("original_language = 'F' AND NOT adult "
+IN_SCOPE_SQL = ("original_language = 'F' AND NOT adult "
              "AND release_date BETWEEN DATE '1996-01-01' AND DATE '2000-06-30'")
 
 
@@ -41,7 +40,7 @@ def build_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.add(with_gold(f"""
-    SELECT id, release_date, original_language, adult FROM movies WHERE {_IN_SCOPE}"""))
+    SELECT id, release_date, original_language, adult FROM movies WHERE {IN_SCOPE_SQL}"""))
 def silver_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.silver_scope(order_movies(spark, sf_dir), **SCOPE).select(
         "id", "release_date", "original_language", "adult")
@@ -49,7 +48,7 @@ def silver_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- the JSON route ------------------------------------------------------------
 
-_DOCS = """
+DOCUMENTS_SQL = """
     SELECT o_orderkey AS id, 'Order ' || o_orderkey AS title,
            CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderpriority END AS original_title,
            CAST(o_orderdate AS DATE) AS release_date,
@@ -71,14 +70,14 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.parse_documents(order_documents(spark, sf_dir))
 
 
-@REGISTRY.add(with_views("SELECT * FROM docs", docs=_DOCS))
+@REGISTRY.add(with_views("SELECT * FROM docs", docs=DOCUMENTS_SQL))
 def documents_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.silver_movies(_parsed(spark, sf_dir)).withColumns({
         name: F.array_join(name, ", ") for name in ("genres", "production_companies")})
 
 
 @REGISTRY.add(with_views(
-    f"SELECT id, title, release_date, budget, revenue FROM docs WHERE {_IN_SCOPE}", docs=_DOCS))
+    f"SELECT id, title, release_date, budget, revenue FROM docs WHERE {IN_SCOPE_SQL}", docs=DOCUMENTS_SQL))
 def silver_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     scoped = silver.silver_scope(_parsed(spark, sf_dir), **SCOPE)
     return silver.silver_movies(scoped).select("id", "title", "release_date", "budget", "revenue")
@@ -103,9 +102,9 @@ def crew_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.add(with_views(f"""
-    SELECT 'movies' AS "table", count(*) AS rows FROM docs WHERE {_IN_SCOPE}
-    UNION ALL SELECT 'cast', count(*) FROM docs WHERE {_IN_SCOPE}
-    UNION ALL SELECT 'crew', 2 * count(*) FROM docs WHERE {_IN_SCOPE}""", docs=_DOCS))
+    SELECT 'movies' AS "table", count(*) AS rows FROM docs WHERE {IN_SCOPE_SQL}
+    UNION ALL SELECT 'cast', count(*) FROM docs WHERE {IN_SCOPE_SQL}
+    UNION ALL SELECT 'crew', 2 * count(*) FROM docs WHERE {IN_SCOPE_SQL}""", docs=DOCUMENTS_SQL))
 def silver_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.sources.tables import row_counts
     scoped = silver.silver_scope(_parsed(spark, sf_dir), **SCOPE)
@@ -162,7 +161,7 @@ def drop_reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
            array_to_string(gold_reasons, '; ') AS why_not_gold,
            CASE WHEN priced AND NOT in_scope THEN 'in Gold but not in Silver'
                 ELSE 'consistent' END AS note
-    FROM (SELECT id, """ + f"({_IN_SCOPE})" + """ AS in_scope,
+    FROM (SELECT id, """ + f"({IN_SCOPE_SQL})" + """ AS in_scope,
                  budget >= 10000 AND revenue > 0 AS priced FROM movies) m
     JOIN reasoned USING (id)""", reasoned=_REASONED))
 def layer_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,5 +203,29 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.snapshot_changes(snapshot(events.where(F.col("ts") < day)), snapshot(events))
 
 
-def scope_rules(spark: SparkSession) -> DataFrame:
-    return audit.scope_constraints(spark, start_year=config.START_YEAR)
+_RULES = {"start_year": START_YEAR, "min_budget": MIN_BUDGET, "language": LANGUAGE}
+
+
+@REGISTRY.add(with_gold("""
+    SELECT 'Language' AS rule, 'original_language = F' AS value, count_if(original_language = 'F')
+             AS passing FROM movies
+    UNION ALL SELECT 'Adult content', 'excluded', count_if(NOT adult) FROM movies
+    UNION ALL SELECT 'Release window', '1996 to the run date',
+             count_if(release_date BETWEEN DATE '1996-01-01' AND DATE '2000-06-30') FROM movies
+    UNION ALL SELECT 'Gold budget floor', 'budget >= 10,000', count_if(budget >= 10000) FROM movies
+    UNION ALL SELECT 'Gold revenue floor', 'revenue > 0', count_if(revenue > 0) FROM movies"""))
+def scope_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule table next to how many orders pass each rule on its own."""
+    passing = order_movies(spark, sf_dir).select(F.inline(F.array(*[
+        F.struct(F.lit(rule).alias("rule"), F.coalesce(passes, F.lit(False)).alias("passes"))
+        for rule, passes in {
+            "Language": F.col("original_language") == LANGUAGE,
+            "Adult content": ~F.col("adult"),
+            "Release window": F.col("release_date").between(F.lit(dt.date(START_YEAR, 1, 1)),
+                                                            F.lit(AS_OF)),
+            "Gold budget floor": F.col("budget") >= MIN_BUDGET,
+            "Gold revenue floor": F.col("revenue") > 0,
+        }.items()
+    ]))).groupBy("rule").agg(F.count_if("passes").alias("passing"))
+    rules = audit.scope_constraints(spark, **_RULES)
+    return rules.join(F.broadcast(passing), "rule").select("rule", "value", "passing")

@@ -10,7 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marquee.operators.intake import split_readable
+from marquee.operators.intake import split_readable, with_reason
+from marquee.session import materialize
 
 LANDED_SCHEMA = "id bigint, source string, body string, batch bigint"
 QUARANTINE_SCHEMA = "source string, body string, reason string, batch bigint"
@@ -65,16 +66,19 @@ def one_per_id(docs: DataFrame) -> DataFrame:
 def land_batch(batch: DataFrame, number: int, landed_uri: str, quarantine_uri: str) -> None:
     """Land one micro-batch. Repeating the same batch replaces exactly what it wrote.
 
-    Only the id column of the landed table is read, and grouping and anti-join share
-    one partitioning of the batch. Earlier output of the same batch is ignored, so a
-    retry after a failure does not take its own documents for old ones.
+    The batch is judged and stored once, so the source is read once and the planner
+    knows how many ids it holds: the id column of the landed table is filtered by a
+    broadcast of them while they are few, by a shuffle otherwise. Earlier output of the
+    same batch is ignored, so a retry does not take its own documents for old ones.
     """
     spark = batch.sparkSession
-    readable, unusable = split_readable(batch)
+    judged = materialize(with_document_id(with_reason(batch.select("source", "body"))), "batch")
+    readable, unusable = judged.where("reason is null"), judged.where("reason is not null")
     known = (
-        read_landed(spark, landed_uri).where(F.col("batch") != number).select("id").distinct()
+        read_landed(spark, landed_uri).where(F.col("batch") != number).select("id")
+        .join(readable.select("id").distinct(), "id", "left_semi").distinct()
     )
-    fresh = one_per_id(with_document_id(readable)).join(known, "id", "left_anti")
+    fresh = one_per_id(readable).join(known, "id", "left_anti")
     fresh.write.mode("overwrite").parquet(f"{landed_uri}/batch={number}")
     unusable.select("source", "body", "reason").write.mode("overwrite").parquet(
         f"{quarantine_uri}/batch={number}")

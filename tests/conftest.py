@@ -17,7 +17,9 @@ from marquee.sources.layout import Layout  # noqa: E402
 def spark():
     session = build_session("tests", "local[*]", {
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-        "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+        "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
+        # Short queries: the quick compiler beats the optimizing one.
+        "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
 
