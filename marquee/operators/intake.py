@@ -152,17 +152,24 @@ def run_manifest(done: DataFrame, *, run_timestamp: str, filters: dict[str, str]
     )
 
 
-def with_reason(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Add why a document cannot be used; NULL if it has a whole-number id."""
-    doc = F.try_parse_json(body)
-    kind = F.schema_of_variant(F.try_variant_get(doc, "$.id", "variant"))
-    return raw.withColumn("reason", F.when(doc.isNull(), "not valid JSON")
-                          .when(kind.isNull() | (kind == "VOID"), "no id")
-                          .when(kind != "BIGINT", "id is not a whole number"))
+def judged(raw: DataFrame, body: str = "body") -> DataFrame:
+    """Add ``id`` and, for a document that cannot be used, the ``reason``.
+
+    The generator binds the parsed document, so each body is parsed exactly once.
+    """
+    bound = raw.select(*raw.columns, F.explode_outer(F.array(F.try_parse_json(body))).alias("_doc"))
+    kind = F.schema_of_variant(F.try_variant_get("_doc", "$.id", "variant"))
+    reason = (
+        F.when(F.col("_doc").isNull(), "not valid JSON")
+        .when(kind.isNull() | (kind == "VOID"), "no id")
+        .when(kind != "BIGINT", "id is not a whole number")
+    )
+    number = F.when(kind == "BIGINT", F.try_variant_get("_doc", "$.id", "bigint"))
+    return bound.withColumns({"id": number, "reason": reason}).drop("_doc")
 
 
 def split_readable(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """Usable documents, and the rest with the reason they are set aside."""
-    judged = with_reason(raw, body)
-    return (judged.where(F.col("reason").isNull()).drop("reason"),
-            judged.where(F.col("reason").isNotNull()))
+    """Usable documents with their id, and the rest with the reason they are set aside."""
+    rows = judged(raw, body)
+    return (rows.where(F.col("reason").isNull()).drop("reason"),
+            rows.where(F.col("reason").isNotNull()).drop("id"))

@@ -125,7 +125,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         low_value, high_value = F.col(f"_low{index}"), F.col(f"_high{index}")
         results.append(
             F.when(low_value == high_value, low_value)
-            .otherwise(low_value + weight * (high_value - low_value)).alias(name)
+            .otherwise((1 - weight) * low_value + weight * high_value).alias(name)
         )
     picked = placed.groupBy(*keys, rows, "_total").agg(*picks).select(*keys, rows, *results)
     valueless = targets.where(F.col("_cell").isNull()).select(

@@ -31,8 +31,8 @@ DOCUMENT_SHAPE = (
 def parse_documents(raw: DataFrame, body: str = "body") -> DataFrame:
     """Typed rows for every document whose ``id`` is a whole number.
 
-    ``cast`` and ``crew`` stay nested, each entry carrying its position ``pos``, so
-    "first in the document" is a value and not a matter of row order.
+    ``cast`` and ``crew`` stay nested in document order; an entry that is not an object is
+    NULL there and skipped when the lists are unpacked.
     """
     # A one-element generator computes its input once per row. A plain projection would
     # be computed again in every filter that the optimizer moves below it.
@@ -61,8 +61,8 @@ def parse_documents(raw: DataFrame, body: str = "body") -> DataFrame:
         variant_truth(F.col("_doc.adult")).alias("adult"),
         _names("genres"),
         _names("production_companies"),
-        _entries("cast", ("order", "id", "name", "character")),
-        _entries("crew", ("job", "id", "name")),
+        "_doc.credits.cast",
+        "_doc.credits.crew",
     )
 
 
@@ -72,15 +72,6 @@ def _names(field: str) -> Column:
     return F.coalesce(named, F.array()).alias(field)
 
 
-def _entries(field: str, parts: Sequence[str]) -> Column:
-    """Credits entries with their position; entries that are not objects are left out."""
-    placed = F.transform(F.col(f"_doc.credits.{field}"), lambda entry, pos: F.when(
-        entry.isNotNull(),
-        F.struct(pos.alias("pos"), *[
-            entry[part].alias("person_id" if part == "id" else part) for part in parts])))
-    return F.coalesce(F.array_compact(placed), F.array()).alias(field)
-
-
 def silver_scope(docs: DataFrame, *, start_year: int = config.START_YEAR,
                  as_of: dt.date | None = None, language: str = config.LANGUAGE) -> DataFrame:
     """Keep rows in the wanted language, not adult, released in [start_year, as_of].
@@ -103,27 +94,32 @@ def silver_cast(docs: DataFrame, *, top_n: int = config.CAST_TOP_N) -> DataFrame
     """The ``top_n`` cast entries per document by billing order.
 
     Entries without an order come after all billed ones; ties keep document order. The
-    choice is made inside each document's array, so nothing is shuffled.
+    choice is made inside each document's array, so nothing is shuffled. ``pos`` is the
+    place in the document, so "first" is a value and not a matter of row order.
     """
-    ranked = F.array_sort(F.transform("cast", lambda entry: F.struct(
+    ranked = F.transform("cast", lambda entry, pos: F.when(entry.isNotNull(), F.struct(
         F.coalesce(entry["order"], F.lit(config.MISSING_ORDER)).alias("rank"),
-        entry["pos"].alias("place"),
+        pos.alias("pos"),
         entry.alias("entry"),
     )))
-    chosen = F.transform(F.slice(ranked, 1, top_n), lambda item: item["entry"])
+    # NULL entries sort last and are not unpacked.
+    chosen = F.slice(F.array_sort(ranked), 1, top_n)
     return (
-        docs.select(F.col("id").alias("movie_id"), F.explode(chosen).alias("entry"))
-        .select("movie_id", "entry.pos", "entry.order", "entry.person_id", "entry.name",
-                "entry.character")
+        docs.select(F.col("id").alias("movie_id"), F.explode(chosen).alias("item"))
+        .where(F.col("item").isNotNull())
+        .select("movie_id", "item.pos", "item.entry.order",
+                F.col("item.entry.id").alias("person_id"), "item.entry.name",
+                "item.entry.character")
     )
 
 
 def silver_crew(docs: DataFrame, *, jobs: Sequence[str] = config.CREW_JOBS) -> DataFrame:
     """Crew entries holding one of ``jobs``, with their place in the document."""
-    kept = F.filter("crew", lambda entry: entry["job"].isin(list(jobs)))
     return (
-        docs.select(F.col("id").alias("movie_id"), F.explode(kept).alias("entry"))
-        .select("movie_id", "entry.pos", "entry.job", "entry.person_id", "entry.name")
+        docs.select(F.col("id").alias("movie_id"), F.posexplode("crew").alias("pos", "entry"))
+        .where(F.col("entry.job").isin(list(jobs)))
+        .select("movie_id", "pos", "entry.job", F.col("entry.id").alias("person_id"),
+                "entry.name")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marquee import config
 from marquee.operators import gold, silver
-from marquee.session import materialize
+from marquee.session import materialized
 from marquee.sources.documents import read_documents
 from marquee.sources.layout import SILVER_TABLES, Layout
 from marquee.sources.sinks import overwrite_table
@@ -30,9 +30,9 @@ def build_silver(spark: SparkSession, layout: Layout, *, raw: DataFrame | None =
     documents = read_documents(spark, layout.documents, pattern="*.gz") if raw is None else raw
     scoped = silver.silver_scope(silver.parse_documents(documents), start_year=start_year,
                                  as_of=as_of, language=language)
-    staged = materialize(scoped, "documents")
-    for name, table in silver.silver_tables(staged, top_n=top_n, jobs=jobs).items():
-        overwrite_table(table, layout.silver(name))
+    with materialized(scoped, "documents") as staged:
+        for name, table in silver.silver_tables(staged, top_n=top_n, jobs=jobs).items():
+            overwrite_table(table, layout.silver(name))
     return {name: row_count(spark, layout.silver(name)) or 0 for name in SILVER_TABLES}
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +48,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Scratch paths handed out so far, per Spark application.
+_SCRATCH: defaultdict[str, list[str]] = defaultdict(list)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, remembered for :func:`clear_scratch`."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH[spark.sparkContext.applicationId].append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this application once its results are stored."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def materialize(df: DataFrame, name: str = "stage", *,
@@ -66,3 +87,15 @@ def materialize(df: DataFrame, name: str = "stage", *,
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+@contextmanager
+def materialized(df: DataFrame, name: str = "stage") -> Iterator[DataFrame]:
+    """The stored ``df`` for the length of a block; its files are deleted afterwards."""
+    spark = df.sparkSession
+    stored = materialize(df, name)
+    mine = _SCRATCH[spark.sparkContext.applicationId].pop()
+    try:
+        yield stored
+    finally:
+        _delete(spark, mine)

@@ -10,8 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marquee.operators.intake import split_readable, with_reason
-from marquee.session import materialize
+from marquee.operators.intake import judged, split_readable
+from marquee.session import materialized
 
 LANDED_SCHEMA = "id bigint, source string, body string, batch bigint"
 QUARANTINE_SCHEMA = "source string, body string, reason string, batch bigint"
@@ -33,11 +33,6 @@ def document_stream(spark: SparkSession, uri: str, *, pattern: str = "*.json.gz"
                         F.col("value").alias("body"))
 
 
-def with_document_id(readable: DataFrame) -> DataFrame:
-    return readable.withColumn(
-        "id", F.try_variant_get(F.try_parse_json("body"), "$.id", "bigint"))
-
-
 def read_batches(spark: SparkSession, uri: str, schema: str) -> DataFrame:
     """All micro-batches written so far, each in its own ``batch=N`` folder."""
     try:
@@ -72,16 +67,16 @@ def land_batch(batch: DataFrame, number: int, landed_uri: str, quarantine_uri: s
     same batch is ignored, so a retry does not take its own documents for old ones.
     """
     spark = batch.sparkSession
-    judged = materialize(with_document_id(with_reason(batch.select("source", "body"))), "batch")
-    readable, unusable = judged.where("reason is null"), judged.where("reason is not null")
-    known = (
-        read_landed(spark, landed_uri).where(F.col("batch") != number).select("id")
-        .join(readable.select("id").distinct(), "id", "left_semi").distinct()
-    )
-    fresh = one_per_id(readable).join(known, "id", "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{landed_uri}/batch={number}")
-    unusable.select("source", "body", "reason").write.mode("overwrite").parquet(
-        f"{quarantine_uri}/batch={number}")
+    with materialized(judged(batch.select("source", "body")), "batch") as stored:
+        readable = stored.where("reason is null")
+        known = (
+            read_landed(spark, landed_uri).where(F.col("batch") != number).select("id")
+            .join(readable.select("id").distinct(), "id", "left_semi").distinct()
+        )
+        fresh = one_per_id(readable).join(known, "id", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{landed_uri}/batch={number}")
+        unusable = stored.where("reason is not null").select("source", "body", "reason")
+        unusable.write.mode("overwrite").parquet(f"{quarantine_uri}/batch={number}")
 
 
 def start_landing(stream: DataFrame, landed_uri: str, quarantine_uri: str,
@@ -105,7 +100,7 @@ def start_stateful_landing(stream: DataFrame, landed_uri: str,
     every id ever seen, spread over all executors and kept on disk by RocksDB.
     """
     readable, _ = split_readable(stream)
-    unique = with_document_id(readable).dropDuplicates(["id"]).select("id", "source", "body")
+    unique = readable.dropDuplicates(["id"]).select("id", "source", "body")
 
     def land(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{landed_uri}/batch={number}")

@@ -14,9 +14,10 @@ from marquee.sources.layout import Layout  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session("tests", "local[*]", {
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
+        "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false",
         # Short queries: the quick compiler beats the optimizing one.
         "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1"})

@@ -77,7 +77,7 @@ def test_odd_values_become_defaults(spark):
     assert one.runtime is None and one.adult is False
     assert one.genres == [] and one.production_companies == []
     assert rows[2].genres == ["Drama"]
-    assert rows[3].budget == 0 and rows[3].cast == [] and rows[3].release_date is None
+    assert rows[3].budget == 0 and rows[3].cast is None and rows[3].release_date is None
     assert rows[4].title == "5" and rows[4].adult is True and rows[4].budget == 12
 
 
