@@ -85,7 +85,8 @@ def top_production_companies(gold: DataFrame, *, n: int = config.LEADERBOARD_SIZ
     """Lead companies by mean revenue, with their exact median ROI.
 
     The ranking needs only sums and counts; medians are then worked out for the at
-    most ``n`` companies that made the list, which is also what bounds the broadcast.
+    most ``n`` companies that made the list. The list is stored, so the planner sees how
+    small it is.
     """
     key = "lead_production_company"
     if key not in gold.columns:
@@ -94,7 +95,7 @@ def top_production_companies(gold: DataFrame, *, n: int = config.LEADERBOARD_SIZ
     leaders = materialize(
         top_groups(gold, key, {"avg_revenue_musd": F.avg("revenue_musd")},
                    order_by="avg_revenue_musd", n=n, min_rows=min_movies), "leaders")
-    members = gold.select(key, "roi").join(F.broadcast(leaders.select(key)), key, "left_semi")
+    members = gold.select(key, "roi").join(leaders.select(key), key, "left_semi")
     medians = exact_quantiles(members, [key], "roi", {"median_roi": 0.5}, rows="_rows")
     return (
         leaders.join(medians.drop("_rows"), key, "left")

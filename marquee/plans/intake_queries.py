@@ -97,8 +97,8 @@ def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.add(with_views("""
-    SELECT count_if(outcome = 'fetched') AS fetched, count_if(outcome = 'skipped') AS skipped,
-           count_if(outcome = 'failed') AS failed,
+    SELECT count(*) FILTER (WHERE outcome = 'fetched') AS fetched, count(*) FILTER (WHERE outcome = 'skipped') AS skipped,
+           count(*) FILTER (WHERE outcome = 'failed') AS failed,
            string_agg(id, ',' ORDER BY page, pos, id) AS discovered_ids,
            (SELECT string_agg('id=' || id || ': ' || problem, ',' ORDER BY page, pos, id)
             FROM (SELECT * FROM done WHERE outcome = 'failed' ORDER BY page, pos, id LIMIT 50))

@@ -12,6 +12,7 @@ from marquee.plans.order_tables import (
     MIN_BUDGET, order_documents, order_gold, order_movies, table,
 )
 from marquee.plans.registry import REGISTRY
+from marquee.sources.tables import row_counts
 
 START_YEAR = 1996
 AS_OF = dt.date(2000, 6, 30)
@@ -32,8 +33,8 @@ def gold_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.add(with_gold("""
-    SELECT count(*) AS silver_movies, count_if(budget >= 10000 AND revenue > 0) AS gold_movies,
-           count(*) - count_if(budget >= 10000 AND revenue > 0) AS dropped
+    SELECT count(*) AS silver_movies, count(*) FILTER (WHERE budget >= 10000 AND revenue > 0) AS gold_movies,
+           count(*) - count(*) FILTER (WHERE budget >= 10000 AND revenue > 0) AS dropped
     FROM movies"""))
 def build_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold_layer.build_counts(order_movies(spark, sf_dir), min_budget=MIN_BUDGET)
@@ -106,7 +107,6 @@ def crew_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'cast', count(*) FROM docs WHERE {IN_SCOPE_SQL}
     UNION ALL SELECT 'crew', 2 * count(*) FROM docs WHERE {IN_SCOPE_SQL}""", docs=DOCUMENTS_SQL))
 def silver_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marquee.sources.tables import row_counts
     scoped = silver.silver_scope(_parsed(spark, sf_dir), **SCOPE)
     return row_counts(silver.silver_tables(scoped))
 
@@ -207,13 +207,13 @@ _RULES = {"start_year": START_YEAR, "min_budget": MIN_BUDGET, "language": LANGUA
 
 
 @REGISTRY.add(with_gold("""
-    SELECT 'Language' AS rule, 'original_language = F' AS value, count_if(original_language = 'F')
+    SELECT 'Language' AS rule, 'original_language = F' AS value, count(*) FILTER (WHERE original_language = 'F')
              AS passing FROM movies
-    UNION ALL SELECT 'Adult content', 'excluded', count_if(NOT adult) FROM movies
+    UNION ALL SELECT 'Adult content', 'excluded', count(*) FILTER (WHERE NOT adult) FROM movies
     UNION ALL SELECT 'Release window', '1996 to the run date',
-             count_if(release_date BETWEEN DATE '1996-01-01' AND DATE '2000-06-30') FROM movies
-    UNION ALL SELECT 'Gold budget floor', 'budget >= 10,000', count_if(budget >= 10000) FROM movies
-    UNION ALL SELECT 'Gold revenue floor', 'revenue > 0', count_if(revenue > 0) FROM movies"""))
+             count(*) FILTER (WHERE release_date BETWEEN DATE '1996-01-01' AND DATE '2000-06-30') FROM movies
+    UNION ALL SELECT 'Gold budget floor', 'budget >= 10,000', count(*) FILTER (WHERE budget >= 10000) FROM movies
+    UNION ALL SELECT 'Gold revenue floor', 'revenue > 0', count(*) FILTER (WHERE revenue > 0) FROM movies"""))
 def scope_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule table next to how many orders pass each rule on its own."""
     passing = order_movies(spark, sf_dir).select(F.inline(F.array(*[

@@ -8,7 +8,8 @@ from marquee.functions import clipped_log_weight, implied_roi as roi_of, post_pr
 from marquee.modeling import evaluation, training
 from marquee.modeling.encoding import encoded_name, fit_target_encoding, oof_target_encode
 from marquee.modeling.features import (
-    CATEGORICAL, CYCLICAL, feature_frame as features_of, fit_vocabulary, training_rows, with_split,
+    CATEGORICAL, CYCLICAL, FeatureSpec, feature_frame as features_of, fit_vocabulary,
+    training_rows, with_split,
 )
 from marquee.operators.profile import element_counts
 from marquee.plans.oracle_views import with_gold, with_views
@@ -102,7 +103,6 @@ _SCENARIOS = """
 @REGISTRY.add(with_views(_feature_sql("scenarios", "scenario_id", ("PROMO", "BUILDING")),
                          scenarios=_SCENARIOS))
 def scenario_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marquee.modeling.features import FeatureSpec
     return _rounded_angles(features_of(_scenarios(spark, sf_dir), FeatureSpec(("PROMO", "BUILDING")),
                                        keep=["scenario_id"]))
 

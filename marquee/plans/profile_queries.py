@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from marquee import config
 from marquee.functions import size_mb
 from marquee.operators import audit, profile
+from marquee.operators.gold import first_director
 from marquee.plans.oracle_views import with_gold, with_views
-from marquee.plans.order_tables import order_gold, order_movies, stored_gold, table
+from marquee.plans.order_tables import (
+    DIRECTOR_FLAG, order_crew, order_gold, order_movies, stored_gold, table,
+)
 from marquee.plans.registry import REGISTRY
 from marquee.sources.sinks import csv_frame as flattened
 from marquee.sources.tables import row_counts as counted_rows
@@ -136,11 +139,9 @@ def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add(with_gold("""
     SELECT count(*) AS rows, count(director_name) AS with_director,
-           count_if(runtime IS NOT NULL AND director_name IS NOT NULL) AS complete
+           count(*) FILTER (WHERE runtime IS NOT NULL AND director_name IS NOT NULL) AS complete
     FROM movies LEFT JOIN directors ON movie_id = id"""))
 def drop_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marquee.operators.gold import first_director
-    from marquee.plans.order_tables import DIRECTOR_FLAG, order_crew
     movies = order_movies(spark, sf_dir).select(F.col("id").alias("movie_id"), "runtime")
     people = first_director(order_crew(spark, sf_dir), job=DIRECTOR_FLAG)
     joined = movies.join(people, "movie_id", "left")
@@ -165,7 +166,7 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.add("""
-    SELECT source, count(*) AS files, sum(strlen(text)) AS bytes,
+    SELECT source, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes,
            round(sum(strlen(text)) / 1000000, 3) AS size_mb
     FROM documents GROUP BY source""")
 def text_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
