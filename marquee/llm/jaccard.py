@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm.components import components, forest
@@ -255,50 +255,63 @@ def _linked(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([u for u, _ in edges], pa.int64()), "v": pa.array([v for _, v in edges], pa.int64())})
 
 
-def _links(rows: DataFrame, *key: str) -> DataFrame:
-    """Links within each group of rows (node, members, label)."""
-    return materialize(rows.select(*key, "node", "members", "label").groupBy(*key)
-                       .applyInArrow(_linked, "u long, v long"), "links")
+def _if_small(narrow: DataFrame) -> DataFrame:
+    """Marked for broadcast if a count shows it has few rows of some longs; else as it is."""
+    return F.broadcast(narrow) if narrow.count() <= MOST_BROADCAST else narrow
+
+
+KEY = ("family", "band", "part")
+
+
+def _links(sets: DataFrame, places: DataFrame) -> DataFrame:
+    """Links within each group of stored places (family, band, part, node, label).
+
+    Only numbers decide the places; the sets are brought to them in one shuffle.
+    """
+    return materialize(sets.select("node", "members").join(_if_small(places.select(*KEY, "node", "label")), "node")
+                       .groupBy(*KEY).applyInArrow(_linked, "u long, v long"), "links")
 
 
 def _verified(sets: DataFrame, candidates: DataFrame) -> DataFrame:
     """True links, enough to join what is connected, within the candidate components."""
-    members = sets.join(candidates.withColumnRenamed("label", "family"), "node")
+    members = sets.select("node", "n").join(candidates.withColumnRenamed("label", "family"), "node").distinct()
+    members = materialize(members, "link-members")
     sizes = members.groupBy("family").agg(F.sum("n").alias("total"))
-    members = members.join(sizes, "family").withColumn("label", F.col("node"))
-    edges = _links(members.where(F.col("total") <= PART_SHINGLES), "family")
-    large = members.where(F.col("total") > PART_SHINGLES)
-    if large.isEmpty():
-        return edges
     # Sizes of linked sets are in one band or two neighbouring ones: the lower goes to both.
     band = F.floor(F.log("n") / F.lit(np.log(100 / PERCENT))).cast("bigint")
-    large = large.withColumn("band", F.explode(F.array(band, band + 1)))
-    parts = large.groupBy("family", "band").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("bigint").alias("parts"))
-    large = materialize(large.join(parts, ["family", "band"])
-                        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-                        .select("family", "band", "parts", "part", "node", "n", "members"), "link-parts")
-    edges = edges.unionByName(_links(large.withColumn("label", F.col("node")), "family", "band", "part"))
-    split = large.where("parts > 1")
+    none = F.lit(-1).cast("bigint")
+    banded = members.join(sizes, "family").withColumn("band", F.explode(
+        F.when(F.col("total") > PART_SHINGLES, F.array(band, band + 1)).otherwise(F.array(none))))
+    parts = banded.groupBy("family", "band").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("bigint").alias("parts"))
+    parts = parts.withColumn("parts", F.when(F.col("band") < 0, 1).otherwise(F.col("parts")))
+    places = materialize(banded.join(parts, ["family", "band"]).select(
+        "family", "band", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "parts", "node",
+        F.col("node").alias("label")), "link-places")
+    edges = _links(sets, places)
+    split = places.where("parts > 1")
     if split.isEmpty():
         return edges
     # Across parts: first one member of each part's largest component, then, in every part,
     # whatever is not in the largest component of its band.
-    def labelled(rows, edges):
+    def labelled():
         known = components(edges).withColumnRenamed("label", "known")
-        return rows.join(known, "node", "left").withColumn("label", F.coalesce("known", "node")).drop("known")
-
-    place, band_key = ["family", "band", "part"], ["family", "band"]
-    now = labelled(split, edges)
-    count = now.groupBy(*place, "label").agg(F.count("*").alias("c"), F.min("node").alias("node"))
-    leaders = count.groupBy(*place).agg(F.max(F.struct("c", "node")).alias("best")).select("family", "band", F.col("best.node").alias("node"))
-    edges = edges.unionByName(_links(now.join(leaders.distinct(), [*band_key, "node"]), *band_key))
-    now = materialize(labelled(split, edges), "link-labels")
+        now = split.join(known, "node", "left").withColumn("label", F.coalesce("known", "node")).drop("known")
+        return materialize(now, "link-labels")
+
+    band_key = ["family", "band"]
+    now = labelled()
+    count = now.groupBy(*KEY, "label").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    leaders = count.groupBy(*KEY).agg(F.max(F.struct("c", "node", "label")).alias("best")).select(
+        *band_key, F.lit(0).cast("bigint").alias("part"), "best.node", "best.label")
+    edges = edges.unionByName(_links(sets, materialize(leaders, "link-leaders")))
+    now = labelled()
     most = (now.groupBy(*band_key, "label").agg(F.count("*").alias("c")).groupBy(*band_key)
             .agg(F.max(F.struct("c", "label")).alias("best")).select(*band_key, F.col("best.label").alias("most")))
     others = now.join(most, band_key).where("label <> most")
     visitors = others.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    columns = [*place, "node", "members", "label"]
-    return edges.unionByName(_links(now.select(*columns).unionByName(visitors.select(*columns)), *place))
+    columns = [*KEY, "node", "label"]
+    last = materialize(now.select(*columns).unionByName(visitors.select(*columns)), "link-visits")
+    return edges.unionByName(_links(sets, last))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -324,9 +337,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             .join(nodes, "node").where(F.col("met") >= asked)
             .select("node", F.col("one.print").alias("print"), F.col("one.doc_id").alias("doc_id")))
     kept = materialize(kept, "jaccard-kept")
-    wanted = kept.select("doc_id", "print")
-    if kept.count() <= MOST_BROADCAST:
-        wanted = F.broadcast(wanted)
+    wanted = _if_small(kept.select("doc_id", "print"))
     chosen = narrow.alias("d").join(wanted.alias("w"), F.col("d.print").eqNullSafe(F.col("w.print"))
                                     & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
     sets = materialize(chosen.select("text").mapInArrow(_full, "node long, n long, members binary"), "jaccard-sets")
