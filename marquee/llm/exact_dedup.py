@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.llm.filtering import keep_chosen, text_print
 from marquee.llm.texts import documents, text_slices
 from marquee.plans.registry import Registry
 from marquee.session import materialize
@@ -87,10 +88,10 @@ class PatriciaTrie:
         return found
 
 
-_ROWS = pa.schema([("row_id", pa.string()), ("doc_id", pa.int64()), ("carrier", pa.string()),
+_ROWS = pa.schema([("row_id", pa.string()), ("doc_id", pa.int64()), ("print", pa.int64()), ("carrier", pa.string()),
                    ("sha", pa.string()), ("text", pa.binary()), ("bytes", pa.int64()),
                    ("top", pa.int64()), ("top_row", pa.string()), ("copies", pa.int64())])
-_ROWS_SQL = ("row_id string, doc_id bigint, carrier string, sha string, text binary, bytes bigint, "
+_ROWS_SQL = ("row_id string, doc_id bigint, print bigint, carrier string, sha string, text binary, bytes bigint, "
              "top bigint, top_row string, copies bigint")
 _OWNED = pa.schema([("carrier", pa.string()), ("keep_row", pa.string()), ("keep_id", pa.int64()),
                     ("group_size", pa.int64()), ("text", pa.binary()), ("top", pa.int64()),
@@ -111,20 +112,20 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_slices(batches, 16 << 20):
         trie, held = PatriciaTrie(), []
         rows = []
-        for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row_id", "doc_id", "text"))):
+        for row, doc, name, text in zip(*(batch.column(c).to_pylist() for c in ("row_id", "doc_id", "print", "text"))):
             key = (text or "").encode().translate(_LOWER)
             node = trie.insert(key)
             if node[2] is None:
                 node[2] = [row, hashlib.sha256(key).hexdigest(), len(rows), (doc, row), 0]
                 held.append(node[2])
-                rows.append([row, doc, row, node[2][1], key, len(key), None, None, None])
+                rows.append([row, doc, name, row, node[2][1], key, len(key), None, None, None])
             else:
-                rows.append([row, doc, node[2][0], node[2][1], None, None, None, None, None])
+                rows.append([row, doc, name, node[2][0], node[2][1], None, None, None, None, None])
             node[2][4] += 1
             if _before((doc, row), node[2][3]):
                 node[2][3] = (doc, row)
         for _, _, at, (top, top_row), copies in held:
-            rows[at][6:] = top, top_row, copies
+            rows[at][7:] = top, top_row, copies
         yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), _ROWS.types)], schema=_ROWS)
 
 
@@ -181,8 +182,7 @@ def exact_groups(docs: DataFrame, *, trie_bytes: int = 16 << 20) -> DataFrame:
 
     Returns one row per input row: ``doc_id``, ``keep_id`` (largest doc_id of the group,
     null only if all are null), ``group_size``, ``kept`` (one row of each group; of rows
-    that repeat the largest doc_id one stays), ``text_sha256``, and ``row_id``, a name for
-    the row within this result. Other columns are ignored; an empty table gives no rows.
+    that repeat the largest doc_id one stays) and ``text_sha256``. Other columns are ignored; an empty table gives no rows.
     ``trie_bytes`` bounds the strings of one trie; what exceeds it is spilled by subtree.
     """
     return _grouped(docs, trie_bytes).select(
@@ -194,7 +194,8 @@ def _grouped(docs: DataFrame, trie_bytes: int) -> DataFrame:
     # A row's own name keeps repeated rows apart; it is stored before it is used twice.
     named = docs.select(
         F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id()).alias("row_id"),
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        F.col("doc_id").cast("bigint").alias("doc_id"), text_print().alias("print"),
+        F.col("text").cast("string").alias("text"))
     rows = materialize(named.mapInArrow(_collapse, _ROWS_SQL), "dedup-rows")
     held = rows.agg(F.sum("bytes")).first()[0] or 0
     buckets = 1 << max(6, (4 * held // trie_bytes).bit_length())
@@ -212,7 +213,13 @@ def _grouped(docs: DataFrame, trie_bytes: int) -> DataFrame:
         if todo.isEmpty():
             break
         turn += 1
-    return rows.select("row_id", "doc_id", "carrier", "sha").join(owned, "carrier")
+    return rows.select("row_id", "doc_id", "print", "carrier", "sha").join(owned, "carrier")
+
+
+def one_of_each(docs: DataFrame, *, trie_bytes: int = 16 << 20) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, the one of the largest doc_id."""
+    return keep_chosen(docs, _grouped(docs, trie_bytes).select(
+        "doc_id", "print", (F.col("row_id") == F.col("keep_row")).alias("keep")))
 
 
 @REGISTRY.add(sql="""

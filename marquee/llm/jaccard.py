@@ -3,8 +3,8 @@
 Linked sets (J >= t) share a shingle among the first (1 - t) n of each in a common order;
 looking ``SPARE`` n further, they share that many more. So sets with too few shared
 prefix shingles are ruled out exactly, which leaves near copies and texts made of common
-passages. What is left is split into candidate components (sets joined by a common prefix
-shingle); within one, a signature tree over the sets, with OR-combined bitmaps and size
+passages. What is left is split into candidate components, sets joined by equal minima in
+one of many bands (see ``BANDS``); within one, a signature tree over the sets, with OR-combined bitmaps and size
 ranges in its nodes, is traversed against itself, pruning node pairs by their largest
 possible overlap, and what survives is verified on the sets themselves.
 
@@ -24,17 +24,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm.components import components, forest
-from marquee.llm.texts import documents, shingle_sets, text_slices
+from marquee.llm.filtering import if_small, keep_chosen, text_print
+from marquee.llm.texts import documents, mix, shingle_sets, text_slices
 from marquee.plans.registry import Registry
 from marquee.session import materialize
 
 REGISTRY = Registry()
 #: The threshold in hundredths, the share of n by which prefixes are lengthened.
 PERCENT, SPARE = 75, 0.08
+#: Bands and minima per band. A linked pair shares no band with a chance of at most
+#: (1 - 0.75 ** ROWS) ** BANDS = 1e-9, about that of two sets having one name in a large corpus.
+BANDS, ROWS = 106, 6
 #: Prefix entries per bucket aimed at; shingles in one task's component or part at most.
 BUCKET_ENTRIES, PART_SHINGLES = 500_000, 2_000_000
-#: Rows of (doc_id, fingerprint) that are broadcast at most; beyond, texts are shuffled.
-MOST_BROADCAST = 1_000_000
 LEAF, FANOUT = 16, 8
 
 
@@ -76,6 +78,34 @@ def _prefixes(sets: list[np.ndarray], names: np.ndarray):
     return shingles, owner
 
 
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    draws = np.random.default_rng(20240503).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint64)
+    return (draws[0] | np.uint64(1)).astype(np.uint32), draws[1].astype(np.uint32)
+
+
+_FACTORS, _SHIFTS = _multipliers()
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """One key per band: a hash of the band's minima over the set."""
+    short = (own >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for begun in range(0, len(short), 1024):
+        least = np.minimum(least, (short[begun:begun + 1024, None] * _FACTORS + _SHIFTS).min(0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T.astype(np.uint64):
+        keys = mix(keys + np.uint64(0x9E3779B97F4A7C15) + column)
+    return keys
+
+
+def _banded(sets: list[np.ndarray], names: np.ndarray):
+    """(band key, node) entries sorted by both."""
+    keys = np.concatenate([band_keys(s) for s in sets]) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(names, BANDS)
+    order = np.lexsort((owner, keys))
+    return keys[order], owner[order]
+
+
 def _runs(shingles: np.ndarray):
     """(first entry of each run of equal shingles, run lengths)."""
     first = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]])) if len(shingles) else np.zeros(0, np.int64)
@@ -100,7 +130,7 @@ def _shipped(bits: int, counting: bool, shingled):
                 sets = [np.frombuffer(b, np.uint64) for b in batch.column("members").to_pylist()]
                 names = batch.column("node").to_numpy()
             sets, names = [s for s in sets if len(s)], names[[len(s) > 0 for s in sets]]
-            shingles, owner = _prefixes(sets, names)
+            shingles, owner = (_prefixes if counting else _banded)(sets, names)
             first, length = _runs(shingles)
             shared = np.repeat(length > 1, length)
             if counting:
@@ -255,11 +285,6 @@ def _linked(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([u for u, _ in edges], pa.int64()), "v": pa.array([v for _, v in edges], pa.int64())})
 
 
-def _if_small(narrow: DataFrame) -> DataFrame:
-    """Marked for broadcast if a count shows it has few rows of some longs; else as it is."""
-    return F.broadcast(narrow) if narrow.count() <= MOST_BROADCAST else narrow
-
-
 KEY = ("family", "band", "part")
 
 
@@ -268,7 +293,7 @@ def _links(sets: DataFrame, places: DataFrame) -> DataFrame:
 
     Only numbers decide the places; the sets are brought to them in one shuffle.
     """
-    return materialize(sets.select("node", "members").join(_if_small(places.select(*KEY, "node", "label")), "node")
+    return materialize(sets.select("node", "members").join(if_small(places.select(*KEY, "node", "label")), "node")
                        .groupBy(*KEY).applyInArrow(_linked, "u long, v long"), "links")
 
 
@@ -323,9 +348,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     never name a component unless it has no other (then null); repeated rows are repeated;
     other columns are ignored; an empty table gives no rows.
     """
+    return _classes(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, the one of the smallest doc_id; rows without
+    shingles all stay."""
+    rows = materialize(_classes(docs).where("class is not null"), "jaccard-classes")
+    best = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "print")).alias("best"))
+    keep = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.print") == F.col("print"))
+    return keep_chosen(docs, rows.join(best, "class").select("doc_id", "print", keep.alias("keep")))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"),
-                         F.xxhash64(text).alias("print"))
+                         text_print().alias("print"))
     rows = materialize(narrow.mapInArrow(_named, "doc_id long, print long, n_shingles long, node long"), "jaccard-rows")
     nodes = (rows.where("node is not null").groupBy("node")
              .agg(F.min("doc_id").alias("least"), F.min(F.struct("print", "doc_id")).alias("one"), F.first("n_shingles").alias("n")))
@@ -337,16 +375,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             .join(nodes, "node").where(F.col("met") >= asked)
             .select("node", F.col("one.print").alias("print"), F.col("one.doc_id").alias("doc_id")))
     kept = materialize(kept, "jaccard-kept")
-    wanted = _if_small(kept.select("doc_id", "print"))
+    wanted = if_small(kept.select("doc_id", "print"))
     chosen = narrow.alias("d").join(wanted.alias("w"), F.col("d.print").eqNullSafe(F.col("w.print"))
                                     & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi")
     sets = materialize(chosen.select("text").mapInArrow(_full, "node long, n long, members binary"), "jaccard-sets")
     candidates = components(_meetings(sets, bits, False, "sets").select(F.col("left").alias("u"), F.col("right").alias("v")))
     joined = components(_verified(sets, candidates))
     least = joined.join(nodes.select("node", "least"), "node")
-    named = least.join(least.groupBy("label").agg(F.min("least").alias("component")), "label").select("node", "component")
+    named = least.join(least.groupBy("label").agg(F.min("least").alias("component")), "label").select("node", "component", "label")
     return (rows.join(nodes.select("node", "least"), "node", "left").join(named, "node", "left")
-            .select("doc_id", "n_shingles",
+            .select("doc_id", "print", "n_shingles", F.coalesce("label", "node").alias("class"),
                     F.when(F.col("node").isNull(), F.col("doc_id"))
                     .otherwise(F.coalesce("component", "least")).alias("component_id")))
 

@@ -230,6 +230,17 @@ def predict(docs: DataFrame, model: LanguageModel, *, spans: bool = False) -> Da
     return narrow.mapInArrow(_predicted(model, spans), kind)
 
 
+def without_unknown(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """``docs`` without the rows that have no letters of a language the model knows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 2 << 20):
+            _, _, _, row, known, _ = label_words(model, batch.column("text"))
+            yield batch.filter(pa.array(np.bincount(row[known], minlength=len(batch)) > 0))
+    if not model.languages:
+        return docs.limit(0)
+    return docs.where(F.col("text").cast("string").rlike(r"\p{L}")).mapInArrow(run, docs.schema)
+
+
 @REGISTRY.add()
 def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)

@@ -275,6 +275,18 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, *, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            counts, found = scored_segments(model, batch.column("text"))
+            x = np.array([evidence([s for s, _, _ in f], max(n, 1), model.decay, model.scale)
+                          for n, f in zip(counts.tolist(), found)])
+            scores = 1 / (1 + np.exp(-np.clip(model.intercept + model.slope * x, -700, 700)))
+            yield batch.filter(pa.array(scores < threshold))
+    return docs.mapInArrow(run, docs.schema)
+
+
 @REGISTRY.add()
 def op1_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
