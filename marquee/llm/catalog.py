@@ -1,9 +1,9 @@
 """Importing this module gathers the queries of the operators in this package."""
 
 from marquee.llm import (
-    bpe, exact_dedup, jaccard, language, neighbours, packing, sharding, toxicity,
+    bpe, exact_dedup, jaccard, language, lm_scoring, neighbours, packing, sharding, toxicity,
 )
 
-MODULES = (toxicity, language, neighbours, bpe, packing, sharding, exact_dedup, jaccard)
+MODULES = (toxicity, language, neighbours, bpe, packing, lm_scoring, sharding, exact_dedup, jaccard)
 QUERIES = {name: query for module in MODULES for name, query in module.REGISTRY.queries.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.REGISTRY.oracles.items()}

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm.components import components, forest
+from marquee.llm.families import links_within
 from marquee.llm.filtering import if_small, keep_chosen, text_print
 from marquee.llm.texts import documents, mix, shingle_sets, text_slices
 from marquee.plans.registry import Registry
@@ -277,66 +278,15 @@ def link_sets(names: list[int], sets: list[np.ndarray], labels: list[int]) -> li
     return edges
 
 
-def _linked(table: pa.Table) -> pa.Table:
-    seen = dict(zip(table.column("node").to_pylist(),
-                    zip(table.column("members").to_pylist(), table.column("label").to_pylist())))
-    edges = link_sets(list(seen), [np.frombuffer(m, np.uint64) for m, _ in seen.values()],
-                      [label for _, label in seen.values()])
-    return pa.table({"u": pa.array([u for u, _ in edges], pa.int64()), "v": pa.array([v for _, v in edges], pa.int64())})
-
-
-KEY = ("family", "band", "part")
-
-
-def _links(sets: DataFrame, places: DataFrame) -> DataFrame:
-    """Links within each group of stored places (family, band, part, node, label).
-
-    Only numbers decide the places; the sets are brought to them in one shuffle.
-    """
-    return materialize(sets.select("node", "members").join(if_small(places.select(*KEY, "node", "label")), "node")
-                       .groupBy(*KEY).applyInArrow(_linked, "u long, v long"), "links")
-
-
 def _verified(sets: DataFrame, candidates: DataFrame) -> DataFrame:
-    """True links, enough to join what is connected, within the candidate components."""
-    members = sets.select("node", "n").join(candidates.withColumnRenamed("label", "family"), "node").distinct()
-    members = materialize(members, "link-members")
-    sizes = members.groupBy("family").agg(F.sum("n").alias("total"))
-    # Sizes of linked sets are in one band or two neighbouring ones: the lower goes to both.
+    """True links, enough to join what is connected. The sizes of linked sets are in one
+    band or two neighbouring ones."""
     band = F.floor(F.log("n") / F.lit(np.log(100 / PERCENT))).cast("bigint")
-    none = F.lit(-1).cast("bigint")
-    banded = members.join(sizes, "family").withColumn("band", F.explode(
-        F.when(F.col("total") > PART_SHINGLES, F.array(band, band + 1)).otherwise(F.array(none))))
-    parts = banded.groupBy("family", "band").agg(F.ceil(F.sum("n") / PART_SHINGLES).cast("bigint").alias("parts"))
-    parts = parts.withColumn("parts", F.when(F.col("band") < 0, 1).otherwise(F.col("parts")))
-    places = materialize(banded.join(parts, ["family", "band"]).select(
-        "family", "band", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "parts", "node",
-        F.col("node").alias("label")), "link-places")
-    edges = _links(sets, places)
-    split = places.where("parts > 1")
-    if split.isEmpty():
-        return edges
-    # Across parts: first one member of each part's largest component, then, in every part,
-    # whatever is not in the largest component of its band.
-    def labelled():
-        known = components(edges).withColumnRenamed("label", "known")
-        now = split.join(known, "node", "left").withColumn("label", F.coalesce("known", "node")).drop("known")
-        return materialize(now, "link-labels")
-
-    band_key = ["family", "band"]
-    now = labelled()
-    count = now.groupBy(*KEY, "label").agg(F.count("*").alias("c"), F.min("node").alias("node"))
-    leaders = count.groupBy(*KEY).agg(F.max(F.struct("c", "node", "label")).alias("best")).select(
-        *band_key, F.lit(0).cast("bigint").alias("part"), "best.node", "best.label")
-    edges = edges.unionByName(_links(sets, materialize(leaders, "link-leaders")))
-    now = labelled()
-    most = (now.groupBy(*band_key, "label").agg(F.count("*").alias("c")).groupBy(*band_key)
-            .agg(F.max(F.struct("c", "label")).alias("best")).select(*band_key, F.col("best.label").alias("most")))
-    others = now.join(most, band_key).where("label <> most")
-    visitors = others.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    columns = [*KEY, "node", "label"]
-    last = materialize(now.select(*columns).unionByName(visitors.select(*columns)), "link-visits")
-    return edges.unionByName(_links(sets, last))
+    return links_within(sets, candidates, _link_members, band, PART_SHINGLES)
+
+
+def _link_members(names: list[int], members: list[bytes], labels: list[int]) -> list[tuple[int, int]]:
+    return link_sets(names, [np.frombuffer(m, np.uint64) for m in members], labels)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
