@@ -32,28 +32,32 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def segment(length: int, i: int) -> tuple[int, int]:
-    """(start, size) of segment i of a line: the first ones are a byte shorter."""
+def segment(length, i: int):
+    """(start, size) of segment i of a line (or of many lines): the first ones are a byte shorter."""
     many = THRESHOLD + 1
-    size, longer = divmod(length, many)
+    size, longer = length // many, length % many
     short = many - longer
-    return i * size + max(0, i - short), size + (i >= short)
+    return i * size + np.maximum(0, i - short), size + (i >= short)
 
 
-def lookups(length: int) -> list[tuple[int, int, int, int]]:
-    """(indexed length, segment, start, size) of the substrings a line looks up.
+def window(length, d: int, i: int):
+    """(first start, last start, size) of what a line looks up for segment i of lines d bytes shorter.
 
-    For a difference d of lengths, segment i (from 0) can have moved by at most i places
-    to either side, and the rest behind it by at most the threshold less i.
+    Segment i (from 0) can have moved by at most i places to either side, and the rest behind
+    it by at most the threshold less i.
     """
+    at, size = segment(length - d, i)
+    low = np.maximum(np.maximum(at - i, at + d - (THRESHOLD - i)), 0)
+    return low, np.minimum(np.minimum(at + i, at + d + (THRESHOLD - i)), length - size), size
+
+
+def lookups(length: int) -> list[tuple[int, int, int, int]]:
+    """(indexed length, segment, start, size) of the substrings a line looks up."""
     found = []
-    for shorter in range(max(length - THRESHOLD, LEAST_BYTES), length + 1):
-        d = length - shorter
+    for d in range(min(THRESHOLD, length - LEAST_BYTES) + 1):
         for i in range(THRESHOLD + 1):
-            at, size = segment(shorter, i)
-            low = max(at - i, at + d - (THRESHOLD - i), 0)
-            high = min(at + i, at + d + (THRESHOLD - i), length - size)
-            found += [(shorter, i, start, size) for start in range(low, high + 1)]
+            low, high, size = (int(x) for x in window(length, d, i))
+            found += [(length - d, i, start, size) for start in range(low, high + 1)]
     return found
 
 
@@ -119,7 +123,7 @@ def link_lines(names: list[int], lines: list[bytes], labels: list[int]) -> list[
                             label[member] = kept
                         members[kept] += members.pop(gone)
         for i in range(THRESHOLD + 1):
-            at, size = segment(len(line), i)
+            at, size = map(int, segment(len(line), i))
             index[len(line), i, line[at:at + size]].append(k)
     return edges
 
@@ -162,17 +166,23 @@ def _entries(data, starts, ends, names):
     np.multiply.accumulate(powers, out=powers)
     keys, owners, kinds = [], [], []
     lengths = ends - starts
-    order = np.argsort(lengths, kind="stable")
-    cuts = np.flatnonzero(np.diff(lengths[order])) + 1
-    for group in np.split(order, cuts):
-        length = int(lengths[group[0]])
-        at = starts[group]
-        plans = [(length, i, *segment(length, i), True) for i in range(THRESHOLD + 1)]
-        for known, i, start, size, indexed in plans + [(*look, False) for look in lookups(length)]:
-            text = (sums[at + start + size] - sums[at + start]) * powers[at + start]
-            keys.append(mix(mix(text) + np.uint64(known * (THRESHOLD + 1) + i)))
-            owners.append(names[group])
-            kinds.append(np.full(len(group), indexed))
+
+    def add(rows, at, size, known, i, indexed):
+        at = starts[rows] + at
+        text = (sums[at + size] - sums[at]) * powers[at]
+        keys.append(mix(mix(text) + (known * (THRESHOLD + 1) + i).astype(np.uint64)))
+        owners.append(names[rows])
+        kinds.append(np.full(len(rows), indexed))
+
+    every = np.arange(len(starts))
+    for i in range(THRESHOLD + 1):
+        add(every, *segment(lengths, i), lengths, i, True)
+        for d in range(THRESHOLD + 1):
+            low, high, size = window(lengths, d, i)
+            for step in range(2 * THRESHOLD + 1):
+                rows = np.flatnonzero((low + step <= high) & (lengths - d >= LEAST_BYTES))
+                if len(rows):
+                    add(rows, low[rows] + step, size[rows], lengths[rows] - d, i, False)
     keys, owners, kinds = np.concatenate(keys), np.concatenate(owners), np.concatenate(kinds)
     order = np.lexsort((~kinds, owners, keys))
     keys, owners, kinds = keys[order], owners[order], kinds[order]
@@ -196,7 +206,7 @@ _SHIPPED = "bucket int, keys binary, lines binary, left long, right long"
 
 
 def _shipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches, 1 << 20):
+    for batch in text_slices(batches, 2 << 20):
         data, starts, ends, _, names = _lines(batch)
         _, one = np.unique(names, return_index=True)
         one = one[(ends - starts)[one] >= LEAST_BYTES]
