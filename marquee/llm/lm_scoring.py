@@ -33,9 +33,9 @@ PARTS = 1_000_000
 PARTITION_ENTRIES, SLICE_ROWS = 2_000_000, 60_000
 MARK = np.uint64(0)
 
-_ROWS = ("bucket int, slice string, words binary, lengths binary, nexts binary, docs binary, "
-         "times binary, own binary")
-_NAMES = ["bucket", "slice", "words", "lengths", "nexts", "docs", "times", "own"]
+_ROWS = ("bucket int, slices string, words binary, lengths binary, nexts binary, parts binary, "
+         "docs binary, times binary, own binary")
+_NAMES = ["bucket", "slices", "words", "lengths", "nexts", "parts", "docs", "times", "own"]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,12 +69,12 @@ def _packed(bits: int):
             times = np.diff(np.append(fresh, len(context)))
             context, after, owner, own = context[fresh], after[fresh], owner[fresh], own[fresh]
             # the slice's name: its first row's, which is the same when a task is repeated
-            yield from _rows(context, after, owner, times, own, batch.column("name")[0].as_py(), bits)
+            yield from _rows(context, after, owner, times, own, [batch.column("name")[0].as_py()], bits)
     return run
 
 
-def _rows(words, nexts, docs, times, own, name: str, bits: int) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by ``words``, one row per partition."""
+def _rows(words, nexts, docs, times, own, names: list[str], bits: int) -> Iterator[pa.RecordBatch]:
+    """Entries sorted by ``words``, one row per partition; docs are slice << 16 | document."""
     if not len(words):
         return
     bucket = (words >> np.uint64(63 - bits)).astype(np.int32)
@@ -83,25 +83,31 @@ def _rows(words, nexts, docs, times, own, name: str, bits: int) -> Iterator[pa.R
     for a, b in zip(cuts, cuts[1:]):
         part = words[a:b]
         begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        out.append((int(bucket[a]), name, part[begins].tobytes(),
+        out.append((int(bucket[a]), "\n".join(names), part[begins].tobytes(),
                     np.diff(np.append(begins, b - a)).astype(np.uint32).tobytes(),
-                    None if nexts is None else nexts[a:b].tobytes(), docs[a:b].astype(np.uint16).tobytes(),
+                    None if nexts is None else nexts[a:b].tobytes(),
+                    None if len(names) == 1 else (docs[a:b] >> 16).astype(np.uint32).tobytes(),
+                    (docs[a:b] & 0xFFFF).astype(np.uint16).tobytes(),
                     times[a:b].astype(np.uint32).tobytes(), own[a:b].astype(np.uint32).tobytes()))
-    kinds = [pa.int32(), pa.string()] + [pa.binary()] * 6
+    kinds = [pa.int32(), pa.string()] + [pa.binary()] * 7
     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], _NAMES)
 
 
 def _unpacked(table: pa.Table):
-    """(slice names, words, nexts, slice * 65536 + document, times, own) of all entries."""
+    """(slice names, words, nexts, slice << 16 | document, times, own) of all entries."""
     rows = table.select(_NAMES[1:]).to_pydict()
-    names = sorted(set(rows["slice"]))
+    lists = [s.split("\n") for s in rows["slices"]]
+    names = sorted({name for own in lists for name in own})
     place = {name: i for i, name in enumerate(names)}
 
     def joined(column, kind):
         return np.frombuffer(b"".join(x or b"" for x in rows[column]), kind)
 
-    docs = joined("docs", np.uint16).astype(np.int64)
-    docs += np.repeat([place[s] << 16 for s in rows["slice"]], [len(d) // 2 for d in rows["docs"]]).astype(np.int64)
+    slices = []
+    for own, parts, docs in zip(lists, rows["parts"], rows["docs"]):
+        here = np.array([place[name] for name in own], np.int64)
+        slices.append(np.full(len(docs) // 2, here[0]) if parts is None else here[np.frombuffer(parts, np.uint32)])
+    docs = joined("docs", np.uint16) + (np.concatenate(slices) << 16)
     return (names, np.repeat(joined("words", np.uint64), joined("lengths", np.uint32)), joined("nexts", np.uint64),
             docs, joined("times", np.uint32).astype(np.int64), joined("own", np.uint32).astype(np.int64))
 
@@ -135,20 +141,15 @@ def _met(bits: int):
         pairs = pairs[at] - times
         seen = pairs > 0
         terms = np.rint(np.log(pairs[seen] / elsewhere[seen]) * PARTS) * times[seen]
-        out = [(None, s, None, None, None, d, None, None, t) for s, d, t in _sums(names, docs[seen], terms)]
+        out = [(None, s, None, None, None, None, d, None, None, t) for s, d, t in _sums(names, docs[seen], terms)]
         rest = np.flatnonzero(~seen)
-        rest = rest[np.lexsort((nexts[rest], docs[rest] >> 16))]
-        slices = docs[rest] >> 16
-        for a, b in zip(*(lambda c: (c[:-1], c[1:]))([0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(rest)])):
-            part = rest[a:b]
-            if not len(part):
-                continue
-            for batch in _rows(nexts[part], None, docs[part] & 0xFFFF, times[part], own[part], names[slices[a]], bits):
-                out += [(*r.values(), None) for r in batch.to_pylist()]
+        rest = rest[np.lexsort((docs[rest], nexts[rest]))]
+        for batch in _rows(nexts[rest], None, docs[rest], times[rest], own[rest], names, bits):
+            out += [(*r.values(), None) for r in batch.to_pylist()]
         many = count > 1
         bucket = int(table.column("bucket")[0].as_py())
-        out.append((bucket, None, distinct[many].tobytes(), None, None, None, count[many].astype(np.uint64).tobytes(), None, None))
-        kinds = [pa.int32(), pa.string()] + [pa.binary()] * 7
+        out.append((bucket, None, distinct[many].tobytes(), None, None, None, None, count[many].astype(np.uint64).tobytes(), None, None))
+        kinds = [pa.int32(), pa.string()] + [pa.binary()] * 8
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [*_NAMES, "sums"])
     return run
 
@@ -156,8 +157,8 @@ def _met(bits: int):
 def _backed_off(total: int, texts: int):
     """Scores by the words' own counts; ``lengths`` of a table of words are null."""
     def run(table: pa.Table) -> pa.Table:
-        counts = table.filter(pa.compute.is_null(table.column("slice")))
-        asked = table.filter(pa.compute.is_valid(table.column("slice")))
+        counts = table.filter(pa.compute.is_null(table.column("slices")))
+        asked = table.filter(pa.compute.is_valid(table.column("slices")))
         known = np.frombuffer(b"".join(counts.column("words").to_pylist()), np.uint64)
         count = np.frombuffer(b"".join(counts.column("times").to_pylist()), np.uint64).astype(np.int64)
         out = []
@@ -217,7 +218,7 @@ def score(docs: DataFrame) -> DataFrame:
     met = materialize(met, "lm-met")
     rest = (met.where("sums is null").drop("sums").groupBy("bucket")
             .applyInArrow(_backed_off(total, texts), "slice string, docs binary, sums binary"))
-    sums = met.where("sums is not null").select("slice", "docs", "sums").unionByName(rest)
+    sums = met.where("sums is not null").select(F.col("slices").alias("slice"), "docs", "sums").unionByName(rest)
     added = (listed.groupBy("slice").cogroup(sums.groupBy("slice"))
              .applyInArrow(_added, "doc_id long, n_words long, micro long"))
     events = F.when(F.col("n_words") > 0, F.col("n_words") + 1)
