@@ -30,7 +30,7 @@ from marquee.plans.registry import Registry
 REGISTRY = Registry()
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Runs that a worker remembers before it starts anew.
-MOST_RUNS = 500_000
+MOST_RUNS = 150_000
 #: Longer words keep their ranks in a heap, so that cost stays near linear.
 SHORT_WORD = 200
 _NONE = np.int32((1 << 31) - 1)

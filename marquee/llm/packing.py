@@ -30,7 +30,7 @@ REGISTRY = Registry()
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY, END_ID = 1024, 2
 #: Words that a worker remembers before it starts anew.
-MOST_WORDS = 800_000
+MOST_WORDS = 200_000
 #: A length's ranks are dealt over this many parts, so that no length is one task.
 PARTS = 128
 #: A blank between two other characters: no token of this vocabulary crosses it.
