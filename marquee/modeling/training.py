@@ -133,7 +133,7 @@ def fit_trees(train: DataFrame, options: TrainOptions, *, weighted: bool) -> GBT
         featuresCol="features", labelCol="y_label", predictionCol="y_pred",
         stepSize=options.step, maxIter=options.iterations, maxDepth=options.max_depth,
         minInstancesPerNode=options.min_leaf, maxBins=options.max_bins, seed=options.seed,
-        checkpointInterval=10,
+        checkpointInterval=10, validationTol=1e-7,
     ).setValidationIndicatorCol("is_validation")
     if weighted:
         trees = trees.setWeightCol("weight")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marquee import config
 from marquee.functions import contains_text, size_mb
+from marquee.sources.documents import read_layer
 from marquee.sources import listing
 from marquee.sources.layout import SILVER_TABLES, Layout
 from marquee.sources.tables import row_count
@@ -146,7 +147,7 @@ def point_lookup(df: DataFrame, key: str, value: int) -> DataFrame:
     return df.where(F.col(key) == value)
 
 
-def title_search(docs: DataFrame, needle: str, *, limit: int | None = config.MAX_ERRORS) -> DataFrame:
+def title_search(docs: DataFrame, needle: str, *, limit: int | None = None) -> DataFrame:
     """Rows whose title or original title contains ``needle``, ignoring case, by id."""
     found = docs.where(contains_text(F.col("title"), needle)
                        | contains_text(F.col("original_title"), needle)).orderBy("id")
@@ -155,7 +156,7 @@ def title_search(docs: DataFrame, needle: str, *, limit: int | None = config.MAX
 
 def resolve_title(docs: DataFrame, needle: str) -> int:
     """The only id matching a title; none or several are errors that name the matches."""
-    ids = [row.id for row in title_search(docs, needle).select("id").collect()]
+    ids = [row.id for row in title_search(docs, needle, limit=config.MAX_ERRORS).select("id").collect()]
     if not ids:
         raise LookupError(f"no title contains {needle!r}")
     if len(ids) > 1:
@@ -168,7 +169,7 @@ def resolve_title(docs: DataFrame, needle: str) -> int:
 def layer_inventory(spark: SparkSession, layout: Layout) -> DataFrame:
     """Six rows, one per layer: path, files, size, rows and last change.
 
-    Bronze rows are file counts; discover pages have no row count. Folders written by
+    Bronze rows are documents, however many a file holds; discover pages have no row count. Folders written by
     Spark also hold marker files, so only data files are counted.
     """
     places = [(config.LAYERS[0], layout.discover, "*.json.gz"),
@@ -183,7 +184,7 @@ def layer_inventory(spark: SparkSession, layout: Layout) -> DataFrame:
         if label == config.LAYERS[0]:
             rows = F.lit(None).cast("bigint")
         elif label == config.LAYERS[1]:
-            rows = F.col("files")
+            rows = F.lit(read_layer(spark, uri).count()).cast("bigint")
         else:
             rows = F.lit(row_count(spark, uri)).cast("bigint")
         parts.append(stats.select(

@@ -25,10 +25,10 @@ def discover_scope(candidates: DataFrame, *, start_year: int = config.START_YEAR
     )
 
 
-def page_entries(pages: DataFrame, *, max_pages: int | None = config.MAX_DISCOVER_PAGES) -> DataFrame:
+def page_entries(pages: DataFrame, *, max_pages: int | None = None) -> DataFrame:
     """(id, page, pos) of every usable entry of the landed discover pages.
 
-    ``max_pages`` is the last page the catalogue serves; pages past it are not read.
+    ``max_pages`` leaves out later pages, such as those past the last one a catalogue serves.
     """
     served = pages if max_pages is None else pages.where(F.col("page") <= max_pages)
     return (

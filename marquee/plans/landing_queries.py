@@ -14,7 +14,7 @@ from marquee.plans.oracle_views import with_views
 from marquee.plans.order_tables import order_documents, table
 from marquee.plans.registry import REGISTRY
 from marquee.session import scratch_path
-from marquee.sources.documents import read_documents, write_documents
+from marquee.sources.documents import write_documents
 from marquee.sources.layout import Layout
 from marquee.streaming import landing
 
@@ -77,7 +77,7 @@ def stateful_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add(with_views(f"""
     SELECT 'Bronze / discover' AS layer, false AS has_files, NULL AS rows
-    UNION ALL SELECT 'Bronze / movies', true, NULL
+    UNION ALL SELECT 'Bronze / movies', true, (SELECT count(*) FROM docs)
     UNION ALL SELECT 'Silver / movies', true, (SELECT count(*) FROM scoped)
     UNION ALL SELECT 'Silver / cast', true, (SELECT count(*) FROM scoped)
     UNION ALL SELECT 'Silver / crew', true, (SELECT 2 * count(*) FROM scoped)
@@ -93,10 +93,9 @@ def layer_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = order_documents(spark, sf_dir)
     key = F.try_variant_get(F.try_parse_json("body"), "$.id", "bigint")
     write_documents(documents.withColumn("id", key), layout.documents)
-    raw = read_documents(spark, layout.documents, pattern="*.gz", one_per_file=False)
-    medallion.build_silver(spark, layout, raw=raw, start_year=START_YEAR, as_of=AS_OF,
+    medallion.build_silver(spark, layout, start_year=START_YEAR, as_of=AS_OF,
                            language=LANGUAGE)
     medallion.build_gold(spark, layout)
     listed = audit.layer_inventory(spark, layout)
     return listed.select("layer", (F.col("files") > 0).alias("has_files"),
-                         F.when(F.col("layer") != config.LAYERS[1], F.col("rows")).alias("rows"))
+                         "rows")

@@ -178,7 +178,7 @@ def layer_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, title, original_title FROM movies
     WHERE contains(lower(title), lower('uRgEnt for 1')) OR
           contains(lower(original_title), lower('uRgEnt for 1'))
-    ORDER BY id LIMIT 50"""))
+    ORDER BY id"""))
 def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.title_search(order_movies(spark, sf_dir), "uRgEnt for 1").select(
         "id", "title", "original_title")

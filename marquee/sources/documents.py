@@ -34,6 +34,13 @@ def read_documents(spark: SparkSession, uri: str, *, pattern: str = "*.json.gz",
                         F.col("value").alias("body"))
 
 
+def read_layer(spark: SparkSession, uri: str) -> DataFrame:
+    """All documents of a folder that may hold both layouts: one document per ``.json.gz``
+    file, and the line files (``.txt.gz``) that :func:`write_documents` makes."""
+    return read_documents(spark, uri).unionByName(
+        read_documents(spark, uri, pattern="*.txt.gz", one_per_file=False))
+
+
 def write_documents(docs: DataFrame, uri: str, *, id_column: str = "id",
                     body_column: str = "body", mode: str = "overwrite") -> None:
     """Write one JSON line per document into ``id_prefix=NNN`` folders, gzip-compressed.

@@ -6,6 +6,8 @@ documents go to a quarantine table with the reason, and the run continues.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,8 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from marquee.operators.intake import judged, split_readable
 from marquee.session import materialized
 
-LANDED_SCHEMA = "id bigint, source string, body string, batch bigint"
-QUARANTINE_SCHEMA = "source string, body string, reason string, batch bigint"
+LANDED_SCHEMA = "id bigint, source string, body string, run string, batch bigint"
+QUARANTINE_SCHEMA = "source string, body string, reason string, run string, batch bigint"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -34,9 +36,9 @@ def document_stream(spark: SparkSession, uri: str, *, pattern: str = "*.json.gz"
 
 
 def read_batches(spark: SparkSession, uri: str, schema: str) -> DataFrame:
-    """All micro-batches written so far, each in its own ``batch=N`` folder."""
+    """All micro-batches written so far, each in its own ``run=R/batch=N`` folder."""
     try:
-        return spark.read.schema(schema).option("basePath", uri).parquet(f"{uri}/batch=*")
+        return spark.read.schema(schema).option("basePath", uri).parquet(f"{uri}/run=*/batch=*")
     except AnalysisException as problem:
         if problem.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
@@ -58,8 +60,14 @@ def one_per_id(docs: DataFrame) -> DataFrame:
     return chosen.select("id", "doc.source", "doc.body")
 
 
-def land_batch(batch: DataFrame, number: int, landed_uri: str, quarantine_uri: str) -> None:
-    """Land one micro-batch. Repeating the same batch replaces exactly what it wrote.
+def run_name(checkpoint_uri: str) -> str:
+    """The name of the streams that share a checkpoint: their batches are numbered together."""
+    return hashlib.md5(checkpoint_uri.rstrip("/").encode()).hexdigest()[:16]
+
+
+def land_batch(batch: DataFrame, number: int, landed_uri: str, quarantine_uri: str,
+               run: str = "0") -> None:
+    """Land one micro-batch of a run. Repeating it replaces exactly what it wrote.
 
     The batch is judged and stored once, so the source is read once and the planner
     knows how many ids it holds: the id column of the landed table is filtered by a
@@ -70,20 +78,20 @@ def land_batch(batch: DataFrame, number: int, landed_uri: str, quarantine_uri: s
     with materialized(judged(batch.select("source", "body")), "batch") as stored:
         readable = stored.where("reason is null")
         known = (
-            read_landed(spark, landed_uri).where(F.col("batch") != number).select("id")
+            read_landed(spark, landed_uri).where((F.col("run") != run) | (F.col("batch") != number)).select("id")
             .join(readable.select("id").distinct(), "id", "left_semi").distinct()
         )
         fresh = one_per_id(readable).join(known, "id", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{landed_uri}/batch={number}")
+        fresh.write.mode("overwrite").parquet(f"{landed_uri}/run={run}/batch={number}")
         unusable = stored.where("reason is not null").select("source", "body", "reason")
-        unusable.write.mode("overwrite").parquet(f"{quarantine_uri}/batch={number}")
+        unusable.write.mode("overwrite").parquet(f"{quarantine_uri}/run={run}/batch={number}")
 
 
 def start_landing(stream: DataFrame, landed_uri: str, quarantine_uri: str,
                   checkpoint_uri: str) -> StreamingQuery:
     """Process everything that has arrived, remembering ids through the landed table."""
     def land(batch: DataFrame, number: int) -> None:
-        land_batch(batch, number, landed_uri, quarantine_uri)
+        land_batch(batch, number, landed_uri, quarantine_uri, run_name(checkpoint_uri))
 
     return (
         stream.writeStream.foreachBatch(land)
@@ -103,7 +111,8 @@ def start_stateful_landing(stream: DataFrame, landed_uri: str,
     unique = readable.dropDuplicates(["id"]).select("id", "source", "body")
 
     def land(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{landed_uri}/batch={number}")
+        batch.write.mode("overwrite").parquet(
+            f"{landed_uri}/run={run_name(checkpoint_uri)}/batch={number}")
 
     # A query keeps the provider it was started with, so the setting is put back at once.
     settings = stream.sparkSession.conf

@@ -129,3 +129,12 @@ def test_parsing_reads_each_body_once(spark):
 def test_empty_table_has_its_schema(spark, layout):
     frame = read_table(spark, layout.gold, "a int, b string")
     assert frame.columns == ["a", "b"] and frame.count() == 0
+
+
+def test_documents_of_both_layouts_are_read(spark, layout):
+    from marquee.sources.documents import read_layer
+    lines = spark.createDataFrame([(k, '{"id": %d}' % k) for k in range(1000, 1020)], "id long, body string")
+    write_documents(lines, layout.documents)
+    store(layout, film(5))
+    docs = silver.parse_documents(read_layer(spark, layout.documents))
+    assert sorted(r.id for r in docs.collect()) == [5, *range(1000, 1020)]

@@ -54,3 +54,13 @@ def test_stateful_landing(spark, layout):
                                        layout.uri("checkpoint")).awaitTermination()
     assert sorted(r.id for r in landing.read_landed(spark, layout.uri("landed")).collect()) == [1, 2, 3]
     assert spark.conf.get(landing.STATE_STORE) == before
+
+
+def test_a_second_stream_keeps_what_the_first_landed(spark, layout):
+    target, quarantine = layout.uri("landed"), layout.quarantine
+    first = spark.createDataFrame([("a", '{"id": 1}'), ("b", '{"id": 2}')], "source string, body string")
+    second = spark.createDataFrame([("c", '{"id": 2}'), ("d", '{"id": 3}')], "source string, body string")
+    landing.land_batch(first, 0, target, quarantine, landing.run_name("/one"))
+    landing.land_batch(second, 0, target, quarantine, landing.run_name("/two"))
+    landed = landing.read_landed(spark, target).collect()
+    assert sorted((r.id, r.source) for r in landed) == [(1, "a"), (2, "b"), (3, "d")]
