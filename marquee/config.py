@@ -32,29 +32,6 @@ FOLDS = 5
 TEST_FRACTION = 0.2
 VALIDATION_FRACTION = 0.15
 MIN_TRAINING_ROWS = 20
-DEFAULT_GENRES = ("Drama",)
-
-GENRES = (
-    "Action",
-    "Adventure",
-    "Animation",
-    "Comedy",
-    "Crime",
-    "Documentary",
-    "Drama",
-    "Family",
-    "Fantasy",
-    "History",
-    "Horror",
-    "Music",
-    "Mystery",
-    "Romance",
-    "Science Fiction",
-    "TV Movie",
-    "Thriller",
-    "War",
-    "Western",
-)
 
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun",
           "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")

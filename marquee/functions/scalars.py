@@ -78,7 +78,10 @@ def implied_roi(predicted: Column, budget: Column) -> Column:
 
 def id_prefix(entity_id: Column, width: int = config.ID_BUCKET_WIDTH) -> Column:
     """Folder key of an id: its integer quotient, zero-padded to at least three digits."""
-    return F.format_string("%03d", F.floor(entity_id / F.lit(width)).cast("bigint"))
+    number = entity_id.cast("bigint")
+    # Whole-number division: a double would lose ids above 2^53.
+    whole = F.call_function("div", number - F.pmod(number, F.lit(width)), F.lit(width))
+    return F.format_string("%03d", whole)
 
 
 def size_mb(size_in_bytes: Column) -> Column:

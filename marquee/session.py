@@ -34,13 +34,17 @@ def build_session(app_name: str = "marquee", master: str | None = None,
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a temporary folder is chosen once
-    and recorded on the session, so all callers agree on it.
+    Where the setting is absent in local mode (tests, a laptop) a temporary folder is
+    chosen once and recorded on the session, so all callers agree on it. On a cluster
+    its absence is an error: executors don't share a machine's folders.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("marquee.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder with master {master}")
         folder = tempfile.mkdtemp(prefix="marquee-")
         spark.conf.set("marquee.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -16,11 +17,41 @@ from marquee.sources.layout import Layout
 
 
 def overwrite_table(df: DataFrame, uri: str, *, partition_by: Sequence[str] = ()) -> None:
-    """Replace a Parquet table; readers see the old or the new files, never a mix."""
-    writer = df.write.mode("overwrite")
+    """Replace a Parquet table once the new one is whole.
+
+    The rows are written to a hidden sibling folder, which then takes the table's place by
+    renaming; a failed write leaves the old table as it was. Between the two renames a
+    reader may find no table. Stores without a rename of folders copy instead.
+    """
+    spark = df.sparkSession
+    parent, name = uri.rstrip("/").rsplit("/", 1)
+    mark = uuid.uuid4().hex
+    fresh, former = f"{parent}/_{name}-new-{mark}", f"{parent}/_{name}-old-{mark}"
+    writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(uri)
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    files = paths(uri).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def rename(source: str, target: str) -> None:
+        if not files.rename(paths(source), paths(target)):
+            raise OSError(f"can't rename {source} to {target}")
+
+    try:
+        writer.parquet(fresh)
+        replaced = files.exists(paths(uri))
+        if replaced:
+            rename(uri, former)
+        try:
+            rename(fresh, uri)
+        except Exception:
+            if replaced:
+                rename(former, uri)
+            raise
+    finally:
+        files.delete(paths(fresh), True)
+    files.delete(paths(former), True)
+    spark.catalog.refreshByPath(uri)
 
 
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:

@@ -113,7 +113,7 @@ def test_publish(spark, built, tmp_path):
 def test_csv_export(spark, built, tmp_path):
     export_csv(read_gold(spark, built.gold), str(tmp_path / "csv"))
     row = spark.read.option("header", True).csv(str(tmp_path / "csv")).first()
-    assert row.genres == "Action, Adventure" and row.title == "Film 1"
+    assert row.genres == "Mystery, War, Western" and row.title == "Harbour 1"
 
 
 def test_scope_constraints(spark):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from marquee import config
 from marquee.operators import gold as operators
 from marquee.plans import medallion
+from marquee.session import shared_folder
+from marquee.sources.sinks import overwrite_table
 from marquee.sources.tables import (
     MissingTable, read_gold, read_gold_for_analytics, read_silver, row_count, schema_listing,
 )
@@ -56,7 +58,7 @@ def test_unneeded_joins_are_left_out(spark, layout):
     slim = operators.build_gold(*tables, columns=("movie_id", "roi"))
     plan = slim._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "crew.parquet" not in plan
-    assert slim.first().roi == 4.0
+    assert slim.first().roi == 2.5
 
 
 def test_result_does_not_depend_on_partitioning(spark, layout):
@@ -85,3 +87,26 @@ def test_filters_reach_the_scan(spark, layout):
     plan = read_gold(spark, layout.gold).where(F.col("movie_id") == 2).select("roi")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(movie_id,2)" in text and "ReadSchema: struct<movie_id:bigint,roi:double>" in text
+
+
+def test_failed_rewrite_keeps_the_table(spark, tmp_path):
+    uri = str(tmp_path / "kept.parquet")
+    overwrite_table(spark.range(5), uri)
+    overwrite_table(spark.range(7), uri)
+    with pytest.raises(Exception, match="broken row"):
+        overwrite_table(spark.range(9).select(
+            F.when(F.col("id") < 8, F.col("id")).otherwise(F.raise_error(F.lit("broken row"))).alias("id")), uri)
+    assert spark.read.parquet(uri).count() == 7
+    assert [path.name for path in tmp_path.iterdir()] == ["kept.parquet"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="shared folder"):
+        shared_folder(Session())

@@ -1,5 +1,4 @@
 import math
-import random
 
 import numpy as np
 import pytest
@@ -21,30 +20,30 @@ COLUMNS = ("movie_id bigint, budget_musd double, runtime int, release_month int,
 
 
 def films(spark, n):
-    rng = random.Random(7)
-    genres = [["Action"], ["Drama"], ["Action", "Drama"], ["Comedy"], ["Horror", "Drama"], []]
+    """Rows spread evenly by multiples of irrational numbers; returns fall with the budget."""
     rows = []
-    for number in range(n):
-        budget = rng.uniform(1, 200)
-        kinds = rng.choice(genres)
-        revenue = max(0.5, budget * (0.8 + 0.6 * ("Action" in kinds)) + rng.gauss(0, 15))
-        rating = min(9.5, max(1.0, 6 + 0.02 * budget + rng.gauss(0, 0.5)))
-        rows.append((number, budget, rng.randrange(80, 160), rng.randrange(1, 13), kinds,
-                     f"Dir{rng.randrange(8)}", f"Studio{rng.randrange(6)}", f"Lead{rng.randrange(12)}",
-                     revenue, rating, rng.randrange(50, 5000)))
+    for number in range(1, n + 1):
+        budget = 3 + 97 * (number * math.sqrt(2) % 1)
+        liking = number * math.sqrt(3) % 1
+        kinds = [name for bit, name in enumerate(["Mystery", "War", "Western", "Family"]) if number >> bit & 1]
+        revenue = 1.5 + 2.2 * budget - 0.012 * budget ** 2 + 9 * liking
+        rating = 3.5 + 4 * liking + 0.8 * ("War" in kinds)
+        rows.append((number - 1, budget, 75 + number * 37 % 95, 1 + number * 5 % 12, kinds,
+                     f"Director {number * 11 % 7}", f"House {number * number % 5}", f"Actor {number % 13}",
+                     revenue, rating, 30 + number * number * 17 % 2900))
     return spark.createDataFrame(rows, COLUMNS)
 
 
 @pytest.fixture(scope="module")
 def gold(spark):
-    return films(spark, 80)
+    return films(spark, 96)
 
 
 def test_feature_frame(spark, gold):
     spec = fit_vocabulary(gold, k=3)
-    assert len(spec.genres) == 3 and "Drama" in spec.genres
+    assert len(spec.genres) == 3 and {"Mystery", "War"} <= set(spec.genres)
     frame = feature_frame(gold, spec, keep=["movie_id"])
-    assert frame.columns == ["movie_id", *spec.columns] and frame.count() == 80
+    assert frame.columns == ["movie_id", *spec.columns] and frame.count() == 96
     hot = frame.select(*spec.multi_hot_columns).collect()
     assert {value for row in hot for value in row} == {0, 1}
     assert fit_vocabulary(gold.select("movie_id")).genres == ()
@@ -65,8 +64,8 @@ def test_scenario_features(spark):
 def test_training_rows(spark, gold):
     holes = gold.withColumn("revenue_musd", F.when(F.col("movie_id") < 5, 0.0)
                             .when(F.col("movie_id") > 9, F.col("revenue_musd")))
-    assert training_rows(holes, "revenue_musd").count() == 70
-    assert training_rows(holes, "vote_average").count() == 80
+    assert training_rows(holes, "revenue_musd").count() == 86
+    assert training_rows(holes, "vote_average").count() == 96
 
 
 def test_split_ignores_partitioning(gold):
@@ -86,7 +85,7 @@ def shrunk(values, prior_values):
 def test_out_of_fold_encoding_matches_numpy(gold):
     named = with_split(gold)
     rows = oof_target_encode(named, ["director_name"], "vote_average").collect()
-    assert len(rows) == 80
+    assert len(rows) == 96
     for row in rows:
         others = [r for r in rows if r.encoder_fold != row.encoder_fold]
         same = [r.vote_average for r in others if r.director_name == row.director_name]
@@ -186,7 +185,7 @@ def test_training_end_to_end(spark, gold, tmp_path):
     gold_table.write.parquet(layout.gold)
     fitted = training.train_from_layout(spark, layout, options)
     counts = fitted["revenue"].counts
-    assert counts["n_train"] + counts["n_test"] == counts["n_rows"] == 80
+    assert counts["n_train"] + counts["n_test"] == counts["n_rows"] == 96
     splits = {(r.target, r.split) for r in spark.read.parquet(layout.metrics).collect()}
     assert ("revenue", "holdout, original units") in splits and ("rating", "cross-validation") in splits
     assert ("rating", "holdout, original units") not in splits
@@ -200,7 +199,7 @@ def test_training_end_to_end(spark, gold, tmp_path):
     revenue = training.load(spark, layout.model("revenue"))
     rating = training.load(spark, layout.model("rating"))
     scenarios = spark.createDataFrame([
-        (1, 60.0, 110.0, 6, ["Action"], "Dir1", "Studio1", "Lead1"),
+        (1, 60.0, 110.0, 6, ["War"], "Director 1", "House 1", "Actor 1"),
         (2, 0.0, 90.0, 1, [], "Never Seen", None, ""),
     ], SCENARIO_SCHEMA)
     rows = {r.scenario_id: r for r in training.score_scenarios(revenue, rating, scenarios).collect()}
