@@ -3,8 +3,8 @@
 A word's state is the row of its parts and, beside it, the merge rank of each adjacent
 pair of parts. The smallest rank is found by scanning, its inner boundary is deleted,
 and the two neighbouring ranks are looked up anew. Words are short, so a scan of a small
-contiguous row beats any tree; and many words are rows of one array, merged in step. Text is read by runs between white space, which no token
-crosses; a bounded table in each worker remembers the runs seen so far.
+contiguous row beats any tree; and many words are rows of one array, merged in step. A bounded table
+in each worker remembers the words seen so far.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import json
 import struct
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,8 @@ from marquee.plans.registry import Registry
 
 REGISTRY = Registry()
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Runs that a worker remembers before it starts anew.
-MOST_RUNS = 150_000
+#: Words that a worker remembers before it starts anew.
+MOST_WORDS = 300_000
 #: Longer words keep their ranks in a heap, so that cost stays near linear.
 SHORT_WORD = 200
 _NONE = np.int32((1 << 31) - 1)
@@ -45,22 +45,28 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+#: Fixed value: how byte-level vocabularies without a pattern of their own split text.
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class WordBpe:
-    """Encoder and decoder for a vocabulary file with word-end marks.
+    """Encoder for a byte-level vocabulary file, and decoder for one with word-end marks.
 
-    Normalisation is NFC, then lower case character by character; ``split`` finds words;
-    added tokens are matched in the raw text first. ``decode`` joins tokens by a blank,
-    as a vocabulary without decoder does.
+    Where the file asks for it, normalisation is NFC, then lower case character by
+    character; ``split`` finds words; added tokens are matched in the raw text first.
+    ``decode`` joins tokens by a blank, as a vocabulary without decoder does.
     """
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
-        ids, end = model["vocab"], model["end_of_word_suffix"]
+        ids, end = model["vocab"], model["end_of_word_suffix"] or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {number: token for token, number in (ids | self.added).items()}
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.folds = spec["normalizer"] is not None
+        steps = spec["pre_tokenizer"].get("pretokenizers")
+        self.split = regex.compile(steps[0]["pattern"]["Regex"] if steps else BYTE_LEVEL_SPLIT)
         self.find_added = regex.compile("|".join(map(regex.escape, self.added)) or r"(?!)")
         letters = byte_letters()
         #: The id of each byte within a word, and as its last byte.
@@ -71,8 +77,13 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.key_ranks = keys[order], order.astype(np.int32)
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int32)
-        self.runs: dict[str, bytes] = {}
-        self.texts = _TextRuns(self)
+        self.words: dict[str, bytes] = {}
+        self.marks = {f"\0 {number}": struct.pack("<I", number) for number in self.added.values()}
+        self.texts = _WordTexts(self)
+
+    @cached_property
+    def _rank_of(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.key_ranks.tolist()))
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merge rank of each pair of ids, _NONE where they don't merge."""
@@ -143,7 +154,7 @@ class WordBpe:
         ids = self.inner[np.frombuffer(word, np.uint8)].tolist()
         ids[-1] = int(self.last[word[-1]])
         after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
-        rank_of = dict(zip(self.keys.tolist(), self.key_ranks.tolist()))
+        rank_of = self._rank_of
         heap = []
 
         def push(a):
@@ -167,45 +178,42 @@ class WordBpe:
                 push(before[a])
         return np.array([i for i in ids if i >= 0], "<i4").tobytes()
 
-    def encode_runs(self, runs: list[str]) -> list[bytes]:
-        """Packed ids of runs without white space."""
-        words: dict[bytes, int] = {}
-        taken = []
-        for run in runs:
-            parts, at = [], 0
-            for found in self.find_added.finditer(run) if "<|" in run else ():
-                parts += self._plain_words(run[at:found.start()], words)
-                parts.append(-1 - self.added[found[0]])
-                at = found.end()
-            taken.append(parts + self._plain_words(run[at:], words))
-        packed = self.encode_words(list(words))
-        return [b"".join([packed[k] if k >= 0 else struct.pack("<I", -1 - k) for k in parts])
-                for parts in taken]
-
-    def _plain_words(self, run: str, words: dict[bytes, int]) -> list[int]:
-        if not run.isascii():
-            run = unicodedata.normalize("NFC", run)
-            run = "".join(c.lower() for c in run) if "Σ" in run else run.lower()
-        else:
-            run = run.lower()
-        return [words.setdefault(w.encode(), len(words)) for w in self.split.findall(run)]
-
-    def encode(self, texts: list[str]) -> tuple[list[list[bytes]], list[bytes]]:
-        """Per text the packed ids of its runs, and all of its ids together."""
-        pieces = [[p for p in _SPACE.split(t) if p] if _SEPARATORS.search(t) else t.split() for t in texts]
-        if len(self.runs) > MOST_RUNS:
-            self.runs.clear()
+    def split_words(self, text: str) -> list[str]:
+        """The words of a text; an added token is NUL, blank and its id, which no word is."""
+        if "<|" not in text:
+            return self._plain_words(text)
+        words, at = [], 0
+        for found in self.find_added.finditer(text):
+            words += self._plain_words(text[at:found.start()])
+            words.append(f"\0 {self.added[found[0]]}")
+            at = found.end()
+        return words + self._plain_words(text[at:])
+
+    def _plain_words(self, text: str) -> list[str]:
+        if not self.folds:
+            return self.split.findall(text)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+            if "Σ" in text:
+                return self.split.findall("".join([c.lower() for c in text]))
+        return self.split.findall(text.lower())
+
+    def encode(self, texts: list[str]) -> list[list[bytes]]:
+        """Per text the packed ids of its words."""
+        split = [self.split_words(t) for t in texts]
+        if len(self.words) > MOST_WORDS:
+            self.words.clear()
             self.texts.clear()
-        new = list({p for own in pieces for p in own}.difference(self.runs))
-        self.runs.update(zip(new, self.encode_runs(new)))
-        runs = [list(map(self.runs.__getitem__, own)) for own in pieces]
-        return runs, [b"".join(own) for own in runs]
+        self.words.update(self.marks)
+        new = list(set().union(*split).difference(self.words))
+        self.words.update(zip(new, self.encode_words([w.encode() for w in new])))
+        return [list(map(self.words.__getitem__, own)) for own in split]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.tokens[i] for i in ids])
 
 
-class _TextRuns(dict):
+class _WordTexts(dict):
     """Ids as little-endian 32-bit integers -> their decoded text in UTF-8."""
 
     def __init__(self, bpe: WordBpe) -> None:
@@ -216,11 +224,6 @@ class _TextRuns(dict):
         return text
 
 
-#: The white space of Unicode; str.split() would also split at U+001C to U+001F.
-_SPACE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
-_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
-
-
 @lru_cache(maxsize=2)
 def _bpe(path: str) -> WordBpe:
     return WordBpe(path)
@@ -230,8 +233,9 @@ def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path)
         for batch in text_slices(batches):
-            runs, ids = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
-            texts = [b" ".join(map(bpe.texts.__getitem__, own)) for own in runs]
+            words = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
+            ids = [b"".join(own) for own in words]
+            texts = [b" ".join(map(bpe.texts.__getitem__, own)) for own in words]
             yield pa.record_batch([
                 batch.column("doc_id").cast(pa.int64()),
                 pa.array([len(x) // 4 for x in ids], pa.int64()),
@@ -256,7 +260,8 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path)
         for batch in text_slices(batches):
-            ids = [np.frombuffer(x, "<i4") for x in bpe.encode([t or "" for t in batch.column("text").to_pylist()])[1]]
+            words = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
+            ids = [np.frombuffer(b"".join(own), "<i4") for own in words]
             yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
     return run
 
