@@ -22,27 +22,25 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.texts import documents
+from marquee.llm.bpe import WordBpe
+from marquee.llm.texts import documents, text_slices
 from marquee.plans.registry import Registry
 from marquee.session import materialize
 
 REGISTRY = Registry()
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY, END_ID = 1024, 2
-#: Words that a worker remembers before it starts anew.
-MOST_WORDS = 200_000
 #: A length's ranks are dealt over this many parts, so that no length is one task.
 PARTS = 128
-#: A blank between two other characters: no token of this vocabulary crosses it.
-_CUT = regex.compile(r"(?<=\S) (?=\S)")
+_RARE = regex.compile("[^\\x00-\u052f\u1e00-\u2bff\u3000-\u9fef\uac00-\ud7a3\U0001f000-\U0001faff]")
+_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 
 
-class WordIds:
-    """Ids of texts, from the ids of their blank-separated words.
+class TextIds:
+    """Ids of texts: distinct words once, texts of rare characters by the library.
 
-    A token takes at most the one blank before a word, so text cut before each single
-    blank encodes piece by piece. Where blanks are doubled or meet other white space
-    the cut is made only at single ones.
+    The library's Unicode tables may be of another year than ours; in the blocks left to
+    us, letters and digits have been settled for long.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,36 +48,19 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.inner: dict[str, bytes | None] = {}
-        self.first: dict[str, bytes] = {}
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes()
-                for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.bpe = WordBpe(path)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.split(" ") for t in texts]
-        if len(self.inner) > MOST_WORDS:
-            self.inner.clear()
-        new = {w for words in split for w in words[1:]}.difference(self.inner)
-        tidy = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        self.inner.update(dict.fromkeys(new))
-        self.inner.update(zip(tidy, self._packed([" " + w for w in tidy])))
-        first = self._packed([words[0] for words in split])
-        out = []
-        for text, words, head in zip(texts, split, first):
-            parts = [head, *map(self.inner.__getitem__, words[1:])]
-            if None in parts or words[0] == "" or words[0][-1].isspace():
-                pieces = _CUT.split(text)
-                parts = self._packed([pieces[0], *(" " + p for p in pieces[1:])])
-            out.append(b"".join(parts))
-        return out
+        rare = [not t.isascii() and _RARE.search(t) is not None or _SEPARATORS.search(t) is not None for t in texts]
+        ours = iter(self.bpe.encode([t for t, r in zip(texts, rare) if not r]))
+        theirs = iter(self.library.encode_batch_fast([t for t, r in zip(texts, rare) if r], add_special_tokens=False))
+        return [array("I", next(theirs).ids).tobytes() if r else b"".join(next(ours)) for r in rare]
 
 
 @lru_cache(maxsize=2)
-def _words(path: str) -> WordIds:
-    return WordIds(path)
+def _encoder(path: str) -> TextIds:
+    return TextIds(path)
 
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -89,22 +70,20 @@ def _pieces(path: str, capacity: int, end_id: int):
     tail = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(path)
-        for batch in batches:
-            for begun in range(0, len(batch), 500):
-                part = batch.slice(begun, 500)
-                rows = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(),
-                                    words.encode([t or "" for t in part.column("text").to_pylist()])):
-                    ids += tail
-                    n = len(ids) // 4
-                    at, size, piece = 0, n % capacity or capacity, 0
-                    while at < n:
-                        rows.append((doc, piece, at, size, zlib.crc32(ids[4 * at:4 * (at + size)])))
-                        at, size, piece = at + size, capacity, piece + 1
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                      ["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder = _encoder(path)
+        for batch in text_slices(batches):
+            rows = []
+            for doc, ids in zip(batch.column("doc_id").to_pylist(),
+                                encoder.encode([t or "" for t in batch.column("text").to_pylist()])):
+                ids += tail
+                n = len(ids) // 4
+                at, size, piece = 0, n % capacity or capacity, 0
+                while at < n:
+                    rows.append((doc, piece, at, size, zlib.crc32(ids[4 * at:4 * (at + size)])))
+                    at, size, piece = at + size, capacity, piece + 1
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                  ["doc_id", "piece", "start", "length", "ids_crc32"])
     return run
 
 
