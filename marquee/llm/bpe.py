@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -49,6 +50,13 @@ def byte_letters() -> list[str]:
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def ascii_pattern(pattern: str) -> re.Pattern:
+    """``pattern`` for ASCII texts, which the standard engine reads twice as fast."""
+    for name, own in ((r"\p{L}", "A-Za-z"), (r"\p{N}", "0-9")):
+        pattern = pattern.replace(f"[{name}]", f"[{own}]").replace(f" ?{name}", f" ?[{own}]").replace(name, own)
+    return re.compile(pattern, re.ASCII)
+
+
 class WordBpe:
     """Encoder for a byte-level vocabulary file, and decoder for one with word-end marks.
 
@@ -66,7 +74,8 @@ class WordBpe:
         self.tokens = {number: token for token, number in (ids | self.added).items()}
         self.folds = spec["normalizer"] is not None
         steps = spec["pre_tokenizer"].get("pretokenizers")
-        self.split = regex.compile(steps[0]["pattern"]["Regex"] if steps else BYTE_LEVEL_SPLIT)
+        pattern = steps[0]["pattern"]["Regex"] if steps else BYTE_LEVEL_SPLIT
+        self.split, self.split_ascii = regex.compile(pattern), ascii_pattern(pattern)
         self.find_added = regex.compile("|".join(map(regex.escape, self.added)) or r"(?!)")
         letters = byte_letters()
         #: The id of each byte within a word, and as its last byte.
@@ -190,13 +199,14 @@ class WordBpe:
         return words + self._plain_words(text[at:])
 
     def _plain_words(self, text: str) -> list[str]:
-        if not self.folds:
-            return self.split.findall(text)
-        if not text.isascii():
+        if text.isascii():
+            return self.split_ascii.findall(text.lower() if self.folds else text)
+        if self.folds:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
                 return self.split.findall("".join([c.lower() for c in text]))
-        return self.split.findall(text.lower())
+            text = text.lower()
+        return self.split.findall(text)
 
     def encode(self, texts: list[str]) -> list[list[bytes]]:
         """Per text the packed ids of its words."""
