@@ -31,7 +31,8 @@ def silver_rules(*, start_year: int = config.START_YEAR, as_of: dt.date | None =
     return [
         (~spoken.eqNullSafe(F.lit(language)),
          F.concat(F.lit("language is "), _said(spoken), F.lit(f", not {language}"))),
-        (F.coalesce("adult", F.lit(False)), F.lit("adult content")),
+        (F.coalesce("adult", F.lit(True)),
+         F.when(F.col("adult").isNull(), "adult flag missing").otherwise("adult content")),
         (released.isNull(), F.lit("release date missing or unreadable")),
         (released < first_day, F.concat(F.lit("released "), _said(released), F.lit(", before "),
                                         _said(first_day))),
@@ -41,10 +42,10 @@ def silver_rules(*, start_year: int = config.START_YEAR, as_of: dt.date | None =
 
 
 def gold_rules(*, min_budget: float = config.MIN_BUDGET) -> list[tuple[Column, Column]]:
-    """(violated?, message) per Gold rule."""
+    """(violated?, message) per Gold rule; a missing amount fails, as in the Gold build."""
     return [
-        (F.col("budget") < min_budget, F.lit(f"budget below {min_budget}")),
-        (F.col("revenue") <= 0, F.lit("no revenue")),
+        (~F.coalesce(F.col("budget") >= min_budget, F.lit(False)), F.lit(f"budget below {min_budget}")),
+        (~F.coalesce(F.col("revenue") > 0, F.lit(False)), F.lit("no revenue")),
     ]
 
 
@@ -119,8 +120,10 @@ def trace_layers(bronze: DataFrame, silver: DataFrame, gold: DataFrame, *,
     )
     keeps_silver = (F.when(F.col("in_bronze") == 0, "unknown")
                     .when(F.col("why_not_silver") == "", "keep").otherwise("drop"))
-    why_not_gold = F.array_join(broken_rules(gold_rules(min_budget=min_budget)), "; ")
-    keeps_gold = (F.when(F.col("budget").isNull(), "unknown")
+    unseen = (F.col("in_bronze") == 0) & (F.col("in_silver") == 0)
+    why_not_gold = F.when(unseen, "").otherwise(
+        F.array_join(broken_rules(gold_rules(min_budget=min_budget)), "; "))
+    keeps_gold = (F.when(unseen, "unknown")
                   .when(why_not_gold == "", "keep").otherwise("drop"))
     note = (
         F.when((F.col("in_bronze") > 1) | (F.col("in_silver") > 1) | (F.col("in_gold") > 1),
@@ -131,6 +134,8 @@ def trace_layers(bronze: DataFrame, silver: DataFrame, gold: DataFrame, *,
         .when((F.col("in_silver") == 0) & (keeps_silver == "keep"),
               "missing from Silver without a reason")
         .when((F.col("in_silver") > 0) & (keeps_silver == "drop"), "in Silver against the rules")
+        .when((F.col("in_gold") > 0) & (keeps_gold == "drop"), "in Gold against the rules")
+        .when(F.col("in_bronze") == 0, "missing from Bronze")
         .otherwise("consistent")
     )
     return per_id.select(
@@ -226,6 +231,7 @@ def scope_constraints(spark: SparkSession, *, start_year: int = config.START_YEA
                       language: str = config.LANGUAGE) -> DataFrame:
     """The rules a row had to pass, as (rule, value)."""
     return spark.createDataFrame([
+        ("Media type", "films only"),
         ("Language", f"original_language = {language}"),
         ("Adult content", "excluded"),
         ("Release window", f"{start_year} to the run date"),

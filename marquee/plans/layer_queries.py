@@ -213,9 +213,11 @@ _RULES = {"start_year": START_YEAR, "min_budget": MIN_BUDGET, "language": LANGUA
     UNION ALL SELECT 'Release window', '1996 to the run date',
              count(*) FILTER (WHERE release_date BETWEEN DATE '1996-01-01' AND DATE '2000-06-30') FROM movies
     UNION ALL SELECT 'Gold budget floor', 'budget >= 10,000', count(*) FILTER (WHERE budget >= 10000) FROM movies
-    UNION ALL SELECT 'Gold revenue floor', 'revenue > 0', count(*) FILTER (WHERE revenue > 0) FROM movies"""))
+    UNION ALL SELECT 'Gold revenue floor', 'revenue > 0', count(*) FILTER (WHERE revenue > 0) FROM movies
+    UNION ALL SELECT unnest(['Media type', 'Release granularity', 'Candidate votes', 'Sample cap']),
+             unnest(['films only', 'month', 'vote_count >= 10', '10,000']), CAST(NULL AS BIGINT)"""))
 def scope_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule table next to how many orders pass each rule on its own."""
+    """The rule table next to how many orders pass each rule that tests rows, on its own."""
     passing = order_movies(spark, sf_dir).select(F.inline(F.array(*[
         F.struct(F.lit(rule).alias("rule"), F.coalesce(passes, F.lit(False)).alias("passes"))
         for rule, passes in {
@@ -228,4 +230,4 @@ def scope_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
         }.items()
     ]))).groupBy("rule").agg(F.count_if("passes").alias("passing"))
     rules = audit.scope_constraints(spark, **_RULES)
-    return rules.join(F.broadcast(passing), "rule").select("rule", "value", "passing")
+    return rules.join(F.broadcast(passing), "rule", "left").select("rule", "value", "passing")

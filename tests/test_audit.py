@@ -3,6 +3,7 @@ import time
 
 import pytest
 from conftest import film, store
+from pyspark.sql import functions as F
 
 from marquee import config
 from marquee.operators import audit, silver
@@ -120,3 +121,16 @@ def test_scope_constraints(spark):
     rules = {r.rule: r.value for r in audit.scope_constraints(spark).collect()}
     assert rules["Gold budget floor"] == "budget >= 100,000" and rules["Sample cap"] == "10,000"
     assert rules["Candidate votes"] == "vote_count >= 10" and "1980" in rules["Release window"]
+
+
+def test_missing_amounts_and_forbidden_gold_rows(spark, built):
+    docs = silver.parse_documents(read_documents(spark, built.documents))
+    movies = read_silver(spark, built.silver("movies"), "movies")
+    gold = read_gold(spark, built.gold)
+    without = movies.withColumn("budget", F.lit(None).cast(movies.schema["budget"].dataType))
+    row = next(r for r in audit.trace_layers(docs.withColumn("budget", F.lit(None).cast(docs.schema["budget"].dataType)),
+                                             without, gold, as_of=AS_OF).collect() if r.id == 1)
+    assert row.gold_expected == "drop" and "budget below" in row.why_not_gold
+    assert row.note == "in Gold against the rules"
+    alone = {r.id: r for r in audit.trace_layers(docs.where("id <> 1"), movies, gold, as_of=AS_OF).collect()}
+    assert alone[1].silver_expected == "unknown" and alone[1].note == "missing from Bronze"
