@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
+from pyspark import SparkContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (
     GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel,
@@ -45,6 +46,8 @@ RATING = TargetPlan("rating", "vote_average", "User rating (0-10)", weight="vote
 class TrainOptions:
     iterations: int = 500
     step: float = 0.05
+    patience: int = 25
+    tolerance: float = 1e-7
     min_leaf: int = 10
     max_depth: int = 5
     max_bins: int = 256
@@ -126,18 +129,62 @@ def labelled_rows(gold: DataFrame, plan: TargetPlan, options: TrainOptions,
 
 # --- fitting -----------------------------------------------------------------------
 
+def rounds_kept(errors: Sequence[float], patience: int, tolerance: float) -> int | None:
+    """Rounds until the last ``patience`` of them all failed to gain on the one before them."""
+    for kept in range(patience + 1, len(errors) + 1):
+        bound = errors[kept - patience - 1] - tolerance
+        if not any(error < bound for error in errors[kept - patience:kept]):
+            return kept
+    return None
+
+
+def _first_rounds(trees: GBTRegressor, model: GBTRegressionModel, kept: int) -> GBTRegressionModel:
+    java = model._java_obj
+    context = SparkContext._active_spark_context
+    jvm = context._jvm.org.apache.spark.ml.regression
+    first = context._gateway.new_array(jvm.DecisionTreeRegressionModel, kept)
+    weights = context._gateway.new_array(context._jvm.double, kept)
+    every, factors = java.trees(), java.treeWeights()
+    for number in range(kept):
+        first[number], weights[number] = every[number], factors[number]
+    cut = jvm.GBTRegressionModel(java.uid(), first, weights, java.numFeatures())
+    named = trees._copyValues(GBTRegressionModel(cut))
+    named._transfer_params_to_java()
+    return named
+
+
 def fit_trees(train: DataFrame, options: TrainOptions, *, weighted: bool) -> GBTRegressionModel:
-    """Boosted trees that stop early on the validation share of the training rows."""
+    """Boosted trees that stop early on the validation share of the training rows.
+
+    Boosting ends once ``patience`` rounds in a row gain nothing on the validation rows, and
+    keeps the rounds up to there. Spark itself would stop at the first round without a gain,
+    so a fit of some rounds is judged here, and one of all ``iterations`` where that did not end.
+    """
     shared_folder(train.sparkSession)   # boosting checkpoints its lineage there
-    trees = GBTRegressor(
-        featuresCol="features", labelCol="y_label", predictionCol="y_pred",
-        stepSize=options.step, maxIter=options.iterations, maxDepth=options.max_depth,
-        minInstancesPerNode=options.min_leaf, maxBins=options.max_bins, seed=options.seed,
-        checkpointInterval=10, validationTol=1e-7,
-    ).setValidationIndicatorCol("is_validation")
-    if weighted:
-        trees = trees.setWeightCol("weight")
-    return trees.fit(as_vectors(train))
+    vectors = materialize(as_vectors(train), "vectors")
+    fitted_on = vectors.where(~F.col("is_validation"))
+    judged_on = vectors.where("is_validation")
+    stops = not judged_on.isEmpty()
+    rounds = min(options.iterations, 4 * options.patience) if stops else options.iterations
+    while True:
+        trees = GBTRegressor(
+            featuresCol="features", labelCol="y_label", predictionCol="y_pred",
+            stepSize=options.step, maxIter=rounds, maxDepth=options.max_depth,
+            minInstancesPerNode=options.min_leaf, maxBins=options.max_bins, seed=options.seed,
+            checkpointInterval=10,
+        )
+        if weighted:
+            trees = trees.setWeightCol("weight")
+        model = trees.fit(fitted_on)
+        if not stops:
+            return model
+        kept = rounds_kept(model.evaluateEachIteration(judged_on, "squared"), options.patience,
+                           options.tolerance)
+        if kept is not None:
+            return _first_rounds(trees, model, kept)
+        if rounds == options.iterations:
+            return model
+        rounds = options.iterations
 
 
 def fit_ridge(train: DataFrame, options: TrainOptions) -> LinearRegressionModel:

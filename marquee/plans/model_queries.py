@@ -265,8 +265,7 @@ def axis_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- models: no SQL twin ---------------------------------------------------------
 
-# Fewer boosting rounds keep a check run short; all rows take part in every fit.
-_SHORT = training.TrainOptions(iterations=8, cross_validate=False, importance=False)
+_OPTIONS = training.TrainOptions()
 
 
 def _gold_for_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,19 +275,19 @@ def _gold_for_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labelled(gold: DataFrame, plan: training.TargetPlan):
     spec = fit_vocabulary(gold)
-    return spec, training.labelled_rows(gold, plan, _SHORT, spec)
+    return spec, training.labelled_rows(gold, plan, _OPTIONS, spec)
 
 
 @REGISTRY.add()
 def gbt_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.train_target(_gold_for_models(spark, sf_dir), training.RATING, _SHORT).metrics
+    return training.train_target(_gold_for_models(spark, sf_dir), training.RATING, _OPTIONS).metrics
 
 
 @REGISTRY.add()
 def ridge_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec, rows = _labelled(_gold_for_models(spark, sf_dir), training.REVENUE)
     data = training.prepare(rows, spec, F.col("is_holdout"), key="movie_id")
-    ridge = training.fit_ridge(data.train, _SHORT)
+    ridge = training.fit_ridge(data.train, _OPTIONS)
     predicted = ridge.transform(training.as_vectors(data.test))
     return evaluation.regression_metrics(predicted, actual="y_label")
 
@@ -296,23 +295,20 @@ def ridge_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add()
 def cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec, rows = _labelled(_gold_for_models(spark, sf_dir), training.REVENUE)
-    return training.cross_validated(rows, spec, _SHORT)
+    return training.cross_validated(rows, spec, _OPTIONS)
 
 
 @REGISTRY.add()
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec, rows = _labelled(_gold_for_models(spark, sf_dir), training.REVENUE)
-    data = training.prepare(rows, spec, F.col("is_holdout"), key="movie_id")
-    ridge = training.fit_ridge(data.train, _SHORT)
-    return evaluation.permutation_importance(
-        data.test.select("movie_id", F.col("y_label").alias("y_true"), "features"),
-        ridge.transform, spec.columns)
+    """Of the fitted trees, on the holdout."""
+    return training.train_target(
+        _gold_for_models(spark, sf_dir), training.REVENUE, _OPTIONS).importance
 
 
 @REGISTRY.add()
 def score_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = _gold_for_models(spark, sf_dir)
-    revenue = training.train_target(gold, training.REVENUE, _SHORT)
-    rating = training.train_target(gold, training.RATING, _SHORT)
+    revenue = training.train_target(gold, training.REVENUE, _OPTIONS)
+    rating = training.train_target(gold, training.RATING, _OPTIONS)
     return training.score_scenarios(revenue, rating, _scenarios(spark, sf_dir)).select(
         "scenario_id", "predicted_revenue_musd", "predicted_rating", "implied_roi")

@@ -215,3 +215,42 @@ def test_too_little_data_is_refused(spark, gold):
         training.train_target(gold.limit(10), training.RATING)
     with pytest.raises(ValueError, match="empty"):
         training.train(gold.limit(0))
+
+
+def test_boosting_ends_after_a_patience_of_rounds():
+    assert training.rounds_kept([5.0, 5.0, 4.0, 3.0, 2.0], 2, 1e-7) is None
+    assert training.rounds_kept([5.0, 5.0, 4.0, 4.0, 4.5, 3.0], 2, 1e-7) == 5
+    assert training.rounds_kept([5.0, 4.0], 2, 1e-7) is None
+
+
+def test_trees_are_cut_where_the_patience_ran_out(spark, tmp_path):
+    rows = spark.range(200).select(
+        (F.xxhash64("id") % 100).cast("double").alias("y_label"), F.lit(1.0).alias("weight"),
+        (F.col("id") % 5 == 0).alias("is_validation"),
+        F.array(F.xxhash64("id", F.lit("a")) % 50 * 1.0, F.xxhash64("id", F.lit("b")) % 50 * 1.0)
+        .alias("features"))
+    options = training.TrainOptions(iterations=12, patience=3, min_leaf=2)
+    model = training.fit_trees(rows, options, weighted=True)
+    vectors = training.as_vectors(rows)
+    errors = model.evaluateEachIteration(vectors.where("is_validation"), "squared")
+    assert model.getNumTrees == training.rounds_kept(errors, 3, 1e-7) < 12
+    model.write().save(f"{tmp_path}/trees")
+    again = training.GBTRegressionModel.load(f"{tmp_path}/trees")
+    wanted = [r.y_pred for r in model.transform(vectors).collect()]
+    assert len(set(wanted)) > 1 and wanted == [r.y_pred for r in again.transform(vectors).collect()]
+
+
+def test_registered_models_run_the_whole_job(spark, monkeypatch):
+    from marquee.plans import model_queries
+
+    asked = []
+
+    class Fitted:
+        metrics, importance = "metrics", "importance"
+
+    monkeypatch.setattr(model_queries, "_gold_for_models", lambda *_: None)
+    monkeypatch.setattr(training, "train_target", lambda gold, plan, options=training.TrainOptions():
+                        asked.append(options) or Fitted)
+    assert model_queries.gbt_holdout(spark, "") == "metrics"
+    assert model_queries.permutation_importance(spark, "") == "importance"
+    assert asked == [training.TrainOptions()] * 2
