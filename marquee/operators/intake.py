@@ -112,14 +112,19 @@ def outcome_counts(done: DataFrame) -> DataFrame:
     return done.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+def discovered(done: DataFrame) -> DataFrame:
+    """All ids of a run with the place where each was first listed, a table of any length."""
+    return done.select("id", "page", "pos")
+
+
 def run_manifest(done: DataFrame, *, run_timestamp: str, filters: dict[str, str],
                  target: int = config.SAMPLE_CAP, save_pages: bool = False,
                  max_errors: int = config.MAX_ERRORS) -> DataFrame:
     """One row describing a run.
 
-    ``done`` comes from :func:`outcomes` and holds at most ``target`` candidates, which
-    bounds the id list. The errors are cut to the first ``max_errors`` by a top-k sort
-    before they are put into a list.
+    ``done`` comes from :func:`outcomes`. The id list is whole or, beyond ``target``
+    candidates, NULL; :func:`discovered` has all ids as a table. The errors are cut to the
+    first ``max_errors`` by a top-k sort before they are put into a list.
     """
     entry = F.struct("page", "pos", "id")
     ids = F.transform(F.array_sort(F.collect_list(entry)), lambda item: item["id"])
@@ -127,9 +132,9 @@ def run_manifest(done: DataFrame, *, run_timestamp: str, filters: dict[str, str]
     def how_many(outcome: str):
         return F.coalesce(F.count_if(F.col("outcome") == outcome), F.lit(0)).alias(outcome)
 
-    listed = done.orderBy("page", "pos", "id").limit(target)
+    listed = done.select("page", "pos", "id").limit(target + 1)
     totals = done.agg(*[how_many(name) for name in ("fetched", "skipped", "failed")])
-    discovered = listed.agg(ids.alias("discovered_ids"))
+    whole = listed.agg(F.when(F.count(F.lit(1)) <= target, ids).alias("discovered_ids"))
     first_errors = (
         done.where(F.col("message").isNotNull()).orderBy("page", "pos", "id").limit(max_errors)
         .agg(F.transform(
@@ -138,7 +143,7 @@ def run_manifest(done: DataFrame, *, run_timestamp: str, filters: dict[str, str]
     )
     # Three one-row results laid over each other.
     parts = (
-        totals.unionByName(discovered, allowMissingColumns=True)
+        totals.unionByName(whole, allowMissingColumns=True)
         .unionByName(first_errors, allowMissingColumns=True)
     )
     row = parts.agg(*[F.max(name).alias(name) for name in parts.columns])

@@ -11,6 +11,9 @@ from marquee.operators import intake
 from marquee.plans.oracle_views import with_gold, with_views
 from marquee.plans.order_tables import order_movies, table
 from marquee.plans.registry import REGISTRY
+from marquee.session import materialize, scratch_path
+from marquee.sources.layout import Layout
+from marquee.sources.sinks import write_discovered
 
 PAGE_SIZE = 20
 
@@ -67,15 +70,20 @@ def known_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.agg(F.count(F.lit(1)).alias("skipped"))
 
 
-def _done(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run over the listed users: buyers above 200 were there, errors are attempts."""
+def _done(spark: SparkSession, sf_dir: str, cap: int | None = 120) -> DataFrame:
+    """A run over the listed users: buyers above 200 were there, errors are attempts.
+
+    The twins of outcome_counts and ingest_manifest state the cap; None takes all candidates.
+    """
     events = table(spark, sf_dir, "events")
     attempts = events.where(F.col("event_type") == "error").select(
         F.col("user_id").alias("id"), F.when(F.col("value") > 2, F.lit("timeout")).alias("error"))
     landed = events.where((F.col("event_type") == "purchase") & (F.col("value") > 200)).select(
         F.col("user_id").alias("id"))
-    return intake.outcomes(intake.candidate_cap(_entries(spark, sf_dir), cap=120), landed, attempts,
-                           at_most=120)
+    entries = _entries(spark, sf_dir)
+    candidates = (intake.first_appearances(entries) if cap is None
+                  else intake.candidate_cap(entries, cap=cap))
+    return intake.outcomes(candidates, landed, attempts, at_most=cap)
 
 
 _DONE = """
@@ -114,6 +122,40 @@ def ingest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("errors", ",").alias("errors"))
 
 
+_ALL = _DONE.replace("(SELECT * FROM first ORDER BY page, pos, id LIMIT 120) c", "first c")
+
+
+@REGISTRY.add(with_views("SELECT outcome, count(*) AS n FROM done GROUP BY outcome",
+                         first=_FIRST, done=_ALL))
+def all_outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.outcome_counts(_done(spark, sf_dir, cap=None))
+
+
+@REGISTRY.add(with_views("""
+    SELECT count(*) FILTER (WHERE outcome = 'fetched') AS fetched, count(*) FILTER (WHERE outcome = 'skipped') AS skipped,
+           count(*) FILTER (WHERE outcome = 'failed') AS failed,
+           (SELECT string_agg('id=' || id || ': ' || problem, ',' ORDER BY page, pos, id)
+            FROM (SELECT * FROM done WHERE outcome = 'failed' ORDER BY page, pos, id LIMIT 50))
+             AS errors
+    FROM done""", first=_FIRST, done=_ALL))
+def all_ingest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of a run over all candidates; all_discovered has their ids."""
+    manifest = intake.run_manifest(
+        materialize(_done(spark, sf_dir, cap=None), "done"),
+        run_timestamp="2024-02-01T00:00:00+00:00", filters={"language": "en"})
+    return manifest.select("fetched", "skipped", "failed",
+                           F.array_join("errors", ",").alias("errors"))
+
+
+@REGISTRY.add(with_views("SELECT id, page, pos FROM done", first=_FIRST, done=_ALL))
+def all_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the same run, stored beside the manifest and read back."""
+    layout = Layout(scratch_path(spark, "run"))
+    write_discovered(intake.discovered(_done(spark, sf_dir, cap=None)), layout.discovered,
+                     "2024-02-01")
+    return spark.read.parquet(layout.discovered).select("id", "page", "pos")
+
+
 def _raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in four states: whole, cut off, with a quoted id, without an id."""
     key = F.col("o_orderkey").cast("string")

@@ -41,6 +41,10 @@ class Layout:
     def manifests(self) -> str:
         return self.uri("bronze", "manifests")
 
+    @property
+    def discovered(self) -> str:
+        return self.uri("bronze", "discovered")
+
     @property
     def quarantine(self) -> str:
         return self.uri("bronze", "quarantine")

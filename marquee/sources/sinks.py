@@ -76,16 +76,25 @@ def export_csv(df: DataFrame, uri: str) -> None:
     csv_frame(df).write.mode("overwrite").option("header", True).csv(uri)
 
 
-def write_manifest(manifest: DataFrame, uri: str, run_date: str) -> None:
-    """Store the manifest of one run; only that run's date folder is replaced."""
+def _write_run(df: DataFrame, uri: str, run_date: str) -> None:
     (
-        manifest.withColumn("run_date", F.lit(run_date))
+        df.withColumn("run_date", F.lit(run_date))
         .write.mode("overwrite").partitionBy("run_date")
         .option("partitionOverwriteMode", "dynamic")
         .parquet(uri)
     )
 
 
+def write_manifest(manifest: DataFrame, uri: str, run_date: str) -> None:
+    """Store the manifest of one run; only that run's date folder is replaced."""
+    _write_run(manifest, uri, run_date)
+
+
+def write_discovered(discovered: DataFrame, uri: str, run_date: str) -> None:
+    """Store the ids of one run beside its manifest; only that run's date folder is replaced."""
+    _write_run(discovered, uri, run_date)
+
+
 def retain_pages(pages: DataFrame, uri: str, run_date: str, *, enabled: bool = True) -> None:
     """Keep the raw discover pages of a run, one folder per run date."""
     if not enabled:

@@ -89,3 +89,30 @@ def test_quarantine_names_the_reason(spark):
 def test_prefixes_keep_their_zeros(spark):
     frame = spark.createDataFrame([(7,), (5_999,), (1_234_567,)], "id bigint")
     assert [r[0] for r in frame.select(id_prefix(F.col("id"))).collect()] == ["000", "005", "1234"]
+
+
+def test_ids_beyond_the_target_are_a_table_and_no_cut_list(spark, layout):
+    from marquee.sources.sinks import write_discovered
+
+    entries = spark.range(80).select("id", F.lit(1).alias("page"), F.col("id").alias("pos"))
+    done = intake.outcomes(entries, entries.select("id").where("id < 30"), entries.select(
+        "id", F.lit(None).cast("string").alias("error")))
+    row = intake.run_manifest(done, run_timestamp="t", filters={}, target=79).first()
+    assert (row.skipped, row.fetched, row.failed, row.discovered_ids) == (30, 50, 0, None)
+    row = intake.run_manifest(done, run_timestamp="t", filters={}, target=80).first()
+    assert row.discovered_ids == list(range(80))
+    for day in ("2024-01-01", "2024-01-02", "2024-01-02"):
+        write_discovered(intake.discovered(done), layout.discovered, day)
+    stored = spark.read.parquet(layout.discovered)
+    assert sorted(r.id for r in stored.where("run_date = '2024-01-02'").collect()) == list(range(80))
+    assert stored.count() == 160
+
+
+def test_a_run_judges_all_candidates(spark):
+    from __spark_entry__ import queries
+
+    folder = "/root/testdata/sf0.01"
+    users = spark.read.parquet(f"{folder}/events.parquet").select("user_id").distinct().count()
+    assert users > 120
+    assert sum(r.n for r in queries()["all_outcome_counts"](spark, folder).collect()) == users
+    assert queries()["all_discovered"](spark, folder).count() == users
