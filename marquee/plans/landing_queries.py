@@ -64,17 +64,36 @@ def landing_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
+def _stateful(spark: SparkSession, sf_dir: str) -> str:
+    """Every event announces its user; an error leaves a cut-off copy of the document besides."""
+    home = scratch_path(spark, "landing")
+    whole = _document(F.col("user_id"))
+    bodies = F.when(F.col("event_type") == "error", F.array(whole, F.lit('{"id": '))).otherwise(
+        F.array(whole))
+    stream = _table_stream(spark, sf_dir, "events").select(
+        F.col("event_type").alias("source"), F.explode(bodies).alias("body"))
+    landing.start_stateful_landing(stream, f"{home}/landed", f"{home}/checkpoint",
+                                   f"{home}/quarantine").awaitTermination()
+    return home
+
+
 @REGISTRY.add("SELECT DISTINCT user_id AS id FROM events")
 def stateful_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids remembered in the state store."""
-    home = scratch_path(spark, "landing")
-    stream = _table_stream(spark, sf_dir, "events").select(
-        F.col("event_type").alias("source"), _document(F.col("user_id")).alias("body"))
-    landing.start_stateful_landing(stream, f"{home}/landed",
-                                   f"{home}/checkpoint").awaitTermination()
+    home = _stateful(spark, sf_dir)
     return landing.read_landed(spark, f"{home}/landed").select("id")
 
 
+@REGISTRY.add("""
+    SELECT 'not valid JSON' AS reason, count(*) AS n FROM events
+    WHERE event_type = 'error' GROUP BY 1""")
+def stateful_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The broken documents of the same stream."""
+    home = _stateful(spark, sf_dir)
+    return landing.read_quarantine(spark, f"{home}/quarantine").groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 @REGISTRY.add(with_views(f"""
     SELECT 'Bronze / discover' AS layer, false AS has_files, NULL AS rows
     UNION ALL SELECT 'Bronze / movies', true, (SELECT count(*) FROM docs)

@@ -100,19 +100,29 @@ def start_landing(stream: DataFrame, landed_uri: str, quarantine_uri: str,
     )
 
 
-def start_stateful_landing(stream: DataFrame, landed_uri: str,
-                           checkpoint_uri: str) -> StreamingQuery:
+def start_stateful_landing(stream: DataFrame, landed_uri: str, checkpoint_uri: str,
+                           quarantine_uri: str | None = None) -> StreamingQuery:
     """The same with ids remembered in the state store instead of re-read per batch.
 
     The cost of a batch then follows the batch, not the landed table. The state holds
-    every id ever seen, spread over all executors and kept on disk by RocksDB.
+    every id ever seen, spread over all executors and kept on disk by RocksDB. Unusable
+    documents pass it by; without ``quarantine_uri`` they go beside the landed table, to
+    its name with "-quarantine" added.
     """
-    readable, _ = split_readable(stream)
-    unique = readable.dropDuplicates(["id"]).select("id", "source", "body")
+    quarantine = quarantine_uri or f"{landed_uri.rstrip('/')}-quarantine"
+    readable, unusable = split_readable(stream)
+    unique = readable.dropDuplicates(["id"]).select(
+        "id", "source", "body", F.lit(None).cast("string").alias("reason"))
+    both = unique.unionByName(unusable.select(
+        F.lit(None).cast("bigint").alias("id"), "source", "body", "reason"))
 
     def land(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(
-            f"{landed_uri}/run={run_name(checkpoint_uri)}/batch={number}")
+        own = f"run={run_name(checkpoint_uri)}/batch={number}"
+        with materialized(batch, "batch") as stored:
+            stored.where("reason is null").select("id", "source", "body").write.mode(
+                "overwrite").parquet(f"{landed_uri}/{own}")
+            stored.where("reason is not null").select("source", "body", "reason").write.mode(
+                "overwrite").parquet(f"{quarantine}/{own}")
 
     # A query keeps the provider it was started with, so the setting is put back at once.
     settings = stream.sparkSession.conf
@@ -120,7 +130,7 @@ def start_stateful_landing(stream: DataFrame, landed_uri: str,
     settings.set(STATE_STORE, ROCKSDB)
     try:
         return (
-            unique.writeStream.foreachBatch(land)
+            both.writeStream.foreachBatch(land)
             .option("checkpointLocation", checkpoint_uri)
             .trigger(availableNow=True).start()
         )

@@ -64,3 +64,24 @@ def test_a_second_stream_keeps_what_the_first_landed(spark, layout):
     landing.land_batch(second, 0, target, quarantine, landing.run_name("/two"))
     landed = landing.read_landed(spark, target).collect()
     assert sorted((r.id, r.source) for r in landed) == [(1, "a"), (2, "b"), (3, "d")]
+
+
+def test_stateful_landing_sets_broken_documents_aside(spark, layout):
+    import gzip
+
+    store(layout, film(1))
+    folder = os.path.join(layout.documents, "id_prefix=000")
+    texts = {"copy": '{"id": 1}', "cut": '{"id": 4', "again": '{"id": 4', "nameless": '{"key": 5}'}
+    for run_of in (texts, {"late": '{"id": "6"}', "new": '{"id": 2}'}):
+        for name, text in run_of.items():
+            with gzip.open(os.path.join(folder, f"{name}.json.gz"), "wt") as out:
+                out.write(text)
+        landing.start_stateful_landing(
+            landing.document_stream(spark, layout.documents), layout.uri("landed"),
+            layout.uri("checkpoint")).awaitTermination()
+    assert sorted(r.id for r in landing.read_landed(spark, layout.uri("landed")).collect()) == [1, 2]
+    aside = landing.read_quarantine(spark, layout.uri("landed-quarantine")).collect()
+    assert sorted((os.path.basename(r.source), r.reason) for r in aside) == [
+        ("again.json.gz", "not valid JSON"), ("cut.json.gz", "not valid JSON"),
+        ("late.json.gz", "id is not a whole number"), ("nameless.json.gz", "no id")]
+    assert len({(r.run, r.batch) for r in aside}) == 2
