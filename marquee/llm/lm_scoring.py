@@ -1,14 +1,14 @@
 """Stupid-backoff scores of all documents against the rest of the corpus.
 
-Bigram counts are a table partitioned by a hash of the context word; the documents' own
-bigrams are brought to the same partitions, where both meet. Bigrams that no other document
-has go on to the partition of their last word, for its count. Rows are packed: one row has
-all entries of a slice of documents for a partition, as arrays. Each partition returns sums
-per document, which are added up.
+Every slice of documents counts its n-grams of each length and asks for the corpus counts
+of those it has: one entry per n-gram and slice, however many documents hold it. Entries
+meet in partitions by a hash of the n-gram, where they are added up, and the totals go back
+to the slices, which score their own texts. So a frequent word or pair costs a partition no
+more entries than there are slices.
 
 A document's own counts are taken off before it is scored, so a text is not judged by
 itself. Words are runs of non-blank bytes, A-Z lower-cased; a document begins after and
-ends with a mark. Words are named by 63-bit hashes.
+ends with a mark. Words and n-grams are named by hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from marquee.llm.texts import NOT_BLANK, buffer_of, documents, mix, span_hashes, spans, text_slices
 from marquee.plans.registry import Registry
-from marquee.session import materialize
 
 REGISTRY = Registry()
 #: Factor of each backoff; count given to a word that no other document has.
@@ -32,10 +31,7 @@ PARTS = 1_000_000
 #: Entries per partition aimed at; rows per slice at most.
 PARTITION_ENTRIES, SLICE_ROWS = 2_000_000, 60_000
 MARK = np.uint64(0)
-
-_ROWS = ("bucket int, slices string, words binary, lengths binary, nexts binary, parts binary, "
-         "docs binary, times binary, own binary")
-_NAMES = ["bucket", "slices", "words", "lengths", "nexts", "parts", "docs", "times", "own"]
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,183 +40,143 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(begun, SLICE_ROWS)
 
 
-def _packed(bits: int):
-    """(context, next word, document) entries of each slice, by the context's partition."""
+def _events(text: pa.Array):
+    """(words per text, owner, place in it, event before) of all words and ends, and their hashes.
+
+    The event before the first of a text is its end, as both marks are one.
+    """
+    data, offsets = buffer_of(text)
+    starts, ends, row = spans(data, offsets, NOT_BLANK)
+    n_words = np.bincount(row, minlength=len(text))
+    has = np.flatnonzero(n_words)
+    size = n_words[has] + 1
+    last = np.cumsum(size) - 1
+    hashes = np.full(len(starts) + len(has), MARK)
+    hashes[np.delete(np.arange(len(hashes)), last)] = span_hashes(data, starts, ends) >> np.uint64(1) | np.uint64(1)
+    before = np.arange(len(hashes)) - 1
+    before[last - size + 1] = last
+    place = np.arange(len(hashes)) - np.repeat(last - size + 1, size)
+    return n_words, np.repeat(has, size), place, before, hashes
+
+
+def _grams(place, before, hashes, order: int):
+    """(events, keys): for each length from 1 the n-grams that end at each event, where there are any."""
+    events, keys = [], []
+    gram = hashes
+    for k in range(1, order + 1):
+        if k > 1:
+            gram = mix(gram[before]) * _FACTOR + hashes
+        here = np.flatnonzero(place >= k - 2)
+        events.append(here)
+        keys.append(mix(gram[here] + np.uint64(k << 32)))
+    return events, np.concatenate(keys)
+
+
+def _thin(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, so that their upper bytes, mostly zeros, compress well."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _thick(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _asked(bits: int, order: int):
+    """Each slice's distinct n-grams with their counts in it, one row per partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            data, offsets = buffer_of(batch.column("text"))
-            starts, ends, row = spans(data, offsets, NOT_BLANK)
-            if not len(starts):
+            _, _, place, before, hashes = _events(batch.column("text"))
+            if not len(hashes):
                 continue
-            words = span_hashes(data, starts, ends) >> np.uint64(1) | np.uint64(1)
-            first = np.concatenate([[True], row[1:] != row[:-1]])
-            last = np.append(np.flatnonzero(first)[1:], len(row)) - 1
-            context = np.concatenate([[MARK], words[:-1]])
-            context[first] = MARK
-            context, after, owner = (np.concatenate(x) for x in (
-                (context, words[last]), (words, np.full(len(last), MARK)), (row, row[last])))
-            # how often the next word occurs in its document
-            _, word_at = np.unique(after, return_inverse=True)
-            _, pair_at, pair_n = np.unique(word_at * len(batch) + owner, return_inverse=True, return_counts=True)
-            order = np.lexsort((owner, after, context))
-            context, after, owner, own = context[order], after[order], owner[order], pair_n[pair_at][order]
-            fresh = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (after[1:] != after[:-1])
-                                                   | (owner[1:] != owner[:-1])]))
-            times = np.diff(np.append(fresh, len(context)))
-            context, after, owner, own = context[fresh], after[fresh], owner[fresh], own[fresh]
+            keys, counts = np.unique(_grams(place, before, hashes, order)[1], return_counts=True)
+            bucket = keys >> np.uint64(64 - bits)
+            cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
             # the slice's name: its first row's, which is the same when a task is repeated
-            yield from _rows(context, after, owner, times, own, [batch.column("name")[0].as_py()], bits)
+            name = batch.column("name")[0].as_py()
+            yield pa.record_batch(
+                [pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array([name] * (len(cuts) - 1)),
+                 pa.array([_thin(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                 pa.array([_thin(counts[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                ["bucket", "slice", "keys", "counts"])
     return run
 
 
-def _rows(words, nexts, docs, times, own, names: list[str], bits: int) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by ``words``, one row per partition; docs are slice << 16 | document."""
-    if not len(words):
-        return
-    bucket = (words >> np.uint64(63 - bits)).astype(np.int32)
-    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
-    out: list[tuple] = []
-    for a, b in zip(cuts, cuts[1:]):
-        part = words[a:b]
-        begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        out.append((int(bucket[a]), "\n".join(names), part[begins].tobytes(),
-                    np.diff(np.append(begins, b - a)).astype(np.uint32).tobytes(),
-                    None if nexts is None else nexts[a:b].tobytes(),
-                    None if len(names) == 1 else (docs[a:b] >> 16).astype(np.uint32).tobytes(),
-                    (docs[a:b] & 0xFFFF).astype(np.uint16).tobytes(),
-                    times[a:b].astype(np.uint32).tobytes(), own[a:b].astype(np.uint32).tobytes()))
-    kinds = [pa.int32(), pa.string()] + [pa.binary()] * 7
-    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], _NAMES)
-
-
-def _unpacked(table: pa.Table):
-    """(slice names, words, nexts, slice << 16 | document, times, own) of all entries."""
-    rows = table.select(_NAMES[1:]).to_pydict()
-    lists = [s.split("\n") for s in rows["slices"]]
-    names = sorted({name for own in lists for name in own})
-    place = {name: i for i, name in enumerate(names)}
-
-    def joined(column, kind):
-        return np.frombuffer(b"".join(x or b"" for x in rows[column]), kind)
-
-    slices = []
-    for own, parts, docs in zip(lists, rows["parts"], rows["docs"]):
-        here = np.array([place[name] for name in own], np.int64)
-        slices.append(np.full(len(docs) // 2, here[0]) if parts is None else here[np.frombuffer(parts, np.uint32)])
-    docs = joined("docs", np.uint16) + (np.concatenate(slices) << 16)
-    return (names, np.repeat(joined("words", np.uint64), joined("lengths", np.uint32)), joined("nexts", np.uint64),
-            docs, joined("times", np.uint32).astype(np.int64), joined("own", np.uint32).astype(np.int64))
-
-
-def _grouped_sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, row of each key among them, sum of the values of each)."""
+def _answered(table: pa.Table) -> pa.Table:
+    """Corpus counts of what each slice asked for, in its order."""
+    parts = table.column("keys").to_pylist()
+    keys = np.concatenate([np.cumsum(_thick(part), dtype=np.uint64) for part in parts])
+    counts = np.concatenate([_thick(part) for part in table.column("counts").to_pylist()])
     distinct, at = np.unique(keys, return_inverse=True)
-    return distinct, at, np.bincount(at, values, minlength=len(distinct)).astype(np.int64)
-
-
-def _sums(names, docs, terms) -> list[tuple]:
-    distinct, _, total = _grouped_sums(docs, terms)
-    out = []
-    for s in np.unique(distinct >> 16).tolist():
-        here = distinct >> 16 == s
-        out.append((names[s], (distinct[here] & 0xFFFF).astype(np.uint16).tobytes(), total[here].tobytes()))
-    return out
-
-
-_MET = _ROWS + ", sums binary"
-
-
-def _met(bits: int):
-    """Scores the bigrams that other documents have; passes on the others, and word counts."""
-    def run(table: pa.Table) -> pa.Table:
-        names, words, nexts, docs, times, own = _unpacked(table)
-        distinct, word_at, count = _grouped_sums(words, times)
-        _, at, in_doc = _grouped_sums((word_at << 32) + np.unique(docs, return_inverse=True)[1], times)
-        elsewhere = (count[word_at] - in_doc[at])
-        _, at, pairs = _grouped_sums(mix(words) * np.uint64(0x9E3779B97F4A7C15) + nexts, times)
-        pairs = pairs[at] - times
-        seen = pairs > 0
-        terms = np.rint(np.log(pairs[seen] / elsewhere[seen]) * PARTS) * times[seen]
-        out = [(None, s, None, None, None, None, d, None, None, t) for s, d, t in _sums(names, docs[seen], terms)]
-        rest = np.flatnonzero(~seen)
-        rest = rest[np.lexsort((docs[rest], nexts[rest]))]
-        for batch in _rows(nexts[rest], None, docs[rest], times[rest], own[rest], names, bits):
-            out += [(*r.values(), None) for r in batch.to_pylist()]
-        many = count > 1
-        bucket = int(table.column("bucket")[0].as_py())
-        out.append((bucket, None, distinct[many].tobytes(), None, None, None, None, count[many].astype(np.uint64).tobytes(), None, None))
-        kinds = [pa.int32(), pa.string()] + [pa.binary()] * 8
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [*_NAMES, "sums"])
-    return run
+    totals = np.bincount(at, counts, minlength=len(distinct)).astype(np.int64)[at]
+    cuts = np.cumsum([0] + [len(part) // 8 for part in parts]).tolist()
+    return pa.table({"bucket": table.column("bucket"), "slice": table.column("slice"),
+                     "totals": pa.array([_thin(totals[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
 
-def _backed_off(total: int, texts: int):
-    """Scores by the words' own counts; ``lengths`` of a table of words are null."""
-    def run(table: pa.Table) -> pa.Table:
-        counts = table.filter(pa.compute.is_null(table.column("slices")))
-        asked = table.filter(pa.compute.is_valid(table.column("slices")))
-        known = np.frombuffer(b"".join(counts.column("words").to_pylist()), np.uint64)
-        count = np.frombuffer(b"".join(counts.column("times").to_pylist()), np.uint64).astype(np.int64)
-        out = []
-        if len(asked):
-            names, words, _, docs, times, own = _unpacked(asked)
-            order = np.argsort(known)
-            known, count = np.append(known[order], np.uint64(1 << 63)), np.append(count[order], 0)
-            at = np.searchsorted(known, words)
-            n = np.where(known[at] == words, count[at], own)
-            n = np.where(words == MARK, texts, n) - own
-            size = np.maximum(total - 1, 1)
-            terms = np.rint(np.log(BACKOFF * np.where(n > 0, n, UNSEEN) / size) * PARTS) * times
-            out = _sums(names, docs, terms)
-        columns = list(zip(*out)) or [[], [], []]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.binary(), pa.binary()))],
-                        ["slice", "docs", "sums"])
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        data, offsets = buffer_of(batch.column("text"))
+        yield pa.record_batch([pa.array([len(spans(data, offsets, NOT_BLANK)[0])], pa.int64())], ["n"])
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slice, place in it, doc_id, number of words) of every row; slices as in _packed."""
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slice, place in it, doc_id, text) of every row; slices as in _asked."""
     for batch in _slices(batches):
-        data, offsets = buffer_of(batch.column("text"))
-        _, _, row = spans(data, offsets, NOT_BLANK)
-        words = np.bincount(row, minlength=len(batch))
         name = batch.column("name")[0].as_py()
         yield pa.record_batch([pa.array([name] * len(batch)), pa.array(np.arange(len(batch))),
-                               batch.column("doc_id"), pa.array(words)], ["slice", "place", "doc_id", "n_words"])
-
-
-def _added(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Sums of a slice's documents, from (docs, sums) arrays."""
-    place = left.column("place").to_numpy()
-    total = np.zeros(int(place.max()) + 1 if len(place) else 0, np.int64)
-    for docs, sums in zip(right.column("docs").to_pylist(), right.column("sums").to_pylist()):
-        total[np.frombuffer(docs, np.uint16)] += np.frombuffer(sums, np.int64)
-    return pa.table({"doc_id": left.column("doc_id"), "n_words": left.column("n_words"),
-                     "micro": pa.array(total[place], pa.int64())})
+                               batch.column("doc_id"), batch.column("text")], ["slice", "place", "doc_id", "text"])
+
+
+def _scored(order: int, total: int):
+    """Scores of a slice's texts from the corpus counts of their n-grams."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("place").combine_chunks()
+        n_words, owner, place, before, hashes = _events(left.column("text").chunk(0))
+        micro = np.zeros(len(n_words), np.int64)
+        if len(hashes):
+            events, keys = _grams(place, before, hashes, order)
+            totals = np.concatenate([_thick(part) for part in right.sort_by("bucket").column("totals").to_pylist()]).astype(np.int64)
+            _, at = np.unique(keys, return_inverse=True)
+            own_key = at * len(n_words) + owner[np.concatenate(events)]
+            _, own_at, own = np.unique(own_key, return_inverse=True, return_counts=True)
+            others = np.split(totals[at] - own[own_at], np.cumsum([len(x) for x in events])[:-1])
+            elsewhere = np.zeros((order, len(hashes)), np.int64)
+            for k, here in enumerate(events):
+                elsewhere[k, here] = others[k]
+            longest = np.minimum(order, place + 2)
+            n, size = elsewhere[0], max(total - 1, 1)
+            chance = np.power(BACKOFF, longest - 1) * np.where(n > 0, n, UNSEEN) / size
+            for k in range(2, order + 1):
+                seen = np.flatnonzero(elsewhere[k - 1] > 0)
+                ratio = elsewhere[k - 1, seen] / elsewhere[k - 2, before[seen]]
+                chance[seen] = np.power(BACKOFF, longest[seen] - k) * ratio
+            micro = np.bincount(owner, np.rint(np.log(chance) * PARTS), minlength=len(n_words)).astype(np.int64)
+        return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(n_words, pa.int64()),
+                         "micro": pa.array(micro, pa.int64())})
+    return run
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, *, order: int = 2) -> DataFrame:
     """doc_id, n_words, micro_log (sum of rounded logs, in millionths), score (mean log per event).
 
-    An event is a word or the end of the text. A null or empty text has no events: n_words 0,
-    micro_log 0, score null. One row per input row; null doc_ids stay null; repeated rows are
-    repeated, and count as other documents to each other; other columns are ignored.
+    An event is a word or the end of the text; it is looked up with as many words (or the
+    mark) before it as ``order`` less one, then with one fewer at a time. A null or empty text
+    has no events: n_words 0, micro_log 0, score null. One row per input row; null doc_ids
+    stay null; repeated rows are repeated, and count as other documents to each other; other
+    columns are ignored.
     """
+    if order < 2:
+        raise ValueError(f"order must be at least 2, not {order}")
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                          F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id()).alias("name"))
-    listed = materialize(narrow.mapInArrow(_listed, "slice string, place long, doc_id long, n_words long"), "lm-rows")
-    total, texts = listed.agg(F.sum("n_words"), F.count_if(F.col("n_words") > 0)).first()
-    total, texts = total or 0, texts or 0
-    bits = min(24, max(3, ((total + texts) // PARTITION_ENTRIES).bit_length()))
-    # the same columns for both passes, so that batches and slices are the same
-    met = (narrow.mapInArrow(_packed(bits), _ROWS)
-           .groupBy("bucket").applyInArrow(_met(bits), _MET))
-    met = materialize(met, "lm-met")
-    rest = (met.where("sums is null").drop("sums").groupBy("bucket")
-            .applyInArrow(_backed_off(total, texts), "slice string, docs binary, sums binary"))
-    sums = met.where("sums is not null").select(F.col("slices").alias("slice"), "docs", "sums").unionByName(rest)
-    added = (listed.groupBy("slice").cogroup(sums.groupBy("slice"))
-             .applyInArrow(_added, "doc_id long, n_words long, micro long"))
+    total = narrow.mapInArrow(_counted, "n long").agg(F.sum("n")).first()[0] or 0
+    bits = min(24, max(3, (total * order // PARTITION_ENTRIES).bit_length()))
+    # the same columns for all passes, so that batches and slices are the same
+    answered = (narrow.mapInArrow(_asked(bits, order), "bucket int, slice string, keys binary, counts binary")
+                .groupBy("bucket").applyInArrow(_answered, "bucket int, slice string, totals binary"))
+    placed = narrow.mapInArrow(_placed, "slice string, place long, doc_id long, text string")
+    added = (placed.groupBy("slice").cogroup(answered.groupBy("slice"))
+             .applyInArrow(_scored(order, total), "doc_id long, n_words long, micro long"))
     events = F.when(F.col("n_words") > 0, F.col("n_words") + 1)
     return added.select("doc_id", "n_words", F.col("micro").alias("micro_log"),
                         (F.col("micro") / (F.lit(PARTS) * events)).alias("score"))

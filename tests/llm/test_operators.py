@@ -242,6 +242,51 @@ def test_lm_scores_edges(spark):
     assert lm_scoring.score(frame(spark, ODD)).count() == len(ODD)
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_scores_equal_brute_force(spark, order):
+    draw = random.Random(order)
+    texts = [" ".join(draw.choices("aab" if i % 2 else "abcde", k=draw.randint(0, 9))) for i in range(60)]
+    own = []
+    for text in texts:
+        padded = ["", *text.split(), ""] if text else []
+        own.append(Counter(tuple(padded[i - k + 1:i + 1]) for i in range(1, len(padded))
+                           for k in range(1, order + 1) if i - k + 1 >= 0))
+    every = sum(own, Counter())
+    size = max(sum(len(t.split()) for t in texts) - 1, 1)
+
+    def micro(text, mine):
+        padded, found = ["", *text.split(), ""], 0
+        for i in range(1, len(padded) if text else 0):
+            factor, k = 1.0, min(order, i + 1)
+            while k > 1:
+                gram = tuple(padded[i - k + 1:i + 1])
+                n = every[gram] - mine[gram]
+                if n:
+                    context = gram[:-1]
+                    chance = factor * (n / (every[context] - mine[context]))
+                    break
+                factor, k = factor * lm_scoring.BACKOFF, k - 1
+            else:
+                n = every[(padded[i],)] - mine[(padded[i],)]
+                chance = factor * (n or lm_scoring.UNSEEN) / size
+            found += round(math.log(chance) * lm_scoring.PARTS)
+        return found
+
+    docs = frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.micro_log for r in lm_scoring.score(docs, order=order).collect()}
+    assert all(abs(got[i] - micro(t, own[i])) <= 10 for i, t in enumerate(texts))
+
+
+def test_lm_frequent_words_travel_once_a_slice():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(range(5000)), pa.array(["the the the"] * 5000), pa.array(["x"] * 5000)],
+                            ["doc_id", "text", "name"])
+    rows = [r for out in lm_scoring._asked(3, 2)(iter([batch])) for r in out.to_pylist()]
+    # the word, the mark, and three pairs of them
+    assert sum(len(r["keys"]) // 8 for r in rows) == 5
+
+
 def test_neighbours_recall_and_order(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL_ROWS", 150)
     draw = np.random.default_rng(2)
