@@ -204,3 +204,9 @@ def score(docs: DataFrame, *, order: int = 2) -> DataFrame:
     FROM d LEFT JOIN m USING (r)""")
 def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
+
+
+@REGISTRY.add()
+def op6_trigram_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with two words of context; the twin above states bigrams."""
+    return score(documents(spark, sf_dir), order=3)

@@ -277,6 +277,15 @@ def test_lm_scores_equal_brute_force(spark, order):
     assert all(abs(got[i] - micro(t, own[i])) <= 10 for i, t in enumerate(texts))
 
 
+def test_trigrams_tell_repeated_triples_from_new_ones(spark):
+    from marquee.llm import catalog
+
+    assert "op6_trigram_backoff" in catalog.QUERIES
+    docs = frame(spark, [(i, t, "", "", 0) for i, t in enumerate(["a b c", "a b c", "d b e", "d b c"])])
+    both = [{r.doc_id: r.micro_log for r in lm_scoring.score(docs, order=k).collect()} for k in (2, 3)]
+    assert both[1][0] > both[0][0] and both[1][2] != both[0][2]
+
+
 def test_lm_frequent_words_travel_once_a_slice():
     import pyarrow as pa
 
