@@ -204,6 +204,8 @@ class PieceBpe:
         same = [True] * len(new)
         if library is not None:
             theirs = library.encode([s[self.prefix:].replace(MARK, " ") for s in new], num_threads=1)
+            # A mark alone is what the library puts in front of nothing; it has the piece, but no text for it.
+            theirs = [[library.piece_to_id(MARK)] if self.prefix and s == MARK else ids for s, ids in zip(new, theirs)]
             same = [ids == tuple(other) for ids, other in zip(own, theirs)]
         for stretch, ids, agrees in zip(new, own, same):
             known[stretch] = (",".join(map(str, ids)).encode(), self._surface(ids).encode(), ids, agrees)
