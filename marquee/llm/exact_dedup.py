@@ -24,6 +24,8 @@ from marquee.plans.registry import Registry
 from marquee.session import materialize
 
 REGISTRY = Registry()
+#: Bytes of text dealt to one task.
+TASK_BYTES = 32 << 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -109,7 +111,7 @@ def _before(a: tuple, b: tuple) -> bool:
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of equal normalised text within a slice share one carrier of the text."""
-    for batch in text_slices(batches, 16 << 20):
+    for batch in text_slices(batches):
         trie, held = PatriciaTrie(), []
         rows = []
         for row, doc, name, text in zip(*(batch.column(c).to_pylist() for c in ("row_id", "doc_id", "print", "text"))):
@@ -199,12 +201,13 @@ def _grouped(docs: DataFrame, trie_bytes: int) -> DataFrame:
     rows = materialize(named.mapInArrow(_collapse, _ROWS_SQL), "dedup-rows")
     held = rows.agg(F.sum("bytes")).first()[0] or 0
     buckets = 1 << max(6, (4 * held // trie_bytes).bit_length())
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, held // TASK_BYTES)
     todo, owned, turn = rows.where("text is not null"), None, 0
     while True:
         key = F.xxhash64(F.length("text"), F.xxhash64("text"), F.lit(turn))
         dealt = (todo.select(F.pmod(key, F.lit(buckets << turn)).alias("bucket"), "text", "carrier",
                              "top", "top_row", "copies")
-                 .repartition("bucket").sortWithinPartitions("bucket"))
+                 .repartition(tasks, "bucket").sortWithinPartitions("bucket"))
         stored = materialize(dealt.mapInArrow(_owners(trie_bytes << (2 * turn)), _OWNED_SQL),
                              f"dedup-owners-{turn}")
         done = stored.where("keep_row is not null").select("carrier", "keep_row", "keep_id", "group_size")

@@ -9,7 +9,7 @@ a mixed text. All documents of a slice take the pass in step, one word each at a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +19,18 @@ from pyspark.sql import functions as F
 
 from marquee.llm.texts import LETTERS, buffer_of, documents, mix, spans, text_slices
 from marquee.plans.registry import Registry
+from marquee.session import materialize
 
 REGISTRY = Registry()
 #: Documents per language that the model is fitted on, in expectation at most.
 ROWS_PER_LANGUAGE = 4_000
 BITS, SWITCH, SMOOTHING, LEAST_SHARE = 16, 8.0, 0.5, 0.001
 UNKNOWN = "und"
+#: How far below a language's usual mean score of a trigram a text may lie, in deviations of clean
+#: texts; these are taken as at least LEAST_SPREAD.
+DEVIATIONS, LEAST_SPREAD = 12.0, 0.1
+#: The share of the rows that a model with bounds is fitted on; the rest tells the bounds.
+LEARNED = 0.75
 
 # First code points of script ranges; each range ends where the next begins.
 SCRIPTS = (
@@ -46,6 +52,9 @@ class LanguageModel:
     scores: np.ndarray       # [1 << BITS, languages], log share of each trigram
     allowed: np.ndarray      # [scripts, languages]
     likeliest: int           # the most frequent language
+    #: Of clean texts of each language: the usual mean score of a trigram, how far texts lie from
+    #: it, and how far a text's single trigrams do; None where :func:`with_bounds` wasn't asked.
+    bounds: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
 
 def words_of(column: pa.Array):
@@ -83,7 +92,7 @@ def viterbi(scores: np.ndarray, row: np.ndarray, rows: int, switch: float) -> np
     order = np.argsort(-counts, kind="stable")
     begins, counts = begins[order], counts[order]
     going = np.searchsorted(-counts, -np.arange(counts[0] if rows else 0), "left")
-    best_before = np.zeros(len(row), np.int8)
+    best_before = np.zeros(len(row), np.int16)
     changed = np.zeros(scores.shape, bool)
     held = np.zeros((rows, scores.shape[1]), np.float32)
     for t, n in enumerate(going.tolist()):
@@ -97,8 +106,8 @@ def viterbi(scores: np.ndarray, row: np.ndarray, rows: int, switch: float) -> np
         move = top[:, None] > before
         best_before[at], changed[at] = winner, move
         held[:n] = np.where(move, top[:, None], before) + scores[at]
-    labels = np.zeros(len(row), np.int8)
-    state = held.argmax(1).astype(np.int8) if rows else np.zeros(0, np.int8)
+    labels = np.zeros(len(row), np.int16)
+    state = held.argmax(1).astype(np.int16) if rows else np.zeros(0, np.int16)
     for t in range(len(going) - 1, -1, -1):
         n = int(going[t])
         at = begins[:n] + t
@@ -108,17 +117,21 @@ def viterbi(scores: np.ndarray, row: np.ndarray, rows: int, switch: float) -> np
 
 
 def label_words(model: LanguageModel, column: pa.Array):
-    """(labels, starts, ends, row, known, row offsets) of all words; unknown scripts say nothing."""
+    """(labels, starts, ends, row, known, row offsets, score under the label) of all words.
+
+    A word of n bytes is scored by n trigrams; unknown scripts say nothing and score 0.
+    """
     buckets, starts, ends, row, scripts, offsets = words_of(column)
     if not len(starts):
-        return np.zeros(0, np.int8), starts, ends, row, np.zeros(0, bool), offsets
+        return np.zeros(0, np.int16), starts, ends, row, np.zeros(0, bool), offsets, np.zeros(0, np.float32)
     allowed = model.allowed[scripts]
     known = allowed.any(1)
     edges = np.column_stack([starts - 1, ends - 1]).ravel()
     scores = np.add.reduceat(model.scores[buckets], edges, axis=0)[::2]
     scores = np.where(allowed, scores, np.float32(-1e6))
     scores[~known] = 0
-    return viterbi(scores, row, len(column), SWITCH), starts, ends, row, known, offsets
+    labels = viterbi(scores, row, len(column), SWITCH)
+    return labels, starts, ends, row, known, offsets, scores[np.arange(len(labels)), labels]
 
 
 def _counted(languages: list[str]):
@@ -147,20 +160,32 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, *, rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
-    """Fit on a hash-drawn sample of rows with a language, the held-out quarter left out.
+def _learnable(docs: DataFrame) -> DataFrame:
+    return docs.where("lang is not null and lang <> '' and text is not null").where(~held_out())
+
+
+def _labelled(docs: DataFrame, languages: list[str], rows_per_language: int, n: dict[str, int] | None = None):
+    """(rows to learn from, the share of its language's that is drawn, a number from 0 to 1 per row)."""
+    rows = _learnable(docs)
+    n = n or {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.where(F.col("lang").isin(languages))
+    rate = F.create_map(*(x for k in languages if k in n for x in (F.lit(k), F.lit(rows_per_language / n[k]))))[F.col("lang")]
+    return rows, rate, F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / F.lit(1 << 30)
+
+
+def fit(docs: DataFrame, *, rows_per_language: int = ROWS_PER_LANGUAGE, share: float = 1.0) -> LanguageModel:
+    """Fit on a hash-drawn sample of rows with a language, the held-out quarter left out;
+    ``share`` of the rows is drawn from at most.
 
     What is collected is bounded by the number of trigram buckets times languages. Without
     any such row the model knows no language.
     """
-    rows = docs.where("lang is not null and lang <> '' and text is not null").where(~held_out())
-    n = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    n = {r.lang: r["count"] for r in _learnable(docs).groupBy("lang").count().collect()}
     languages = sorted(n)
     if not languages:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool), -1)
-    rate = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(rows_per_language / n[k]))))[F.col("lang")]
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / F.lit(1 << 30)
-    counted = (rows.where(chance < rate).select(F.col("text").cast("string").alias("text"), "lang")
+    rows, rate, chance = _labelled(docs, languages, rows_per_language, n)
+    counted = (rows.where(chance < F.least(rate, F.lit(share))).select(F.col("text").cast("string").alias("text"), "lang")
                .mapInArrow(_counted(languages), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")))
     table = counted.toArrow()
     keys, sums = table.column("key").to_numpy(), table.column("n").to_numpy()
@@ -184,7 +209,7 @@ def _predicted(model: LanguageModel, with_spans: bool):
         many = len(model.languages)
         for batch in text_slices(batches, 2 << 20):
             rows = len(batch)
-            labels, starts, ends, row, known, base = label_words(model, batch.column("text"))
+            labels, starts, ends, row, known, base, _ = label_words(model, batch.column("text"))
             sizes = np.where(known, ends - starts, 0)
             letters = np.bincount(row * many + labels, sizes, minlength=rows * many).reshape(rows, many)
             total = letters.sum(1)
@@ -230,15 +255,82 @@ def predict(docs: DataFrame, model: LanguageModel, *, spans: bool = False) -> Da
     return narrow.mapInArrow(_predicted(model, spans), kind)
 
 
+def _gram_scores(model: LanguageModel):
+    """Per text its language, trigrams, and the sum and sum of squares of their scores in it."""
+    place = {language: i for i, language in enumerate(model.languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, 2 << 20):
+            own = np.array([place[x] for x in batch.column("lang").to_pylist()])
+            buckets, starts, ends, row, scripts, _ = words_of(batch.column("text"))
+            fits = model.allowed[scripts, own[row]]
+            starts, ends, row = starts[fits], ends[fits], row[fits]
+            sizes = ends - starts
+            used = np.repeat(starts - 1 - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            per = np.repeat(row, sizes)
+            scores = model.scores[buckets[used], own[per]].astype(np.float64)
+            n, total, squares = (np.bincount(per, w, len(batch)) for w in (None, scores, scores * scores))
+            yield pa.record_batch([batch.column("lang"), pa.array(n.astype(np.int64)), pa.array(total), pa.array(squares)],
+                                  ["lang", "n", "total", "squares"])
+    return run
+
+
+def with_bounds(model: LanguageModel, docs: DataFrame, *, rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel:
+    """The model with what clean texts of each language usually score, from another sample of rows.
+
+    Medians and median distances are taken, so junk among the labelled rows moves them little.
+    The sample is bounded like that of :func:`fit` and drawn from rows beyond the share LEARNED,
+    which a model fitted with ``share=LEARNED`` hasn't seen; one row per language is collected.
+    """
+    rows, rate, chance = _labelled(docs, model.languages, rows_per_language)
+    held = (rows.where(chance >= LEARNED).where(chance < LEARNED + rate)
+            .select(F.col("text").cast("string").alias("text"), "lang")
+            .mapInArrow(_gram_scores(model), "lang string, n bigint, total double, squares double")
+            .where("n >= 50").withColumn("mean", F.col("total") / F.col("n")))
+    held = materialize(held, "language-clean")
+    middle = held.groupBy("lang").agg(F.percentile_approx("mean", 0.5, 1000).alias("middle"))
+    found = {r.lang: r for r in held.join(F.broadcast(middle), "lang").groupBy("lang").agg(
+        F.first("middle").alias("middle"),
+        F.percentile_approx(F.abs(F.col("mean") - F.col("middle")), 0.5, 1000).alias("apart"),
+        F.avg(F.col("squares") / F.col("n") - F.col("mean") * F.col("mean")).alias("grain")).collect()}
+    none = (-np.inf, 0.0, 0.0)  # nothing is known of such a language's texts, so all pass
+    table = np.array([(found[k].middle, 1.4826 * found[k].apart, max(found[k].grain, 0.0) ** 0.5) if k in found else none
+                      for k in model.languages]).reshape(-1, 3)
+    return replace(model, bounds=(table[:, 0], np.maximum(table[:, 1], LEAST_SPREAD), table[:, 2]))
+
+
+def accepted(model: LanguageModel, column: pa.Array) -> np.ndarray:
+    """Per text whether it reads like the languages its words are labelled with.
+
+    At least half of its letters are in scripts the model knows, and over its labelled spans
+    the mean score of a trigram is at most DEVIATIONS below what clean texts reach, given how
+    texts and single trigrams vary. Texts without letters aren't accepted.
+    """
+    labels, starts, ends, row, known, _, scores = label_words(model, column)
+    n = len(column)
+    sizes = ends - starts
+    letters, seen = np.bincount(row, sizes, n), np.bincount(row[known], sizes[known], n)
+    good = (seen > 0) & (2 * seen >= letters)
+    if model.bounds is None:
+        return good
+    middle, spread, grain = (b[labels[known]] for b in model.bounds)
+    sizes, row = sizes[known], row[known]
+
+    def mean(values):
+        with np.errstate(invalid="ignore"):
+            return np.bincount(row, values * sizes, n) / np.maximum(seen, 1)
+
+    reached = np.bincount(row, scores[known], n) / np.maximum(seen, 1)
+    apart = np.sqrt(mean(spread) ** 2 + mean(grain ** 2) / np.maximum(seen, 1))
+    return good & (reached >= mean(middle) - DEVIATIONS * apart)
+
+
 def without_unknown(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` without the rows that have no letters of a language the model knows."""
+    """``docs`` without the rows that aren't :func:`accepted`; a model of no language rejects none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 2 << 20):
-            _, _, _, row, known, _ = label_words(model, batch.column("text"))
-            yield batch.filter(pa.array(np.bincount(row[known], minlength=len(batch)) > 0))
-    if not model.languages:
-        return docs.limit(0)
-    return docs.where(F.col("text").cast("string").rlike(r"\p{L}")).mapInArrow(run, docs.schema)
+            yield batch.filter(pa.array(accepted(model, batch.column("text").cast(pa.string()))))
+    return docs.mapInArrow(run, docs.schema) if model.languages else docs
 
 
 @REGISTRY.add()

@@ -37,6 +37,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> I
             held += size
         if begun < len(sizes):
             yield batch.slice(begun)
+    # Workers serve one stage after another: what Arrow holds for reuse goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
