@@ -1,6 +1,6 @@
 """A training-corpus pipeline over ``documents``: each stage is one operator.
 
-Toxic documents go, then those without text in a known language; of equal texts the one
+Toxic documents go, then those that don't read like any language learned from them; of equal texts the one
 of the largest doc_id stays, of near copies the one of the smallest; what is left is packed.
 """
 
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.without_unknown(docs, language.fit(docs))
+    return language.without_unknown(docs, language.with_bounds(language.fit(docs, share=language.LEARNED), docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
