@@ -57,7 +57,7 @@ def set_name(own: np.ndarray) -> int:
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
+    for batch in text_slices(batches, 2 << 20):
         sets = shingle_sets(batch.column("text"))
         yield pa.record_batch(
             [batch.column("doc_id"), batch.column("print"), pa.array([len(s) for s in sets], pa.int64()),
@@ -123,7 +123,7 @@ def _shipped(bits: int, counting: bool, shingled):
     (node, smallest node with that shingle).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches) if "text" in shingled else batches:
+        for batch in text_slices(batches, 2 << 20) if "text" in shingled else batches:
             if shingled == "text":
                 sets = shingle_sets(batch.column("text"))
                 names = np.array([set_name(s) for s in sets], np.int64)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm.texts import LETTERS, buffer_of, documents, mix, spans, text_slices
+from marquee.llm.texts import LETTERS, buffer_of, documents, mix, spans, text_slices, verdicts
 from marquee.plans.registry import Registry
 from marquee.session import materialize
 
@@ -28,7 +28,7 @@ BITS, SWITCH, SMOOTHING, LEAST_SHARE = 16, 8.0, 0.5, 0.001
 UNKNOWN = "und"
 #: How far below a language's usual mean score of a trigram a text may lie, in deviations of clean
 #: texts; these are taken as at least LEAST_SPREAD.
-DEVIATIONS, LEAST_SPREAD = 12.0, 0.1
+DEVIATIONS, LEAST_SPREAD = 16.0, 0.1
 #: The share of the rows that a model with bounds is fitted on; the rest tells the bounds.
 LEARNED = 0.75
 
@@ -282,6 +282,8 @@ def with_bounds(model: LanguageModel, docs: DataFrame, *, rows_per_language: int
     The sample is bounded like that of :func:`fit` and drawn from rows beyond the share LEARNED,
     which a model fitted with ``share=LEARNED`` hasn't seen; one row per language is collected.
     """
+    if not model.languages:
+        return model
     rows, rate, chance = _labelled(docs, model.languages, rows_per_language)
     held = (rows.where(chance >= LEARNED).where(chance < LEARNED + rate)
             .select(F.col("text").cast("string").alias("text"), "lang")
@@ -327,10 +329,10 @@ def accepted(model: LanguageModel, column: pa.Array) -> np.ndarray:
 
 def without_unknown(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` without the rows that aren't :func:`accepted`; a model of no language rejects none."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 2 << 20):
-            yield batch.filter(pa.array(accepted(model, batch.column("text").cast(pa.string()))))
-    return docs.mapInArrow(run, docs.schema) if model.languages else docs
+    if not model.languages:
+        return docs
+    return docs.where(verdicts(lambda column: accepted(model, column), 1 << 20)(
+        F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 @REGISTRY.add()

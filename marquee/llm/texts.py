@@ -7,16 +7,24 @@ Null texts count as empty everywhere in this package.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time; working arrays take some thirty times as much.
 SLICE_BYTES = 4 << 20
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # not with this C library
+    _LIBC = None
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -37,8 +45,24 @@ def text_slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> I
             held += size
         if begun < len(sizes):
             yield batch.slice(begun)
-    # Workers serve one stage after another: what Arrow holds for reuse goes back.
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that was freed but kept for reuse, as a worker serves one stage after another."""
     pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def verdicts(judge: Callable[[pa.Array], np.ndarray], most: int):
+    """An Arrow function of texts alone, which gives ``judge``'s flag for each, a slice at a time."""
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            batch = pa.record_batch([column], ["text"])
+            flags = [judge(part.column("text")) for part in text_slices([batch], most)]
+            yield pa.array(np.concatenate([np.zeros(0, bool), *flags]))
+    return F.arrow_udf(run, "boolean")
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm.texts import LETTERS, buffer_of, documents, shingle_sets, span_hashes, spans, text_slices
+from marquee.llm.texts import LETTERS, buffer_of, documents, shingle_sets, span_hashes, spans, text_slices, verdicts
 from marquee.plans.registry import Registry
 from marquee.session import materialize
 
@@ -277,14 +277,13 @@ def held_out() -> Column:
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, *, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            counts, found = scored_segments(model, batch.column("text"))
-            x = np.array([evidence([s for s, _, _ in f], max(n, 1), model.decay, model.scale)
-                          for n, f in zip(counts.tolist(), found)])
-            scores = 1 / (1 + np.exp(-np.clip(model.intercept + model.slope * x, -700, 700)))
-            yield batch.filter(pa.array(scores < threshold))
-    return docs.mapInArrow(run, docs.schema)
+    def clean(column: pa.Array) -> np.ndarray:
+        counts, found = scored_segments(model, column)
+        x = np.array([evidence([s for s, _, _ in f], max(n, 1), model.decay, model.scale)
+                      for n, f in zip(counts.tolist(), found)])
+        scores = 1 / (1 + np.exp(-np.clip(model.intercept + model.slope * x, -700, 700)))
+        return scores < threshold
+    return docs.where(verdicts(clean, 1 << 20)(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 @REGISTRY.add()
