@@ -9,9 +9,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marquee import config
+from marquee.session import materialize
 
 METRICS = ("r2", "mae", "rmse")
-ROWS_PER_SHUFFLE_GROUP = 20_000
+#: Rows that are ordered in one task, about.
+ROWS_PER_RANGE = 20_000
 
 
 def _metric_columns(actual: str, predicted: str) -> list[Column]:
@@ -75,19 +77,30 @@ def wide_metrics(metrics: DataFrame) -> DataFrame:
 def with_donor(df: DataFrame, *, key: str, repeats: int, seed: int, groups: int) -> DataFrame:
     """Pair every row, once per repeat, with the features of a random other row.
 
-    Rows are dealt by hash into groups of bounded size and each group is closed into a
-    random circle: the donor is the next row on it. Every row is donor exactly once, so
-    a column taken from the donors is a permutation of the original, and no step
-    numbers all rows or sorts them globally.
+    In each repeat the rows are ordered by the MD5 of the key (equal ones by the key) and
+    closed into one circle: the donor is the next row on it. Every row is donor exactly once,
+    so a column taken from the donors is a permutation of the original. ``groups`` ranges of
+    the MD5 are ordered apart, and the last row of each takes the first of the next range that
+    has any; how many there are doesn't change the result.
     """
     spread = df.withColumn("repeat", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
-    dealt = spread.withColumns({
-        "_group": F.pmod(F.xxhash64(F.lit(f"group-{seed}"), "repeat", key), F.lit(groups)),
-        "_place": F.xxhash64(F.lit(f"place-{seed}"), "repeat", key),
-    })
-    circle = Window.partitionBy("repeat", "_group").orderBy("_place", key)
-    donor = F.coalesce(F.lead("features").over(circle), F.first("features").over(circle))
-    return dealt.withColumn("donor", donor).drop("_group", "_place")
+    mark = F.md5(F.concat_ws(":", F.lit(f"donor-{seed}"), F.col("repeat"), F.col(key)).cast("binary"))
+    start = F.conv(F.substring(mark, 1, 8), 16, 10).cast("bigint")
+    dealt = spread.withColumn("_mark", mark).withColumn(
+        "_group", F.shiftright(start * F.lit(groups).cast("bigint"), 32))
+    order = Window.partitionBy("repeat", "_group").orderBy("_mark", key)
+    stored = materialize(dealt.withColumns({
+        "donor": F.lead("features").over(order), "_first": F.row_number().over(order) == 1,
+    }), "donors")
+    # One row per repeat and range: a small table, whatever the number of rows.
+    circle = Window.partitionBy("repeat").orderBy("_group")
+    everything = circle.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = stored.where("_first").select("repeat", "_group", F.coalesce(
+        F.lead("features").over(circle), F.first("features").over(everything)).alias("_next"))
+    columns = [*df.columns, "repeat", "donor"]
+    inner = stored.where("donor is not null").select(*columns)
+    last = stored.where("donor is null").drop("donor").join(heads, ["repeat", "_group"])
+    return inner.unionByName(last.withColumnRenamed("_next", "donor").select(*columns))
 
 
 def permutation_importance(holdout: DataFrame, predict: Callable[[DataFrame], DataFrame],
@@ -99,7 +112,7 @@ def permutation_importance(holdout: DataFrame, predict: Callable[[DataFrame], Da
     adds ``y_pred`` from a vector column ``features``. All variants of all features are
     scored in one job.
     """
-    groups = max(1, holdout.count() // ROWS_PER_SHUFFLE_GROUP)
+    groups = max(1, holdout.count() // ROWS_PER_RANGE)
     paired = with_donor(holdout, key=key, repeats=repeats, seed=seed, groups=groups)
     variants = paired.select(
         "y_true", "repeat", "features", "donor",

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
-
-from pyspark import SparkContext
-from pyspark.ml.functions import array_to_vector
+import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+from functools import cached_property, partial
+from multiprocessing.pool import ThreadPool
+
+import numpy as np
+from pyspark import SparkContext, inheritable_thread_target
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import (
-    GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel,
+    DecisionTreeRegressor, GBTRegressionModel, GBTRegressor,
 )
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType
 
 from marquee import config
 from marquee.functions import clipped_log_weight, implied_roi, post_processed
@@ -23,9 +29,19 @@ from marquee.modeling.features import (
     CATEGORICAL, FeatureSpec, feature_frame, fit_vocabulary, training_rows, with_split,
 )
 from marquee.session import materialize, shared_folder
-from marquee.sources.layout import Layout, path_exists
+from marquee.sources.layout import (
+    Layout, child_names, delete_path, path_exists, read_small_file, replace_small_file,
+)
+from marquee.sources.sinks import overwrite_table
 from marquee.sources.tables import MissingTable, read_gold
 
+#: Rows of a boosting round that make a task of their own.
+ROWS_PER_TASK = 50_000
+#: Steps that the driver runs side by side at most.
+MOST_THREADS = 8
+#: The file that names a saved bundle's current version.
+POINTER = "current"
+
 
 @dataclass(frozen=True)
 class TargetPlan:
@@ -45,6 +61,7 @@ RATING = TargetPlan("rating", "vote_average", "User rating (0-10)", weight="vote
 @dataclass(frozen=True)
 class TrainOptions:
     iterations: int = 500
+    block: int = 25                 # rounds between two writings of the margins
     step: float = 0.05
     patience: int = 25
     tolerance: float = 1e-7
@@ -63,15 +80,27 @@ class TrainOptions:
 
 @dataclass
 class FittedTarget:
+    """Fitted models of one target. Metrics and importances are worked out when first asked for."""
+
     plan: TargetPlan
     spec: FeatureSpec
     encoding: TargetEncoding
     model: GBTRegressionModel
-    ridge: LinearRegressionModel
-    metrics: DataFrame              # target, split, metric, value
+    ridge: RidgeModel
     predictions: DataFrame          # y_true, y_pred in original units
-    importance: DataFrame | None    # feature, importance_mean, importance_std
     counts: dict[str, int] = field(default_factory=dict)
+    measure: Callable[[], DataFrame] | None = None
+    rank: Callable[[], DataFrame] | None = None
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        """target, split, metric, value."""
+        return self.measure()
+
+    @cached_property
+    def importance(self) -> DataFrame | None:
+        """feature, importance_mean, importance_std, the largest first."""
+        return self.rank() if self.rank else None
 
 
 # --- assembling ------------------------------------------------------------------
@@ -138,87 +167,186 @@ def rounds_kept(errors: Sequence[float], patience: int, tolerance: float) -> int
     return None
 
 
-def _first_rounds(trees: GBTRegressor, model: GBTRegressionModel, kept: int) -> GBTRegressionModel:
-    java = model._java_obj
+def ensemble(trees: Sequence, weights: Sequence[float], features: int, *, weighted: bool = False) -> GBTRegressionModel:
+    """Single trees, as the JVM holds them, as one boosted model, which sums their weighted predictions."""
     context = SparkContext._active_spark_context
     jvm = context._jvm.org.apache.spark.ml.regression
-    first = context._gateway.new_array(jvm.DecisionTreeRegressionModel, kept)
-    weights = context._gateway.new_array(context._jvm.double, kept)
-    every, factors = java.trees(), java.treeWeights()
-    for number in range(kept):
-        first[number], weights[number] = every[number], factors[number]
-    cut = jvm.GBTRegressionModel(java.uid(), first, weights, java.numFeatures())
-    named = trees._copyValues(GBTRegressionModel(cut))
-    named._transfer_params_to_java()
-    return named
+    every = context._gateway.new_array(jvm.DecisionTreeRegressionModel, len(trees))
+    factors = context._gateway.new_array(context._jvm.double, len(trees))
+    for number, (tree, weight) in enumerate(zip(trees, weights)):
+        every[number], factors[number] = tree, float(weight)
+    named = GBTRegressor(featuresCol="features", labelCol="y_label", predictionCol="y_pred")
+    if weighted:
+        named = named.setWeightCol("weight")
+    java = jvm.GBTRegressionModel(f"boosted-{uuid.uuid4().hex}", every, factors, features)
+    model = named._copyValues(GBTRegressionModel(java))
+    model._transfer_params_to_java()
+    return model
+
+
+class Boosting:
+    """Boosted trees grown in blocks of rounds, each block going on where the last one ended.
+
+    The table holds what the trees so far predict for every row (its margin) and is written
+    anew after each block, so a round scores the rows with the trees of its own block only,
+    no tree is ever fitted twice and a lost executor costs one block at most.
+    """
+
+    def __init__(self, train: DataFrame, options: TrainOptions, *, weighted: bool) -> None:
+        self.options, self.weighted = options, weighted
+        shared_folder(train.sparkSession)
+        rows = as_vectors(train).select("features", "y_label", "weight", "is_validation")
+        self.features = len(train.select("features").first()["features"])
+        root = self._tree(depth=0)
+        start = root._java_obj.fit(rows.where(~F.col("is_validation"))._jdf)  # its one leaf is the mean
+        self.trees, self.weights = [start], [1.0]
+        self.table = materialize(self._scored(start, rows).withColumnRenamed("y_pred", "margin"), "margins")
+        self.rows, self.held = self.table.count(), []
+        #: Validation errors, before the first round and after each.
+        self.errors = [] if self._judged().isEmpty() else list(self._judged().select(
+            F.sum(self._weight() * F.col("y_label") * F.col("y_label")) / F.sum(self._weight())).first())
+
+    def _weight(self) -> Column:
+        return F.col("weight") if self.weighted else F.lit(1.0)
+
+    def _tree(self, depth: int) -> DecisionTreeRegressor:
+        """A learner for the JVM to use: wrapping each tree in Python would take longer than growing it."""
+        options = self.options
+        tree = DecisionTreeRegressor(
+            featuresCol="features", labelCol="y_label", predictionCol="y_pred", maxDepth=depth, seed=options.seed,
+            minInstancesPerNode=options.min_leaf, maxBins=options.max_bins)
+        tree = tree.setWeightCol("weight") if self.weighted else tree
+        tree._transfer_params_to_java()
+        return tree
+
+    @staticmethod
+    def _scored(tree, rows: DataFrame) -> DataFrame:
+        return DataFrame(tree.transform(rows._jdf), rows.sparkSession)
+
+    def _rest(self, rows: DataFrame) -> DataFrame:
+        """The rows with what is left to predict as their label."""
+        return rows.withColumn("y_label", F.col("y_label") - F.col("margin"))
+
+    def _judged(self) -> DataFrame:
+        return self._rest(self.table.where("is_validation"))
+
+    def grow(self, rounds: int) -> None:
+        """One block: ``rounds`` more trees, their validation errors, and the margins anew."""
+        step, trees = self.options.step, []
+        grower = self._tree(self.options.max_depth)
+        left = self._rest(self.table.where(~F.col("is_validation"))).select("features", "y_label", "weight")
+        left = left.coalesce(max(1, self.rows // ROWS_PER_TASK)).persist()
+        for _ in range(rounds):
+            trees.append(grower._java_obj.fit(left._jdf))
+            former = left
+            # What is left is kept from round to round, so each one scores the rows with one tree.
+            left = self._scored(trees[-1], former).selectExpr(
+                "features", f"y_label - {step}D * y_pred AS y_label", "weight").persist()
+            self.held.append(former)
+        self.held.append(left)
+        weights = [step] * rounds
+        block = ensemble(trees, weights, self.features, weighted=self.weighted)
+        if self.errors:
+            self.errors += block.evaluateEachIteration(self._judged(), "squared")
+        scored = block.transform(self.table)
+        self.table = materialize(scored.withColumn("margin", F.col("margin") + F.col("y_pred")).drop("y_pred"), "margins")
+        while self.held:
+            self.held.pop().unpersist()
+        self.trees += trees
+        self.weights += weights
 
 
 def fit_trees(train: DataFrame, options: TrainOptions, *, weighted: bool) -> GBTRegressionModel:
     """Boosted trees that stop early on the validation share of the training rows.
 
-    Boosting ends once ``patience`` rounds in a row gain nothing on the validation rows, and
-    keeps the rounds up to there. Spark itself would stop at the first round without a gain,
-    so a fit of some rounds is judged here, and one of all ``iterations`` where that did not end.
+    Boosting starts from the mean and ends once ``patience`` rounds in a row gain nothing on the
+    validation rows; it keeps the rounds up to there. Without validation rows it takes all
+    ``iterations``. The first tree of the model is the mean, at full weight.
     """
-    shared_folder(train.sparkSession)   # boosting checkpoints its lineage there
-    vectors = materialize(as_vectors(train), "vectors")
-    fitted_on = vectors.where(~F.col("is_validation"))
-    judged_on = vectors.where("is_validation")
-    stops = not judged_on.isEmpty()
-    rounds = min(options.iterations, 4 * options.patience) if stops else options.iterations
-    while True:
-        trees = GBTRegressor(
-            featuresCol="features", labelCol="y_label", predictionCol="y_pred",
-            stepSize=options.step, maxIter=rounds, maxDepth=options.max_depth,
-            minInstancesPerNode=options.min_leaf, maxBins=options.max_bins, seed=options.seed,
-            checkpointInterval=10,
-        )
-        if weighted:
-            trees = trees.setWeightCol("weight")
-        model = trees.fit(fitted_on)
-        if not stops:
-            return model
-        kept = rounds_kept(model.evaluateEachIteration(judged_on, "squared"), options.patience,
-                           options.tolerance)
-        if kept is not None:
-            return _first_rounds(trees, model, kept)
-        if rounds == options.iterations:
-            return model
-        rounds = options.iterations
-
-
-def fit_ridge(train: DataFrame, options: TrainOptions) -> LinearRegressionModel:
-    """Ridge on scaled features, never weighted.
-
-    The penalty is stated for squared error summed over rows; Spark averages the
-    error and rescales by the label's deviation, hence the conversion.
+    boosting = Boosting(train, options, weighted=weighted)
+    kept = None
+    while kept is None and len(boosting.trees) <= options.iterations:
+        boosting.grow(min(options.block, options.iterations + 1 - len(boosting.trees)))
+        kept = rounds_kept(boosting.errors, options.patience, options.tolerance)
+    return ensemble(boosting.trees[:kept], boosting.weights[:kept], boosting.features, weighted=weighted)
+
+
+@dataclass(frozen=True)
+class RidgeModel:
+    coefficients: DenseVector
+    intercept: float
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """``y_pred`` from ``features`` (a vector or an array of double)."""
+        values = F.col("features")
+        if not isinstance(rows.schema["features"].dataType, ArrayType):
+            values = vector_to_array(values)
+        factors = F.array(*map(F.lit, self.coefficients.toArray().tolist()))
+        products = F.zip_with(values, factors, lambda value, factor: value * factor)
+        return rows.withColumn("y_pred", F.lit(self.intercept) + F.aggregate(
+            products, F.lit(0.0), lambda total, product: total + product))
+
+
+def fit_ridge(train: DataFrame, options: TrainOptions) -> RidgeModel:
+    """Ridge on scaled features in closed form, never weighted.
+
+    Means and deviations first, then the products of all pairs of scaled features in one
+    aggregate; only those sums reach the driver. Features that never vary get no weight.
     """
-    facts = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("y_label").alias("spread")).first()
-    penalty = options.ridge_alpha / facts["n"] * (facts["spread"] or 0.0)
-    return LinearRegression(
-        featuresCol="features", labelCol="y_label", predictionCol="y_pred", solver="normal",
-        standardization=True, elasticNetParam=0.0, regParam=penalty,
-    ).fit(as_vectors(train))
+    first = train.select("features").first()
+    if first is None:
+        raise ValueError("ridge needs at least one row")
+    places = range(len(first["features"]))
+    x, y = [F.col("features")[i] for i in places], F.col("y_label")
+    facts = train.agg(F.count(y), F.avg(y), *map(F.avg, x), *map(F.stddev_pop, x)).first()
+    n, centre, means = facts[0], facts[1], facts[2:2 + len(x)]
+    scales = [d if d and d > 0 else 1.0 for d in facts[2 + len(x):]]
+    z = [(x[i] - F.lit(means[i])) / F.lit(scales[i]) for i in places]
+    pairs = [(i, j) for i in places for j in places if i <= j]
+    sums = train.agg(*(F.sum(z[i] * z[j]) for i, j in pairs), *(F.sum(v * (y - F.lit(centre))) for v in z)).first()
+    gram = np.zeros((len(x), len(x)))
+    for (i, j), total in zip(pairs, sums):
+        gram[i, j] = gram[j, i] = total
+    solved = np.linalg.solve(gram + options.ridge_alpha * np.eye(len(x)), np.array(sums[len(pairs):]))
+    factors = solved / np.array(scales)
+    return RidgeModel(DenseVector(factors), float(centre - factors @ np.array(means)))
 
 
 def _scored(model, rows: DataFrame) -> DataFrame:
     return model.transform(as_vectors(rows)).withColumn("y_true", F.col("y_label"))
 
 
-def cross_validated(rows: DataFrame, spec: FeatureSpec, options: TrainOptions) -> DataFrame:
-    """Mean fold metrics of the trees; encoder and trees are refitted per fold, unweighted."""
-    folds = []
-    for number in range(options.folds):
+def in_parallel(spark: SparkSession, work: Sequence[Callable[[], object]]) -> list:
+    """The results of independent driver-side steps, run side by side.
+
+    Every thread takes over the caller's job group, pool and other local properties.
+    """
+    with ThreadPool(min(len(work), MOST_THREADS)) as pool:
+        return pool.map(lambda step: step(), [inheritable_thread_target(spark)(step) for step in work])
+
+
+def cross_validated(rows: DataFrame, spec: FeatureSpec, options: TrainOptions,
+                    fit: Callable[[DataFrame, TrainOptions], object] | None = None) -> DataFrame:
+    """Mean fold metrics; encoder and model are refitted per fold, unweighted, all folds at once.
+
+    ``fit`` is given the training rows of a fold and returns what predicts; the trees by default.
+    """
+    fit = fit or (lambda train, options: fit_trees(train, options, weighted=False))
+    rows = materialize(rows, "cross-validation")
+
+    def fold(number: int) -> DataFrame:
         part = prepare(rows, spec, F.col("fold") == number, key=options.key)
-        model = fit_trees(part.train, options, weighted=False)
-        folds.append(evaluation.regression_metrics(_scored(model, part.test)))
+        scored = _scored(fit(part.train, options), part.test)
+        return materialize(evaluation.regression_metrics(scored), "fold-metrics")
+
+    folds = in_parallel(rows.sparkSession, [partial(fold, number) for number in range(options.folds)])
     return evaluation.stacked(folds).agg(*[
         F.avg(name).alias(name) for name in evaluation.METRICS])
 
 
 def train_target(gold: DataFrame, plan: TargetPlan,
                  options: TrainOptions = TrainOptions()) -> FittedTarget:
-    """Fit one target and evaluate it on the holdout.
+    """Fit one target; what it reaches on the holdout and in folds is measured when asked for.
 
     The genre vocabulary is learned from training rows only.
     """
@@ -238,33 +366,34 @@ def train_target(gold: DataFrame, plan: TargetPlan,
     data = prepare(rows, spec, F.col("is_holdout"), key=options.key)
     model = fit_trees(data.train, options, weighted=plan.weight is not None)
     ridge = fit_ridge(data.train, options)
-
     holdout = materialize(_scored(model, data.test).select("y_raw", "y_true", "y_pred"), "holdout")
-    tables = [
-        evaluation.long_metrics(evaluation.regression_metrics(holdout), plan.name, "holdout"),
-        evaluation.long_metrics(evaluation.regression_metrics(_scored(ridge, data.test)),
-                                plan.name, "ridge"),
-    ]
     in_units = F.expm1("y_pred") if plan.transform == "log1p" else F.col("y_pred")
     predictions = holdout.select(F.col("y_raw").alias("y_true"), in_units.alias("y_pred"))
-    if plan.transform == "log1p":
-        tables.append(evaluation.long_metrics(
-            evaluation.money_metrics(predictions), plan.name, "holdout, original units"))
-    if options.cross_validate:
-        tables.append(evaluation.long_metrics(
-            cross_validated(rows, spec, options), plan.name, "cross-validation"))
-    importance = None
-    if options.importance:
-        importance = materialize(evaluation.permutation_importance(
+
+    def measure() -> DataFrame:
+        tables = [
+            evaluation.long_metrics(evaluation.regression_metrics(holdout), plan.name, "holdout"),
+            evaluation.long_metrics(evaluation.regression_metrics(_scored(ridge, data.test)),
+                                    plan.name, "ridge"),
+        ]
+        if plan.transform == "log1p":
+            tables.append(evaluation.long_metrics(
+                evaluation.money_metrics(predictions), plan.name, "holdout, original units"))
+        if options.cross_validate:
+            tables.append(evaluation.long_metrics(
+                cross_validated(rows, spec, options), plan.name, "cross-validation"))
+        return materialize(evaluation.stacked(tables), "metrics")
+
+    def rank() -> DataFrame:
+        return materialize(evaluation.permutation_importance(
             data.test.select(options.key, F.col("y_label").alias("y_true"), "features"),
             model.transform, spec.columns, key=options.key, repeats=options.repeats,
             seed=options.seed), "importance")
+
     n_test = data.test.count()
-    return FittedTarget(
-        plan, spec, data.encoding, model, ridge,
-        materialize(evaluation.stacked(tables), "metrics"), predictions, importance,
-        {"n_rows": n_rows, "n_test": n_test, "n_train": n_rows - n_test},
-    )
+    return FittedTarget(plan, spec, data.encoding, model, ridge, predictions,
+                        {"n_rows": n_rows, "n_test": n_test, "n_train": n_rows - n_test},
+                        measure, rank if options.importance else None)
 
 
 def train(gold: DataFrame, options: TrainOptions = TrainOptions()) -> dict[str, FittedTarget]:
@@ -280,8 +409,7 @@ def train_from_layout(spark: SparkSession, layout: Layout,
     fitted = train(read_gold(spark, layout.gold, required=True), options)
     for name, bundle in fitted.items():
         save(bundle, layout.model(name))
-    evaluation.stacked([bundle.metrics for bundle in fitted.values()]).write.mode(
-        "overwrite").parquet(layout.metrics)
+    overwrite_table(evaluation.stacked([bundle.metrics for bundle in fitted.values()]), layout.metrics)
     return fitted
 
 
@@ -314,41 +442,49 @@ def score_scenarios(revenue: FittedTarget, rating: FittedTarget, scenarios: Data
 # --- keeping -------------------------------------------------------------------------
 
 def save(bundle: FittedTarget, uri: str) -> None:
-    """Store models with Spark ML persistence and everything else as tables."""
-    spark = bundle.metrics.sparkSession
-    bundle.model.write().overwrite().save(f"{uri}/trees")
-    bundle.ridge.write().overwrite().save(f"{uri}/ridge")
-    bundle.encoding.table.write.mode("overwrite").parquet(f"{uri}/encoding")
-    bundle.metrics.write.mode("overwrite").parquet(f"{uri}/metrics")
-    bundle.predictions.write.mode("overwrite").parquet(f"{uri}/predictions")
+    """Store models with Spark ML persistence and everything else as tables, all or nothing.
+
+    Every save writes a folder of its own below ``uri`` and then switches the small pointer
+    file ``current`` to it. Until then the former bundle stays whole, and a save that fails
+    leaves it in place; folders that nothing points to any more are deleted last.
+    """
+    spark = bundle.predictions.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    folder = f"{uri}/{version}"
+    bundle.model.write().save(f"{folder}/trees")
+    bundle.encoding.table.write.parquet(f"{folder}/encoding")
+    bundle.metrics.write.parquet(f"{folder}/metrics")
+    bundle.predictions.write.parquet(f"{folder}/predictions")
     if bundle.importance is not None:
-        bundle.importance.write.mode("overwrite").parquet(f"{uri}/importance")
+        bundle.importance.write.parquet(f"{folder}/importance")
     facts = {"plan": vars(bundle.plan), "genres": list(bundle.spec.genres),
              "encoded": list(bundle.encoding.columns), "prior": bundle.encoding.prior,
+             "ridge": [*bundle.ridge.coefficients.toArray().tolist(), bundle.ridge.intercept],
              "counts": bundle.counts, "has_importance": bundle.importance is not None}
-    spark.createDataFrame([(json.dumps(facts),)], "value string").write.mode(
-        "overwrite").text(f"{uri}/facts")
+    spark.createDataFrame([(json.dumps(facts),)], "value string").write.text(f"{folder}/facts")
+    replace_small_file(spark, f"{uri}/{POINTER}", version)
+    for name in child_names(spark, uri):
+        if name.startswith("version-") and name != version:
+            delete_path(spark, f"{uri}/{name}")
 
 
 def bundle_exists(spark: SparkSession, uri: str) -> bool:
-    return path_exists(spark, f"{uri}/facts")
+    return path_exists(spark, f"{uri}/{POINTER}")
 
 
 def load(spark: SparkSession, uri: str) -> FittedTarget:
+    """The bundle that the pointer of ``uri`` names, for scoring and reports."""
     if not bundle_exists(spark, uri):
         raise MissingTable(f"no model at {uri}; train first")
-    facts = json.loads(spark.read.text(f"{uri}/facts").first()["value"])
+    folder = f"{uri}/{read_small_file(spark, f'{uri}/{POINTER}')}"
+    facts = json.loads(spark.read.text(f"{folder}/facts").first()["value"])
+    *factors, intercept = facts["ridge"]
     return FittedTarget(
         TargetPlan(**facts["plan"]), FeatureSpec(tuple(facts["genres"])),
-        TargetEncoding(tuple(facts["encoded"]), spark.read.parquet(f"{uri}/encoding"),
+        TargetEncoding(tuple(facts["encoded"]), spark.read.parquet(f"{folder}/encoding"),
                        facts["prior"]),
-        GBTRegressionModel.load(f"{uri}/trees"), LinearRegressionModel.load(f"{uri}/ridge"),
-        spark.read.parquet(f"{uri}/metrics"), spark.read.parquet(f"{uri}/predictions"),
-        spark.read.parquet(f"{uri}/importance") if facts["has_importance"] else None,
-        facts["counts"],
+        GBTRegressionModel.load(f"{folder}/trees"), RidgeModel(DenseVector(factors), intercept),
+        spark.read.parquet(f"{folder}/predictions"), facts["counts"],
+        partial(spark.read.parquet, f"{folder}/metrics"),
+        partial(spark.read.parquet, f"{folder}/importance") if facts["has_importance"] else None,
     )
-
-
-def quick(options: TrainOptions = TrainOptions(), **changes) -> TrainOptions:
-    """A copy of the options with some of them changed."""
-    return replace(options, **changes)

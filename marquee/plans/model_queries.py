@@ -263,9 +263,10 @@ def axis_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.axis_bounds(_guesses(spark, sf_dir))
 
 
-# --- models: no SQL twin ---------------------------------------------------------
+# --- ridge: the closed form, in SQL too ---------------------------------------------
 
 _OPTIONS = training.TrainOptions()
+_INPUTS = [encoded_name(name) if name in CATEGORICAL else name for name in FeatureSpec(_TYPES).columns]
 
 
 def _gold_for_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,18 +279,188 @@ def _labelled(gold: DataFrame, plan: training.TargetPlan):
     return spec, training.labelled_rows(gold, plan, _OPTIONS, spec)
 
 
-@REGISTRY.add()
-def gbt_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.train_target(_gold_for_models(spark, sf_dir), training.RATING, _OPTIONS).metrics
-
-
-@REGISTRY.add()
+def _inputs_sql(source: str, table: str, encodings: list[str]) -> str:
+    """The model inputs of rows of ``table`` as one list, encodings given as expressions."""
+    angle = f"2 * pi() * (coalesce({table}.release_month, 1) - 1) / 12"
+    hot = [f"CAST(coalesce(list_contains({table}.genres, '{g}'), false) AS DOUBLE)" for g in _TYPES]
+    plain = [f"coalesce(CAST({table}.{c} AS DOUBLE), 0.0)" for c in ("budget_musd", "runtime")]
+    return f"[{', '.join([*plain, f'sin({angle})', f'cos({angle})', *hot, *encodings])}]"
+
+
+def _ridge_views(name: str, label: str, where: str, members: str) -> dict[str, str]:
+    """Views that fit a ridge per group g, and apply it to the group's test rows.
+
+    ``members`` lists (g, movie_id, is_test); Gauss-Jordan elimination solves the normal equations.
+    """
+    lab, tr, te = f"{name}_lab", f"{name}_train", f"{name}_test"
+    names = ", ".join(f"CASE WHEN {c} IS NULL OR {c} = '' THEN 'Unknown' ELSE {c} END AS {c}" for c in CATEGORICAL)
+    views = {
+        lab: f"""
+            SELECT g, is_test, movie_id, {label} AS y, budget_musd, runtime, release_month, genres, {names},
+                   {_hash('movie_id', 'encoder-42')} % 5 AS k
+            FROM gold JOIN ({members}) m USING (movie_id)
+            WHERE budget_musd IS NOT NULL AND release_month IS NOT NULL AND genres IS NOT NULL AND {where}""",
+        f"{name}_prior": f"SELECT g, avg(y) AS prior, var_pop(y) AS spread FROM {lab} WHERE NOT is_test GROUP BY g",
+        f"{name}_oof_prior": f"""
+            SELECT l.g, f.k, avg(y) AS prior, var_pop(y) AS spread FROM {lab} l
+            JOIN (SELECT DISTINCT g, k FROM {lab}) f ON l.g = f.g AND l.k <> f.k WHERE NOT is_test GROUP BY l.g, f.k"""}
+    for c in CATEGORICAL:
+        views[f"{name}_full_{c}"] = f"""
+            SELECT g, {c} AS category, count(*) AS n, avg(y) AS mean, var_pop(y) AS scatter
+            FROM {lab} WHERE NOT is_test GROUP BY g, {c}"""
+        views[f"{name}_oof_{c}"] = f"""
+            SELECT l.g, l.{c} AS category, f.k, count(*) AS n, avg(y) AS mean, var_pop(y) AS scatter
+            FROM {lab} l JOIN (SELECT DISTINCT g, k FROM {lab}) f ON l.g = f.g AND l.k <> f.k
+            WHERE NOT is_test GROUP BY l.g, l.{c}, f.k"""
+    encodings = [_shrunk(f"e{i}.n", f"e{i}.mean", f"e{i}.scatter", "p.prior", "p.spread") for i in range(len(CATEGORICAL))]
+
+    def joined(kind: str, fold: str) -> str:
+        return " ".join(f"LEFT JOIN {name}_{kind}_{c} e{i} ON e{i}.g = l.g AND e{i}.category = l.{c}{fold.format(f'e{i}')}"
+                        for i, c in enumerate(CATEGORICAL))
+
+    views |= {
+        tr: f"""
+            SELECT l.g, l.movie_id, l.y, {_inputs_sql(lab, 'l', encodings)} AS x FROM {lab} l
+            JOIN {name}_oof_prior p ON p.g = l.g AND p.k = l.k {joined('oof', ' AND {}.k = l.k')} WHERE NOT l.is_test""",
+        te: f"""
+            SELECT l.g, l.movie_id, l.y, {_inputs_sql(lab, 'l', encodings)} AS x FROM {lab} l
+            JOIN {name}_prior p ON p.g = l.g {joined('full', '')} WHERE l.is_test""",
+        f"{name}_long": f"""
+            SELECT g, movie_id, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM {tr}""",
+        f"{name}_scale": f"""
+            SELECT g, j, avg(v) AS m, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END AS s
+            FROM {name}_long GROUP BY g, j""",
+        f"{name}_z": f"""
+            SELECT g, movie_id, j, (v - m) / s AS z FROM {name}_long JOIN {name}_scale USING (g, j)""",
+        f"{name}_mean": f"SELECT g, avg(y) AS centre FROM {tr} GROUP BY g",
+        f"{name}_gram": f"""
+            SELECT a.g, a.j AS i, b.j, sum(a.z * b.z) + CASE WHEN a.j = b.j THEN 1 ELSE 0 END AS v
+            FROM {name}_z a JOIN {name}_z b ON a.g = b.g AND a.movie_id = b.movie_id GROUP BY a.g, a.j, b.j
+            UNION ALL
+            SELECT z.g, z.j, {len(_INPUTS) + 1}, sum(z.z * (t.y - centre)) FROM {name}_z z
+            JOIN {tr} t ON t.g = z.g AND t.movie_id = z.movie_id JOIN {name}_mean c ON c.g = z.g GROUP BY z.g, z.j""",
+        f"{name}_solved": f"""
+            SELECT g, 0 AS k, list(r ORDER BY i) AS m
+            FROM (SELECT g, i, list(v ORDER BY j) AS r FROM {name}_gram GROUP BY g, i) GROUP BY g
+            UNION ALL
+            SELECT g, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1
+                THEN list_transform(r, lambda v: v / r[k + 1])
+                ELSE list_transform(r, lambda v, j: v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)
+            FROM {name}_solved WHERE k < {len(_INPUTS)}""",
+        f"{name}_coef": f"""
+            SELECT g, list(m[CAST(j AS INTEGER)][{len(_INPUTS) + 1}] / s ORDER BY j) AS b,
+                   any_value(centre) - sum(m[CAST(j AS INTEGER)][{len(_INPUTS) + 1}] / s * c.m) AS b0
+            FROM {name}_solved JOIN {name}_scale c USING (g) JOIN {name}_mean USING (g)
+            WHERE k = {len(_INPUTS)} GROUP BY g""".replace("m[CAST", "solved.m[CAST").replace(
+                f"FROM {name}_solved JOIN", f"FROM {name}_solved solved JOIN"),
+        f"{name}_scored": f"""
+            SELECT g, movie_id, y, x, b, b0 + list_inner_product(x, b) AS p FROM {te} JOIN {name}_coef USING (g)""",
+    }
+    return views
+
+
+_HOLDOUT = f"SELECT 0 AS g, movie_id, {_hash('movie_id', 'split-42')} / 4294967296.0 < 0.2 AS is_test FROM gold"
+_FOLDS = f"""SELECT g, movie_id, {_hash('movie_id', 'folds-42')} % 5 = g AS is_test
+             FROM gold, (SELECT unnest(range(5)) AS g) f"""
+_MONEY = ("ln(1 + revenue_musd)", "revenue_musd > 0")
+_STARS = ("vote_average", "vote_average IS NOT NULL")
+
+
+def _with_ridge(body: str, **views: str) -> str:
+    return with_gold(body, **views).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_R2 = "1 - sum((y - p) ^ 2) / (count(y) * var_pop(y))"
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+@REGISTRY.add(_with_ridge(f"""
+    SELECT round({_R2}, 6) AS r2, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) ^ 2)), 6) AS rmse
+    FROM money_scored""", **_ridge_views("money", *_MONEY, _HOLDOUT)))
 def ridge_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec, rows = _labelled(_gold_for_models(spark, sf_dir), training.REVENUE)
     data = training.prepare(rows, spec, F.col("is_holdout"), key="movie_id")
     ridge = training.fit_ridge(data.train, _OPTIONS)
     predicted = ridge.transform(training.as_vectors(data.test))
-    return evaluation.regression_metrics(predicted, actual="y_label")
+    return _rounded(evaluation.regression_metrics(predicted, actual="y_label"))
+
+
+@REGISTRY.add(_with_ridge(f"""
+    SELECT round(avg(r2), 6) AS r2, round(avg(mae), 6) AS mae, round(avg(rmse), 6) AS rmse
+    FROM (SELECT {_R2} AS r2, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ^ 2)) AS rmse
+          FROM money_scored GROUP BY g)""", **_ridge_views("money", *_MONEY, _FOLDS)))
+def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validation of the ridge: encoder and model are fitted anew in every fold."""
+    spec, rows = _labelled(_gold_for_models(spark, sf_dir), training.REVENUE)
+    return _rounded(training.cross_validated(rows, spec, _OPTIONS, training.fit_ridge))
+
+
+@REGISTRY.add(_with_ridge(f"""
+    SELECT names[j] AS feature, round(max(base) - avg(r2), 6) AS importance_mean,
+           round(stddev_pop(r2), 6) AS importance_std
+    FROM (SELECT j, repeat, {_R2} AS r2 FROM shuffled GROUP BY j, repeat)
+    JOIN (SELECT {_R2} AS base FROM money_scored) ON true
+    JOIN (SELECT {[*FeatureSpec(_TYPES).columns]} AS names) ON true GROUP BY ALL""",
+    **_ridge_views("money", *_MONEY, _HOLDOUT), marked=f"""
+        SELECT *, md5('donor-42:' || repeat || ':' || movie_id) AS mark
+        FROM money_scored, (SELECT unnest(range({_OPTIONS.repeats})) AS repeat) r""",
+    paired="""
+        SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS d
+        FROM marked WINDOW w AS (PARTITION BY repeat ORDER BY mark, movie_id)""",
+    shuffled="""
+        SELECT y, repeat, j, p + b[j] * (d[j] - x[j]) AS p
+        FROM (SELECT *, unnest(range(1, len(x) + 1)) AS j FROM paired)"""))
+def ridge_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of R2 of the ridge when one feature is shuffled, on the holdout."""
+    spec, rows = _labelled(_gold_for_models(spark, sf_dir), training.REVENUE)
+    data = training.prepare(rows, spec, F.col("is_holdout"), key="movie_id")
+    ridge = training.fit_ridge(data.train, _OPTIONS)
+    held = data.test.select("movie_id", F.col("y_label").alias("y_true"), "features")
+    return _rounded(evaluation.permutation_importance(
+        held, ridge.transform, spec.columns, repeats=_OPTIONS.repeats, seed=_OPTIONS.seed))
+
+
+def _ridge_bundle(gold: DataFrame, plan: training.TargetPlan) -> training.FittedTarget:
+    spec, rows = _labelled(gold, plan)
+    data = training.prepare(rows, spec, F.col("is_holdout"), key="movie_id")
+    ridge = training.fit_ridge(data.train, _OPTIONS)
+    return training.FittedTarget(plan, spec, data.encoding, ridge, ridge, data.test)
+
+
+def _scenario_score(name: str) -> str:
+    encodings = [_shrunk(f"e{i}.n", f"e{i}.mean", f"e{i}.scatter", "p.prior", "p.spread") for i in range(len(CATEGORICAL))]
+    joins = " ".join(f"LEFT JOIN {name}_full_{c} e{i} ON e{i}.category = "
+                     f"CASE WHEN s.{c} IS NULL OR s.{c} = '' THEN 'Unknown' ELSE s.{c} END"
+                     for i, c in enumerate(CATEGORICAL))
+    return f"""SELECT scenario_id, s.budget_musd AS budget, b0 + list_inner_product({_inputs_sql('', 's', encodings)}, b) AS p
+               FROM scenarios s JOIN {name}_prior p ON true JOIN {name}_coef ON true {joins}"""
+
+
+@REGISTRY.add(_with_ridge("""
+    SELECT scenario_id, round(greatest(exp(m.p) - 1, 0), 6) AS predicted_revenue_musd,
+           round(least(greatest(r.p, 0), 10), 6) AS predicted_rating,
+           round(CASE WHEN budget > 0 THEN (greatest(exp(m.p) - 1, 0) - budget) / budget ELSE 0 END, 4) AS implied_roi
+    FROM money_scenario m JOIN (SELECT scenario_id, p FROM stars_scenario) r USING (scenario_id)""",
+    scenarios=_SCENARIOS, **_ridge_views("money", *_MONEY, _HOLDOUT), **_ridge_views("stars", *_STARS, _HOLDOUT),
+    money_scenario=_scenario_score("money"), stars_scenario=_scenario_score("stars")))
+def ridge_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenarios scored by the two ridges, with the return that the revenue implies."""
+    gold = _gold_for_models(spark, sf_dir)
+    scored = training.score_scenarios(_ridge_bundle(gold, training.REVENUE), _ridge_bundle(gold, training.RATING),
+                                      _scenarios(spark, sf_dir))
+    return scored.select("scenario_id", F.round("predicted_revenue_musd", 6).alias("predicted_revenue_musd"),
+                         F.round("predicted_rating", 6).alias("predicted_rating"),
+                         F.round("implied_roi", 4).alias("implied_roi"))
+
+
+# --- boosted trees: no SQL twin -------------------------------------------------------
+
+@REGISTRY.add()
+def gbt_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.train_target(_gold_for_models(spark, sf_dir), training.RATING, _OPTIONS).metrics
 
 
 @REGISTRY.add()

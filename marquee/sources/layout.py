@@ -6,9 +6,9 @@ The root may use any scheme Hadoop knows (a plain path, ``file:``, ``hdfs:``,
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 SILVER_TABLES = ("movies", "cast", "crew")
@@ -68,12 +68,54 @@ class Layout:
         return self.uri("models", "metrics")
 
 
+def hadoop_files(spark: SparkSession, uri: str):
+    """(file system, path) of a URI, as Spark's own readers resolve it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def path_exists(spark: SparkSession, uri: str) -> bool:
-    """Whether a file or folder is there, asked through Spark's own path resolution."""
+    """Whether a file or folder is there; nothing below it is listed."""
+    files, path = hadoop_files(spark, uri)
+    return files.exists(path)
+
+
+def child_names(spark: SparkSession, uri: str) -> list[str]:
+    """Names directly below a folder that is known to hold few."""
+    files, path = hadoop_files(spark, uri)
+    return [status.getPath().getName() for status in files.listStatus(path)] if files.exists(path) else []
+
+
+def delete_path(spark: SparkSession, uri: str) -> None:
+    files, path = hadoop_files(spark, uri)
+    files.delete(path, True)
+
+
+def read_small_file(spark: SparkSession, uri: str) -> str:
+    """The text of a file of a few bytes, such as a pointer."""
+    files, path = hadoop_files(spark, uri)
+    stream = files.open(path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def replace_small_file(spark: SparkSession, uri: str, text: str) -> None:
+    """Put a file of a few bytes in place of another; readers find one of the two, whole.
+
+    Stores write a file when it is closed, whole; elsewhere a file beside it is renamed over it.
+    """
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        spark._jvm.org.apache.hadoop.fs.Path(uri).toUri(), spark._jsc.hadoopConfiguration())
+    fresh = f"{uri}-{uuid.uuid4().hex}"
+    files, path = hadoop_files(spark, fresh)
+    stream = files.create(path, True)
     try:
-        spark.read.format("binaryFile").load(uri)
-    except AnalysisException as problem:
-        if problem.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    option = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    context.rename(path, spark._jvm.org.apache.hadoop.fs.Path(uri), options)

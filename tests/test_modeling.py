@@ -254,3 +254,84 @@ def test_registered_models_run_the_whole_job(spark, monkeypatch):
     assert model_queries.gbt_holdout(spark, "") == "metrics"
     assert model_queries.permutation_importance(spark, "") == "importance"
     assert asked == [training.TrainOptions()] * 2
+
+
+def boosted_rows(spark, n=400):
+    return spark.range(n).select(
+        (F.col("id") % 20 + F.xxhash64("id") % 10).cast("double").alias("y_label"), (1.0 + F.col("id") % 3).alias("weight"),
+        (F.col("id") % 5 == 0).alias("is_validation"),
+        F.array((F.col("id") % 20).cast("double"), F.xxhash64("id", F.lit("b")) % 50 * 1.0).alias("features"))
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_blocks_go_on_where_the_last_one_ended(spark, weighted):
+    rows = boosted_rows(spark)
+    whole = training.Boosting(rows, training.TrainOptions(), weighted=weighted)
+    whole.grow(6)
+    parts = training.Boosting(rows, training.TrainOptions(), weighted=weighted)
+    for rounds in (1, 2, 3):
+        parts.grow(rounds)
+    assert len(parts.trees) == 7 and parts.errors == pytest.approx(whole.errors, rel=1e-9)
+    assert len(parts.errors) == 7 and parts.errors[-1] < parts.errors[0]
+    model = training.ensemble(parts.trees, parts.weights, 2, weighted=weighted)
+    scored = model.transform(training.as_vectors(rows)).where("is_validation")
+    weight = F.col("weight") if weighted else F.lit(1.0)
+    error = scored.select(F.sum(weight * (F.col("y_label") - F.col("y_pred")) ** 2) / F.sum(weight)).first()[0]
+    assert parts.errors[-1] == pytest.approx(error, rel=1e-9)
+    margins = parts.table.select((F.col("margin")).alias("m"), "features").collect()
+    assert len(margins) == 400
+
+
+def test_without_validation_rows_all_rounds_are_grown(spark):
+    rows = boosted_rows(spark, 100).withColumn("is_validation", F.lit(False))
+    model = training.fit_trees(rows, training.TrainOptions(iterations=4, block=3), weighted=False)
+    assert model.getNumTrees == 5 and model.treeWeights == [1.0, 0.05, 0.05, 0.05, 0.05]
+
+
+@pytest.mark.parametrize("groups", [1, 3, 50])
+def test_donors_follow_one_order_whatever_the_ranges(spark, groups):
+    import hashlib
+    frame = spark.range(60).select("id", F.array(F.col("id").cast("double")).alias("features"))
+    paired = evaluation.with_donor(frame, key="id", repeats=2, seed=1, groups=groups).collect()
+    for repeat in range(2):
+        circle = sorted(range(60), key=lambda i: (hashlib.md5(f"donor-1:{repeat}:{i}".encode()).hexdigest(), i))
+        after = {a: b for a, b in zip(circle, circle[1:] + circle[:1])}
+        assert {r.id: int(r.donor[0]) for r in paired if r.repeat == repeat} == after
+
+
+def test_ridge_ignores_features_that_never_vary(spark):
+    frame = spark.createDataFrame([([1.0, 2.0], 3.0), ([1.0, 4.0], 5.0), ([1.0, 9.0], 7.0)], "features array<double>, y_label double")
+    model = training.fit_ridge(frame, training.TrainOptions())
+    assert model.coefficients[0] == 0.0 and model.coefficients[1] > 0
+    predicted = [r.y_pred for r in model.transform(frame).collect()]
+    assert predicted == pytest.approx([r.y_pred for r in model.transform(training.as_vectors(frame)).collect()])
+    with pytest.raises(ValueError, match="at least one row"):
+        training.fit_ridge(frame.limit(0), training.TrainOptions())
+
+
+def test_a_failing_save_leaves_the_old_bundle(spark, gold, tmp_path):
+    from dataclasses import replace
+    from pyspark.ml.linalg import DenseVector
+
+    frame = training.as_vectors(boosted_rows(spark, 60))
+    boosting = training.Boosting(boosted_rows(spark, 60), training.TrainOptions(), weighted=False)
+    model = training.ensemble(boosting.trees, boosting.weights, 2)
+    ridge = training.RidgeModel(DenseVector([1.0, 2.0]), 0.5)
+    encoding = fit_target_encoding(gold, ["director_name"], "vote_average")
+    table = spark.createDataFrame([("rating", "holdout", "r2", 0.5)], "target string, split string, metric string, value double")
+    bundle = training.FittedTarget(training.RATING, FeatureSpec(("War",)), encoding, model, ridge,
+                                   frame.select(F.col("y_label").alias("y_true"), F.lit(1.0).alias("y_pred")), {"n_rows": 60}, lambda: table)
+    uri = f"{tmp_path}/model"
+    training.save(bundle, uri)
+
+    def broken():
+        raise OSError("no table")
+
+    with pytest.raises(OSError):
+        training.save(replace(bundle, measure=broken, counts={"n_rows": 1}), uri)
+    again = training.load(spark, uri)
+    assert again.counts == {"n_rows": 60} and again.ridge == ridge and again.importance is None
+    assert again.metrics.collect() == table.collect() and again.spec == bundle.spec
+    training.save(replace(bundle, counts={"n_rows": 2}), uri)
+    assert training.load(spark, uri).counts == {"n_rows": 2}
+    assert sum(p.name.startswith("version-") for p in (tmp_path / "model").iterdir()) == 1
