@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.llm.bpe import WordBpe
-from marquee.llm.texts import documents, text_slices
+from marquee.llm.texts import documents, give_back, text_slices
 from marquee.plans.registry import Registry
 from marquee.session import materialize
 
@@ -66,7 +66,7 @@ def _encoder(path: str) -> TextIds:
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def _pieces(path: str, capacity: int, end_id: int):
+def _pieces(path: str, capacity: int, end_id: int, forget: bool):
     tail = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,6 +84,10 @@ def _pieces(path: str, capacity: int, end_id: int):
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                                   ["doc_id", "piece", "start", "length", "ids_crc32"])
+        if forget:
+            del encoder
+            _encoder.cache_clear()
+            give_back()
     return run
 
 
@@ -156,17 +160,18 @@ def _placed(places):
 
 
 def pack(docs: DataFrame, *, path: str = VOCABULARY, capacity: int = CAPACITY,
-         end_id: int = END_ID) -> DataFrame:
+         end_id: int = END_ID, forget: bool = False) -> DataFrame:
     """Pack whole documents, each followed by ``end_id``, into sequences of ``capacity`` tokens.
 
     Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset. A
     document of more than ``capacity`` tokens is cut into full pieces, the first of which
     may be shorter; others are one piece. A null or empty text is the end mark alone; null
     doc_ids stay null; repeated rows are packed as often as they occur; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. With ``forget`` a worker drops its vocabulary and
+    remembered words after each task: slower, but they don't stay beside what it does next.
     """
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = narrow.mapInArrow(_pieces(path, capacity, end_id), _PIECES)
+    pieces = narrow.mapInArrow(_pieces(path, capacity, end_id, forget), _PIECES)
     pieces = materialize(pieces.withColumn("part", F.expr(
         f"cast(pmod(xxhash64(doc_id, start, ids_crc32), {PARTS}) as int)")), "pack-pieces")
     # At most capacity * PARTS rows: a proven bound for what is broadcast and collected.
