@@ -7,34 +7,55 @@ of the largest doc_id stays, of near copies the one of the smallest; what is lef
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from marquee.llm import exact_dedup, jaccard, language, packing, toxicity
 from marquee.session import materialize
 
+#: Rows of an Arrow batch. A task holds a batch of whole documents several times over, in the
+#: JVM and in Python, and 10,000 of them, the default, take tens of megabytes each time.
+BATCH_ROWS = 2_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def bounded(stage: Stage) -> Stage:
+    """The stage in a session whose Arrow batches have at most BATCH_ROWS rows from then on."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+            spark.conf.set(setting, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+@bounded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
 
 
+@bounded
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.without_unknown(docs, language.with_bounds(language.fit(docs, share=language.LEARNED), docs))
 
 
+@bounded
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.one_of_each(docs)
 
 
+@bounded
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.one_of_each(docs)
 
 
+@bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, forget=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
