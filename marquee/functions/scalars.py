@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from marquee import config
 
 __all__ = [
-    "iso_date", "variant_text", "variant_truth", "money_musd", "return_on_investment", "roi_bucket",
+    "iso_date", "json_with_mark", "marked_document", "variant_text", "variant_truth", "money_musd", "return_on_investment", "roi_bucket",
     "id_prefix", "month_label", "known_or_unknown", "month_angle", "multi_hot",
     "contains_text", "overlaps_any", "size_mb", "clipped_log_weight", "hash_fraction",
     "hash_bucket", "implied_roi", "post_processed",
@@ -16,6 +16,24 @@ __all__ = [
 
 # --- loosely typed JSON ------------------------------------------------------
 
+def json_with_mark(body: Column) -> Column:
+    """The text parsed as the first of two entries of a list, the second being its own checksum.
+
+    The parser stops at the end of a value and says nothing of what follows. Here the list
+    only closes behind the checksum, which a text can't hold itself, so any further text
+    breaks the list or moves the checksum. NULL if the list is broken.
+    """
+    text = F.concat(F.lit("["), body, F.lit(',"'), F.md5(body.cast("binary")), F.lit('"]'))
+    return F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+
+
+def marked_document(marked: Column, body: Column) -> Column:
+    """The document of :func:`json_with_mark`, NULL unless the text is exactly one JSON value."""
+    mark = F.try_variant_get(F.get(marked, F.lit(1)), "$", "string")
+    whole = (F.size(marked) == 2) & (mark == F.md5(body.cast("binary")))
+    return F.when(whole, F.get(marked, F.lit(0)))
+
+
 def variant_text(value: Column) -> Column:
     """A VARIANT that is a string; any other kind counts as missing."""
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))

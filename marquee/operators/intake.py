@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from marquee import config
+from marquee.functions import json_with_mark, marked_document
 
 MOST_IDS_TO_BROADCAST = 500_000   # eight bytes each, before hashing
 
@@ -162,7 +163,8 @@ def judged(raw: DataFrame, body: str = "body") -> DataFrame:
 
     The generator binds the parsed document, so each body is parsed exactly once.
     """
-    bound = raw.select(*raw.columns, F.explode_outer(F.array(F.try_parse_json(body))).alias("_doc"))
+    marked = raw.select(*raw.columns, F.explode_outer(F.array(json_with_mark(F.col(body)))).alias("_marked"))
+    bound = marked.withColumn("_doc", marked_document(F.col("_marked"), F.col(body))).drop("_marked")
     kind = F.schema_of_variant(F.try_variant_get("_doc", "$.id", "variant"))
     reason = (
         F.when(F.col("_doc").isNull(), "not valid JSON")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee import config
-from marquee.functions import iso_date, variant_text, variant_truth
+from marquee.functions import iso_date, json_with_mark, marked_document, variant_text, variant_truth
 
 # Fields whose kind matters stay VARIANT and are judged one by one.
 DOCUMENT_SHAPE = (
@@ -31,13 +31,16 @@ DOCUMENT_SHAPE = (
 def parse_documents(raw: DataFrame, body: str = "body") -> DataFrame:
     """Typed rows for every document whose ``id`` is a whole number.
 
+    A body is exactly one JSON value; see ``sources.documents.framed`` for texts that aren't.
+
     ``cast`` and ``crew`` stay nested in document order; an entry that is not an object is
     NULL there and skipped when the lists are unpacked.
     """
     # A one-element generator computes its input once per row. A plain projection would
     # be computed again in every filter that the optimizer moves below it.
-    shaped = F.try_variant_get(F.try_parse_json(body), "$", DOCUMENT_SHAPE)
-    docs = raw.select(F.explode_outer(F.array(shaped)).alias("_doc"))
+    marked = raw.select(F.col(body).alias("_body"), F.explode_outer(F.array(json_with_mark(F.col(body)))).alias("_marked"))
+    shaped = F.try_variant_get(marked_document(F.col("_marked"), F.col("_body")), "$", DOCUMENT_SHAPE)
+    docs = marked.select(F.explode_outer(F.array(shaped)).alias("_doc"))
     docs = docs.where(F.schema_of_variant("_doc.id") == "BIGINT")
 
     def number(name: str) -> Column:

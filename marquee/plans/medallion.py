@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marquee import config
 from marquee.operators import gold, silver
 from marquee.session import materialized
-from marquee.sources.documents import read_layer
+from marquee.sources.documents import framed, read_layer
 from marquee.sources.layout import SILVER_TABLES, Layout
 from marquee.sources.sinks import overwrite_table
 from marquee.sources.tables import read_silver, row_count
@@ -27,7 +27,7 @@ def build_silver(spark: SparkSession, layout: Layout, *, raw: DataFrame | None =
     any frame with a ``body`` column, such as the landed table of a stream; by
     default the document folder of the layout is read, in either of its layouts.
     """
-    documents = read_layer(spark, layout.documents) if raw is None else raw
+    documents = read_layer(spark, layout.documents) if raw is None else framed(raw)
     scoped = silver.silver_scope(silver.parse_documents(documents), start_year=start_year,
                                  as_of=as_of, language=language)
     with materialized(scoped, "documents") as staged:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import math
+import re
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marquee.functions import id_prefix
+from marquee.functions import id_prefix, json_with_mark, marked_document
 
+_BLANK = re.compile(r"[ \t\n\r]*")
 RAW_SCHEMA = "source string, body string"
 
 
@@ -34,11 +40,51 @@ def read_documents(spark: SparkSession, uri: str, *, pattern: str = "*.json.gz",
                         F.col("value").alias("body"))
 
 
+def split_values(text: str) -> list[str]:
+    """The JSON values that a text consists of, each written anew; the text itself if it isn't JSON.
+
+    Of repeated keys the last one counts. NaN and infinities, which JSON has no word for,
+    become strings, and a number read from those is what they name.
+    """
+    def number(digits: str) -> float | str:
+        value = float(digits)
+        return value if math.isfinite(value) else str(value)
+
+    decoder = json.JSONDecoder(parse_constant=str, parse_float=number)
+    values, at = [], _BLANK.match(text).end()
+    try:
+        while at < len(text):
+            value, at = decoder.raw_decode(text, at)
+            values.append(json.dumps(value))
+            at = _BLANK.match(text, at).end()
+    except (ValueError, RecursionError):
+        return [text]
+    return values or [text]
+
+
+def framed(raw: DataFrame, body: str = "body") -> DataFrame:
+    """One row per JSON value, for bodies that may hold several, in lines or not.
+
+    A body that is exactly one value, as nearly all are, is passed on untouched by the JVM;
+    only others go through :func:`split_values`. What isn't JSON stays as it is, and is
+    rejected with a reason where documents are judged. Works on streams, too.
+    """
+    def split(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else split_values(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    column = F.col(body)
+    marked = raw.select(*raw.columns, F.explode_outer(F.array(json_with_mark(column))).alias("_marked"))
+    odd = F.when(marked_document(F.col("_marked"), column).isNull(), column)
+    several = marked.withColumn("_values", F.arrow_udf(split, "array<string>")(odd)).drop("_marked")
+    others = [F.col(name) for name in raw.columns if name != body]
+    return several.select(*others, F.explode(F.coalesce("_values", F.array(column))).alias(body)).select(*raw.columns)
+
+
 def read_layer(spark: SparkSession, uri: str) -> DataFrame:
-    """All documents of a folder that may hold both layouts: one document per ``.json.gz``
-    file, and the line files (``.txt.gz``) that :func:`write_documents` makes."""
-    return read_documents(spark, uri).unionByName(
-        read_documents(spark, uri, pattern="*.txt.gz", one_per_file=False))
+    """All documents of a folder that may hold both layouts: ``.json.gz`` files of one or
+    several documents, and the line files (``.txt.gz``) that :func:`write_documents` makes."""
+    return framed(read_documents(spark, uri).unionByName(
+        read_documents(spark, uri, pattern="*.txt.gz", one_per_file=False)))
 
 
 def write_documents(docs: DataFrame, uri: str, *, id_column: str = "id",
@@ -61,7 +107,7 @@ def write_documents(docs: DataFrame, uri: str, *, id_column: str = "id",
 def compact_documents(spark: SparkSession, source_uri: str, target_uri: str) -> None:
     """Turn a one-file-per-document folder into few large line-delimited files."""
     parsed = F.try_parse_json("body")
-    docs = read_documents(spark, source_uri).select(
+    docs = framed(read_documents(spark, source_uri)).select(
         F.try_variant_get(parsed, "$.id", "bigint").alias("id"),
         F.to_json(parsed).alias("body"),
     )

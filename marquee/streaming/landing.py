@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marquee.operators.intake import judged, split_readable
 from marquee.session import materialized
+from marquee.sources.documents import framed
 
 LANDED_SCHEMA = "id bigint, source string, body string, run string, batch bigint"
 QUARANTINE_SCHEMA = "source string, body string, reason string, run string, batch bigint"
@@ -31,8 +32,8 @@ def document_stream(spark: SparkSession, uri: str, *, pattern: str = "*.json.gz"
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     lines = reader.text(uri, wholetext=one_per_file)
-    return lines.select(F.col("_metadata.file_path").alias("source"),
-                        F.col("value").alias("body"))
+    return framed(lines.select(F.col("_metadata.file_path").alias("source"),
+                               F.col("value").alias("body")))
 
 
 def read_batches(spark: SparkSession, uri: str, schema: str) -> DataFrame:
@@ -65,6 +66,13 @@ def run_name(checkpoint_uri: str) -> str:
     return hashlib.md5(checkpoint_uri.rstrip("/").encode()).hexdigest()[:16]
 
 
+def _unlanded(docs: DataFrame, landed_uri: str, run: str, number: int) -> DataFrame:
+    """``docs``, of different ids, without those that another batch has landed."""
+    others = read_landed(docs.sparkSession, landed_uri).where((F.col("run") != run) | (F.col("batch") != number))
+    known = others.select("id").join(docs.select("id"), "id", "left_semi").distinct()
+    return docs.join(known, "id", "left_anti")
+
+
 def land_batch(batch: DataFrame, number: int, landed_uri: str, quarantine_uri: str,
                run: str = "0") -> None:
     """Land one micro-batch of a run. Repeating it replaces exactly what it wrote.
@@ -74,14 +82,8 @@ def land_batch(batch: DataFrame, number: int, landed_uri: str, quarantine_uri: s
     broadcast of them while they are few, by a shuffle otherwise. Earlier output of the
     same batch is ignored, so a retry does not take its own documents for old ones.
     """
-    spark = batch.sparkSession
     with materialized(judged(batch.select("source", "body")), "batch") as stored:
-        readable = stored.where("reason is null")
-        known = (
-            read_landed(spark, landed_uri).where((F.col("run") != run) | (F.col("batch") != number)).select("id")
-            .join(readable.select("id").distinct(), "id", "left_semi").distinct()
-        )
-        fresh = one_per_id(readable).join(known, "id", "left_anti")
+        fresh = _unlanded(one_per_id(stored.where("reason is null")), landed_uri, run, number)
         fresh.write.mode("overwrite").parquet(f"{landed_uri}/run={run}/batch={number}")
         unusable = stored.where("reason is not null").select("source", "body", "reason")
         unusable.write.mode("overwrite").parquet(f"{quarantine_uri}/run={run}/batch={number}")
@@ -101,17 +103,25 @@ def start_landing(stream: DataFrame, landed_uri: str, quarantine_uri: str,
 
 
 def start_stateful_landing(stream: DataFrame, landed_uri: str, checkpoint_uri: str,
-                           quarantine_uri: str | None = None) -> StreamingQuery:
+                           quarantine_uri: str | None = None, *,
+                           remember: str | None = None) -> StreamingQuery:
     """The same with ids remembered in the state store instead of re-read per batch.
 
     The cost of a batch then follows the batch, not the landed table. The state holds
-    every id ever seen, spread over all executors and kept on disk by RocksDB. Unusable
+    every id ever seen, spread over all executors and kept on disk by RocksDB, or, with
+    ``remember`` (such as "7 days"), those of documents processed within that time: its size
+    is bounded, and what passes it is looked for in the landed table as well. Unusable
     documents pass it by; without ``quarantine_uri`` they go beside the landed table, to
     its name with "-quarantine" added.
     """
     quarantine = quarantine_uri or f"{landed_uri.rstrip('/')}-quarantine"
     readable, unusable = split_readable(stream)
-    unique = readable.dropDuplicates(["id"]).select(
+    if remember is None:
+        once = readable.dropDuplicates(["id"])
+    else:
+        once = (readable.withColumn("seen", F.current_timestamp()).withWatermark("seen", remember)
+                .dropDuplicatesWithinWatermark(["id"]))
+    unique = once.select(
         "id", "source", "body", F.lit(None).cast("string").alias("reason"))
     both = unique.unionByName(unusable.select(
         F.lit(None).cast("bigint").alias("id"), "source", "body", "reason"))
@@ -119,8 +129,10 @@ def start_stateful_landing(stream: DataFrame, landed_uri: str, checkpoint_uri: s
     def land(batch: DataFrame, number: int) -> None:
         own = f"run={run_name(checkpoint_uri)}/batch={number}"
         with materialized(batch, "batch") as stored:
-            stored.where("reason is null").select("id", "source", "body").write.mode(
-                "overwrite").parquet(f"{landed_uri}/{own}")
+            fresh = stored.where("reason is null").select("id", "source", "body")
+            if remember is not None:
+                fresh = _unlanded(fresh, landed_uri, run_name(checkpoint_uri), number)
+            fresh.write.mode("overwrite").parquet(f"{landed_uri}/{own}")
             stored.where("reason is not null").select("source", "body", "reason").write.mode(
                 "overwrite").parquet(f"{quarantine}/{own}")
 

@@ -138,3 +138,40 @@ def test_documents_of_both_layouts_are_read(spark, layout):
     store(layout, film(5))
     docs = silver.parse_documents(read_layer(spark, layout.documents))
     assert sorted(r.id for r in docs.collect()) == [5, *range(1000, 1020)]
+
+
+def test_values_are_split_whatever_stands_between():
+    from marquee.sources.documents import split_values
+    assert split_values('{"a": 1}\n\n {"b":\n 2}{"c": 3}[4]') == ['{"a": 1}', '{"b": 2}', '{"c": 3}', "[4]"]
+    assert split_values('{"a": 1, "b": 2, "a": 3}') == ['{"a": 3, "b": 2}']
+    assert split_values('{"a": NaN, "b": -Infinity, "c": 1e999}') == ['{"a": "NaN", "b": "-Infinity", "c": "inf"}']
+    for broken in ('{"a": 1} junk', '{"a": 1}}', "", "  ", '{"a": ', "[" * 100_000):
+        assert split_values(broken) == [broken]
+
+
+def test_documents_in_any_frame(spark, layout):
+    folder = os.path.join(layout.documents, "id_prefix=000")
+    os.makedirs(folder)
+    texts = {"1": '{"id": 1}\n{"id": 2}\n', "3": '{\n "id": 3\n}\n{\n "id": 4}', "5": '{"id": 5} junk', "6": '{"id": 0, "id": 6}',
+             "7": '{"id": 7, "vote_average": NaN, "popularity": Infinity, "runtime": 9}', "8": '{"id": 8}]', "9": '{"id": 9},"x"]',
+             "10": '{"id": 10, "title": "Straße \\ud83d\\ude00 \\" }"}', "11": "", "12": '{"id": 12, "title": "\\ud800"}{"id": 13}'}
+    for name, text in texts.items():
+        with gzip.open(os.path.join(folder, f"{name}.json.gz"), "wt", encoding="utf-8") as out:
+            out.write(text)
+    from marquee.operators.intake import judged
+    from marquee.sources.documents import read_layer
+    rows = {r.id: r for r in silver.parse_documents(read_layer(spark, layout.documents)).collect()}
+    assert set(rows) == {1, 2, 3, 4, 6, 7, 10, 12, 13}
+    assert rows[7].vote_average != rows[7].vote_average and rows[7].popularity == float("inf") and rows[7].runtime == 9
+    assert rows[10].title == 'Straße \U0001F600 " }'
+    reasons = [r.reason for r in judged(read_layer(spark, layout.documents)).where("reason is not null").collect()]
+    assert reasons == ["not valid JSON"] * len(reasons) and len(reasons) == 4
+
+
+def test_framing_keeps_other_columns(spark):
+    from marquee.sources.documents import framed
+    raw = spark.createDataFrame([("a", '{"id": 1}{"id": 2}', 5), ("b", None, 6), (None, '{"id": 3}', None)],
+                                "source string, body string, _n int")
+    assert sorted(map(str, framed(raw).collect())) == sorted(map(str, spark.createDataFrame(
+        [("a", '{"id": 1}', 5), ("a", '{"id": 2}', 5), ("b", None, 6), (None, '{"id": 3}', None)], raw.schema).collect()))
+    assert framed(raw.limit(0)).count() == 0
