@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, functions as F
 
 from marquee import config
@@ -9,7 +11,7 @@ from marquee import config
 __all__ = [
     "iso_date", "json_with_mark", "marked_document", "variant_text", "variant_truth", "money_musd", "return_on_investment", "roi_bucket",
     "id_prefix", "month_label", "known_or_unknown", "month_angle", "multi_hot",
-    "contains_text", "overlaps_any", "size_mb", "clipped_log_weight", "hash_fraction",
+    "contains_text", "case_folded", "contains_folded", "overlaps_any", "size_mb", "clipped_log_weight", "hash_fraction",
     "hash_bucket", "implied_roi", "post_processed",
 ]
 
@@ -113,6 +115,30 @@ def contains_text(column: Column, needle: str) -> Column:
     return F.lower(F.coalesce(column, F.lit(""))).contains(needle.lower())
 
 
+@cache
+def _further_folds() -> dict[str, str]:
+    """Lower-case letters that case folding changes further, such as ß to ss; by rule, about 190."""
+    letters = map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000)))
+    return {c: c.casefold() for c in letters if c.lower() == c and c.casefold() != c}
+
+
+def case_folded(text: Column) -> Column:
+    """Text for comparison without case: lower-cased, and what Unicode folds further folded too.
+
+    Texts with none of those letters, nearly all, are lower-cased only.
+    """
+    folds = _further_folds()
+    lower = F.lower(text)
+    table = F.create_map(*(F.lit(x) for pair in folds.items() for x in pair))
+    letters = F.transform(F.split(lower, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
+    return F.when(lower.rlike(f"[{''.join(folds)}]"), F.array_join(letters, "")).otherwise(lower)
+
+
+def contains_folded(column: Column, needle: str) -> Column:
+    """Literal substring by full case folding; NULL text behaves as empty."""
+    return case_folded(F.coalesce(column, F.lit(""))).contains(needle.casefold())
+
+
 def overlaps_any(values: Column, wanted: list[str] | tuple[str, ...]) -> Column:
     """True when the list shares an element with ``wanted``. No selection means no filter."""
     if not wanted:

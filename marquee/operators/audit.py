@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marquee import config
-from marquee.functions import contains_text, size_mb
+from marquee.functions import contains_folded, size_mb
 from marquee.sources.documents import read_layer
 from marquee.sources import listing
 from marquee.sources.layout import SILVER_TABLES, Layout
@@ -65,6 +65,35 @@ def drop_reasons(movies: DataFrame, *, start_year: int = config.START_YEAR,
     })
 
 
+#: What each rule of :func:`silver_rules` and :func:`gold_rules` is called, in their order.
+RULE_CODES = {"silver": ("language", "adult", "no date", "too early", "too late"), "gold": ("budget", "revenue")}
+
+
+def rule_mask(rules: list[tuple[Column, Column]]) -> Column:
+    """A bit per rule, set where the row breaks it."""
+    return sum((F.when(violated, 1 << bit).otherwise(0) for bit, (violated, _) in enumerate(rules)), F.lit(0))
+
+
+def rule_counts(movies: DataFrame, *, start_year: int = config.START_YEAR, as_of: dt.date | None = None,
+                language: str = config.LANGUAGE, min_budget: float = config.MIN_BUDGET) -> DataFrame:
+    """(layer, rule, n, alone): rows that break each rule, and those that break no other of its layer.
+
+    One aggregate over a bit mask per layer: as many rows as rules at any size, zeros included,
+    and nothing but those sums is shuffled.
+    """
+    rules = {"silver": silver_rules(start_year=start_year, as_of=as_of, language=language),
+             "gold": gold_rules(min_budget=min_budget)}
+    masks = movies.select(*(rule_mask(own).alias(layer) for layer, own in rules.items()))
+    sums = masks.agg(*(
+        column for layer, names in RULE_CODES.items() for bit in range(len(names)) for column in (
+            F.count_if(F.col(layer).bitwiseAND(1 << bit) != 0).alias(f"{layer}-{bit}-n"),
+            F.count_if(F.col(layer) == 1 << bit).alias(f"{layer}-{bit}-alone"))))
+    return sums.select(F.inline(F.array(*(
+        F.struct(F.lit(layer).alias("layer"), F.lit(name).alias("rule"),
+                 F.col(f"{layer}-{bit}-n").alias("n"), F.col(f"{layer}-{bit}-alone").alias("alone"))
+        for layer, names in RULE_CODES.items() for bit, name in enumerate(names)))))
+
+
 def reason_histogram(reasoned: DataFrame) -> DataFrame:
     """How many rows each rule rejects, per layer."""
     tagged = [
@@ -153,9 +182,9 @@ def point_lookup(df: DataFrame, key: str, value: int) -> DataFrame:
 
 
 def title_search(docs: DataFrame, needle: str, *, limit: int | None = None) -> DataFrame:
-    """Rows whose title or original title contains ``needle``, ignoring case, by id."""
-    found = docs.where(contains_text(F.col("title"), needle)
-                       | contains_text(F.col("original_title"), needle)).orderBy("id")
+    """Rows whose title or original title contains ``needle``, by full case folding, by id."""
+    found = docs.where(contains_folded(F.col("title"), needle)
+                       | contains_folded(F.col("original_title"), needle)).orderBy("id")
     return found if limit is None else found.limit(limit)
 
 

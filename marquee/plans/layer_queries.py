@@ -152,6 +152,21 @@ def drop_reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.reason_histogram(_reasoned(spark, sf_dir))
 
 
+@REGISTRY.add(with_gold("""
+    SELECT layer, rule, count(*) FILTER (WHERE hit) AS n, count(*) FILTER (WHERE hit AND hits = 1) AS alone
+    FROM (SELECT *, sum(CAST(hit AS INTEGER)) OVER (PARTITION BY id, layer) AS hits FROM (
+        SELECT id, unnest([{'layer': 'silver', 'rule': 'language', 'hit': original_language <> 'F'},
+                           {'layer': 'silver', 'rule': 'adult', 'hit': adult},
+                           {'layer': 'silver', 'rule': 'no date', 'hit': release_date IS NULL},
+                           {'layer': 'silver', 'rule': 'too early', 'hit': coalesce(release_date < DATE '1996-01-01', false)},
+                           {'layer': 'silver', 'rule': 'too late', 'hit': coalesce(release_date > DATE '2000-06-30', false)},
+                           {'layer': 'gold', 'rule': 'budget', 'hit': budget < 10000},
+                           {'layer': 'gold', 'rule': 'revenue', 'hit': revenue <= 0}], recursive := true) FROM movies))
+    GROUP BY layer, rule"""))
+def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.rule_counts(order_movies(spark, sf_dir), min_budget=MIN_BUDGET, **SCOPE)
+
+
 @REGISTRY.add(with_gold("""
     SELECT m.id, 1 AS in_bronze, CAST(in_scope AS INTEGER) AS in_silver,
            CAST(priced AS INTEGER) AS in_gold,
@@ -184,6 +199,16 @@ def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "title", "original_title")
 
 
+@REGISTRY.add(with_gold("""
+    SELECT id, original_title FROM (SELECT id, replace(original_title, 'URGENT for 1', 'Straße ΣΑΣ ' || id) AS original_title FROM movies)
+    WHERE contains(replace(replace(lower(original_title), 'ß', 'ss'), 'ς', 'σ'), 'strasse σασ 1')"""))
+def title_search_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters that only full case folding makes equal."""
+    movies = order_movies(spark, sf_dir).select("id", "title", F.replace(
+        "original_title", F.lit("URGENT for 1"), F.concat(F.lit("Straße ΣΑΣ "), F.col("id").cast("string"))).alias("original_title"))
+    return audit.title_search(movies, "STRASSE σας 1").select("id", "original_title")
+
+
 _SNAPSHOT = ("SELECT CAST(user_id AS VARCHAR) AS path, count(*) AS rows, "
              "CAST(max(event_id) AS VARCHAR) AS stamp FROM events {where} GROUP BY user_id")
 

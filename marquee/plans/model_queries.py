@@ -398,21 +398,55 @@ def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(training.cross_validated(rows, spec, _OPTIONS, training.fit_ridge))
 
 
-@REGISTRY.add(_with_ridge(f"""
+_IMPORTANCE = f"""
     SELECT names[j] AS feature, round(max(base) - avg(r2), 6) AS importance_mean,
            round(stddev_pop(r2), 6) AS importance_std
     FROM (SELECT j, repeat, {_R2} AS r2 FROM shuffled GROUP BY j, repeat)
     JOIN (SELECT {_R2} AS base FROM money_scored) ON true
-    JOIN (SELECT {[*FeatureSpec(_TYPES).columns]} AS names) ON true GROUP BY ALL""",
-    **_ridge_views("money", *_MONEY, _HOLDOUT), marked=f"""
+    JOIN (SELECT {[*FeatureSpec(_TYPES).columns]} AS names) ON true GROUP BY ALL"""
+_SHUFFLED = {**_ridge_views("money", *_MONEY, _HOLDOUT), "marked": f"""
         SELECT *, md5('donor-42:' || repeat || ':' || movie_id) AS mark
         FROM money_scored, (SELECT unnest(range({_OPTIONS.repeats})) AS repeat) r""",
-    paired="""
+    "paired": """
         SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS d
         FROM marked WINDOW w AS (PARTITION BY repeat ORDER BY mark, movie_id)""",
-    shuffled="""
+    "shuffled": """
         SELECT y, repeat, j, p + b[j] * (d[j] - x[j]) AS p
-        FROM (SELECT *, unnest(range(1, len(x) + 1)) AS j FROM paired)"""))
+        FROM (SELECT *, unnest(range(1, len(x) + 1)) AS j FROM paired)"""}
+
+
+@REGISTRY.add(_with_ridge(f"SELECT * FROM ({_IMPORTANCE}) ORDER BY importance_mean DESC, feature LIMIT 5", **_SHUFFLED))
+def top_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most important features of the ridge, as in a report."""
+    return evaluation.top_importances(ridge_importance(spark, sf_dir), n=5)
+
+
+_THREE = f"{_R2} AS r2, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ^ 2)) AS rmse"
+
+
+@REGISTRY.add(_with_ridge(f"""
+    SELECT target, split, round(r2, 6) AS r2, round(mae, 6) AS mae, round(rmse, 6) AS rmse FROM (
+        SELECT 'revenue' AS target, 'ridge' AS split, {_THREE} FROM money_scored
+        UNION ALL SELECT 'rating', 'ridge', {_THREE} FROM stars_scored
+        UNION ALL SELECT 'rating', 'cross-validation', avg(r2), avg(mae), avg(rmse)
+                  FROM (SELECT {_THREE} FROM folds_scored GROUP BY g))""",
+    **_ridge_views("money", *_MONEY, _HOLDOUT), **_ridge_views("stars", *_STARS, _HOLDOUT),
+    **_ridge_views("folds", *_STARS, _FOLDS)))
+def metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of both targets side by side, a row per target and split."""
+    gold, tables = _gold_for_models(spark, sf_dir), []
+    for plan in (training.REVENUE, training.RATING):
+        spec, rows = _labelled(gold, plan)
+        data = training.prepare(rows, spec, F.col("is_holdout"), key="movie_id")
+        scored = training.fit_ridge(data.train, _OPTIONS).transform(data.test)
+        tables.append(evaluation.long_metrics(
+            evaluation.regression_metrics(scored, actual="y_label"), plan.name, "ridge"))
+    folds = training.cross_validated(rows, spec, _OPTIONS, training.fit_ridge)
+    tables.append(evaluation.long_metrics(folds, training.RATING.name, "cross-validation"))
+    return _rounded(evaluation.wide_metrics(materialize(evaluation.stacked(tables), "metrics")))
+
+
+@REGISTRY.add(_with_ridge(_IMPORTANCE, **_SHUFFLED))
 def ridge_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss of R2 of the ridge when one feature is shuffled, on the holdout."""
     spec, rows = _labelled(_gold_for_models(spark, sf_dir), training.REVENUE)

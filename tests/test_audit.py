@@ -134,3 +134,27 @@ def test_missing_amounts_and_forbidden_gold_rows(spark, built):
     assert row.note == "in Gold against the rules"
     alone = {r.id: r for r in audit.trace_layers(docs.where("id <> 1"), movies, gold, as_of=AS_OF).collect()}
     assert alone[1].silver_expected == "unknown" and alone[1].note == "missing from Bronze"
+
+
+def test_rule_counts_take_one_row_per_rule(spark):
+    rows = [("en", False, dt.date(2005, 1, 1), 200_000, 5), ("fr", True, None, None, 0), ("fr", False, dt.date(1900, 1, 1), 5, None),
+            (None, None, dt.date(2040, 1, 1), 200_000, 1), ("en", False, dt.date(2005, 1, 1), 200_000, 0)]
+    movies = spark.createDataFrame(rows, "original_language string, adult boolean, release_date date, budget long, revenue long")
+    got = {(r.layer, r.rule): (r.n, r.alone) for r in audit.rule_counts(movies, as_of=dt.date(2024, 1, 1)).collect()}
+    assert got == {("silver", "language"): (3, 0), ("silver", "adult"): (2, 0), ("silver", "no date"): (1, 0),
+                   ("silver", "too early"): (1, 0), ("silver", "too late"): (1, 0), ("gold", "budget"): (2, 0),
+                   ("gold", "revenue"): (3, 1)}
+    assert len(audit.rule_counts(movies.limit(0)).collect()) == 7
+
+
+def test_titles_are_found_by_full_case_folding(spark):
+    from marquee.functions import case_folded
+    titles = ["Die Straße", "ΟΔΥΣΣΕΥΣ ΣΑΣ", "ﬁne", "İstanbul", "STRASSE", "plain", "ǅ", "ŉ", "Ꭰ", None]
+    docs = spark.createDataFrame(list(enumerate(titles)), "id long, title string").withColumn("original_title", F.lit(None).cast("string"))
+
+    def found(needle):
+        return [r.id for r in audit.title_search(docs, needle).collect()]
+
+    assert found("STRASSE") == [0, 4] and found("straße") == [0, 4] and found("σας") == [1] and found("FINE") == [2]
+    folded = [r[0] for r in docs.orderBy("id").select(case_folded(F.col("title"))).collect()]
+    assert folded == [None if t is None else t.casefold() for t in titles]
