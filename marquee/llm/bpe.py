@@ -24,6 +24,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from marquee.llm.texts import documents, text_slices
 from marquee.plans.registry import Registry
@@ -37,6 +38,10 @@ SHORT_WORD = 200
 _NONE = np.int32((1 << 31) - 1)
 
 
+#: Characters outside blocks whose letters and cases have been settled for long.
+UNSETTLED = regex.compile("[^\\x00-\u052f\u1e00-\u2070\u20a0-\u2bff\u3000-\u9fef\uac00-\ud7a3\U0001f000-\U0001faff]")
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -78,6 +83,7 @@ class WordBpe:
         self.split, self.split_ascii = regex.compile(pattern), ascii_pattern(pattern)
         self.find_added = regex.compile("|".join(map(regex.escape, self.added)) or r"(?!)")
         letters = byte_letters()
+        self.path, self.byte_of = path, {c: b for b, c in enumerate(letters)}
         #: The id of each byte within a word, and as its last byte.
         self.inner = np.array([ids[c] for c in letters], np.int32)
         self.last = np.array([ids[c + end] for c in letters], np.int32)
@@ -198,9 +204,23 @@ class WordBpe:
             at = found.end()
         return words + self._plain_words(text[at:])
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
+    def _unsettled_words(self, text: str) -> list[str]:
+        """Words by the library's own normaliser and splitter: its tables of letters and of
+        their cases may be of another year than ours. Merging stays ours."""
+        if self.folds:
+            text = self.library.normalizer.normalize_str(text)
+        byte_of = self.byte_of
+        return [bytes([byte_of[c] for c in word]).decode() for word, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
     def _plain_words(self, text: str) -> list[str]:
         if text.isascii():
             return self.split_ascii.findall(text.lower() if self.folds else text)
+        if UNSETTLED.search(text):
+            return self._unsettled_words(text)
         if self.folds:
             text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
