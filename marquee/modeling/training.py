@@ -80,27 +80,36 @@ class TrainOptions:
 
 @dataclass
 class FittedTarget:
-    """Fitted models of one target. Metrics and importances are worked out when first asked for."""
+    """One target's models. What takes long is worked out when first asked for, and once."""
 
     plan: TargetPlan
     spec: FeatureSpec
     encoding: TargetEncoding
-    model: GBTRegressionModel
     ridge: RidgeModel
-    predictions: DataFrame          # y_true, y_pred in original units
+    fit: Callable[[], GBTRegressionModel]
+    predict: Callable[[FittedTarget], DataFrame]
+    measure: Callable[[FittedTarget], DataFrame]
+    rank: Callable[[FittedTarget], DataFrame] | None = None
     counts: dict[str, int] = field(default_factory=dict)
-    measure: Callable[[], DataFrame] | None = None
-    rank: Callable[[], DataFrame] | None = None
+
+    @cached_property
+    def model(self) -> GBTRegressionModel:
+        return self.fit()
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        """y_true and y_pred of the holdout, in original units."""
+        return self.predict(self)
 
     @cached_property
     def metrics(self) -> DataFrame:
         """target, split, metric, value."""
-        return self.measure()
+        return self.measure(self)
 
     @cached_property
     def importance(self) -> DataFrame | None:
         """feature, importance_mean, importance_std, the largest first."""
-        return self.rank() if self.rank else None
+        return self.rank(self) if self.rank else None
 
 
 # --- assembling ------------------------------------------------------------------
@@ -326,10 +335,12 @@ def in_parallel(spark: SparkSession, work: Sequence[Callable[[], object]]) -> li
 
 
 def cross_validated(rows: DataFrame, spec: FeatureSpec, options: TrainOptions,
-                    fit: Callable[[DataFrame, TrainOptions], object] | None = None) -> DataFrame:
+                    fit: Callable[[DataFrame, TrainOptions], object] | None = None, *,
+                    beside: Sequence[Callable[[], object]] = ()) -> DataFrame:
     """Mean fold metrics; encoder and model are refitted per fold, unweighted, all folds at once.
 
     ``fit`` is given the training rows of a fold and returns what predicts; the trees by default.
+    Further steps ``beside`` them are taken at the same time.
     """
     fit = fit or (lambda train, options: fit_trees(train, options, weighted=False))
     rows = materialize(rows, "cross-validation")
@@ -339,7 +350,8 @@ def cross_validated(rows: DataFrame, spec: FeatureSpec, options: TrainOptions,
         scored = _scored(fit(part.train, options), part.test)
         return materialize(evaluation.regression_metrics(scored), "fold-metrics")
 
-    folds = in_parallel(rows.sparkSession, [partial(fold, number) for number in range(options.folds)])
+    steps = [partial(fold, number) for number in range(options.folds)]
+    folds = in_parallel(rows.sparkSession, [*beside, *steps])[len(beside):]
     return evaluation.stacked(folds).agg(*[
         F.avg(name).alias(name) for name in evaluation.METRICS])
 
@@ -364,43 +376,56 @@ def train_target(gold: DataFrame, plan: TargetPlan,
 
     rows = labelled_rows(source, plan, options, spec)
     data = prepare(rows, spec, F.col("is_holdout"), key=options.key)
-    model = fit_trees(data.train, options, weighted=plan.weight is not None)
     ridge = fit_ridge(data.train, options)
-    holdout = materialize(_scored(model, data.test).select("y_raw", "y_true", "y_pred"), "holdout")
-    in_units = F.expm1("y_pred") if plan.transform == "log1p" else F.col("y_pred")
-    predictions = holdout.select(F.col("y_raw").alias("y_true"), in_units.alias("y_pred"))
-
-    def measure() -> DataFrame:
-        tables = [
-            evaluation.long_metrics(evaluation.regression_metrics(holdout), plan.name, "holdout"),
-            evaluation.long_metrics(evaluation.regression_metrics(_scored(ridge, data.test)),
-                                    plan.name, "ridge"),
+
+    def scored_holdout(bundle: FittedTarget) -> DataFrame:
+        return _scored(bundle.model, data.test).select("y_raw", "y_true", "y_pred")
+
+    def predict(bundle: FittedTarget) -> DataFrame:
+        in_units = F.expm1("y_pred") if plan.transform == "log1p" else F.col("y_pred")
+        return materialize(scored_holdout(bundle).select(F.col("y_raw").alias("y_true"), in_units.alias("y_pred")),
+                           "predictions")
+
+    def measure(bundle: FittedTarget) -> DataFrame:
+        tables = []
+        if options.cross_validate:
+            folds = cross_validated(rows, spec, options, beside=[lambda: bundle.model])
+            tables.append(evaluation.long_metrics(folds, plan.name, "cross-validation"))
+        tables += [
+            evaluation.long_metrics(evaluation.regression_metrics(scored_holdout(bundle)), plan.name, "holdout"),
+            evaluation.long_metrics(evaluation.regression_metrics(_scored(ridge, data.test)), plan.name, "ridge"),
         ]
         if plan.transform == "log1p":
             tables.append(evaluation.long_metrics(
-                evaluation.money_metrics(predictions), plan.name, "holdout, original units"))
-        if options.cross_validate:
-            tables.append(evaluation.long_metrics(
-                cross_validated(rows, spec, options), plan.name, "cross-validation"))
+                evaluation.money_metrics(bundle.predictions), plan.name, "holdout, original units"))
         return materialize(evaluation.stacked(tables), "metrics")
 
-    def rank() -> DataFrame:
+    def rank(bundle: FittedTarget) -> DataFrame:
         return materialize(evaluation.permutation_importance(
             data.test.select(options.key, F.col("y_label").alias("y_true"), "features"),
-            model.transform, spec.columns, key=options.key, repeats=options.repeats,
+            bundle.model.transform, spec.columns, key=options.key, repeats=options.repeats,
             seed=options.seed), "importance")
 
     n_test = data.test.count()
-    return FittedTarget(plan, spec, data.encoding, model, ridge, predictions,
-                        {"n_rows": n_rows, "n_test": n_test, "n_train": n_rows - n_test},
-                        measure, rank if options.importance else None)
+    return FittedTarget(
+        plan, spec, data.encoding, ridge, partial(fit_trees, data.train, options, weighted=plan.weight is not None),
+        predict, measure, rank if options.importance else None,
+        {"n_rows": n_rows, "n_test": n_test, "n_train": n_rows - n_test})
 
 
 def train(gold: DataFrame, options: TrainOptions = TrainOptions()) -> dict[str, FittedTarget]:
     """Both targets from one Gold table; an empty table is refused."""
     if gold.isEmpty():
         raise ValueError("the Gold table is empty; build the layers first")
-    return {plan.name: train_target(gold, plan, options) for plan in (REVENUE, RATING)}
+    fitted = {plan.name: train_target(gold, plan, options) for plan in (REVENUE, RATING)}
+    fit_all(list(fitted.values()))
+    return fitted
+
+
+def fit_all(bundles: Sequence[FittedTarget]) -> None:
+    """Fit the trees of several targets side by side."""
+    spark = bundles[0].encoding.table.sparkSession
+    in_parallel(spark, [partial(getattr, bundle, "model") for bundle in bundles])
 
 
 def train_from_layout(spark: SparkSession, layout: Layout,
@@ -433,6 +458,7 @@ def score_scenarios(revenue: FittedTarget, rating: FittedTarget, scenarios: Data
 
     The second model scores the output of the first, so the two need no join.
     """
+    fit_all([revenue, rating])
     both = score(rating, score(revenue, scenarios, output="predicted_revenue_musd"),
                  output="predicted_rating")
     return both.withColumn(
@@ -448,12 +474,12 @@ def save(bundle: FittedTarget, uri: str) -> None:
     file ``current`` to it. Until then the former bundle stays whole, and a save that fails
     leaves it in place; folders that nothing points to any more are deleted last.
     """
-    spark = bundle.predictions.sparkSession
+    spark = bundle.encoding.table.sparkSession
     version = f"version-{uuid.uuid4().hex}"
     folder = f"{uri}/{version}"
-    bundle.model.write().save(f"{folder}/trees")
     bundle.encoding.table.write.parquet(f"{folder}/encoding")
-    bundle.metrics.write.parquet(f"{folder}/metrics")
+    bundle.metrics.write.parquet(f"{folder}/metrics")  # fits the trees beside the folds, if need be
+    bundle.model.write().save(f"{folder}/trees")
     bundle.predictions.write.parquet(f"{folder}/predictions")
     if bundle.importance is not None:
         bundle.importance.write.parquet(f"{folder}/importance")
@@ -479,12 +505,14 @@ def load(spark: SparkSession, uri: str) -> FittedTarget:
     folder = f"{uri}/{read_small_file(spark, f'{uri}/{POINTER}')}"
     facts = json.loads(spark.read.text(f"{folder}/facts").first()["value"])
     *factors, intercept = facts["ridge"]
+
+    def stored(name: str) -> Callable[[FittedTarget], DataFrame]:
+        return lambda _: spark.read.parquet(f"{folder}/{name}")
+
     return FittedTarget(
         TargetPlan(**facts["plan"]), FeatureSpec(tuple(facts["genres"])),
         TargetEncoding(tuple(facts["encoded"]), spark.read.parquet(f"{folder}/encoding"),
                        facts["prior"]),
-        GBTRegressionModel.load(f"{folder}/trees"), RidgeModel(DenseVector(factors), intercept),
-        spark.read.parquet(f"{folder}/predictions"), facts["counts"],
-        partial(spark.read.parquet, f"{folder}/metrics"),
-        partial(spark.read.parquet, f"{folder}/importance") if facts["has_importance"] else None,
-    )
+        RidgeModel(DenseVector(factors), intercept), partial(GBTRegressionModel.load, f"{folder}/trees"),
+        stored("predictions"), stored("metrics"), stored("importance") if facts["has_importance"] else None,
+        facts["counts"])

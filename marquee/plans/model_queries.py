@@ -461,7 +461,11 @@ def _ridge_bundle(gold: DataFrame, plan: training.TargetPlan) -> training.Fitted
     spec, rows = _labelled(gold, plan)
     data = training.prepare(rows, spec, F.col("is_holdout"), key="movie_id")
     ridge = training.fit_ridge(data.train, _OPTIONS)
-    return training.FittedTarget(plan, spec, data.encoding, ridge, ridge, data.test)
+
+    def absent(bundle: training.FittedTarget) -> DataFrame:
+        raise LookupError("this bundle only scores")
+
+    return training.FittedTarget(plan, spec, data.encoding, ridge, lambda: ridge, absent, absent)
 
 
 def _scenario_score(name: str) -> str:

@@ -319,12 +319,13 @@ def test_a_failing_save_leaves_the_old_bundle(spark, gold, tmp_path):
     ridge = training.RidgeModel(DenseVector([1.0, 2.0]), 0.5)
     encoding = fit_target_encoding(gold, ["director_name"], "vote_average")
     table = spark.createDataFrame([("rating", "holdout", "r2", 0.5)], "target string, split string, metric string, value double")
-    bundle = training.FittedTarget(training.RATING, FeatureSpec(("War",)), encoding, model, ridge,
-                                   frame.select(F.col("y_label").alias("y_true"), F.lit(1.0).alias("y_pred")), {"n_rows": 60}, lambda: table)
+    predictions = frame.select(F.col("y_label").alias("y_true"), F.lit(1.0).alias("y_pred"))
+    bundle = training.FittedTarget(training.RATING, FeatureSpec(("War",)), encoding, ridge, lambda: model,
+                                   lambda _: predictions, lambda _: table, counts={"n_rows": 60})
     uri = f"{tmp_path}/model"
     training.save(bundle, uri)
 
-    def broken():
+    def broken(_):
         raise OSError("no table")
 
     with pytest.raises(OSError):
