@@ -70,20 +70,14 @@ def known_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.agg(F.count(F.lit(1)).alias("skipped"))
 
 
-def _done(spark: SparkSession, sf_dir: str, cap: int | None = 120) -> DataFrame:
-    """A run over the listed users: buyers above 200 were there, errors are attempts.
-
-    The twins of outcome_counts and ingest_manifest state the cap; None takes all candidates.
-    """
+def _done(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over all listed users: buyers above 200 were there, errors are attempts."""
     events = table(spark, sf_dir, "events")
     attempts = events.where(F.col("event_type") == "error").select(
         F.col("user_id").alias("id"), F.when(F.col("value") > 2, F.lit("timeout")).alias("error"))
     landed = events.where((F.col("event_type") == "purchase") & (F.col("value") > 200)).select(
         F.col("user_id").alias("id"))
-    entries = _entries(spark, sf_dir)
-    candidates = (intake.first_appearances(entries) if cap is None
-                  else intake.candidate_cap(entries, cap=cap))
-    return intake.outcomes(candidates, landed, attempts, at_most=cap)
+    return intake.outcomes(intake.first_appearances(_entries(spark, sf_dir)), landed, attempts)
 
 
 _DONE = """
@@ -95,7 +89,7 @@ _DONE = """
                 ELSE 'failed' END AS outcome,
            CASE WHEN c.id IN (SELECT user_id FROM events WHERE event_type = 'error')
                 THEN 'timeout' ELSE 'no document arrived' END AS problem
-    FROM (SELECT * FROM first ORDER BY page, pos, id LIMIT 120) c"""
+    FROM first c"""
 
 
 @REGISTRY.add(with_views("SELECT outcome, count(*) AS n FROM done GROUP BY outcome",
@@ -107,14 +101,15 @@ def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add(with_views("""
     SELECT count(*) FILTER (WHERE outcome = 'fetched') AS fetched, count(*) FILTER (WHERE outcome = 'skipped') AS skipped,
            count(*) FILTER (WHERE outcome = 'failed') AS failed,
-           string_agg(id, ',' ORDER BY page, pos, id) AS discovered_ids,
+           CASE WHEN count(*) <= 120 THEN string_agg(id, ',' ORDER BY page, pos, id) END AS discovered_ids,
            (SELECT string_agg('id=' || id || ': ' || problem, ',' ORDER BY page, pos, id)
             FROM (SELECT * FROM done WHERE outcome = 'failed' ORDER BY page, pos, id LIMIT 50))
              AS errors
     FROM done""", first=_FIRST, done=_DONE))
 def ingest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over all candidates; a list of ids longer than the target is left to all_discovered."""
     manifest = intake.run_manifest(
-        _done(spark, sf_dir), run_timestamp="2024-02-01T00:00:00+00:00",
+        materialize(_done(spark, sf_dir), "done"), run_timestamp="2024-02-01T00:00:00+00:00",
         filters={"language": "en"}, target=120)
     return manifest.select(
         "fetched", "skipped", "failed",
@@ -122,13 +117,10 @@ def ingest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("errors", ",").alias("errors"))
 
 
-_ALL = _DONE.replace("(SELECT * FROM first ORDER BY page, pos, id LIMIT 120) c", "first c")
-
-
 @REGISTRY.add(with_views("SELECT outcome, count(*) AS n FROM done GROUP BY outcome",
-                         first=_FIRST, done=_ALL))
+                         first=_FIRST, done=_DONE))
 def all_outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intake.outcome_counts(_done(spark, sf_dir, cap=None))
+    return intake.outcome_counts(_done(spark, sf_dir))
 
 
 @REGISTRY.add(with_views("""
@@ -137,21 +129,21 @@ def all_outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
            (SELECT string_agg('id=' || id || ': ' || problem, ',' ORDER BY page, pos, id)
             FROM (SELECT * FROM done WHERE outcome = 'failed' ORDER BY page, pos, id LIMIT 50))
              AS errors
-    FROM done""", first=_FIRST, done=_ALL))
+    FROM done""", first=_FIRST, done=_DONE))
 def all_ingest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of a run over all candidates; all_discovered has their ids."""
     manifest = intake.run_manifest(
-        materialize(_done(spark, sf_dir, cap=None), "done"),
+        materialize(_done(spark, sf_dir), "done"),
         run_timestamp="2024-02-01T00:00:00+00:00", filters={"language": "en"})
     return manifest.select("fetched", "skipped", "failed",
                            F.array_join("errors", ",").alias("errors"))
 
 
-@REGISTRY.add(with_views("SELECT id, page, pos FROM done", first=_FIRST, done=_ALL))
+@REGISTRY.add(with_views("SELECT id, page, pos FROM done", first=_FIRST, done=_DONE))
 def all_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of the same run, stored beside the manifest and read back."""
     layout = Layout(scratch_path(spark, "run"))
-    write_discovered(intake.discovered(_done(spark, sf_dir, cap=None)), layout.discovered,
+    write_discovered(intake.discovered(_done(spark, sf_dir)), layout.discovered,
                      "2024-02-01")
     return spark.read.parquet(layout.discovered).select("id", "page", "pos")
 
