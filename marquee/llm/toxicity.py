@@ -24,7 +24,7 @@ from marquee.session import materialize
 
 REGISTRY = Registry()
 #: Bounds of the labelled sample that the classifier is fitted on, and of its vocabulary.
-TOXIC_ROWS, CLEAN_ROWS, LEXICON = 15_000, 45_000, 20_000
+TOXIC_ROWS, CLEAN_ROWS = 15_000, 45_000
 PRIOR_SHARE, DRIFT, LEAST_Z, ERRORS = 0.08, 0.1, 2.3, 1.0
 THRESHOLD = 0.7
 
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> ToxicityModel:
                           F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
               .join(picked, "doc_id")
               .select("text", "toxic").mapInArrow(_prints, "text string, toxic int, print bigint")
-              .groupBy("toxic", "print").agg(F.first("text").alias("text")))
+              .groupBy("toxic", "print").agg(F.min("text").alias("text")))
     sample = materialize(sample.withColumn("part", F.pmod(F.xxhash64("print"), F.lit(4))), "toxicity-sample")
     counts = materialize(sample.where("part > 0").select("text", "toxic")
                          .mapInArrow(_counted, "token bigint, bad bigint, good bigint")
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> ToxicityModel:
     share = (F.col("good") + prior) / F.lit(good + alpha)
     lexicon = (counts.where("bad + good > 0").select("token", share.alias("share"), odds.alias("odds"), error.alias("error"))
                .where(F.abs(F.col("odds") / F.col("error")) >= LEAST_Z)
-               .orderBy(F.abs(F.col("odds") / F.col("error")).desc(), "token").limit(LEXICON).collect())
+               .collect())  # bounded by the tokens of the sample
     lexicon = sorted((np.uint64(r.token & (1 << 64) - 1), r.share,
                       math.copysign(max(0.0, abs(r.odds) - ERRORS * r.error), r.odds) - DRIFT) for r in lexicon)
     hashes = np.array([r[0] for r in lexicon], np.uint64)
