@@ -30,10 +30,13 @@ def keep_chosen(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """
     fates = rows.groupBy("doc_id", "print").agg(F.max("keep").alias("keep"), F.count("*").alias("n"))
     fates = materialize(fates.where("not keep or n > 1"), "fates").withColumnRenamed("doc_id", "fate_id")
-    named = docs.withColumn("__print", text_print())
+    name = "__print"
+    while name in docs.columns:
+        name += "_"
+    named = docs.withColumn(name, text_print())
 
     def same(keys):
-        return (F.col("__print") == keys["print"]) & F.col("doc_id").cast("bigint").eqNullSafe(keys["fate_id"])
+        return (F.col(name) == keys["print"]) & F.col("doc_id").cast("bigint").eqNullSafe(keys["fate_id"])
 
     keys = if_small(fates.select("fate_id", "print"))
     kept = named.join(keys, same(keys), "left_anti").select(*docs.columns)
@@ -41,6 +44,6 @@ def keep_chosen(docs: DataFrame, rows: DataFrame) -> DataFrame:
     if again.isEmpty():
         return kept
     again = if_small(again)
-    ones = (named.join(again, same(again), "left_semi").groupBy("doc_id", "__print")
+    ones = (named.join(again, same(again), "left_semi").groupBy("doc_id", name)
             .agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*"))
     return kept.unionByName(ones)

@@ -23,7 +23,7 @@ from marquee.plans.registry import Registry
 from marquee.session import materialize
 
 REGISTRY = Registry()
-#: Bounds of the labelled sample that the classifier is fitted on, and of its vocabulary.
+#: Bounds of the labelled sample that the classifier is fitted on.
 TOXIC_ROWS, CLEAN_ROWS = 15_000, 45_000
 PRIOR_SHARE, DRIFT, LEAST_Z, ERRORS = 0.08, 0.1, 2.3, 1.0
 THRESHOLD = 0.7
