@@ -38,8 +38,14 @@ def _variance(n: Column, total: Column, squares: Column) -> Column:
 _SUMS = ("n", "total", "squares")
 
 
-def _sums(label: str) -> list[Column]:
-    y = F.col(label).cast("double")
+def _centre(df: DataFrame, label: str) -> float:
+    """The overall mean. Sums are taken of distances from it, so that squares of large labels
+    don't swallow their scatter."""
+    return df.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
+
+
+def _sums(label: str, centre: float) -> list[Column]:
+    y = F.col(label).cast("double") - F.lit(centre)
     return [F.count(y).alias("n"), F.sum(y).alias("total"), F.sum(y * y).alias("squares")]
 
 
@@ -76,14 +82,15 @@ def oof_target_encode(df: DataFrame, columns: Sequence[str], label: str, *,
     Sums per (category, fold) are taken once; what the other folds hold is the
     category's total minus its own fold.
     """
+    centre = _centre(df, label)
     per_fold = _long(df, columns, fold, label).groupBy(
-        "feature", "category", F.col(fold).alias("fold")).agg(*_sums(label))
+        "feature", "category", F.col(fold).alias("fold")).agg(*_sums(label, centre))
     of_category = Window.partitionBy("feature", "category")
     others = per_fold.select("feature", "category", "fold", *[
         (F.sum(name).over(of_category) - F.col(name)).alias(name) for name in _SUMS])
 
     # One row per fold.
-    overall = df.groupBy(F.col(fold).alias("fold")).agg(*_sums(label))
+    overall = df.groupBy(F.col(fold).alias("fold")).agg(*_sums(label, centre))
     everything = Window.partitionBy(F.lit(0))
     priors = overall.select("fold", *[
         (F.sum(name).over(everything) - F.col(name)).alias(f"p_{name}") for name in _SUMS])
@@ -95,11 +102,11 @@ def oof_target_encode(df: DataFrame, columns: Sequence[str], label: str, *,
     encodings = materialize(
         others.join(F.broadcast(priors), "fold").select(
             "feature", "category", "fold",
-            shrunk_mean(F.col("n"), F.col("total"), F.col("squares"), F.col("prior_mean"),
-                        F.col("prior_variance")).alias("encoding")),
+            (shrunk_mean(F.col("n"), F.col("total"), F.col("squares"), F.col("prior_mean"),
+                         F.col("prior_variance")) + centre).alias("encoding")),
         "fold-encodings", partition_by=["feature"])
     encoded = _look_up(df, encodings, columns, fold)
-    fallback = priors.select(F.col("fold").alias("_fold"), "prior_mean")
+    fallback = priors.select(F.col("fold").alias("_fold"), (F.col("prior_mean") + centre).alias("prior_mean"))
     encoded = encoded.join(F.broadcast(fallback), F.col(fold) == F.col("_fold"), "left")
     return encoded.withColumns({
         encoded_name(name): F.coalesce(encoded_name(name), "prior_mean") for name in columns
@@ -122,14 +129,15 @@ class TargetEncoding:
 
 
 def fit_target_encoding(df: DataFrame, columns: Sequence[str], label: str) -> TargetEncoding:
-    overall = df.agg(*_sums(label)).select(
+    centre = _centre(df, label)
+    overall = df.agg(*_sums(label, centre)).select(
         F.try_divide("total", "n").alias("mean"),
         _variance(F.col("n"), F.col("total"), F.col("squares")).alias("variance")).first()
     mean, variance = (overall["mean"] or 0.0), (overall["variance"] or 0.0)
-    sums = _long(df, columns, label).groupBy("feature", "category").agg(*_sums(label))
+    sums = _long(df, columns, label).groupBy("feature", "category").agg(*_sums(label, centre))
     table = materialize(
-        sums.select("feature", "category", shrunk_mean(
-            F.col("n"), F.col("total"), F.col("squares"), F.lit(mean), F.lit(variance))
+        sums.select("feature", "category", (shrunk_mean(
+            F.col("n"), F.col("total"), F.col("squares"), F.lit(mean), F.lit(variance)) + centre)
             .alias("encoding")),
         "encodings", partition_by=["feature"])
-    return TargetEncoding(tuple(columns), table, mean)
+    return TargetEncoding(tuple(columns), table, mean + centre)

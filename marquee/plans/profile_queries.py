@@ -145,17 +145,10 @@ def drop_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     movies = order_movies(spark, sf_dir).select(F.col("id").alias("movie_id"), "runtime")
     people = first_director(order_crew(spark, sf_dir), job=DIRECTOR_FLAG)
     joined = movies.join(people, "movie_id", "left")
-    # dropna keeps a row only if all named columns are present; counted in one pass.
-    return (
-        joined.select("runtime", "director_name", F.lit(0).alias("kind"))
-        .unionByName(joined.dropna(subset=["director_name"])
-                     .select("runtime", "director_name", F.lit(1).alias("kind")))
-        .unionByName(joined.dropna(subset=["runtime", "director_name"])
-                     .select("runtime", "director_name", F.lit(2).alias("kind")))
-        .agg(F.count_if(F.col("kind") == 0).alias("rows"),
-             F.count_if(F.col("kind") == 1).alias("with_director"),
-             F.count_if(F.col("kind") == 2).alias("complete"))
-    )
+    there = {name: F.col(name).isNotNull() for name in ("runtime", "director_name")}
+    return joined.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(there["director_name"]).alias("with_director"),
+        F.count_if(there["runtime"] & there["director_name"]).alias("complete"))
 
 
 @REGISTRY.add("""

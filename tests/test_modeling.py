@@ -336,3 +336,13 @@ def test_a_failing_save_leaves_the_old_bundle(spark, gold, tmp_path):
     training.save(replace(bundle, counts={"n_rows": 2}), uri)
     assert training.load(spark, uri).counts == {"n_rows": 2}
     assert sum(p.name.startswith("version-") for p in (tmp_path / "model").iterdir()) == 1
+
+
+def test_large_labels_keep_their_scatter(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], 1e9 + i % 7) for i in range(70)], "movie_id long, name string, y double")
+    small = rows.withColumn("y", F.col("y") - 1e9)
+    shifted, plain = (sorted((r.category, r.encoding) for r in fit_target_encoding(df, ["name"], "y").table.collect())
+                      for df in (rows, small))
+    assert [e - 1e9 for _, e in shifted] == pytest.approx([e for _, e in plain], abs=1e-5)
+    encoded = [sorted(oof_target_encode(with_split(df), ["name"], "y").select("movie_id", "name_encoded").collect()) for df in (rows, small)]
+    assert [r[1] - 1e9 for r in encoded[0]] == pytest.approx([r[1] for r in encoded[1]], abs=1e-5)
