@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -13,12 +16,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from marquee.functions import id_prefix, json_with_mark, marked_document
 
 _BLANK = re.compile(r"[ \t\n\r]*")
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
 RAW_SCHEMA = "source string, body string"
+#: Compressed bytes above which a ``.json.gz`` file is read by lines instead of as one text.
+LARGE_FILE = 1 << 20
 
 
 def read_documents(spark: SparkSession, uri: str, *, pattern: str = "*.json.gz",
-                   one_per_file: bool = True) -> DataFrame:
-    """All documents below ``uri`` as (source, body).
+                   one_per_file: bool = True, size: str | None = None) -> DataFrame:
+    """All documents below ``uri`` as (source, body), with the bytes of the file if ``size`` names a column.
 
     Unreadable files are skipped; a missing folder is an empty frame. Compacted folders
     (many one-line documents per file) are read with ``one_per_file=False``: prefer them
@@ -34,10 +40,10 @@ def read_documents(spark: SparkSession, uri: str, *, pattern: str = "*.json.gz",
         )
     except AnalysisException as problem:
         if problem.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], RAW_SCHEMA)
+            return spark.createDataFrame([], RAW_SCHEMA + (f", {size} bigint" if size else ""))
         raise
-    return lines.select(F.col("_metadata.file_path").alias("source"),
-                        F.col("value").alias("body"))
+    return lines.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("body"),
+                        *([F.col("_metadata.file_size").alias(size)] if size else []))
 
 
 def split_values(text: str) -> list[str]:
@@ -80,11 +86,59 @@ def framed(raw: DataFrame, body: str = "body") -> DataFrame:
     return several.select(*others, F.explode(F.coalesce("_values", F.array(column))).alias(body)).select(*raw.columns)
 
 
+def whole_texts(lines: Iterable[str]) -> Iterator[str]:
+    """The lines of a file, put together until all brackets are closed.
+
+    No JSON value spans two of the texts, and blank lines between values are left out. A fault
+    that no further line can mend ends a text: a quote left open, or a value that begins where
+    the former line has neither a comma, a colon nor an open bracket for it. So a broken value
+    costs itself, and no more of the file is held than one value.
+    """
+    held, depth, end = [], 0, ""
+    for line in lines:
+        bare = _STRING.sub("0", line)
+        start = bare.strip()
+        if not start and not held:
+            continue
+        if held and start and start[0] not in ",:]}" and end not in ",:[{":
+            yield "\n".join(held)
+            held, depth = [], 0
+        held.append(line)
+        end = start[-1:] or end
+        depth += bare.count("{") + bare.count("[") - bare.count("}") - bare.count("]")
+        if depth <= 0 or '"' in bare:
+            yield "\n".join(held)
+            held, depth = [], 0
+    if held:
+        yield "\n".join(held)
+
+
+def joined_lines(lines: DataFrame) -> DataFrame:
+    """(source, body) of :func:`whole_texts`, from the lines of files that are each read by one task."""
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((source, line) for batch in batches
+                for source, line in zip(batch["source"].to_pylist(), batch["body"].to_pylist()))
+        texts = ((source, text) for source, own in groupby(rows, itemgetter(0))
+                 for text in whole_texts(line for _, line in own))
+        while some := list(islice(texts, 1_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(column, pa.string()) for column in zip(*some)], ["source", "body"])
+
+    return lines.select("source", "body").mapInArrow(join, RAW_SCHEMA)
+
+
 def read_layer(spark: SparkSession, uri: str) -> DataFrame:
     """All documents of a folder that may hold both layouts: ``.json.gz`` files of one or
-    several documents, and the line files (``.txt.gz``) that :func:`write_documents` makes."""
-    return framed(read_documents(spark, uri).unionByName(
-        read_documents(spark, uri, pattern="*.txt.gz", one_per_file=False)))
+    several documents, and the line files (``.txt.gz``) that :func:`write_documents` makes.
+
+    A ``.json.gz`` file of up to ``LARGE_FILE`` bytes is one text, which is unusable as a whole
+    if it holds a fault. Larger ones never stand in memory whole: they are read as streams of
+    lines, and a fault costs the value it is in, as in line files.
+    """
+    large = F.col("_size") > LARGE_FILE
+    return framed(
+        read_documents(spark, uri, size="_size").where(~large).drop("_size")
+        .unionByName(joined_lines(read_documents(spark, uri, one_per_file=False, size="_size").where(large)))
+        .unionByName(read_documents(spark, uri, pattern="*.txt.gz", one_per_file=False)))
 
 
 def write_documents(docs: DataFrame, uri: str, *, id_column: str = "id",

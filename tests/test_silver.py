@@ -1,5 +1,6 @@
 import datetime as dt
 import gzip
+import json
 import os
 
 import pytest
@@ -175,3 +176,31 @@ def test_framing_keeps_other_columns(spark):
     assert sorted(map(str, framed(raw).collect())) == sorted(map(str, spark.createDataFrame(
         [("a", '{"id": 1}', 5), ("a", '{"id": 2}', 5), ("b", None, 6), (None, '{"id": 3}', None)], raw.schema).collect()))
     assert framed(raw.limit(0)).count() == 0
+
+
+def test_large_files_are_read_by_lines(spark, layout, monkeypatch):
+    from marquee.operators.intake import judged
+    from marquee.sources import documents
+    assert list(documents.whole_texts([
+        '{"id": 1}{"id": 2}', "", "{", ' "a": "} \\" {",', ' "b": [', "  {}", "  ]", "}", '{"id": 3', '{"id": 4}', '{"t": "cut',
+        '{"id": 5}', '{"id": 6}]', "{", '"x":', '"y"'])) == [
+        '{"id": 1}{"id": 2}', '{\n "a": "} \\" {",\n "b": [\n  {}\n  ]\n}', '{"id": 3', '{"id": 4}', '{"t": "cut',
+        '{"id": 5}', '{"id": 6}]', '{\n"x":\n"y"']
+
+    folder = os.path.join(layout.documents, "id_prefix=000")
+    os.makedirs(folder)
+    for name, first in (("a", 0), ("b", 1000)):
+        with gzip.open(os.path.join(folder, f"{name}.json.gz"), "wt", encoding="utf-8") as out:
+            for number in range(first, first + 1000):
+                out.write(json.dumps(film(number), indent=number % 2 or None) + "\n")
+            out.write('{"id": 7')
+    store(layout, film(5000))
+    monkeypatch.setattr(documents, "LARGE_FILE", 2_000)
+    rows = documents.read_layer(spark, layout.documents)
+    read = judged(rows).where("reason is null").select("id").collect()
+    assert sorted(r.id for r in read) == [*range(2000), 5000]
+    assert [r.body for r in judged(rows).where("reason is not null").collect()] == ['{"id": 7'] * 2
+    # Large files are left out of the reading of whole texts when files are listed, not after reading.
+    whole = documents.read_documents(spark, layout.documents, size="_size").where("_size <= 2000")
+    assert whole.inputFiles() and whole.rdd.getNumPartitions() == 1 and whole.count() == 1
+    assert rows.select(F.max(F.length("body"))).first()[0] < 2_000
