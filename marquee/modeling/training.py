@@ -10,25 +10,28 @@ from functools import cached_property, partial
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import SparkContext, inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressionModel, GBTRegressor,
 )
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType
 
 from marquee import config
 from marquee.functions import clipped_log_weight, implied_roi, post_processed
 from marquee.modeling import evaluation
+from marquee.modeling.boosting import (
+    Tree, blocks, boost, boost_alone, constant, learn_cuts, with_margins,
+)
 from marquee.modeling.encoding import (
     TargetEncoding, encoded_name, fit_target_encoding, oof_target_encode,
 )
 from marquee.modeling.features import (
     CATEGORICAL, FeatureSpec, feature_frame, fit_vocabulary, training_rows, with_split,
 )
-from marquee.session import materialize, shared_folder
+from marquee.session import materialize, scratch_path, shared_folder
 from marquee.sources.layout import (
     Layout, child_names, delete_path, path_exists, read_small_file, replace_small_file,
 )
@@ -36,7 +39,7 @@ from marquee.sources.sinks import overwrite_table
 from marquee.sources.tables import MissingTable, read_gold
 
 #: Rows of a boosting round that make a task of their own.
-ROWS_PER_TASK = 50_000
+ROWS_PER_TASK = 200_000
 #: Steps that the driver runs side by side at most.
 MOST_THREADS = 8
 #: The file that names a saved bundle's current version.
@@ -176,93 +179,80 @@ def rounds_kept(errors: Sequence[float], patience: int, tolerance: float) -> int
     return None
 
 
-def ensemble(trees: Sequence, weights: Sequence[float], features: int, *, weighted: bool = False) -> GBTRegressionModel:
-    """Single trees, as the JVM holds them, as one boosted model, which sums their weighted predictions."""
-    context = SparkContext._active_spark_context
-    jvm = context._jvm.org.apache.spark.ml.regression
-    every = context._gateway.new_array(jvm.DecisionTreeRegressionModel, len(trees))
-    factors = context._gateway.new_array(context._jvm.double, len(trees))
-    for number, (tree, weight) in enumerate(zip(trees, weights)):
-        every[number], factors[number] = tree, float(weight)
+_NODES = ("treeID int, nodeData struct<id: int, prediction: double, impurity: double, impurityStats: array<double>, "
+          "rawCount: bigint, gain: double, leftChild: int, rightChild: int, split: struct<featureIndex: int, "
+          "leftCategoriesOrThreshold: array<double>, numCategories: int>>")
+
+
+def ensemble(trees: Sequence[Tree], weights: Sequence[float], features: int, *, weighted: bool = False) -> GBTRegressionModel:
+    """Single trees as one boosted model of Spark, which sums their weighted predictions.
+
+    Spark makes the model from stored nodes: a model of as many leaves is saved with Spark ML,
+    its table of nodes is replaced, and the whole is loaded.
+    """
+    spark = SparkSession.active()
+    jvm, gateway = spark._jvm.org.apache.spark.ml.regression, spark.sparkContext._gateway
+    leaf = DecisionTreeRegressor(featuresCol="features", labelCol="y_label", maxDepth=0).fit(
+        spark.createDataFrame([(DenseVector([0.0] * features), 0.0)], ["features", "y_label"]))
+    every = gateway.new_array(jvm.DecisionTreeRegressionModel, len(trees))
+    factors = gateway.new_array(spark._jvm.double, len(trees))
+    for number, weight in enumerate(weights):
+        every[number], factors[number] = leaf._java_obj, float(weight)
     named = GBTRegressor(featuresCol="features", labelCol="y_label", predictionCol="y_pred")
     if weighted:
         named = named.setWeightCol("weight")
     java = jvm.GBTRegressionModel(f"boosted-{uuid.uuid4().hex}", every, factors, features)
     model = named._copyValues(GBTRegressionModel(java))
     model._transfer_params_to_java()
-    return model
+    path = scratch_path(spark, "trees")
+    model.write().save(path)
+    nodes = [(number, node) for number, tree in enumerate(trees) for node in tree.node_rows()]
+    spark.createDataFrame(nodes, _NODES, verifySchema=False).coalesce(1).write.mode("overwrite").parquet(f"{path}/data")
+    return GBTRegressionModel.load(path)
 
 
 class Boosting:
     """Boosted trees grown in blocks of rounds, each block going on where the last one ended.
 
     The table holds what the trees so far predict for every row (its margin) and is written
-    anew after each block, so a round scores the rows with the trees of its own block only,
-    no tree is ever fitted twice and a lost executor costs one block at most.
+    anew after each block, so no tree is ever fitted twice and a lost executor costs one block
+    at most. Within a block the binned rows and what is left to predict are kept in the executors.
     """
 
     def __init__(self, train: DataFrame, options: TrainOptions, *, weighted: bool) -> None:
-        self.options, self.weighted = options, weighted
-        shared_folder(train.sparkSession)
-        rows = as_vectors(train).select("features", "y_label", "weight", "is_validation")
-        self.features = len(train.select("features").first()["features"])
-        root = self._tree(depth=0)
-        start = root._java_obj.fit(rows.where(~F.col("is_validation"))._jdf)  # its one leaf is the mean
-        self.trees, self.weights = [start], [1.0]
-        self.table = materialize(self._scored(start, rows).withColumnRenamed("y_pred", "margin"), "margins")
-        self.rows, self.held = self.table.count(), []
+        self.options, self.weighted, self.spark = options, weighted, train.sparkSession
+        shared_folder(self.spark)
+        weight = (F.col("weight") if weighted else F.lit(1.0)).cast("double")
+        rows = train.select("features", F.col("y_label").cast("double").alias("y_label"),
+                            weight.alias("weight"), "is_validation")
+        learned, y = ~F.col("is_validation"), F.col("y_label")
+        facts = rows.agg(
+            F.count(F.lit(1)), F.count_if(learned), F.sum(F.when(learned, weight)), F.sum(F.when(learned, weight * y)),
+            F.sum(F.when(learned, weight * y * y)), F.max(F.size("features"))).first()
+        self.rows, n, total, self.features = facts[0], facts[1], facts[2], facts[5]
+        mean = facts[3] / total
+        self.trees, self.weights = [constant(mean, n, total, facts[4])], [1.0]
+        self.cuts = learn_cuts(rows.where(learned), n, min(options.max_bins, n))
+        tasks = max(1, min(self.rows // ROWS_PER_TASK, 2 * self.spark.sparkContext.defaultParallelism))
+        self.tasks = tasks
+        self.table = materialize(rows.withColumn("margin", F.lit(mean)).repartition(tasks), "margins")
         #: Validation errors, before the first round and after each.
-        self.errors = [] if self._judged().isEmpty() else list(self._judged().select(
-            F.sum(self._weight() * F.col("y_label") * F.col("y_label")) / F.sum(self._weight())).first())
-
-    def _weight(self) -> Column:
-        return F.col("weight") if self.weighted else F.lit(1.0)
-
-    def _tree(self, depth: int) -> DecisionTreeRegressor:
-        """A learner for the JVM to use: wrapping each tree in Python would take longer than growing it."""
-        options = self.options
-        tree = DecisionTreeRegressor(
-            featuresCol="features", labelCol="y_label", predictionCol="y_pred", maxDepth=depth, seed=options.seed,
-            minInstancesPerNode=options.min_leaf, maxBins=options.max_bins)
-        tree = tree.setWeightCol("weight") if self.weighted else tree
-        tree._transfer_params_to_java()
-        return tree
-
-    @staticmethod
-    def _scored(tree, rows: DataFrame) -> DataFrame:
-        return DataFrame(tree.transform(rows._jdf), rows.sparkSession)
-
-    def _rest(self, rows: DataFrame) -> DataFrame:
-        """The rows with what is left to predict as their label."""
-        return rows.withColumn("y_label", F.col("y_label") - F.col("margin"))
-
-    def _judged(self) -> DataFrame:
-        return self._rest(self.table.where("is_validation"))
+        self.errors: list[float] = []
 
     def grow(self, rounds: int) -> None:
         """One block: ``rounds`` more trees, their validation errors, and the margins anew."""
-        step, trees = self.options.step, []
-        grower = self._tree(self.options.max_depth)
-        left = self._rest(self.table.where(~F.col("is_validation"))).select("features", "y_label", "weight")
-        left = left.coalesce(max(1, self.rows // ROWS_PER_TASK)).persist()
-        for _ in range(rounds):
-            trees.append(grower._java_obj.fit(left._jdf))
-            former = left
-            # What is left is kept from round to round, so each one scores the rows with one tree.
-            left = self._scored(trees[-1], former).selectExpr(
-                "features", f"y_label - {step}D * y_pred AS y_label", "weight").persist()
-            self.held.append(former)
-        self.held.append(left)
-        weights = [step] * rounds
-        block = ensemble(trees, weights, self.features, weighted=self.weighted)
-        if self.errors:
-            self.errors += block.evaluateEachIteration(self._judged(), "squared")
-        scored = block.transform(self.table)
-        self.table = materialize(scored.withColumn("margin", F.col("margin") + F.col("y_pred")).drop("y_pred"), "margins")
-        while self.held:
-            self.held.pop().unpersist()
+        options = self.options
+        how = dict(rounds=rounds, cuts=self.cuts, depth=options.max_depth, min_leaf=options.min_leaf, step=options.step)
+        data = blocks(self.table, self.cuts, self.weighted, ROWS_PER_TASK).coalesce(self.tasks)
+        if self.tasks == 1:
+            (trees, errors), = data.mapPartitions(partial(boost_alone, **how)).collect()
+        else:
+            trees, errors = boost(data.persist(StorageLevel.MEMORY_AND_DISK), **how)
+        # The error after the block before is known already.
+        self.errors += [float(total / weight) for total, weight in errors[bool(self.errors):] if weight]
+        self.table = materialize(with_margins(self.table, trees, options.step, self.cuts), "margins")
         self.trees += trees
-        self.weights += weights
+        self.weights += [options.step] * rounds
 
 
 def fit_trees(train: DataFrame, options: TrainOptions, *, weighted: bool) -> GBTRegressionModel:

@@ -346,3 +346,37 @@ def test_large_labels_keep_their_scatter(spark):
     assert [e - 1e9 for _, e in shifted] == pytest.approx([e for _, e in plain], abs=1e-5)
     encoded = [sorted(oof_target_encode(with_split(df), ["name"], "y").select("movie_id", "name_encoded").collect()) for df in (rows, small)]
     assert [r[1] - 1e9 for r in encoded[0]] == pytest.approx([r[1] for r in encoded[1]], abs=1e-5)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_trees_equal_those_of_spark_whatever_the_tasks(spark, monkeypatch, weighted):
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    rows = boosted_rows(spark).withColumn("is_validation", F.lit(False))
+    whole = training.Boosting(rows, training.TrainOptions(), weighted=weighted)
+    whole.grow(3)
+    vectors = training.as_vectors(rows)
+    mean = vectors.agg(F.sum(F.col("weight") * F.col("y_label")) / F.sum("weight")).first()[0] if weighted else vectors.agg(F.avg("y_label")).first()[0]
+    learner = DecisionTreeRegressor(labelCol="rest", predictionCol="y_pred", maxDepth=5, minInstancesPerNode=10, maxBins=256)
+    tree = (learner.setWeightCol("weight") if weighted else learner).fit(vectors.withColumn("rest", F.col("y_label") - mean))
+    wanted = [r[0] + 0.0 for r in tree.transform(vectors).orderBy("features", "y_label").select(F.round(F.col("y_pred") * 0.05 + mean, 9)).collect()]
+    model = training.ensemble(whole.trees[:2], whole.weights[:2], 2, weighted=weighted)
+    assert [r[0] for r in model.transform(vectors).orderBy("features", "y_label").select(F.round("y_pred", 9)).collect()] == wanted
+    stored = model.trees[1]
+    assert stored.numNodes == tree.numNodes and stored.depth == tree.depth == 5
+    assert stored._java_obj.rootNode().impurity() == pytest.approx(tree._java_obj.rootNode().impurity())
+
+    monkeypatch.setattr(training, "ROWS_PER_TASK", 100)
+    parts = training.Boosting(rows, training.TrainOptions(), weighted=weighted)
+    assert parts.tasks > 1
+    parts.grow(3)
+    for one, other in zip(whole.trees, parts.trees):
+        assert list(one.feature) == list(other.feature) and one.value == pytest.approx(other.value, abs=1e-9)
+
+
+def test_a_block_of_few_rows_takes_few_jobs(spark):
+    boosting = training.Boosting(boosted_rows(spark), training.TrainOptions(), weighted=False)
+    spark.sparkContext.setJobGroup("block", "one block")
+    boosting.grow(25)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(boosting.trees) == 26 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("block")) < 25
