@@ -12,6 +12,7 @@ from marquee.plans.order_tables import (
     MIN_BUDGET, order_documents, order_gold, order_movies, table,
 )
 from marquee.plans.registry import REGISTRY
+from marquee.session import materialize
 from marquee.sources.tables import row_counts
 
 START_YEAR = 1996
@@ -107,7 +108,8 @@ def crew_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'cast', count(*) FROM docs WHERE {IN_SCOPE_SQL}
     UNION ALL SELECT 'crew', 2 * count(*) FROM docs WHERE {IN_SCOPE_SQL}""", docs=DOCUMENTS_SQL))
 def silver_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scoped = silver.silver_scope(_parsed(spark, sf_dir), **SCOPE)
+    # Stored, as build_silver does, so that the documents are parsed once and not per table.
+    scoped = materialize(silver.silver_scope(_parsed(spark, sf_dir), **SCOPE), "documents")
     return row_counts(silver.silver_tables(scoped))
 
 

@@ -31,3 +31,29 @@ def test_entry_runs(spark):
 
 def test_every_twin_belongs_to_a_query():
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_silver_tables_parse_each_document_once(spark):
+    from marquee.plans import layer_queries
+    counted = layer_queries.silver_tables(spark, "/root/testdata/sf0.001")
+    assert "parseJson(" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_landing_reads_as_many_files_as_there_are_rows_for(spark, monkeypatch):
+    from marquee.plans import landing_queries
+    asked, stream = [], landing_queries.landing.document_stream
+
+    def watched(spark, uri, **options):
+        asked.append((spark.read.text(uri, wholetext=True).count(), options["max_files"]))
+        return stream(spark, uri, **options)
+
+    monkeypatch.setattr(landing_queries.landing, "document_stream", watched)
+    monkeypatch.setattr(landing_queries, "ROWS_PER_FILE", 100)
+    sf_dir = "/root/testdata/sf0.001"
+    landed = landing_queries.landing_two_runs(spark, sf_dir).collect()
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id").collect()
+    first = {e.user_id for e in events if e.event_id % 4 < 2}
+    assert sorted((r.id, r.run) for r in landed) == sorted(
+        {(e.user_id, 1 if e.user_id in first else 2) for e in events})
+    files = sum(e.event_id % 4 < 2 for e in events)
+    assert asked[0] == (-(-files // 100), -(-(-(-files // 100)) // 2)) and asked[0][0] > 2
