@@ -19,6 +19,9 @@ from marquee.sources.documents import framed, read_layer, write_documents
 from marquee.sources.layout import Layout
 from marquee.streaming import landing
 
+#: Documents in each file that arrives: a file is read by one task.
+ROWS_PER_FILE = 100_000
+
 
 def _table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = table(spark, sf_dir, name).schema
@@ -174,15 +177,17 @@ def landing_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files arrive in two parts, several to a run, with many ids in both: each id lands once.
 
     Ids are remembered in the state store for a limited time only, and looked for in the landed
-    table beyond it; every micro-batch is one file.
+    table beyond it. A run takes two micro-batches, each of as many files as its rows need.
     """
     home = scratch_path(spark, "landing")
     events = table(spark, sf_dir, "events").select(
         (F.col("event_id") % 4).alias("part"), F.to_json(F.struct(F.col("user_id").alias("id"))).alias("value"))
     for run in (1, 2):
-        arrived = events.where(F.col("part").isin([2 * run - 2, 2 * run - 1])).repartition("part")
-        arrived.select("value").write.mode("append").option("compression", "gzip").text(f"{home}/files")
-        stream = landing.document_stream(spark, f"{home}/files", pattern="*.txt.gz", one_per_file=False, max_files=1)
+        arrived = events.where(F.col("part").isin([2 * run - 2, 2 * run - 1]))
+        files = max(2, -(-arrived.count() // ROWS_PER_FILE))
+        arrived.select("value").repartition(files).write.mode("append").option("compression", "gzip").text(f"{home}/files")
+        stream = landing.document_stream(spark, f"{home}/files", pattern="*.txt.gz", one_per_file=False,
+                                         max_files=-(-files // 2))
         landing.start_stateful_landing(stream, f"{home}/landed", f"{home}/checkpoint", remember="10 seconds"
                                        ).awaitTermination()
         landed = landing.read_landed(spark, f"{home}/landed")
