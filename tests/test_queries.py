@@ -57,3 +57,16 @@ def test_landing_reads_as_many_files_as_there_are_rows_for(spark, monkeypatch):
         {(e.user_id, 1 if e.user_id in first else 2) for e in events})
     files = sum(e.event_id % 4 < 2 for e in events)
     assert asked[0] == (-(-files // 100), -(-(-(-files // 100)) // 2)) and asked[0][0] > 2
+
+
+def test_gold_scans_the_lines_once(spark):
+    from marquee.plans import order_tables
+    columns = ("movie_id", "genres", "revenue_musd", *order_tables.PEOPLE)
+    once = order_tables.order_gold(spark, SF_DIR, columns)
+    assert sum("lineitem.parquet" in line for line in
+               once._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line) == 1
+    apart = order_tables.gold.build_gold(
+        order_tables.order_movies(spark, SF_DIR), order_tables.order_cast(spark, SF_DIR),
+        order_tables.order_crew(spark, SF_DIR), min_budget=order_tables.MIN_BUDGET,
+        director_job=order_tables.DIRECTOR_FLAG, columns=columns)
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, apart.collect()))
