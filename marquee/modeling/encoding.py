@@ -57,6 +57,76 @@ def _long(df: DataFrame, columns: Sequence[str], *carried: str) -> DataFrame:
     ])))
 
 
+@dataclass(frozen=True)
+class CategorySums:
+    """Sums of the label per (fit, feature, category, fold), stored: all encodings come from them."""
+
+    table: DataFrame          # fit, feature, category, fold, n, total, squares
+    centre: float             # the mean, from which the label's distances were summed
+    feature: str              # any feature: every row has one category of it
+
+    def overall(self, *by: str) -> DataFrame:
+        """The same sums over all rows, per fit and ``by``; one row each."""
+        one = self.table.where(F.col("feature") == self.feature)
+        return materialize(one.groupBy("fit", *by).agg(*[F.sum(name).alias(name) for name in _SUMS]), "overall")
+
+
+def category_sums(df: DataFrame, columns: Sequence[str], label: str, fold: Column, *,
+                  part: Column | None = None, tests: Sequence[int] = (0,)) -> CategorySums:
+    """One pass for the mean and one for the sums, whatever is encoded from them.
+
+    With ``part`` there is a fit for each value of it in ``tests``, which learns from the rows
+    of all other parts; the rows are read once for all fits. Without, one fit takes all rows.
+    """
+    centre = _centre(df, label)
+    marked = df.withColumns({"_fold": fold, "_part": F.lit(-1) if part is None else part})
+    sums = _long(marked, columns, "_part", "_fold", label).groupBy(
+        "_part", "feature", "category", F.col("_fold").alias("fold")).agg(*_sums(label, centre))
+    fits = sums.withColumn("fit", F.explode(F.array(*map(F.lit, tests)))).where(F.col("_part") != F.col("fit"))
+    return CategorySums(
+        materialize(fits.groupBy("fit", "feature", "category", "fold").agg(
+            *[F.sum(name).alias(name) for name in _SUMS]), "category-sums"), centre, columns[0])
+
+
+def fold_encodings(sums: CategorySums) -> tuple[DataFrame, DataFrame]:
+    """(fit, feature, category, fold, encoding) out of fold, and the (fit, fold, prior_mean) beside it.
+
+    What the other folds hold is the category's total minus its own fold.
+    """
+    of_category = Window.partitionBy("fit", "feature", "category")
+    others = sums.table.select("fit", "feature", "category", "fold", *[
+        (F.sum(name).over(of_category) - F.col(name)).alias(name) for name in _SUMS])
+
+    # One row per fit and fold.
+    everything = Window.partitionBy("fit")
+    priors = sums.overall("fold").select("fit", "fold", *[
+        (F.sum(name).over(everything) - F.col(name)).alias(f"p_{name}") for name in _SUMS])
+    priors = materialize(priors.select(
+        "fit", "fold", F.try_divide("p_total", "p_n").alias("prior_mean"),
+        _variance(F.col("p_n"), F.col("p_total"), F.col("p_squares")).alias("prior_variance")), "priors")
+    encodings = others.join(F.broadcast(priors), ["fit", "fold"]).select(
+        "fit", "feature", "category", "fold",
+        (shrunk_mean(F.col("n"), F.col("total"), F.col("squares"), F.col("prior_mean"),
+                     F.col("prior_variance")) + sums.centre).alias("encoding"))
+    return encodings, priors.select("fit", "fold", (F.col("prior_mean") + sums.centre).alias("prior_mean"))
+
+
+def full_encodings(sums: CategorySums) -> tuple[DataFrame, dict[int, float]]:
+    """(fit, feature, category, encoding) from all rows of a fit, and the prior of every fit."""
+    facts = {row["fit"]: row for row in sums.overall().select(
+        "fit", F.try_divide("total", "n").alias("mean"),
+        _variance(F.col("n"), F.col("total"), F.col("squares")).alias("variance")).collect()}
+
+    def fact(name: str) -> Column:
+        pairs = [F.lit(value) for fit, row in facts.items() for value in (fit, row[name] or 0.0)]
+        return F.try_element_at(F.create_map(*pairs), F.col("fit")) if pairs else F.lit(0.0)
+
+    whole = sums.table.groupBy("fit", "feature", "category").agg(*[F.sum(name).alias(name) for name in _SUMS])
+    table = whole.select("fit", "feature", "category", (shrunk_mean(
+        F.col("n"), F.col("total"), F.col("squares"), fact("mean"), fact("variance")) + sums.centre).alias("encoding"))
+    return table, {fit: (row["mean"] or 0.0) + sums.centre for fit, row in facts.items()}
+
+
 def _look_up(df: DataFrame, table: DataFrame, columns: Sequence[str],
              fold: str | None) -> DataFrame:
     """Attach each column's encoding. The tables are stored, so their size is known to
@@ -76,37 +146,15 @@ def _look_up(df: DataFrame, table: DataFrame, columns: Sequence[str],
 
 
 def oof_target_encode(df: DataFrame, columns: Sequence[str], label: str, *,
-                      fold: str = "encoder_fold") -> DataFrame:
+                      fold: str = "encoder_fold", sums: CategorySums | None = None) -> DataFrame:
     """Encode each row from the rows of all other folds.
 
-    Sums per (category, fold) are taken once; what the other folds hold is the
-    category's total minus its own fold.
+    Sums per (category, fold) are taken once, unless given.
     """
-    centre = _centre(df, label)
-    per_fold = _long(df, columns, fold, label).groupBy(
-        "feature", "category", F.col(fold).alias("fold")).agg(*_sums(label, centre))
-    of_category = Window.partitionBy("feature", "category")
-    others = per_fold.select("feature", "category", "fold", *[
-        (F.sum(name).over(of_category) - F.col(name)).alias(name) for name in _SUMS])
-
-    # One row per fold.
-    overall = df.groupBy(F.col(fold).alias("fold")).agg(*_sums(label, centre))
-    everything = Window.partitionBy(F.lit(0))
-    priors = overall.select("fold", *[
-        (F.sum(name).over(everything) - F.col(name)).alias(f"p_{name}") for name in _SUMS])
-    priors = priors.select(
-        "fold", F.try_divide("p_total", "p_n").alias("prior_mean"),
-        _variance(F.col("p_n"), F.col("p_total"), F.col("p_squares")).alias("prior_variance"))
-    priors = materialize(priors, "priors")
-
-    encodings = materialize(
-        others.join(F.broadcast(priors), "fold").select(
-            "feature", "category", "fold",
-            (shrunk_mean(F.col("n"), F.col("total"), F.col("squares"), F.col("prior_mean"),
-                         F.col("prior_variance")) + centre).alias("encoding")),
-        "fold-encodings", partition_by=["feature"])
-    encoded = _look_up(df, encodings, columns, fold)
-    fallback = priors.select(F.col("fold").alias("_fold"), (F.col("prior_mean") + centre).alias("prior_mean"))
+    encodings, priors = fold_encodings(sums or category_sums(df, columns, label, F.col(fold)))
+    stored = materialize(encodings.drop("fit"), "fold-encodings", partition_by=["feature"])
+    encoded = _look_up(df, stored, columns, fold)
+    fallback = priors.select(F.col("fold").alias("_fold"), "prior_mean")
     encoded = encoded.join(F.broadcast(fallback), F.col(fold) == F.col("_fold"), "left")
     return encoded.withColumns({
         encoded_name(name): F.coalesce(encoded_name(name), "prior_mean") for name in columns
@@ -128,16 +176,47 @@ class TargetEncoding:
             for name in self.columns})
 
 
-def fit_target_encoding(df: DataFrame, columns: Sequence[str], label: str) -> TargetEncoding:
-    centre = _centre(df, label)
-    overall = df.agg(*_sums(label, centre)).select(
-        F.try_divide("total", "n").alias("mean"),
-        _variance(F.col("n"), F.col("total"), F.col("squares")).alias("variance")).first()
-    mean, variance = (overall["mean"] or 0.0), (overall["variance"] or 0.0)
-    sums = _long(df, columns, label).groupBy("feature", "category").agg(*_sums(label, centre))
-    table = materialize(
-        sums.select("feature", "category", (shrunk_mean(
-            F.col("n"), F.col("total"), F.col("squares"), F.lit(mean), F.lit(variance)) + centre)
-            .alias("encoding")),
-        "encodings", partition_by=["feature"])
-    return TargetEncoding(tuple(columns), table, mean + centre)
+def fit_target_encoding(df: DataFrame, columns: Sequence[str], label: str, *,
+                        sums: CategorySums | None = None) -> TargetEncoding:
+    """The encodings of all rows; ``sums`` of the same rows and columns spare the passes over them."""
+    table, priors = full_encodings(sums or category_sums(df, columns, label, F.lit(0)))
+    return TargetEncoding(tuple(columns), materialize(table.drop("fit"), "encodings", partition_by=["feature"]),
+                          next(iter(priors.values()), 0.0))
+
+
+@dataclass(frozen=True)
+class FitEncodings:
+    """Encodings of several fits that leave out a part of the rows each: out of fold for the rows a
+    fit learns from, and in full for the part it leaves out."""
+
+    columns: tuple[str, ...]
+    learned: DataFrame        # feature, category, fold, encoding: an array with a value per fit
+    held: DataFrame           # feature, category, fold (the fit), encoding
+    priors: dict[int, float]
+
+    def apply_learned(self, df: DataFrame, fold: str) -> DataFrame:
+        """Arrays with a value per fit; NULL within them where the fit leaves the row out."""
+        return _look_up(df, self.learned, self.columns, fold)
+
+    def apply_held(self, df: DataFrame, part: str) -> DataFrame:
+        """Every row as the fit that leaves its ``part`` out encodes it."""
+        prior = F.try_element_at(F.create_map(*[F.lit(v) for pair in self.priors.items() for v in pair]), F.col(part))
+        encoded = _look_up(df, self.held, self.columns, part)
+        return encoded.withColumns({
+            encoded_name(name): F.coalesce(F.col(encoded_name(name)), prior) for name in self.columns})
+
+    def of(self, fit: int) -> TargetEncoding:
+        return TargetEncoding(self.columns, self.held.where(F.col("fold") == fit).drop("fold"), self.priors[fit])
+
+
+def fit_encodings(df: DataFrame, columns: Sequence[str], label: str, *, fold: str, part: str,
+                  tests: Sequence[int]) -> FitEncodings:
+    """The encodings of a fit for each value of ``part`` in ``tests``, from the same two passes."""
+    sums = category_sums(df, columns, label, F.col(fold), part=F.col(part), tests=tests)
+    apart, _ = fold_encodings(sums)
+    learned = apart.groupBy("feature", "category", "fold").agg(F.array(*[
+        F.max(F.when(F.col("fit") == test, F.col("encoding"))) for test in tests]).alias("encoding"))
+    held, priors = full_encodings(sums)
+    return FitEncodings(
+        tuple(columns), materialize(learned, "fold-encodings", partition_by=["feature"]),
+        materialize(held.withColumnRenamed("fit", "fold"), "encodings", partition_by=["feature"]), priors)

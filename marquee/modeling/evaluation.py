@@ -105,13 +105,14 @@ def with_donor(df: DataFrame, *, key: str, repeats: int, seed: int, groups: int)
 
 def permutation_importance(holdout: DataFrame, predict: Callable[[DataFrame], DataFrame],
                            names: list[str], *, key: str = "movie_id", repeats: int = 5,
-                           seed: int = config.SEED) -> DataFrame:
+                           seed: int = config.SEED, vectors: bool = True) -> DataFrame:
     """Drop in R2 when one feature is shuffled: (feature, importance_mean, importance_std).
 
     ``holdout`` has the key, ``y_true`` and ``features`` (array of double); ``predict``
-    adds ``y_pred`` from a vector column ``features``. All variants of all features are
+    adds ``y_pred`` from ``features``, a vector unless ``vectors`` is false. All variants of all features are
     scored in one job.
     """
+    ready = array_to_vector if vectors else (lambda values: values)
     groups = max(1, holdout.count() // ROWS_PER_RANGE)
     paired = with_donor(holdout, key=key, repeats=repeats, seed=seed, groups=groups)
     variants = paired.select(
@@ -120,10 +121,10 @@ def permutation_importance(holdout: DataFrame, predict: Callable[[DataFrame], Da
     shuffled = F.transform("features", lambda value, position: F.when(
         position == F.col("_index"), F.get("donor", position)).otherwise(value))
     scored = predict(variants.select("y_true", "repeat", "_index",
-                                     array_to_vector(shuffled).alias("features")))
+                                     ready(shuffled).alias("features")))
     worse = regression_metrics(scored, by=("_index", "repeat")).select("_index", "repeat", "r2")
 
-    intact = predict(holdout.select("y_true", array_to_vector("features").alias("features")))
+    intact = predict(holdout.select("y_true", ready(F.col("features")).alias("features")))
     base = regression_metrics(intact).first()["r2"]
     labels = F.array(*[F.lit(name) for name in names])
     return (

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property, partial
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressionModel, GBTRegressor,
 )
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType
 
 from marquee import config
@@ -26,7 +27,8 @@ from marquee.modeling.boosting import (
     Tree, blocks, boost, boost_alone, constant, learn_cuts, with_margins,
 )
 from marquee.modeling.encoding import (
-    TargetEncoding, encoded_name, fit_target_encoding, oof_target_encode,
+    FitEncodings, TargetEncoding, category_sums, encoded_name, fit_encodings, fit_target_encoding,
+    oof_target_encode,
 )
 from marquee.modeling.features import (
     CATEGORICAL, FeatureSpec, feature_frame, fit_vocabulary, training_rows, with_split,
@@ -122,7 +124,7 @@ def model_columns(spec: FeatureSpec) -> list[str]:
     return [encoded_name(name) if name in CATEGORICAL else name for name in spec.columns]
 
 
-def _features(df: DataFrame, spec: FeatureSpec, keep: Sequence[str]) -> DataFrame:
+def _features(df: DataFrame, spec: FeatureSpec, keep: Sequence[str | Column]) -> DataFrame:
     values = [F.col(f"`{name}`").cast("double") for name in model_columns(spec)]
     return df.select(*keep, F.array(*values).alias("features"))
 
@@ -144,8 +146,9 @@ def prepare(rows: DataFrame, spec: FeatureSpec, is_test, *, key: str) -> Prepare
     """Encode both sides and store them: every fit and score below reads these tables."""
     carried = [key, "y_label", "y_raw", "weight", "is_validation"]
     train_rows = rows.where(~is_test)
-    encoding = fit_target_encoding(train_rows, CATEGORICAL, "y_label")
-    train = oof_target_encode(train_rows, CATEGORICAL, "y_label")
+    sums = category_sums(train_rows, CATEGORICAL, "y_label", F.col("encoder_fold"))
+    encoding = fit_target_encoding(train_rows, CATEGORICAL, "y_label", sums=sums)
+    train = oof_target_encode(train_rows, CATEGORICAL, "y_label", sums=sums)
     test = encoding.apply(rows.where(is_test))
     return Prepared(
         materialize(_features(train, spec, carried), "train"),
@@ -156,16 +159,16 @@ def prepare(rows: DataFrame, spec: FeatureSpec, is_test, *, key: str) -> Prepare
 
 def labelled_rows(gold: DataFrame, plan: TargetPlan, options: TrainOptions,
                   spec: FeatureSpec) -> DataFrame:
-    """Feature rows with label, weight and split columns."""
+    """Feature rows with label, weight and split columns, stored: every fit reads them several times."""
     raw = F.col(plan.column).cast("double")
     label = F.log1p(raw) if plan.transform == "log1p" else raw
     weight = F.lit(1.0) if plan.weight is None else clipped_log_weight(F.col(plan.weight))
     named = training_rows(gold, plan.column).withColumns({
         "y_raw": raw, "y_label": label, "weight": weight})
     split = with_split(named, options.key, seed=options.seed, folds=options.folds)
-    return feature_frame(split, spec, keep=[
+    return materialize(feature_frame(split, spec, keep=[
         options.key, "y_raw", "y_label", "weight", "is_holdout", "is_validation", "fold",
-        "encoder_fold"])
+        "encoder_fold"]), "labelled")
 
 
 # --- fitting -----------------------------------------------------------------------
@@ -280,39 +283,142 @@ class RidgeModel:
         values = F.col("features")
         if not isinstance(rows.schema["features"].dataType, ArrayType):
             values = vector_to_array(values)
-        factors = F.array(*map(F.lit, self.coefficients.toArray().tolist()))
-        products = F.zip_with(values, factors, lambda value, factor: value * factor)
-        return rows.withColumn("y_pred", F.lit(self.intercept) + F.aggregate(
-            products, F.lit(0.0), lambda total, product: total + product))
+        total = F.lit(0.0)
+        for place, factor in enumerate(self.coefficients.toArray().tolist()):
+            total += F.get(values, F.lit(place)) * F.lit(factor)
+        return rows.withColumn("y_pred", F.lit(self.intercept) + total)
+
+
+def _products(rows: DataFrame, fits: Sequence[int], plain: int, encoded: int,
+              centre: Sequence[float]) -> dict[int, np.ndarray]:
+    """Per fit the sums of all products of (1, features, y), of distances from ``centre``.
+
+    ``rows`` have ``part`` and ``values``: y, the plain features and the encoded ones of each fit
+    in turn. A fit takes the rows of all parts but its own. Tasks return one matrix for each fit.
+    """
+    size = 2 + plain + encoded
+    offsets = np.array([0.0, *centre])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((len(fits), size, size))
+        for batch in batches:
+            values = batch["values"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            parts = batch["part"].to_numpy(zero_copy_only=False)
+            for number, fit in enumerate(fits):
+                own = values[parts != fit]
+                first = 1 + plain + number * encoded
+                row = np.column_stack([np.ones(len(own)), own[:, 1:1 + plain], own[:, first:first + encoded], own[:, 0]])
+                row -= offsets
+                totals[number] += row.T @ row
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.repeat(np.arange(len(fits)), size * size), pa.int32()),
+            pa.array(np.tile(np.arange(size * size), len(fits)), pa.int32()), pa.array(totals.ravel())],
+            ["number", "place", "total"])
+
+    sums = rows.select("part", "values").mapInArrow(add, "number int, place int, total double").groupBy(
+        "number", "place").agg(F.sum("total").alias("total")).collect()
+    totals = np.zeros((len(fits), size * size))
+    for row in sums:
+        totals[row["number"], row["place"]] = row["total"]
+    return {fit: total.reshape(size, size) for fit, total in zip(fits, totals)}
+
+
+def _ridge_of(products: np.ndarray, centre: Sequence[float], alpha: float) -> RidgeModel:
+    """The closed form on scaled features. Features that never vary get no weight."""
+    n = products[0, 0]
+    if not n:
+        raise ValueError("ridge needs at least one row")
+    shift = products[0, 1:] / n
+    means = np.array(centre) + shift
+    scatter = products[1:, 1:] - n * np.outer(shift, shift)
+    spread = np.sqrt(np.maximum(np.diag(scatter)[:-1] / n, 0.0))
+    # What rounding leaves of a constant is no variation.
+    varies = spread > 1e-10 * np.abs(means[:-1])
+    scales = np.where(varies, spread, 1.0)
+    gram = scatter[:-1, :-1] / np.outer(scales, scales) * np.outer(varies, varies)
+    solved = np.linalg.solve(gram + alpha * np.eye(len(scales)), scatter[:-1, -1] / scales * varies)
+    factors = solved / scales
+    return RidgeModel(DenseVector(factors), float(means[-1] - factors @ means[:-1]))
 
 
 def fit_ridge(train: DataFrame, options: TrainOptions) -> RidgeModel:
     """Ridge on scaled features in closed form, never weighted.
 
-    Means and deviations first, then the products of all pairs of scaled features in one
-    aggregate; only those sums reach the driver. Features that never vary get no weight.
+    Means first, then the products of all pairs of centred features, summed by numpy in the
+    tasks; only those sums reach the driver.
     """
     first = train.select("features").first()
     if first is None:
         raise ValueError("ridge needs at least one row")
-    places = range(len(first["features"]))
-    x, y = [F.col("features")[i] for i in places], F.col("y_label")
-    facts = train.agg(F.count(y), F.avg(y), *map(F.avg, x), *map(F.stddev_pop, x)).first()
-    n, centre, means = facts[0], facts[1], facts[2:2 + len(x)]
-    scales = [d if d and d > 0 else 1.0 for d in facts[2 + len(x):]]
-    z = [(x[i] - F.lit(means[i])) / F.lit(scales[i]) for i in places]
-    pairs = [(i, j) for i in places for j in places if i <= j]
-    sums = train.agg(*(F.sum(z[i] * z[j]) for i, j in pairs), *(F.sum(v * (y - F.lit(centre))) for v in z)).first()
-    gram = np.zeros((len(x), len(x)))
-    for (i, j), total in zip(pairs, sums):
-        gram[i, j] = gram[j, i] = total
-    solved = np.linalg.solve(gram + options.ridge_alpha * np.eye(len(x)), np.array(sums[len(pairs):]))
-    factors = solved / np.array(scales)
-    return RidgeModel(DenseVector(factors), float(centre - factors @ np.array(means)))
+    y = F.col("y_label").cast("double")
+    x = [F.col("features")[place] for place in range(len(first["features"]))]
+    centre = list(train.agg(*map(F.avg, [*x, y])).first())
+    rows = train.select(F.lit(0).alias("part"), F.concat(F.array(y), F.col("features")).alias("values"))
+    return _ridge_of(_products(rows, [-1], len(x), 0, centre)[-1], centre, options.ridge_alpha)
+
+
+@dataclass(frozen=True)
+class RidgeFits:
+    """Ridges that each leave one part of the rows out, and the encodings that go with them."""
+
+    rows: DataFrame
+    spec: FeatureSpec
+    part: str
+    encodings: FitEncodings
+    models: dict[int, RidgeModel]
+
+    def held(self, *keep: str | Column) -> DataFrame:
+        """The rows left out, with ``features`` as the fit that left them out encodes them."""
+        own = self.rows.where(F.col(self.part).isin(list(self.models)))
+        return _features(self.encodings.apply_held(own, self.part), self.spec, keep)
+
+    def scored(self) -> DataFrame:
+        """y_true and y_pred of the rows left out, with their part."""
+        lists = F.create_map(*[entry for fit, model in self.models.items() for entry in (
+            F.lit(fit), F.array(*map(F.lit, [model.intercept, *model.coefficients.toArray().tolist()])))])
+        held = self.held(self.part, F.col("y_label").alias("y_true")).withColumn(
+            "_factors", F.try_element_at(lists, F.col(self.part).cast("int")))
+        total = F.lit(0.0)
+        for place in range(len(self.spec.columns)):
+            total += F.get("features", F.lit(place)) * F.get("_factors", F.lit(place + 1))
+        return held.select(self.part, "y_true", (F.get("_factors", F.lit(0)) + total).alias("y_pred"))
+
+
+def fit_ridges(rows: DataFrame, spec: FeatureSpec, options: TrainOptions, *, part: str,
+               tests: Sequence[int]) -> RidgeFits:
+    """A ridge for each value of ``part`` in ``tests``, fitted to the rows of all other parts.
+
+    Encoders are fitted anew for each. The rows are read once for the sums of all encoders and
+    once for the products of all fits, however many there are; nothing of their size is stored.
+    """
+    tests = list(tests)
+    encodings = fit_encodings(rows, CATEGORICAL, "y_label", fold="encoder_fold", part=part, tests=tests)
+    y = F.col("y_label").cast("double")
+    plain = [F.col(f"`{name}`").cast("double") for name in spec.columns if name not in CATEGORICAL]
+    *means, mean = rows.agg(*map(F.avg, [*plain, y])).first()
+    if mean is None:
+        raise ValueError("ridge needs at least one row")
+    centre = [*means, *[mean] * len(CATEGORICAL), mean]
+    absent = F.lit(float("nan"))
+    each = [F.coalesce(F.get(encoded_name(name), F.lit(number)), absent)
+            for number in range(len(tests)) for name in CATEGORICAL]
+    ready = encodings.apply_learned(rows, "encoder_fold").select(
+        F.col(part).cast("int").alias("part"), F.array(y, *plain, *each).alias("values"))
+    products = _products(ready, tests, len(plain), len(CATEGORICAL), centre)
+    return RidgeFits(rows, spec, part, encodings, {
+        fit: _ridge_of(total, centre, options.ridge_alpha) for fit, total in products.items()})
+
+
+def ridge_cross_validated(rows: DataFrame, spec: FeatureSpec, options: TrainOptions) -> DataFrame:
+    """Mean fold metrics of the ridge; encoder and model are fitted anew per fold."""
+    scored = fit_ridges(rows, spec, options, part="fold", tests=range(options.folds)).scored()
+    return evaluation.regression_metrics(scored, by=("fold",)).agg(*[
+        F.avg(name).alias(name) for name in evaluation.METRICS])
 
 
 def _scored(model, rows: DataFrame) -> DataFrame:
-    return model.transform(as_vectors(rows)).withColumn("y_true", F.col("y_label"))
+    ready = rows if isinstance(model, RidgeModel) else as_vectors(rows)
+    return model.transform(ready).withColumn("y_true", F.col("y_label"))
 
 
 def in_parallel(spark: SparkSession, work: Sequence[Callable[[], object]]) -> list:
@@ -330,10 +436,10 @@ def cross_validated(rows: DataFrame, spec: FeatureSpec, options: TrainOptions,
     """Mean fold metrics; encoder and model are refitted per fold, unweighted, all folds at once.
 
     ``fit`` is given the training rows of a fold and returns what predicts; the trees by default.
+    Every fold reads ``rows``, which should therefore be stored, as :func:`labelled_rows` are.
     Further steps ``beside`` them are taken at the same time.
     """
     fit = fit or (lambda train, options: fit_trees(train, options, weighted=False))
-    rows = materialize(rows, "cross-validation")
 
     def fold(number: int) -> DataFrame:
         part = prepare(rows, spec, F.col("fold") == number, key=options.key)

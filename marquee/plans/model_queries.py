@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marquee.functions import clipped_log_weight, implied_roi as roi_of, post_processed
@@ -279,6 +281,13 @@ def _labelled(gold: DataFrame, plan: training.TargetPlan):
     return spec, training.labelled_rows(gold, plan, _OPTIONS, spec)
 
 
+def _holdout_ridge(gold: DataFrame, plan: training.TargetPlan) -> training.RidgeFits:
+    """The ridge that leaves the holdout out, which is part 1."""
+    spec, rows = _labelled(gold, plan)
+    return training.fit_ridges(rows.withColumn("held", F.col("is_holdout").cast("int")), spec, _OPTIONS,
+                               part="held", tests=[1])
+
+
 def _inputs_sql(source: str, table: str, encodings: list[str]) -> str:
     """The model inputs of rows of ``table`` as one list, encodings given as expressions."""
     angle = f"2 * pi() * (coalesce({table}.release_month, 1) - 1) / 12"
@@ -381,11 +390,8 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     SELECT round({_R2}, 6) AS r2, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) ^ 2)), 6) AS rmse
     FROM money_scored""", **_ridge_views("money", *_MONEY, _HOLDOUT)))
 def ridge_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec, rows = _labelled(_gold_for_models(spark, sf_dir), training.REVENUE)
-    data = training.prepare(rows, spec, F.col("is_holdout"), key="movie_id")
-    ridge = training.fit_ridge(data.train, _OPTIONS)
-    predicted = ridge.transform(training.as_vectors(data.test))
-    return _rounded(evaluation.regression_metrics(predicted, actual="y_label"))
+    ridge = _holdout_ridge(_gold_for_models(spark, sf_dir), training.REVENUE)
+    return _rounded(evaluation.regression_metrics(ridge.scored()))
 
 
 @REGISTRY.add(_with_ridge(f"""
@@ -395,7 +401,7 @@ def ridge_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validation of the ridge: encoder and model are fitted anew in every fold."""
     spec, rows = _labelled(_gold_for_models(spark, sf_dir), training.REVENUE)
-    return _rounded(training.cross_validated(rows, spec, _OPTIONS, training.fit_ridge))
+    return _rounded(training.ridge_cross_validated(rows, spec, _OPTIONS))
 
 
 _IMPORTANCE = f"""
@@ -434,38 +440,37 @@ _THREE = f"{_R2} AS r2, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ^ 2)) AS rmse"
     **_ridge_views("folds", *_STARS, _FOLDS)))
 def metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of both targets side by side, a row per target and split."""
-    gold, tables = _gold_for_models(spark, sf_dir), []
-    for plan in (training.REVENUE, training.RATING):
-        spec, rows = _labelled(gold, plan)
-        data = training.prepare(rows, spec, F.col("is_holdout"), key="movie_id")
-        scored = training.fit_ridge(data.train, _OPTIONS).transform(data.test)
-        tables.append(evaluation.long_metrics(
-            evaluation.regression_metrics(scored, actual="y_label"), plan.name, "ridge"))
-    folds = training.cross_validated(rows, spec, _OPTIONS, training.fit_ridge)
-    tables.append(evaluation.long_metrics(folds, training.RATING.name, "cross-validation"))
+    gold = _gold_for_models(spark, sf_dir)
+
+    def holdout(plan: training.TargetPlan) -> tuple[training.RidgeFits, DataFrame]:
+        ridge = _holdout_ridge(gold, plan)
+        return ridge, evaluation.long_metrics(evaluation.regression_metrics(ridge.scored()), plan.name, "ridge")
+
+    plans = (training.REVENUE, training.RATING)
+    (_, money), (ridge, stars) = training.in_parallel(spark, [partial(holdout, plan) for plan in plans])
+    folds = training.ridge_cross_validated(ridge.rows, ridge.spec, _OPTIONS)
+    tables = [money, stars, evaluation.long_metrics(folds, training.RATING.name, "cross-validation")]
     return _rounded(evaluation.wide_metrics(materialize(evaluation.stacked(tables), "metrics")))
 
 
 @REGISTRY.add(_with_ridge(_IMPORTANCE, **_SHUFFLED))
 def ridge_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss of R2 of the ridge when one feature is shuffled, on the holdout."""
-    spec, rows = _labelled(_gold_for_models(spark, sf_dir), training.REVENUE)
-    data = training.prepare(rows, spec, F.col("is_holdout"), key="movie_id")
-    ridge = training.fit_ridge(data.train, _OPTIONS)
-    held = data.test.select("movie_id", F.col("y_label").alias("y_true"), "features")
+    ridge = _holdout_ridge(_gold_for_models(spark, sf_dir), training.REVENUE)
+    held = materialize(ridge.held("movie_id", F.col("y_label").alias("y_true")), "held")
     return _rounded(evaluation.permutation_importance(
-        held, ridge.transform, spec.columns, repeats=_OPTIONS.repeats, seed=_OPTIONS.seed))
+        held, ridge.models[1].transform, ridge.spec.columns, repeats=_OPTIONS.repeats, seed=_OPTIONS.seed,
+        vectors=False))
 
 
 def _ridge_bundle(gold: DataFrame, plan: training.TargetPlan) -> training.FittedTarget:
-    spec, rows = _labelled(gold, plan)
-    data = training.prepare(rows, spec, F.col("is_holdout"), key="movie_id")
-    ridge = training.fit_ridge(data.train, _OPTIONS)
+    fits = _holdout_ridge(gold, plan)
+    ridge = fits.models[1]
 
     def absent(bundle: training.FittedTarget) -> DataFrame:
         raise LookupError("this bundle only scores")
 
-    return training.FittedTarget(plan, spec, data.encoding, ridge, lambda: ridge, absent, absent)
+    return training.FittedTarget(plan, fits.spec, fits.encodings.of(1), ridge, lambda: ridge, absent, absent)
 
 
 def _scenario_score(name: str) -> str:
@@ -487,8 +492,9 @@ def _scenario_score(name: str) -> str:
 def ridge_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenarios scored by the two ridges, with the return that the revenue implies."""
     gold = _gold_for_models(spark, sf_dir)
-    scored = training.score_scenarios(_ridge_bundle(gold, training.REVENUE), _ridge_bundle(gold, training.RATING),
-                                      _scenarios(spark, sf_dir))
+    bundles = training.in_parallel(spark, [
+        partial(_ridge_bundle, gold, plan) for plan in (training.REVENUE, training.RATING)])
+    scored = training.score_scenarios(*bundles, _scenarios(spark, sf_dir))
     return scored.select("scenario_id", F.round("predicted_revenue_musd", 6).alias("predicted_revenue_musd"),
                          F.round("predicted_rating", 6).alias("predicted_rating"),
                          F.round("implied_roi", 4).alias("implied_roi"))

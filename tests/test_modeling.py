@@ -380,3 +380,24 @@ def test_a_block_of_few_rows_takes_few_jobs(spark):
     boosting.grow(25)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(boosting.trees) == 26 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("block")) < 25
+
+
+def test_folds_are_fitted_in_one_pass_and_equal_single_fits(spark, monkeypatch):
+    rows = spark.range(400).select(
+        F.col("id").alias("movie_id"), (F.col("id") % 7 * 1.5).alias("budget_musd"), (F.col("id") % 11 * 1.0).alias("runtime"),
+        F.lit(0.25).alias("month_sin"), F.sin("id").alias("month_cos"), (F.col("id") % 2).cast("int").alias("genre_A"),
+        *[F.concat(F.lit(name), (F.col("id") % k).cast("string")).alias(name) for k, name in zip((13, 17, 90), CATEGORICAL)],
+        (F.col("id") % 7 + F.col("id") % 13 / 3 + F.cos("id")).alias("y_label"), F.lit(1.0).alias("y_raw"),
+        F.lit(1.0).alias("weight"), F.lit(False).alias("is_validation"),
+        (F.xxhash64("id") % 5).alias("encoder_fold"), F.pmod(F.col("id") * 7 + F.col("id") % 3, F.lit(5)).alias("fold")).localCheckpoint()
+    spec, options = FeatureSpec(("A",)), training.TrainOptions()
+    apart = training.cross_validated(rows, spec, options, training.fit_ridge).first()
+    monkeypatch.setattr(training, "prepare", None)
+    stored, write = [], training.materialize
+    monkeypatch.setattr(training, "materialize", lambda df, name, **options: stored.append(name) or write(df, name, **options))
+    fits = training.fit_ridges(rows, spec, options, part="fold", tests=range(5))
+    assert sorted(fits.models) == [0, 1, 2, 3, 4] and fits.models[0].coefficients[2] == 0.0 and not stored
+    assert list(training.ridge_cross_validated(rows, spec, options).first()) == pytest.approx(list(apart), rel=1e-9)
+    assert fits.scored().count() == 400
+    with pytest.raises(ValueError, match="at least one row"):
+        training.fit_ridges(rows.limit(0), spec, options, part="fold", tests=[1])
