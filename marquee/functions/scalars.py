@@ -9,13 +9,22 @@ from pyspark.sql import Column, functions as F
 from marquee import config
 
 __all__ = [
-    "iso_date", "json_with_mark", "marked_document", "variant_text", "variant_truth", "money_musd", "return_on_investment", "roi_bucket",
+    "bound", "iso_date", "json_with_mark", "marked_document", "variant_text", "variant_truth", "money_musd", "return_on_investment", "roi_bucket",
     "id_prefix", "month_label", "known_or_unknown", "month_angle", "multi_hot",
     "contains_text", "case_folded", "contains_folded", "overlaps_any", "size_mb", "clipped_log_weight", "hash_fraction",
     "hash_bucket", "implied_roi", "post_processed",
 ]
 
 
+def bound(value: Column) -> Column:
+    """``value`` from a one-element generator, which computes it once per row.
+
+    A plain projection would be computed again in every filter that the optimizer moves below it,
+    and in every column that uses it.
+    """
+    return F.explode_outer(F.array(value))
+
+
 # --- loosely typed JSON ------------------------------------------------------
 
 def json_with_mark(body: Column) -> Column:

@@ -14,13 +14,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee import config
-from marquee.functions import iso_date, json_with_mark, marked_document, variant_text, variant_truth
+from marquee.functions import bound, iso_date, json_with_mark, marked_document, variant_text, variant_truth
 
-# Fields whose kind matters stay VARIANT and are judged one by one.
+# Fields whose kind matters stay VARIANT and are judged one by one. What the scope asks for comes
+# first, so that the rest is taken only from documents that stay.
+SCOPE_SHAPE = "struct<id: variant, release_date: variant, original_language: string, adult: variant>"
 DOCUMENT_SHAPE = (
-    "struct<id: variant, title: string, original_title: string, release_date: variant, "
+    "struct<title: string, original_title: string, "
     "budget: bigint, revenue: bigint, runtime: int, vote_average: double, vote_count: bigint, "
-    "popularity: double, original_language: string, adult: variant, "
+    "popularity: double, "
     "genres: array<struct<name: string>>, production_companies: array<struct<name: string>>, "
     "credits: struct<"
     "`cast`: array<struct<`order`: int, id: bigint, name: string, `character`: string>>, "
@@ -28,27 +30,32 @@ DOCUMENT_SHAPE = (
 )
 
 
-def parse_documents(raw: DataFrame, body: str = "body") -> DataFrame:
+def parse_documents(raw: DataFrame, body: str = "body", *, parsed: str | None = None) -> DataFrame:
     """Typed rows for every document whose ``id`` is a whole number.
 
-    A body is exactly one JSON value; see ``sources.documents.framed`` for texts that aren't.
+    A body is exactly one JSON value; see ``sources.documents.framed`` for texts that aren't, and
+    for the ``parsed`` column that spares parsing the body here.
 
     ``cast`` and ``crew`` stay nested in document order; an entry that is not an object is
     NULL there and skipped when the lists are unpacked.
     """
-    # A one-element generator computes its input once per row. A plain projection would
-    # be computed again in every filter that the optimizer moves below it.
-    marked = raw.select(F.col(body).alias("_body"), F.explode_outer(F.array(json_with_mark(F.col(body)))).alias("_marked"))
-    shaped = F.try_variant_get(marked_document(F.col("_marked"), F.col("_body")), "$", DOCUMENT_SHAPE)
-    docs = marked.select(F.explode_outer(F.array(shaped)).alias("_doc"))
-    docs = docs.where(F.schema_of_variant("_doc.id") == "BIGINT")
+    if parsed is None:
+        marked = raw.select(F.col(body).alias("_body"), bound(json_with_mark(F.col(body))).alias("_marked"))
+        values = marked.select(bound(marked_document(F.col("_marked"), F.col("_body"))).alias("_json"))
+    else:
+        values = raw.select(F.col(parsed).alias("_json"))
+    heads = values.select("_json", bound(F.try_variant_get("_json", "$", SCOPE_SHAPE)).alias("_head"))
+    heads = heads.where(F.schema_of_variant("_head.id") == "BIGINT")
+    texts = heads.select("_json", "_head", bound(variant_text(F.col("_head.release_date"))).alias("_text"))
+    dated = texts.select("_json", "_head", bound(iso_date(F.col("_text"))).alias("_released"))
+    docs = dated.select("_head", "_released", bound(F.try_variant_get("_json", "$", DOCUMENT_SHAPE)).alias("_doc"))
 
     def number(name: str) -> Column:
         return F.coalesce(F.col(f"_doc.{name}"), F.lit(0)).alias(name)
 
-    released = iso_date(variant_text(F.col("_doc.release_date")))
+    released = F.col("_released")
     return docs.select(
-        F.try_variant_get("_doc.id", "$", "bigint").alias("id"),
+        F.try_variant_get("_head.id", "$", "bigint").alias("id"),
         "_doc.title",
         "_doc.original_title",
         released.alias("release_date"),
@@ -60,8 +67,8 @@ def parse_documents(raw: DataFrame, body: str = "body") -> DataFrame:
         number("vote_average"),
         number("vote_count"),
         number("popularity"),
-        "_doc.original_language",
-        variant_truth(F.col("_doc.adult")).alias("adult"),
+        "_head.original_language",
+        variant_truth(F.col("_head.adult")).alias("adult"),
         _names("genres"),
         _names("production_companies"),
         "_doc.credits.cast",

@@ -113,9 +113,7 @@ def layer_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     How many files Spark writes depends on the cluster, so only their presence is shown.
     """
     layout = Layout(scratch_path(spark, "layers"))
-    documents = order_documents(spark, sf_dir)
-    key = F.try_variant_get(F.try_parse_json("body"), "$.id", "bigint")
-    write_documents(documents.withColumn("id", key), layout.documents)
+    write_documents(order_documents(spark, sf_dir, keep=("o_orderkey",)), layout.documents, id_column="o_orderkey")
     medallion.build_silver(spark, layout, start_year=START_YEAR, as_of=AS_OF,
                            language=LANGUAGE)
     medallion.build_gold(spark, layout)

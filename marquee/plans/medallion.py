@@ -27,8 +27,8 @@ def build_silver(spark: SparkSession, layout: Layout, *, raw: DataFrame | None =
     any frame with a ``body`` column, such as the landed table of a stream; by
     default the document folder of the layout is read, in either of its layouts.
     """
-    documents = read_layer(spark, layout.documents) if raw is None else framed(raw)
-    scoped = silver.silver_scope(silver.parse_documents(documents), start_year=start_year,
+    documents = read_layer(spark, layout.documents, parsed="_json") if raw is None else framed(raw, parsed="_json")
+    scoped = silver.silver_scope(silver.parse_documents(documents, parsed="_json"), start_year=start_year,
                                  as_of=as_of, language=language)
     with materialized(scoped, "documents") as staged:
         for name, table in silver.silver_tables(staged, top_n=top_n, jobs=jobs).items():

@@ -93,6 +93,19 @@ def materialize(df: DataFrame, name: str = "stage", *,
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Large trees of folders are listed by a few tasks of many folders for the length of a block,
+    instead of up to 10,000, of which each takes longer to start than to list its folders."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, wanted = int(spark.conf.get(name)), 4 * spark.sparkContext.defaultParallelism
+    spark.conf.set(name, str(min(before, wanted)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 @contextmanager
 def materialized(df: DataFrame, name: str = "stage") -> Iterator[DataFrame]:
     """The stored ``df`` for the length of a block; its files are deleted afterwards."""

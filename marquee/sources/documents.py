@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marquee.functions import id_prefix, json_with_mark, marked_document
+from marquee.functions import bound, id_prefix, json_with_mark, marked_document
+from marquee.session import few_listing_tasks
 
 _BLANK = re.compile(r"[ \t\n\r]*")
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
@@ -31,13 +32,14 @@ def read_documents(spark: SparkSession, uri: str, *, pattern: str = "*.json.gz",
     at scale, since one file per entity makes the listing dominate the job.
     """
     try:
-        lines = (
-            spark.read
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", pattern)
-            .option("ignoreCorruptFiles", "true")
-            .text(uri, wholetext=one_per_file)
-        )
+        with few_listing_tasks(spark):
+            lines = (
+                spark.read
+                .option("recursiveFileLookup", "true")
+                .option("pathGlobFilter", pattern)
+                .option("ignoreCorruptFiles", "true")
+                .text(uri, wholetext=one_per_file)
+            )
     except AnalysisException as problem:
         if problem.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], RAW_SCHEMA + (f", {size} bigint" if size else ""))
@@ -68,22 +70,28 @@ def split_values(text: str) -> list[str]:
     return values or [text]
 
 
-def framed(raw: DataFrame, body: str = "body") -> DataFrame:
+def framed(raw: DataFrame, body: str = "body", *, parsed: str | None = None) -> DataFrame:
     """One row per JSON value, for bodies that may hold several, in lines or not.
 
     A body that is exactly one value, as nearly all are, is passed on untouched by the JVM;
     only others go through :func:`split_values`. What isn't JSON stays as it is, and is
-    rejected with a reason where documents are judged. Works on streams, too.
+    rejected with a reason where documents are judged. Works on streams, too. ``parsed`` names a
+    column for the value as VARIANT, NULL if the text isn't JSON, so that nobody parses it again.
     """
     def split(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else split_values(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     column = F.col(body)
-    marked = raw.select(*raw.columns, F.explode_outer(F.array(json_with_mark(column))).alias("_marked"))
-    odd = F.when(marked_document(F.col("_marked"), column).isNull(), column)
-    several = marked.withColumn("_values", F.arrow_udf(split, "array<string>")(odd)).drop("_marked")
+    marked = raw.select(*raw.columns, bound(json_with_mark(column)).alias("_marked"))
+    whole = marked.select(*raw.columns, bound(marked_document(F.col("_marked"), column)).alias("_whole"))
+    odd = F.col("_whole").isNull()
+    several = whole.withColumn("_values", F.arrow_udf(split, "array<string>")(F.when(odd, column)))
     others = [F.col(name) for name in raw.columns if name != body]
-    return several.select(*others, F.explode(F.coalesce("_values", F.array(column))).alias(body)).select(*raw.columns)
+    values = several.select(*others, "_whole", F.explode(F.coalesce("_values", F.array(column))).alias(body))
+    if parsed is None:
+        return values.select(*raw.columns)
+    again = values.select("*", bound(F.when(odd, json_with_mark(column))).alias("_again"))
+    return again.select(*raw.columns, F.coalesce("_whole", marked_document(F.col("_again"), column)).alias(parsed))
 
 
 def whole_texts(lines: Iterable[str]) -> Iterator[str]:
@@ -126,19 +134,27 @@ def joined_lines(lines: DataFrame) -> DataFrame:
     return lines.select("source", "body").mapInArrow(join, RAW_SCHEMA)
 
 
-def read_layer(spark: SparkSession, uri: str) -> DataFrame:
+def read_layer(spark: SparkSession, uri: str, *, parsed: str | None = None) -> DataFrame:
     """All documents of a folder that may hold both layouts: ``.json.gz`` files of one or
     several documents, and the line files (``.txt.gz``) that :func:`write_documents` makes.
 
     A ``.json.gz`` file of up to ``LARGE_FILE`` bytes is one text, which is unusable as a whole
     if it holds a fault. Larger ones never stand in memory whole: they are read as streams of
-    lines, and a fault costs the value it is in, as in line files.
+    lines, and a fault costs the value it is in, as in line files. ``parsed`` is passed on to
+    :func:`framed`.
+
+    The folder is listed once for all files read by lines, and again only if it holds
+    ``.json.gz`` files, the small ones of which are read whole.
     """
-    large = F.col("_size") > LARGE_FILE
-    return framed(
-        read_documents(spark, uri, size="_size").where(~large).drop("_size")
-        .unionByName(joined_lines(read_documents(spark, uri, one_per_file=False, size="_size").where(large)))
-        .unionByName(read_documents(spark, uri, pattern="*.txt.gz", one_per_file=False)))
+    lines = read_documents(spark, uri, pattern="*.{json,txt}.gz", one_per_file=False, size="_size")
+    is_json, large = F.col("source").endswith(".json.gz"), F.col("_size") > LARGE_FILE
+    texts = lines.where(~is_json).drop("_size")
+    # Files are chosen by name before any is opened: no partition means no such file.
+    if lines.where(is_json).rdd.getNumPartitions():
+        texts = (
+            read_documents(spark, uri, size="_size").where(~large).drop("_size")
+            .unionByName(joined_lines(lines.where(is_json & large))).unionByName(texts))
+    return framed(texts, parsed=parsed)
 
 
 def write_documents(docs: DataFrame, uri: str, *, id_column: str = "id",

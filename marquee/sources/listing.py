@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from marquee.session import few_listing_tasks
+
 LISTING_SCHEMA = "path string, length bigint, modificationTime timestamp"
 
 
@@ -21,7 +23,8 @@ def list_files(spark: SparkSession, uri: str, pattern: str | None = None) -> Dat
     if pattern is not None:
         reader = reader.option("pathGlobFilter", pattern)
     try:
-        files = reader.load(uri)
+        with few_listing_tasks(spark):
+            files = reader.load(uri)
     except AnalysisException as problem:
         if problem.getCondition() == "PATH_NOT_FOUND":
             return empty_listing(spark)

@@ -204,3 +204,48 @@ def test_large_files_are_read_by_lines(spark, layout, monkeypatch):
     whole = documents.read_documents(spark, layout.documents, size="_size").where("_size <= 2000")
     assert whole.inputFiles() and whole.rdd.getNumPartitions() == 1 and whole.count() == 1
     assert rows.select(F.max(F.length("body"))).first()[0] < 2_000
+
+
+def test_line_files_are_listed_once_and_by_few_tasks(spark, layout, monkeypatch):
+    from marquee.sources import documents
+    rows = spark.range(400).select((F.col("id") * 1000).alias("id"), F.format_string('{"id": %d}', F.col("id") * 1000).alias("body"))
+    write_documents(rows, layout.documents)
+    listed, read = [], documents.read_documents
+    monkeypatch.setattr(documents, "read_documents", lambda *args, **kind: listed.append(kind) or read(*args, **kind))
+    context = spark.sparkContext
+    context.setJobGroup("listing", "one folder per prefix")
+    try:
+        found = documents.read_layer(spark, layout.documents)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [stage for job in tracker.getJobIdsForGroup("listing") for stage in tracker.getJobInfo(job).stageIds]
+    tasks = [tracker.getStageInfo(stage).numTasks for stage in stages]
+    assert len(listed) == 1 and max(tasks) <= 4 * context.defaultParallelism < 400
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+    assert found.count() == 400
+    store(layout, film(7))
+    assert documents.read_layer(spark, layout.documents).count() == 401 and len(listed) == 3
+
+
+def test_values_are_handed_on_parsed(spark):
+    from marquee.sources.documents import framed
+    texts = ['{"id": 1, "title": "a"}', '{"id": 2}{"id": 3, "adult": 1}', '{"id": 0, "id": 4}', '{"id": 5} x',
+             '{"id": 6, "vote_average": NaN}', '{"id": 7.5}', 'null', '[]', '', None, '{"id": 8, "release_date": "2005-W24-3"}']
+    raw = spark.createDataFrame([(text,) for text in texts], "body string")
+    again = silver.parse_documents(framed(raw)).orderBy("id").collect()   # NaN equals itself in text only
+    ready = framed(raw, parsed="value")
+    assert ready.columns == ["body", "value"]
+    assert str(silver.parse_documents(ready, parsed="value").orderBy("id").collect()) == str(again)
+    assert [row.id for row in again] == [1, 2, 3, 4, 6, 8]
+
+
+def test_only_documents_in_scope_are_cast_whole(spark):
+    """The filter lies below the generator of the whole shape."""
+    docs = silver.parse_documents(bodies(spark, film(1), film(2, original_language="fr")))
+    scoped = silver.silver_scope(docs, as_of=AS_OF)
+    assert [row.id for row in scoped.collect()] == [1]
+    plan = scoped._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    scope = next(n for n, line in enumerate(plan) if "Filter" in line and "_released" in line)
+    shape = next(n for n, line in enumerate(plan) if "Generate" in line and "production_companies" in line)
+    assert shape < scope
