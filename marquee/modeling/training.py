@@ -157,18 +157,21 @@ def prepare(rows: DataFrame, spec: FeatureSpec, is_test, *, key: str) -> Prepare
     )
 
 
-def labelled_rows(gold: DataFrame, plan: TargetPlan, options: TrainOptions,
-                  spec: FeatureSpec) -> DataFrame:
-    """Feature rows with label, weight and split columns, stored: every fit reads them several times."""
+def labelled_rows(gold: DataFrame, plan: TargetPlan, options: TrainOptions, spec: FeatureSpec,
+                  carried: Sequence[str] = ("y_raw", "y_label", "weight", "is_holdout", "is_validation", "fold",
+                                            "encoder_fold")) -> DataFrame:
+    """Feature rows with label, weight and split columns, stored: every fit reads them several times.
+
+    Only the columns ``carried`` are worked out and stored beside key and features.
+    """
     raw = F.col(plan.column).cast("double")
-    label = F.log1p(raw) if plan.transform == "log1p" else raw
-    weight = F.lit(1.0) if plan.weight is None else clipped_log_weight(F.col(plan.weight))
     named = training_rows(gold, plan.column).withColumns({
-        "y_raw": raw, "y_label": label, "weight": weight})
+        "y_raw": raw, "y_label": F.log1p(raw) if plan.transform == "log1p" else raw})
+    if "weight" in carried:
+        named = named.withColumn(
+            "weight", F.lit(1.0) if plan.weight is None else clipped_log_weight(F.col(plan.weight)))
     split = with_split(named, options.key, seed=options.seed, folds=options.folds)
-    return materialize(feature_frame(split, spec, keep=[
-        options.key, "y_raw", "y_label", "weight", "is_holdout", "is_validation", "fold",
-        "encoder_fold"]), "labelled")
+    return materialize(feature_frame(split, spec, keep=[options.key, *carried]), "labelled")
 
 
 # --- fitting -----------------------------------------------------------------------

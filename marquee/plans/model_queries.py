@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -276,14 +277,19 @@ def _gold_for_models(spark: SparkSession, sf_dir: str) -> DataFrame:
         *_FEATURES, "revenue_musd", "vote_average", "vote_count"))
 
 
-def _labelled(gold: DataFrame, plan: training.TargetPlan):
+def _gold_for_ridges(spark: SparkSession, sf_dir: str, *plans: training.TargetPlan) -> DataFrame:
+    """Ridges are never weighted, so they need the targets only."""
+    return stored_gold(spark, sf_dir, (*_FEATURES, *[plan.column for plan in plans]))
+
+
+def _labelled(gold: DataFrame, plan: training.TargetPlan, **carried: Sequence[str]):
     spec = fit_vocabulary(gold)
-    return spec, training.labelled_rows(gold, plan, _OPTIONS, spec)
+    return spec, training.labelled_rows(gold, plan, _OPTIONS, spec, **carried)
 
 
-def _holdout_ridge(gold: DataFrame, plan: training.TargetPlan) -> training.RidgeFits:
-    """The ridge that leaves the holdout out, which is part 1."""
-    spec, rows = _labelled(gold, plan)
+def _holdout_ridge(gold: DataFrame, plan: training.TargetPlan, *more: str) -> training.RidgeFits:
+    """The ridge that leaves the holdout out, which is part 1; its rows carry the columns ``more`` too."""
+    spec, rows = _labelled(gold, plan, carried=("y_label", "is_holdout", "encoder_fold", *more))
     return training.fit_ridges(rows.withColumn("held", F.col("is_holdout").cast("int")), spec, _OPTIONS,
                                part="held", tests=[1])
 
@@ -390,7 +396,7 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     SELECT round({_R2}, 6) AS r2, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) ^ 2)), 6) AS rmse
     FROM money_scored""", **_ridge_views("money", *_MONEY, _HOLDOUT)))
 def ridge_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ridge = _holdout_ridge(_gold_for_models(spark, sf_dir), training.REVENUE)
+    ridge = _holdout_ridge(_gold_for_ridges(spark, sf_dir, training.REVENUE), training.REVENUE)
     return _rounded(evaluation.regression_metrics(ridge.scored()))
 
 
@@ -400,7 +406,8 @@ def ridge_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
           FROM money_scored GROUP BY g)""", **_ridge_views("money", *_MONEY, _FOLDS)))
 def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validation of the ridge: encoder and model are fitted anew in every fold."""
-    spec, rows = _labelled(_gold_for_models(spark, sf_dir), training.REVENUE)
+    spec, rows = _labelled(_gold_for_ridges(spark, sf_dir, training.REVENUE), training.REVENUE,
+                           carried=("y_label", "fold", "encoder_fold"))
     return _rounded(training.ridge_cross_validated(rows, spec, _OPTIONS))
 
 
@@ -440,14 +447,14 @@ _THREE = f"{_R2} AS r2, avg(abs(y - p)) AS mae, sqrt(avg((y - p) ^ 2)) AS rmse"
     **_ridge_views("folds", *_STARS, _FOLDS)))
 def metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of both targets side by side, a row per target and split."""
-    gold = _gold_for_models(spark, sf_dir)
+    gold = _gold_for_ridges(spark, sf_dir, training.REVENUE, training.RATING)
 
-    def holdout(plan: training.TargetPlan) -> tuple[training.RidgeFits, DataFrame]:
-        ridge = _holdout_ridge(gold, plan)
+    def holdout(plan: training.TargetPlan, *more: str) -> tuple[training.RidgeFits, DataFrame]:
+        ridge = _holdout_ridge(gold, plan, *more)
         return ridge, evaluation.long_metrics(evaluation.regression_metrics(ridge.scored()), plan.name, "ridge")
 
-    plans = (training.REVENUE, training.RATING)
-    (_, money), (ridge, stars) = training.in_parallel(spark, [partial(holdout, plan) for plan in plans])
+    (_, money), (ridge, stars) = training.in_parallel(
+        spark, [partial(holdout, training.REVENUE), partial(holdout, training.RATING, "fold")])
     folds = training.ridge_cross_validated(ridge.rows, ridge.spec, _OPTIONS)
     tables = [money, stars, evaluation.long_metrics(folds, training.RATING.name, "cross-validation")]
     return _rounded(evaluation.wide_metrics(materialize(evaluation.stacked(tables), "metrics")))
@@ -456,11 +463,12 @@ def metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add(_with_ridge(_IMPORTANCE, **_SHUFFLED))
 def ridge_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss of R2 of the ridge when one feature is shuffled, on the holdout."""
-    ridge = _holdout_ridge(_gold_for_models(spark, sf_dir), training.REVENUE)
+    ridge = _holdout_ridge(_gold_for_ridges(spark, sf_dir, training.REVENUE), training.REVENUE)
     held = materialize(ridge.held("movie_id", F.col("y_label").alias("y_true")), "held")
-    return _rounded(evaluation.permutation_importance(
-        held, ridge.models[1].transform, ridge.spec.columns, repeats=_OPTIONS.repeats, seed=_OPTIONS.seed,
-        vectors=False))
+    model = ridge.models[1]
+    return _rounded(evaluation.linear_importance(
+        held, model.coefficients.toArray().tolist(), model.intercept, ridge.spec.columns,
+        repeats=_OPTIONS.repeats, seed=_OPTIONS.seed))
 
 
 def _ridge_bundle(gold: DataFrame, plan: training.TargetPlan) -> training.FittedTarget:
@@ -491,7 +499,7 @@ def _scenario_score(name: str) -> str:
     money_scenario=_scenario_score("money"), stars_scenario=_scenario_score("stars")))
 def ridge_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenarios scored by the two ridges, with the return that the revenue implies."""
-    gold = _gold_for_models(spark, sf_dir)
+    gold = _gold_for_ridges(spark, sf_dir, training.REVENUE, training.RATING)
     bundles = training.in_parallel(spark, [
         partial(_ridge_bundle, gold, plan) for plan in (training.REVENUE, training.RATING)])
     scored = training.score_scenarios(*bundles, _scenarios(spark, sf_dir))

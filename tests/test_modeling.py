@@ -401,3 +401,33 @@ def test_folds_are_fitted_in_one_pass_and_equal_single_fits(spark, monkeypatch):
     assert fits.scored().count() == 400
     with pytest.raises(ValueError, match="at least one row"):
         training.fit_ridges(rows.limit(0), spec, options, part="fold", tests=[1])
+
+
+@pytest.mark.parametrize("per_range", [1, 7, 1000])
+def test_linear_importance_equals_scoring_every_variant(spark, monkeypatch, per_range):
+    from pyspark.ml.linalg import DenseVector
+    monkeypatch.setattr(evaluation, "ROWS_PER_RANGE", per_range)
+    rows = spark.range(60).select(
+        F.col("id").alias("movie_id"), (F.col("id") * 1.0).alias("y_true"),
+        F.array((F.col("id") % 7).cast("double"), F.col("id") / 9, F.lit(4.0)).alias("features"))
+    model = training.RidgeModel(DenseVector([-0.5, 8.0, 3.0]), 1.25)
+    names = ["a", "b", "constant"]
+    ours = evaluation.linear_importance(rows, [-0.5, 8.0, 3.0], 1.25, names).collect()
+    scored = evaluation.permutation_importance(rows, model.transform, names).collect()
+    assert [row.feature for row in ours] == [row.feature for row in scored]
+    for one, other in zip(ours, scored):
+        assert one.importance_mean == pytest.approx(other.importance_mean, abs=1e-9)
+        assert one.importance_std == pytest.approx(other.importance_std, abs=1e-9)
+    assert evaluation.linear_importance(rows.limit(0), [1.0, 1.0, 1.0], 0.0, names).count() == 0
+
+
+def test_ridges_store_what_they_need_only(spark):
+    """No weight, votes or early-stopping flag: the Gold of a ridge doesn't even have them."""
+    gold = spark.createDataFrame(
+        [(1, 2.0, 90, 3, ["War"], "d", "c", "l", 5.0)],
+        "movie_id bigint, budget_musd double, runtime int, release_month int, genres array<string>, "
+        "director_name string, lead_production_company string, lead_cast_name string, vote_average double")
+    rows = training.labelled_rows(gold, training.RATING, training.TrainOptions(), FeatureSpec(("War",)),
+                                  carried=("y_label", "is_holdout", "encoder_fold"))
+    assert rows.columns[:4] == ["movie_id", "y_label", "is_holdout", "encoder_fold"]
+    assert not {"weight", "y_raw", "fold", "is_validation"} & set(rows.columns) and rows.first().y_label == 5.0
