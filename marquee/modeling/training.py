@@ -174,6 +174,24 @@ def labelled_rows(gold: DataFrame, plan: TargetPlan, options: TrainOptions, spec
     return materialize(feature_frame(split, spec, keep=[options.key, *carried]), "labelled")
 
 
+def labelled_together(gold: DataFrame, plans: Sequence[TargetPlan], options: TrainOptions, spec: FeatureSpec,
+                      carried: Sequence[str]) -> list[DataFrame]:
+    """The rows of :func:`labelled_rows` for each plan, from one stored table with all their labels.
+
+    A label is NULL there where the plan leaves the row out.
+    """
+    labels = {}
+    for plan in plans:
+        raw = F.col(plan.column).cast("double")
+        usable = F.col(plan.column) > 0 if plan.column == "revenue_musd" else F.col(plan.column).isNotNull()
+        labels[f"y_{plan.name}"] = F.when(usable, F.log1p(raw) if plan.transform == "log1p" else raw)
+    named = gold.dropna(subset=["budget_musd", "release_month", "genres"]).withColumns(labels)
+    split = with_split(named, options.key, seed=options.seed, folds=options.folds)
+    stored = materialize(feature_frame(split, spec, keep=[options.key, *labels, *carried]), "labelled")
+    return [stored.where(F.col(own).isNotNull()).withColumnRenamed(own, "y_label").drop(*set(labels) - {own})
+            for own in labels]
+
+
 # --- fitting -----------------------------------------------------------------------
 
 def rounds_kept(errors: Sequence[float], patience: int, tolerance: float) -> int | None:

@@ -289,7 +289,10 @@ def _labelled(gold: DataFrame, plan: training.TargetPlan, **carried: Sequence[st
 
 def _holdout_ridge(gold: DataFrame, plan: training.TargetPlan, *more: str) -> training.RidgeFits:
     """The ridge that leaves the holdout out, which is part 1; its rows carry the columns ``more`` too."""
-    spec, rows = _labelled(gold, plan, carried=("y_label", "is_holdout", "encoder_fold", *more))
+    return _ridge_on(*_labelled(gold, plan, carried=("y_label", "is_holdout", "encoder_fold", *more)))
+
+
+def _ridge_on(spec: FeatureSpec, rows: DataFrame) -> training.RidgeFits:
     return training.fit_ridges(rows.withColumn("held", F.col("is_holdout").cast("int")), spec, _OPTIONS,
                                part="held", tests=[1])
 
@@ -471,8 +474,8 @@ def ridge_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
         repeats=_OPTIONS.repeats, seed=_OPTIONS.seed))
 
 
-def _ridge_bundle(gold: DataFrame, plan: training.TargetPlan) -> training.FittedTarget:
-    fits = _holdout_ridge(gold, plan)
+def _ridge_bundle(spec: FeatureSpec, rows: DataFrame, plan: training.TargetPlan) -> training.FittedTarget:
+    fits = _ridge_on(spec, rows)
     ridge = fits.models[1]
 
     def absent(bundle: training.FittedTarget) -> DataFrame:
@@ -500,8 +503,10 @@ def _scenario_score(name: str) -> str:
 def ridge_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenarios scored by the two ridges, with the return that the revenue implies."""
     gold = _gold_for_ridges(spark, sf_dir, training.REVENUE, training.RATING)
+    plans, spec = (training.REVENUE, training.RATING), fit_vocabulary(gold)
+    labelled = training.labelled_together(gold, plans, _OPTIONS, spec, ("is_holdout", "encoder_fold"))
     bundles = training.in_parallel(spark, [
-        partial(_ridge_bundle, gold, plan) for plan in (training.REVENUE, training.RATING)])
+        partial(_ridge_bundle, spec, rows, plan) for plan, rows in zip(plans, labelled)])
     scored = training.score_scenarios(*bundles, _scenarios(spark, sf_dir))
     return scored.select("scenario_id", F.round("predicted_revenue_musd", 6).alias("predicted_revenue_musd"),
                          F.round("predicted_rating", 6).alias("predicted_rating"),

@@ -431,3 +431,18 @@ def test_ridges_store_what_they_need_only(spark):
                                   carried=("y_label", "is_holdout", "encoder_fold"))
     assert rows.columns[:4] == ["movie_id", "y_label", "is_holdout", "encoder_fold"]
     assert not {"weight", "y_raw", "fold", "is_validation"} & set(rows.columns) and rows.first().y_label == 5.0
+
+
+def test_labels_of_several_targets_share_one_table(spark, gold):
+    """Both targets' rows, labels and splits equal those stored apart."""
+    spec, options, carried = FeatureSpec(("War",)), training.TrainOptions(), ("is_holdout", "encoder_fold")
+    odd = gold.withColumns({
+        "revenue_musd": F.when(F.col("movie_id") % 5 > 1, F.col("revenue_musd")).when(F.col("movie_id") % 5 == 1, 0.0),
+        "vote_average": F.when(F.col("movie_id") % 3 > 0, F.col("vote_average"))})
+    plans = (training.REVENUE, training.RATING)
+    together = training.labelled_together(odd, plans, options, spec, carried)
+    assert together[0].inputFiles() == together[1].inputFiles()
+    for plan, rows in zip(plans, together):
+        apart = training.labelled_rows(odd, plan, options, spec, ("y_label", *carried))
+        assert rows.columns == apart.columns and 0 < rows.count() < odd.count()
+        assert rows.orderBy("movie_id").collect() == apart.orderBy("movie_id").collect()
