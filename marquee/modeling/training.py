@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import pickle
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -24,7 +25,7 @@ from marquee import config
 from marquee.functions import clipped_log_weight, implied_roi, post_processed
 from marquee.modeling import evaluation
 from marquee.modeling.boosting import (
-    Tree, blocks, boost, boost_alone, constant, learn_cuts, with_margins,
+    PACK_ROWS, STORED, Block, Coding, Tree, blocks, boost, boost_alone, constant, learn_cuts, packs,
 )
 from marquee.modeling.encoding import (
     FitEncodings, TargetEncoding, category_sums, encoded_name, fit_encodings, fit_target_encoding,
@@ -33,15 +34,15 @@ from marquee.modeling.encoding import (
 from marquee.modeling.features import (
     CATEGORICAL, FeatureSpec, feature_frame, fit_vocabulary, training_rows, with_split,
 )
-from marquee.session import materialize, scratch_path, shared_folder
+from marquee.session import delete_scratch, materialize, scratch_path, shared_folder
 from marquee.sources.layout import (
     Layout, child_names, delete_path, path_exists, read_small_file, replace_small_file,
 )
 from marquee.sources.sinks import overwrite_table
 from marquee.sources.tables import MissingTable, read_gold
 
-#: Rows of a boosting round that make a task of their own.
-ROWS_PER_TASK = 200_000
+#: Twice as many rows are boosted by several tasks; fewer are held by one, in some 20 bytes each.
+ROWS_PER_TASK = 4_000_000
 #: Steps that the driver runs side by side at most.
 MOST_THREADS = 8
 #: The file that names a saved bundle's current version.
@@ -238,46 +239,69 @@ def ensemble(trees: Sequence[Tree], weights: Sequence[float], features: int, *,
 class Boosting:
     """Boosted trees grown in blocks of rounds, each block going on where the last one ended.
 
-    The table holds what the trees so far predict for every row (its margin) and is written
-    anew after each block, so no tree is ever fitted twice and a lost executor costs one block
-    at most. Within a block the binned rows and what is left to predict are kept in the executors.
+    The binned rows are stored with what is left to predict of each and are written anew after each
+    block, so no tree is ever fitted twice and a lost executor costs one block at most.
     """
 
     def __init__(self, train: DataFrame, options: TrainOptions, *, weighted: bool) -> None:
         self.options, self.weighted, self.spark = options, weighted, train.sparkSession
         shared_folder(self.spark)
         weight = (F.col("weight") if weighted else F.lit(1.0)).cast("double")
-        rows = train.select("features", F.col("y_label").cast("double").alias("y_label"),
-                            weight.alias("weight"), "is_validation")
+        self.rows = train.select("features", F.col("y_label").cast("double").alias("y_label"),
+                                 weight.alias("weight"), "is_validation")
         learned, y = ~F.col("is_validation"), F.col("y_label")
-        facts = rows.agg(
+        facts = self.rows.agg(
             F.count(F.lit(1)), F.count_if(learned), F.sum(F.when(learned, weight)), F.sum(F.when(learned, weight * y)),
             F.sum(F.when(learned, weight * y * y)), F.max(F.size("features"))).first()
-        self.rows, n, total, self.features = facts[0], facts[1], facts[2], facts[5]
+        rows, n, total, self.features = facts[0], facts[1], facts[2], facts[5]
         mean = facts[3] / total
         self.trees, self.weights = [constant(mean, n, total, facts[4])], [1.0]
-        self.cuts = learn_cuts(rows.where(learned), n, min(options.max_bins, n))
-        tasks = max(1, min(self.rows // ROWS_PER_TASK, 2 * self.spark.sparkContext.defaultParallelism))
-        self.tasks = tasks
-        self.table = materialize(rows.withColumn("margin", F.lit(mean)).repartition(tasks), "margins")
+        self.coding = Coding(learn_cuts(self.rows.where(learned), n, min(options.max_bins, n)))
+        # Rows that one task can't hold are dealt to all cores, in parts that are worth a task.
+        shared = min(20 * rows // ROWS_PER_TASK, 2 * self.spark.sparkContext.defaultParallelism)
+        self.tasks = 1 if rows < 2 * ROWS_PER_TASK else max(2, shared)
+        size = max(1, min(PACK_ROWS, rows // (4 * self.tasks)))
+        self.path = self._store(packs(self.rows, self.coding, mean, weighted, size))
         #: Validation errors, before the first round and after each.
         self.errors: list[float] = []
 
+    def _store(self, packed: DataFrame) -> str:
+        path = scratch_path(self.spark, "packs")
+        packed.write.parquet(path)
+        return path
+
     def grow(self, rounds: int) -> None:
-        """One block: ``rounds`` more trees, their validation errors, and the margins anew."""
+        """One block: ``rounds`` more trees, their validation errors, and what is left anew."""
         options = self.options
-        how = dict(rounds=rounds, cuts=self.cuts, depth=options.max_depth, min_leaf=options.min_leaf, step=options.step)
-        data = blocks(self.table, self.cuts, self.weighted, ROWS_PER_TASK).coalesce(self.tasks)
+        how = dict(rounds=rounds, coding=self.coding, depth=options.max_depth, min_leaf=options.min_leaf,
+                   step=options.step, weighted=self.weighted)
+        stored = self.spark.read.schema(STORED).parquet(self.path).where("codes is not null")
+        former = self.path
         if self.tasks == 1:
-            (trees, errors), = data.mapPartitions(partial(boost_alone, **how)).collect()
+            grown = stored.coalesce(1).rdd.mapPartitions(partial(boost_alone, **how))
+            self.path = self._store(self.spark.createDataFrame(grown, STORED, verifySchema=False))
+            found = self.spark.read.schema(STORED).parquet(self.path).where("grown is not null").select("grown").first()
+            trees, errors = pickle.loads(found["grown"])
         else:
-            trees, errors = boost(data.persist(StorageLevel.MEMORY_AND_DISK), **how)
+            data = stored.repartition(self.tasks).rdd.mapPartitions(partial(blocks, coding=self.coding))
+            trees, errors, data = boost(data.persist(StorageLevel.MEMORY_AND_DISK), **how)
+            self.path = self._store(self.spark.createDataFrame(data.map(Block.stored), STORED, verifySchema=False))
+            data.unpersist()
+        delete_scratch(self.spark, former)
         # The error after the block before is known already.
         self.errors += [float(total / weight) for total, weight in errors[bool(self.errors):] if weight]
-        self.table = materialize(with_margins(self.table, trees, options.step, self.cuts), "margins")
         self.trees += trees
         self.weights += [options.step] * rounds
 
+    def close(self) -> None:
+        delete_scratch(self.spark, self.path)
+
+    @property
+    def table(self) -> DataFrame:
+        """The rows with what the trees so far predict for each, its ``margin``."""
+        model = ensemble(self.trees, self.weights, self.features, weighted=self.weighted)
+        return model.transform(as_vectors(self.rows)).withColumnRenamed("y_pred", "margin")
+
 
 def fit_trees(train: DataFrame, options: TrainOptions, *, weighted: bool) -> GBTRegressionModel:
     """Boosted trees that stop early on the validation share of the training rows.
@@ -291,6 +315,7 @@ def fit_trees(train: DataFrame, options: TrainOptions, *, weighted: bool) -> GBT
     while kept is None and len(boosting.trees) <= options.iterations:
         boosting.grow(min(options.block, options.iterations + 1 - len(boosting.trees)))
         kept = rounds_kept(boosting.errors, options.patience, options.tolerance)
+    boosting.close()
     return ensemble(boosting.trees[:kept], boosting.weights[:kept], boosting.features, weighted=weighted)
 
 

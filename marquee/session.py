@@ -76,6 +76,12 @@ def clear_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
+def delete_scratch(spark: SparkSession, path: str) -> None:
+    """Delete one path of :func:`scratch_path` that nothing reads any more."""
+    _SCRATCH[spark.sparkContext.applicationId].remove(path)
+    _delete(spark, path)
+
+
 def materialize(df: DataFrame, name: str = "stage", *,
                 partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.

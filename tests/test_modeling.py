@@ -1,4 +1,6 @@
 import math
+import pickle
+from functools import partial
 
 import numpy as np
 import pytest
@@ -446,3 +448,56 @@ def test_labels_of_several_targets_share_one_table(spark, gold):
         apart = training.labelled_rows(odd, plan, options, spec, ("y_label", *carried))
         assert rows.columns == apart.columns and 0 < rows.count() < odd.count()
         assert rows.orderBy("movie_id").collect() == apart.orderBy("movie_id").collect()
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_shared_codes_keep_every_tree(spark, monkeypatch, weighted):
+    """Features that share a code, joined packs and several tasks: the trees of a code per feature."""
+    from marquee.modeling import boosting
+
+    rows = spark.range(600).select(
+        (F.col("id") % 7 * 2 + F.col("id") % 3 + F.xxhash64("id") % 5).cast("double").alias("y_label"),
+        (1.0 + F.col("id") % 4).alias("weight"), (F.col("id") % 9 == 0).alias("is_validation"),
+        F.array(*[(F.xxhash64("id", F.lit(k)) % 40 + F.col("id") % m).cast("double") for k, m in enumerate((2, 3, 7))],
+                (F.col("id") % 3).cast("double"), (F.col("id") % 2).cast("double")).alias("features"))
+    options = training.TrainOptions()
+    shared = training.Boosting(rows, options, weighted=weighted)
+    assert len(shared.coding.groups) < 5
+    shared.grow(4)
+    monkeypatch.setattr(training, "Coding", partial(boosting.Coding, joint=1))
+    apart = training.Boosting(rows, options, weighted=weighted)
+    assert len(apart.coding.groups) == 5
+    stored = spark.read.parquet(apart.path).collect()
+    apart.grow(4)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 160)
+    assert len(list(boosting.blocks(stored, apart.coding))) > 1
+    alone = boosting.boost_alone(stored, apart.coding, rounds=4, depth=5, min_leaf=10, step=0.05, weighted=weighted)
+    found = pickle.loads(next(alone)[0])[0]
+    for tree, one in zip(found, apart.trees[1:], strict=True):
+        assert list(tree.feature) == list(one.feature) and tree.value == pytest.approx(one.value, abs=1e-9)
+    monkeypatch.setattr(training, "ROWS_PER_TASK", 100)
+    several = training.Boosting(rows, options, weighted=weighted)
+    assert several.tasks > 1
+    several.grow(4)
+    for other in (apart, several):
+        assert other.errors == pytest.approx(shared.errors, rel=1e-9)
+        for one, tree in zip(shared.trees, other.trees):
+            assert list(one.feature) == list(tree.feature) and list(one.rows) == list(tree.rows)
+            assert one.value == pytest.approx(tree.value, abs=1e-9) and one.squares == pytest.approx(tree.squares, rel=1e-9)
+
+
+def test_blocks_of_rounds_store_the_packed_rows_once(spark, tmp_path):
+    """A block replaces the rows that the block before it stored, and nothing is left behind a fit."""
+    from marquee import session
+
+    def stored():
+        return [path for path in session._SCRATCH[spark.sparkContext.applicationId] if "/packs-" in path]
+
+    before = len(stored())
+    boosting = training.Boosting(boosted_rows(spark), training.TrainOptions(), weighted=False)
+    boosting.grow(2)
+    boosting.grow(2)
+    assert len(stored()) == before + 1
+    boosting.close()
+    training.fit_trees(boosted_rows(spark), training.TrainOptions(iterations=4, block=2), weighted=False)
+    assert len(stored()) == before
