@@ -590,7 +590,9 @@ def score(bundle: FittedTarget, scenarios: DataFrame, *, output: str = "predicti
     whole = scenarios.withColumn("_scenario", F.struct(*scenarios.columns))
     rows = feature_frame(whole, bundle.spec, keep=["_scenario"])
     ready = _features(bundle.encoding.apply(rows), bundle.spec, ["_scenario"])
-    raw = bundle.model.transform(as_vectors(ready))
+    # Hundreds of trees a row are worth all cores, however few files the scenarios come from.
+    spread = ready.repartition(2 * scenarios.sparkSession.sparkContext.defaultParallelism)
+    raw = bundle.model.transform(as_vectors(spread))
     return raw.select("_scenario.*", post_processed(
         F.col("y_pred"), bundle.plan.column, bundle.plan.transform).alias(output))
 

@@ -501,3 +501,18 @@ def test_blocks_of_rounds_store_the_packed_rows_once(spark, tmp_path):
     boosting.close()
     training.fit_trees(boosted_rows(spark), training.TrainOptions(iterations=4, block=2), weighted=False)
     assert len(stored()) == before
+
+
+def test_scenarios_of_one_file_are_scored_by_all_cores(spark, gold):
+    ids = []
+
+    class Model:
+        def transform(self, rows):
+            ids.append(rows.rdd.getNumPartitions())
+            return rows.withColumn("y_pred", F.lit(1.0))
+
+    encoding = fit_target_encoding(gold, list(CATEGORICAL), "vote_average")
+    bundle = training.FittedTarget(training.RATING, FeatureSpec(("War",)), encoding, None, Model, None, None)
+    scenarios = spark.createDataFrame([(1, 60.0, 110.0, 6, ["War"], "Director 1", "House 1", "Actor 1")], SCENARIO_SCHEMA).coalesce(1)
+    assert training.score(bundle, scenarios).count() == 1
+    assert ids[0] >= spark.sparkContext.defaultParallelism
