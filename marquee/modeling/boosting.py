@@ -485,3 +485,87 @@ def boost_alone(part: Iterator[Row], coding: Coding, **how) -> Iterator[tuple]:
         yield (pickle.dumps((trees, errors)), *[None] * 6)
         for block in own:
             yield block.stored()
+
+
+# --- shuffled features ------------------------------------------------------------------
+
+def _moved(tree: Tree, cuts: np.ndarray, own: np.ndarray, donor: np.ndarray) -> tuple[np.ndarray, Iterator[tuple]]:
+    """What a tree predicts for every row, and (rows, features, predictions) of those variants that
+    end in another leaf. ``own`` and ``donor`` are bins (features by rows).
+
+    In a node that splits on a feature, only rows whose donor goes the other way leave their path,
+    and only these are followed further.
+    """
+    n, nodes = own.shape[1], len(tree.feature)
+    value, last = np.empty(n), np.iinfo(own.dtype).max
+    here: list = [None] * nodes                 # rows on their path, and what bounds the features there
+    away: list = [[] for _ in range(nodes)]     # rows that left it, and their shuffled features
+    here[0] = (np.arange(n), {})
+    found: list[tuple] = []
+    for node in range(nodes):
+        rows, bounds = here[node]
+        left = [np.concatenate(part) for part in zip(*away[node])] if away[node] else None
+        here[node] = away[node] = None
+        split, cut, first = int(tree.feature[node]), int(cuts[node]), int(tree.left[node])
+        if split < 0:
+            value[rows] = tree.value[node]
+            if left is not None:
+                found.append((*left, tree.value[node]))
+            continue
+        low, high = bounds.get(split, (-1, last))
+        right, other = own[split].take(rows) > cut, donor[split].take(rows)
+        for child, stays, leaves, limits in (
+                (first, ~right, (other > cut) & (other <= high), (low, cut)),
+                (first + 1, right, (other <= cut) & (other > low), (cut, high))):
+            here[child] = (rows.take(np.flatnonzero(stays)), {**bounds, split: limits})
+            gone = rows.take(np.flatnonzero(stays & leaves))
+            away[2 * first + 1 - child].append((gone, np.full(len(gone), split, own.dtype)))
+        if left is not None:
+            rows, shuffled = left
+            right = np.where(shuffled == split, donor[split].take(rows), own[split].take(rows)) > cut
+            for child, side in ((first, np.flatnonzero(~right)), (first + 1, np.flatnonzero(right))):
+                away[child].append((rows.take(side), shuffled.take(side)))
+    return value, iter(found)
+
+
+def variant_errors(paired: DataFrame, grown: Sequence[tuple[Tree, float]], features: int) -> DataFrame:
+    """(repeat, _index, total): the summed squared errors of the weighted trees when the feature
+    ``_index`` of every row is taken from its ``donor``."""
+    points = [np.unique([tree.threshold[node] for tree, _ in grown for node in np.flatnonzero(tree.feature == feature)])
+              for feature in range(features)]
+    cuts = [np.array([np.searchsorted(points[feature], threshold) if feature >= 0 else 0
+                      for feature, threshold in zip(tree.feature, tree.threshold)]) for tree, _ in grown]
+    kind = np.int16 if max(map(len, points)) < np.iinfo(np.int16).max else np.int32
+
+    def bins(values: pa.Array) -> np.ndarray:
+        return np.stack([np.searchsorted(own, column).astype(kind) for own, column in zip(points, _matrix(values).T)])
+
+    def totals(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(batches).combine_chunks()
+        own, donor = bins(whole["features"].chunk(0)), bins(whole["donor"].chunk(0))
+        error, repeats = whole["y_true"].to_numpy().copy(), whole["repeat"].to_numpy().astype(np.intp)
+        n = len(error)
+        change = np.zeros(features * n)
+        for (tree, factor), places in zip(grown, cuts):
+            value, moved = _moved(tree, places, own, donor)
+            error -= factor * value
+            for rows, shuffled, new in moved:
+                change[shuffled.astype(np.intp) * n + rows] += factor * (new - value.take(rows))
+        met = np.unique(repeats)
+        sums = [np.bincount(repeats, (error - own) ** 2)[met] for own in change.reshape(features, n)]
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.tile(met, features), pa.int32()), pa.array(np.repeat(np.arange(features), len(met)), pa.int32()),
+            pa.array(np.concatenate(sums))], ["repeat", "_index", "total"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[pa.RecordBatch] = []
+        for batch in batches:
+            some.append(batch)
+            if sum(map(len, some)) >= PACK_ROWS:
+                yield totals(some)
+                some = []
+        if sum(map(len, some)):
+            yield totals(some)
+
+    sums = paired.select("repeat", "y_true", "features", "donor").mapInArrow(add, "repeat int, _index int, total double")
+    return sums.groupBy("repeat", "_index").agg(F.sum("total").alias("total"))

@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marquee import config
+from marquee.modeling.boosting import variant_errors
 from marquee.session import materialize
 
 METRICS = ("r2", "mae", "rmse")
@@ -113,16 +114,23 @@ def with_donor(df: DataFrame, *, key: str, repeats: int, seed: int, groups: int)
 
 def permutation_importance(holdout: DataFrame, predict: Callable[[DataFrame], DataFrame],
                            names: list[str], *, key: str = "movie_id", repeats: int = 5,
-                           seed: int = config.SEED, vectors: bool = True) -> DataFrame:
+                           seed: int = config.SEED, vectors: bool = True,
+                           trees: Sequence[tuple] | None = None) -> DataFrame:
     """Drop in R2 when one feature is shuffled: (feature, importance_mean, importance_std).
 
     ``holdout`` has the key, ``y_true`` and ``features`` (array of double); ``predict``
     adds ``y_pred`` from ``features``, a vector unless ``vectors`` is false. All variants of all features are
-    scored in one job.
+    scored in one job. Where ``predict`` is a sum of weighted ``trees``, a variant is scored by what it changes.
     """
     ready = array_to_vector if vectors else (lambda values: values)
     groups = max(1, holdout.count() // ROWS_PER_RANGE)
     paired = with_donor(holdout, key=key, repeats=repeats, seed=seed, groups=groups)
+    intact = predict(holdout.select("y_true", ready(F.col("features")).alias("features")))
+    if trees is not None:
+        n, variance = holdout.agg(F.count("y_true"), F.var_pop("y_true")).first()
+        worse = variant_errors(paired, trees, len(names)).select("_index", "repeat", (
+            1 - F.try_divide("total", F.lit(n * variance if n else None).cast("double"))).alias("r2"))
+        return _losses(worse, regression_metrics(intact).first()["r2"], names)
     variants = paired.select(
         "y_true", "repeat", "features", "donor",
         F.explode(F.array(*[F.lit(index) for index in range(len(names))])).alias("_index"))
@@ -131,8 +139,6 @@ def permutation_importance(holdout: DataFrame, predict: Callable[[DataFrame], Da
     scored = predict(variants.select("y_true", "repeat", "_index",
                                      ready(shuffled).alias("features")))
     worse = regression_metrics(scored, by=("_index", "repeat")).select("_index", "repeat", "r2")
-
-    intact = predict(holdout.select("y_true", ready(F.col("features")).alias("features")))
     return _losses(worse, regression_metrics(intact).first()["r2"], names)
 
 

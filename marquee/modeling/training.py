@@ -233,7 +233,9 @@ def ensemble(trees: Sequence[Tree], weights: Sequence[float], features: int, *,
     model.write().save(path)
     nodes = [(number, node) for number, tree in enumerate(trees) for node in tree.node_rows()]
     spark.createDataFrame(nodes, _NODES, verifySchema=False).coalesce(1).write.mode("overwrite").parquet(f"{path}/data")
-    return GBTRegressionModel.load(path)
+    model = GBTRegressionModel.load(path)
+    model.grown = list(zip(trees, weights))
+    return model
 
 
 class Boosting:
@@ -546,7 +548,7 @@ def train_target(gold: DataFrame, plan: TargetPlan,
         return materialize(evaluation.permutation_importance(
             data.test.select(options.key, F.col("y_label").alias("y_true"), "features"),
             bundle.model.transform, spec.columns, key=options.key, repeats=options.repeats,
-            seed=options.seed), "importance")
+            seed=options.seed, trees=bundle.model.grown), "importance")
 
     n_test = data.test.count()
     return FittedTarget(

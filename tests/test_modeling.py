@@ -503,6 +503,22 @@ def test_blocks_of_rounds_store_the_packed_rows_once(spark, tmp_path):
     assert len(stored()) == before
 
 
+def test_importance_of_trees_equals_scoring_every_variant(spark):
+    rows = spark.range(500).select(
+        F.col("id").alias("movie_id"), F.lit(1.0).alias("weight"), F.lit(False).alias("is_validation"),
+        (F.col("id") % 13 + F.col("id") % 4 * 3 + F.cos("id")).alias("y_label"),
+        F.array((F.col("id") % 13).cast("double"), (F.col("id") % 4).cast("double"), F.cos("id"), F.lit(4.0)).alias("features"))
+    model = training.fit_trees(rows, training.TrainOptions(iterations=12, step=0.3), weighted=False)
+    held = rows.select("movie_id", F.col("y_label").alias("y_true"), "features")
+    names = ["a", "b", "c", "constant"]
+    one = evaluation.permutation_importance(held, model.transform, names, trees=model.grown).collect()
+    other = evaluation.permutation_importance(held, model.transform, names).collect()
+    assert [row.feature for row in one] == [row.feature for row in other] and one[0].importance_mean > 0.1
+    for ours, scored in zip(one, other):
+        assert ours.importance_mean == pytest.approx(scored.importance_mean, abs=1e-9)
+        assert ours.importance_std == pytest.approx(scored.importance_std, abs=1e-9)
+
+
 def test_scenarios_of_one_file_are_scored_by_all_cores(spark, gold):
     ids = []
 
